@@ -45,12 +45,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# Daily variances are of the order 1e-5 and keep more decimals.
-SMALL = {"rv_d", "rv_w", "rv_m", "variance", "overnight", "rv_d_pos", "rv_d_neg", "mean_intra", "mean_gap"}
+# Daily variances are of the order 1e-5 and prices differ by that much, so they keep more decimals.
+DIGITS = dict.fromkeys(("rv_d", "rv_w", "rv_m", "variance", "overnight", "rv_d_pos", "rv_d_neg"), 12) | dict.fromkeys(
+    ("open", "high", "low", "close", "last", "settlement", "mean_intra", "mean_gap"), 9
+)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: r6(F.col(c), 12 if c in SMALL else 6) for c in names})
+    return df.withColumns({c: r6(F.col(c), DIGITS.get(c, 6)) for c in names})
 
 
 # Features ------------------------------------------------------------------------------------------------

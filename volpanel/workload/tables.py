@@ -34,7 +34,7 @@ def r6(c: Column, digits: int = 6) -> Column:
 
 def unit_price() -> Column:
     """Unit price moved to the level of a currency pair, so that volatilities come out in usual sizes."""
-    return F.col("l_extendedprice") / F.col("l_quantity") / 1e5 + 5
+    return F.col("l_extendedprice") / F.col("l_quantity") / 99991 + 5
 
 
 def _row_order() -> Column:

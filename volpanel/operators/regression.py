@@ -38,13 +38,14 @@ def fit_folds(
     target = F.ln(target) if log_target else target
 
     # A log target that does not exist (volatility 0) leaves the row out of every sum, not just of some.
-    rows = assign_folds(numbered, scheme).filter(F.col("first_train_fold").isNotNull() & target.isNotNull())
-    x = [F.lit(1.0)] + [F.col(f) * F.lit(s) for f, s in zip(names, scale[1:])]
+    rows = assign_folds(numbered, scheme).withColumn("_y", target)
+    rows = rows.filter("first_train_fold IS NOT NULL AND _y IS NOT NULL")
+    x = ["1.0D"] + [f"(`{f}` * {s}D)" for f, s in zip(names, scale[1:])]
     k = len(x)
-    sums = {f"g_{i}_{j}": F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)}
-    sums |= {f"v_{i}": F.sum(x[i] * target) for i in range(k)}
+    sums = {f"g_{i}_{j}": f"sum({x[i]} * {x[j]})" for i in range(k) for j in range(i, k)}
+    sums |= {f"v_{i}": f"sum({x[i]} * _y)" for i in range(k)}
     pieces = rows.groupBy(*keys, F.col("first_train_fold").alias("fold")).agg(
-        *[c.alias(a) for a, c in sums.items()]
+        *[F.expr(f"{c} AS {a}") for a, c in sums.items()]
     )
 
     upto = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
@@ -53,11 +54,11 @@ def fit_folds(
         .join(pieces, [*keys, "fold"], "left")
         .select(*keys, "fold", "train_end", "test_start", "test_end", *[F.sum(a).over(upto).alias(a) for a in sums])
     )
-    at = lambda i, j: F.col(f"g_{min(i, j)}_{max(i, j)}")
+    entry = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    gram = ", ".join(entry(i, j) for i in range(k) for j in range(k))
     packed = nested.select(
-        *keys, "fold", "train_end", "test_start", "test_end",
-        F.array(*[at(i, j) for i in range(k) for j in range(k)]).alias("_gram"),
-        F.array(*[F.col(f"v_{i}") for i in range(k)]).alias("_xty"),
+        *keys, "fold", "train_end", "test_start", "test_end", F.expr(f"array({gram})").alias("_gram"),
+        F.expr(f"array({', '.join(f'v_{i}' for i in range(k))})").alias("_xty"),
     )
     configs = F.array(
         *[
@@ -98,7 +99,5 @@ def predict_folds(
     tested = assign_folds(numbered, scheme).filter(F.col("test_fold").isNotNull())
     tested = tested.drop("first_train_fold").withColumnRenamed("test_fold", "fold")
     hit = tested.join(coefs.select(*keys, "config", "fold", "beta"), [*keys, "fold"])
-    value = F.col("beta")[0]
-    for i, f in enumerate(names, start=1):
-        value = value + F.col("beta")[i] * F.col(f)
+    value = F.expr(" + ".join(["beta[0]", *[f"beta[{i}] * `{f}`" for i, f in enumerate(names, start=1)]]))
     return hit.withColumn(to, F.exp(value) if log_target else value).drop("beta")

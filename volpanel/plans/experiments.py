@@ -16,7 +16,7 @@ from volpanel.operators import trades as B
 from volpanel.operators.asof import asof_point, asof_shared
 from volpanel.operators.folds import CountedFolds, Scheme, StepFolds
 from volpanel.operators.panel import SERIES, number_rows
-from volpanel.operators.regression import coefficient_column, fit_folds
+from volpanel.operators.regression import coefficient_column, fit_folds, predict_folds
 from volpanel.plans import datasets as D
 from volpanel.plans.forecasts import walk_forward
 from volpanel.session import stage
@@ -148,15 +148,15 @@ def layer_trades(
 ) -> tuple[DataFrame, DataFrame]:
     """(trade summary with and without the layer on the same folds, coefficient weights of the layer)."""
     sets = {"base": D.BASE, "layer": layer}
+    names = sorted({f for fs in sets.values() for f in fs})
     data = stage(dataset, "dataset")
-    rows = walk_forward(data, sets, scheme, True, keys, staged=True)
+    coefs = stage(fit_folds(data, sets, scheme, log_target=True, keys=keys), "coefs")
+    rows = predict_folds(data, coefs, sets, scheme, True, keys)
     trades = B.run_backtest(prices, rows, implied, horizon, [band], keys=keys, extra=["config"])
     by = [*keys, "config", "band_pct"]
     grid = data.select(*keys).distinct().withColumns(
         {"config": F.explode(F.array(*[F.lit(c) for c in sets])), "band_pct": F.lit(float(band))}
     )
-    names = sorted({f for fs in sets.values() for f in fs})
-    coefs = fit_folds(data, {"layer": layer, "_all": names}, scheme, log_target=True, keys=keys)
     layer_only = coefs.filter(F.col("config") == "layer")
     weights = F.array(
         *[F.struct(F.lit(f).alias("feature"), coefficient_column(coefs, names, f).alias("coef")) for f in watched]

@@ -22,11 +22,18 @@ RSS_ITEM = "title string, link string, pubDate string, description string"
 
 
 def read_price_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per instrument of unpacked reports; the reader splits large files at the row tag."""
+    """One row per instrument of unpacked report files, one task per file; the snapshot is the file name."""
     raw = spark.read.format("xml").option("rowTag", "PricRpt").option("mode", "FAILFAST").schema(PRICE_REPORT).load(path)
     return raw.withColumn("snapshot", F.col("_metadata.file_name"))
 
 
+def parse_price_reports(docs: DataFrame) -> DataFrame:
+    """The same rows from report texts (doc, snapshot) held in a table."""
+    schema = f"PricRpt array<struct<{PRICE_REPORT.replace(' struct<', ': struct<')}>>"
+    report = F.from_xml("doc", schema, {"mode": "FAILFAST"})
+    return docs.select("snapshot", F.explode(report["PricRpt"]).alias("_i")).select("_i.*", "snapshot")
+
+
 def futures_contracts(reports: DataFrame, ticker: str = FUTURE_TICKER) -> DataFrame:
     """(date, ticker, settlement, open, last, low, high, open_interest, trades) of futures with a settlement.
 

@@ -271,6 +271,15 @@ def ablation_ctes(ds: str, scheme: str, layer: list[str], log: bool = True) -> d
 M3 = rs("rmse", "mae", "r2_oos")
 
 
+def page_text() -> str:
+    """Markup removal for the entities that the pages use; the ampersand is resolved last."""
+    text = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+    for e, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{e}', '{c}')"
+    space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    return f"trim(regexp_replace({text}, '{space}', ' ', 'g'))"
+
+
 def statements() -> dict[str, str]:
     q: dict[str, str] = {}
     q["bars_daily"] = build(f"SELECT series_id, date, {rs('open', 'high', 'low', 'close')}, trades FROM bars")
@@ -299,7 +308,7 @@ def statements() -> dict[str, str]:
     q["exogenous_changes"] = build(f"SELECT date, {rs('vix_level', 'vix_change', 'dxy_return')} FROM risk_changes")
     w63 = rows(63)
     q["surprise_zscore"] = build(
-        f"""SELECT series_id, CAST(date AS TIMESTAMPTZ) AS date, {r('share_pct')}, {r(f'''(share_pct - {mean('share_pct', 63, minimum=21)})
+        f"""SELECT series_id, CAST(date AS TIMESTAMP) AS date, {r('share_pct')}, {r(f'''(share_pct - {mean('share_pct', 63, minimum=21)})
         / nullif(CASE WHEN count(share_pct) OVER {w63} >= 21 AND min(share_pct) OVER {w63} < max(share_pct) OVER {w63}
         THEN stddev_samp(share_pct) OVER {w63} END, 0)''', 'surprise')} FROM hourly""",
         hourly="""SELECT series_id, date, events / total * 100 AS share_pct FROM (SELECT event_type AS series_id,
@@ -319,8 +328,8 @@ def statements() -> dict[str, str]:
             FROM walk w JOIN best b ON b.series_id = w.series_id AND b.k = w.k + 1 WHERE len(w.taken) < 15) b""",
     )
     q["gap_breaks"] = build(
-        f"""SELECT series_id, CAST(date AS TIMESTAMPTZ) AS ts, {r('close')}, false AS is_break FROM prices UNION ALL
-            SELECT series_id, CAST(CAST(date AS TIMESTAMP) - INTERVAL 1 DAY AS TIMESTAMPTZ), NULL, true
+        f"""SELECT series_id, CAST(date AS TIMESTAMP) AS ts, {r('close')}, false AS is_break FROM prices UNION ALL
+            SELECT series_id, CAST(date AS TIMESTAMP) - INTERVAL 1 DAY, NULL, true
             FROM (SELECT *, date - lag(date) OVER {P} AS hole FROM prices) WHERE hole > 2"""
     )
     q["thinned_rows"] = build(
@@ -389,12 +398,7 @@ def statements() -> dict[str, str]:
         corpus=f"""SELECT date, title AS text FROM headlines UNION ALL SELECT
             CAST(DATE '{FIRST_DAY}' + CAST(page_id % {HEADLINE_DAYS} AS INTEGER) AS DATE), html FROM pages""",
     )
-    entities = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&amp;", "&"))
-    unescaped = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-    for e, c in entities:
-        unescaped = f"replace({unescaped}, '{e}', '{c}')"
-    space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-    q["html_text"] = f"""SELECT page_id, trim(regexp_replace({unescaped}, '{space}', ' ', 'g')) AS text, sha1(url)[1:10] AS slug FROM pages"""
+    q["html_text"] = f"SELECT page_id, {page_text()} AS text, sha1(url)[1:10] AS slug FROM pages"
     q["event_properties"] = f"""SELECT event_type, count(k) AS n, min(k) AS min_k, max(k) AS max_k, {r('avg(k)', 'avg_k')}
         FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) GROUP BY event_type"""
     q["date_chunks"] = build(
@@ -426,7 +430,7 @@ def statements() -> dict[str, str]:
                 FROM folds f JOIN ds_base d ON d.series_id = f.series_id AND d.rn >= test_start AND d.rn < test_end GROUP BY ALL""",
             **folds("ds_base", scheme),
         )
-    q |= _forecasts() | _trading() | _diagnostics()
+    q |= _forecasts() | _trading() | _diagnostics() | _sources()
     return q
 
 
@@ -729,3 +733,55 @@ def _diagnostics() -> dict[str, str]:
         sk=" UNION ALL ".join(skewed(h) for h in (10, 21, 42)),
     )
     return q
+
+
+def _sources() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["source_official_rate"] = build("SELECT date, CAST(CAST(value AS DECIMAL(18, 4)) AS DOUBLE) AS value, series_id AS tipo FROM official")
+    hourly = """SELECT * FROM (SELECT event_type AS query, date_trunc('hour', ts) AS date, count(*) AS n FROM events GROUP BY ALL)
+        JOIN (SELECT date_trunc('hour', ts) AS date, count(*) AS total FROM events GROUP BY ALL) USING (date)"""
+    q["source_news_volume"] = f"""SELECT query, CAST(date AS TIMESTAMP) AS date, n AS article_count, CAST(total AS BIGINT) AS total_monitored,
+        {r('n / total * 100', 'share_pct')} FROM ({hourly})"""
+    q["source_news_tone"] = f"""SELECT query, CAST(date AS TIMESTAMP) AS date, CAST(date - INTERVAL 3 HOUR AS DATE) AS local_day, CAST(n AS DOUBLE) AS tone
+        FROM ({hourly})"""
+    q["source_headlines"] = build(
+        """SELECT CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS date, title, 'u/' || (doc_id % 700) AS url, query || '.example' AS domain, language,
+            upper(language) AS sourcecountry, query FROM headlines QUALIFY row_number() OVER (PARTITION BY query, doc_id % 700
+            ORDER BY date DESC, language DESC, title DESC) = 1"""
+    )
+    day = f"CAST(DATE '{FIRST_DAY}' + CAST(page_id % {HEADLINE_DAYS} AS INTEGER) AS DATE)"
+    q["source_meetings"] = f"""SELECT CAST(page_id AS INTEGER) AS nro_reuniao, CASE WHEN page_id % 2 = 0 THEN 'ata' ELSE 'comunicado' END AS tipo,
+        {day} AS data_referencia, url AS titulo, {page_text()} AS texto, CASE WHEN page_id % 2 = 0 THEN url END AS url_pdf FROM pages"""
+    q["source_meeting_numbers"] = "SELECT DISTINCT CAST(page_id AS INTEGER) AS nro_reuniao FROM pages"
+    q["source_survey"] = """SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 1e5, 4) AS pi_expectation,
+        round(avg(o_totalprice) / 1e5, 2) AS pi_median, round(stddev_samp(o_totalprice) / 1e5, 4) AS dispersion,
+        CAST(count(*) AS INTEGER) AS n_respondentes FROM orders GROUP BY 1"""
+    q["source_targets"] = build("SELECT CAST(year AS INTEGER) AS year, CAST(CAST(meta AS DECIMAL(18, 4)) AS DOUBLE) AS meta FROM meta")
+    q["source_activity"] = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS reference_date,
+        CAST(CAST(date_trunc('month', o_orderdate) AS DATE) + 60 AS DATE) AS release_date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL"""
+    report = """SELECT date, 'DOL' || chr(65 + k % 26) || lpad(CAST(k AS VARCHAR), 2, '0') AS ticker, round(settlement * 1000, 3) AS settlement,
+        round(open * 1000, 3) AS open, round(last * 1000, 3) AS last, round(low * 1000, 3) AS low, round(high * 1000, 3) AS high, open_interest,
+        CAST(trades AS DOUBLE) AS trades FROM (SELECT *, CAST(regexp_extract(ticker, '([0-9]+)$', 1) AS INTEGER) AS k FROM contracts)
+        WHERE k <= 20 AND k % 7 <> 0"""
+    q["source_price_report"] = build(report)
+    q["source_price_report_front"] = build(
+        """SELECT date, ticker, settlement, coalesce(ticker <> lag(ticker) OVER (ORDER BY date), false) AS contract_changed FROM (
+            SELECT * FROM report WHERE isodow(date) < 6 QUALIFY row_number() OVER (PARTITION BY date ORDER BY trades DESC, open_interest DESC, ticker DESC) = 1)""",
+        report=report,
+    )
+    q["source_rss"] = f"""SELECT CASE WHEN page_id % 10 <> 0 THEN CAST({day} AS TIMESTAMP) + INTERVAL 1530 MINUTE END AS date, trim(url) AS title,
+        CAST(page_id AS VARCHAR) AS link, CASE WHEN page_id % 7 <> 0 THEN {page_text()} ELSE '' END AS description,
+        CAST(page_id % 3 AS VARCHAR) AS source FROM pages"""
+    q["source_bars"] = build(
+        f"SELECT date, {rs('open', 'high', 'low', 'close')} FROM (SELECT date, min(px) AS open, max(px) AS high, min(px) AS low, max(px) AS close FROM li GROUP BY 1)"
+    )
+    q["source_paired_closes"] = build(f"SELECT date, {rs('vix_close', 'dxy_close')} FROM risk")
+    q["source_surface"] = build(
+        f"""SELECT refdate, maturity_date, delta_pct, {r('iv_pct')} FROM surface WHERE series_id = 'RF' AND NOT (delta_pct = 25 AND month(refdate) = 1)"""
+    )
+    q["stream_latest"] = """SELECT user_id, event_type, CAST(ts AS DATE) AS date, value, event_id FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id DESC) = 1"""
+    q["stream_daily_share"] = f"""SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE event_type = 'error') AS hits, count(*) AS total,
+        {r("count(*) FILTER (WHERE event_type = 'error') / count(*) * 100", 'share_pct')} FROM events GROUP BY 1"""
+    q["stream_first_arrivals"] = "SELECT DISTINCT user_id, event_type FROM events"
+    return q

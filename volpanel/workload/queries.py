@@ -29,7 +29,11 @@ from volpanel.plans import datasets as D
 from volpanel.plans import diagnostics as G
 from volpanel.plans import experiments as P
 from volpanel.plans import forecasts as C
-from volpanel.session import stage
+from volpanel.session import scratch_path, stage
+from volpanel.sources import documents as docs
+from volpanel.sources import exchange
+from volpanel.streaming import landed as stream
+from volpanel.workload import landed
 from volpanel.workload import tables as S
 from volpanel.workload.tables import r6
 
@@ -118,6 +122,7 @@ def exogenous_changes(spark, sf):
 def surprise_zscore(spark, sf):
     """Hourly panel: TIMESTAMP keys, so the windows run over row blocks."""
     out = W.surprise(S.hourly_share(spark, sf), "share_pct", block_rows=256)
+    out = out.withColumn("date", F.col("date").cast("timestamp_ntz"))
     return rounded(out.select("series_id", "date", "share_pct", "surprise"), "share_pct", "surprise")
 
 
@@ -135,7 +140,8 @@ def spike_days(spark, sf):
 
 @query
 def gap_breaks(spark, sf):
-    return rounded(W.gap_breaks(S.trade_prices(spark, sf), "close", 2), "close")
+    out = W.gap_breaks(S.trade_prices(spark, sf), "close", 2)
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "close")
 
 
 @query
@@ -698,3 +704,124 @@ def skew_theta(spark, sf):
     returns = W.roll_free_returns(S.trade_prices(spark, sf).withColumn("contract_changed", F.lit(False)), "close")
     out = P.skew_against_theta(returns, _anchored(spark, sf))
     return rounded(out, "skew_mean", "r_overlapping", "p_overlapping", "r_independent", "p_independent")
+
+
+# Sources -------------------------------------------------------------------------------------------------
+
+
+@query
+def source_official_rate(spark, sf):
+    return docs.official_rate(landed.official_rate(spark, sf))
+
+
+@query
+def source_news_volume(spark, sf):
+    out = docs.news_volume(landed.timelines(spark, sf))
+    return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")), "share_pct")
+
+
+@query
+def source_news_tone(spark, sf):
+    """Tone points with their day in the market's zone."""
+    out = docs.news_tone(landed.timelines(spark, sf))
+    return out.select("query", F.col("date").cast("timestamp_ntz").alias("date"), X.local_day(F.col("date")).alias("local_day"), "tone")
+
+
+@query
+def source_headlines(spark, sf):
+    out = docs.headlines(landed.article_lists(spark, sf))
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query
+def source_meetings(spark, sf):
+    return docs.meeting_documents(*landed.meetings(spark, sf))
+
+
+@query
+def source_meeting_numbers(spark, sf):
+    minutes, statements = landed.meetings(spark, sf)
+    return docs.meeting_numbers(minutes.unionByName(statements))
+
+
+@query
+def source_survey(spark, sf):
+    return docs.survey_expectations(landed.survey(spark, sf))
+
+
+@query
+def source_targets(spark, sf):
+    return docs.yearly_targets(landed.yearly(spark, sf))
+
+
+@query
+def source_activity(spark, sf):
+    return docs.activity_index(landed.monthly(spark, sf))
+
+
+@query
+def source_price_report(spark, sf):
+    return exchange.futures_contracts(landed.price_reports(spark, sf))
+
+
+@query
+def source_price_report_front(spark, sf):
+    """Weekday reports through to the front contract."""
+    rows = exchange.weekdays(exchange.futures_contracts(landed.price_reports(spark, sf))).withColumn("series_id", F.lit("front"))
+    return front_contract(rows).select("date", "ticker", "settlement", "contract_changed")
+
+
+@query
+def source_rss(spark, sf):
+    out = exchange.rss_items(landed.rss(spark, sf))
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query
+def source_bars(spark, sf):
+    return rounded(exchange.daily_bars(landed.vendor_bars(spark, sf)), "open", "high", "low", "close")
+
+
+@query
+def source_paired_closes(spark, sf):
+    return rounded(S.risk_pair(spark, sf), "vix_close", "dxy_close")
+
+
+@query
+def source_surface(spark, sf):
+    return rounded(exchange.surface_points(landed.wide_surface(spark, sf), ["25", "50", "75"]), "iv_pct")
+
+
+# Streams -------------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    schema = S.table(spark, sf, "events").schema
+    rows = stream.landed_files(spark, f"{sf}/event[s].parquet", schema)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_latest(spark, sf):
+    """Landed events merged into a keep-latest table per micro-batch."""
+    table, mark = scratch_path(spark, "latest"), scratch_path(spark, "mark")
+    rows = _event_stream(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("date"), "value", "event_id")
+    daily = lambda b: keep_one(b, ["user_id", "event_type"], ["date", "event_id"])
+    stream.finish(stream.upsert_stream(rows, table, mark, ["user_id", "event_type"], parse=daily))
+    return spark.read.parquet(table)
+
+
+@query
+def stream_daily_share(spark, sf):
+    table, mark = scratch_path(spark, "share"), scratch_path(spark, "mark")
+    stream.finish(stream.daily_share_stream(_event_stream(spark, sf), table, mark, "ts", F.col("event_type") == "error"))
+    return rounded(spark.read.parquet(table), "share_pct")
+
+
+@query
+def stream_first_arrivals(spark, sf):
+    """Keys seen once within a delay longer than the data."""
+    table, mark = scratch_path(spark, "arrivals"), scratch_path(spark, "mark")
+    rows = _event_stream(spark, sf).select("user_id", "event_type", "ts")
+    stream.finish(stream.append_stream(stream.first_arrivals(rows, ["user_id", "event_type"], "ts", "60 days"), table, mark))
+    return spark.read.parquet(table).select("user_id", "event_type")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from volpanel.functions import market as M
+from volpanel.functions.market import TRADING_DAYS, log_return
 from volpanel.operators.folds import Scheme, assign_folds, fold_table
 from volpanel.operators.panel import SERIES, series_window
 
@@ -104,7 +104,7 @@ def garch_forecasts(
         F.max(F.when(F.col("rn") == F.col("train_end") - 1, F.col("_d"))).alias("train_last"),
         F.max(F.when(F.col("rn") == F.col("test_end") - 1, F.col("_d"))).alias("test_last"),
     )
-    r = prices.select(*keys, time, M.log_return(F.col(price), series_window(keys, time)).alias("r"))
+    r = prices.select(*keys, time, log_return(F.col(price), series_window(keys, time)).alias("r"))
     rows = r.filter(F.col("r").isNotNull()).join(ends, keys).filter(F.col(time) <= F.col("test_last"))
     rows = rows.select(*keys, "fold", time, "r", (F.col(time) <= F.col("train_last")).alias("in_train"))
     schema = T.StructType(
@@ -120,7 +120,7 @@ def garch_forecasts(
         (omega, alpha, beta), start = fit_parameters(x[train])
         ahead = conditional_variance(x, omega, alpha, beta, start)[1:]
         mean = mean_variance_ahead(ahead, omega, alpha, beta, horizon) / RESCALE**2
-        out = pdf[[*keys, "fold", time]].assign(garch_forecast=np.sqrt(mean * M.TRADING_DAYS) * 100)
+        out = pdf[[*keys, "fold", time]].assign(garch_forecast=np.sqrt(mean * TRADING_DAYS) * 100)
         return out[~train]
 
     fitted = rows.groupBy(*keys, "fold").applyInPandas(fit, schema)

@@ -22,15 +22,20 @@ def signed(label: Column, score: Column) -> Column:
 def lexicon_scores(df: DataFrame, text: str, positive: Sequence[str], negative: Sequence[str]) -> DataFrame:
     """Add label, score and signed_score by counting lexicon words over the whole text, as Columns.
 
-    The label is the side with more words; the score is the margin over all lexicon words found.
+    The label is the side with more words; the score is the margin over all lexicon words found. One pattern
+    pass finds the words of both sides; a word is a maximal run of letters.
     """
-    words = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
-    found = lambda lex: F.size(F.filter("_words", lambda t: t.isin(list(lex))))
-    counted = df.withColumn("_words", words).withColumns({"_pos": found(positive), "_neg": found(negative)})
-    p, n = F.col("_pos"), F.col("_neg")
+    lexicon = [w.lower() for w in (*positive, *negative)]
+    if not all(w.isalpha() for w in lexicon):
+        raise ValueError("lexicon words may hold letters only")
+    pattern = rf"(?<!\p{{L}})(?:{'|'.join(lexicon)})(?!\p{{L}})"
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
+    hits = F.size(F.filter("_words", lambda w: w.isin(lexicon[: len(positive)])))
+    counted = df.withColumn("_words", words).withColumns({"_pos": hits, "_all": F.size("_words")})
+    p, n = F.col("_pos"), F.col("_all") - F.col("_pos")
     label = F.when(p > n, POSITIVE).when(n > p, NEGATIVE).otherwise(NEUTRAL)
     score = F.coalesce(F.try_divide(F.abs(p - n), p + n), F.lit(0.0))
-    scored = counted.withColumns({"label": label, "score": score}).drop("_words", "_pos", "_neg")
+    scored = counted.withColumns({"label": label, "score": score}).drop("_words", "_pos", "_all")
     return scored.withColumn("signed_score", signed(F.col("label"), F.col("score")))
 
 

@@ -73,8 +73,8 @@ def survey(spark: SparkSession, sf: str) -> DataFrame:
     rows = o.withColumn("_k", F.explode(kinds))
     item = F.struct(
         F.date_format("date", "yyyy-MM-dd").alias("Data"), F.col("_k.Suavizada").alias("Suavizada"),
-        (F.round(F.col("mean") / 1e5, 4) + F.col("_k.baseCalculo")).alias("Media"), F.round(F.col("mean") / 1e5, 2).alias("Mediana"),
-        F.round(F.col("sd") / 1e5, 4).alias("DesvioPadrao"), F.col("n").alias("numeroRespondentes"), F.col("_k.baseCalculo").alias("baseCalculo"),
+        (F.round(F.col("mean") / S.PRICE_UNIT, 4) + F.col("_k.baseCalculo")).alias("Media"), F.round(F.col("mean") / S.PRICE_UNIT, 2).alias("Mediana"),
+        F.round(F.col("sd") / S.PRICE_UNIT, 4).alias("DesvioPadrao"), F.col("n").alias("numeroRespondentes"), F.col("_k.baseCalculo").alias("baseCalculo"),
     )
     docs = rows.groupBy(F.trunc("date", "month").alias("month")).agg(F.collect_list(item).alias("value"))
     return docs.select(F.to_json(F.struct("value")).alias("doc"))
@@ -136,7 +136,7 @@ def rss(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide_surface(spark: SparkSession, sf: str) -> DataFrame:
     """Surface quotes of one series per sheet column; January cells of the lowest delta are not numbers."""
-    s = S.surface(spark, sf).filter("series_id = 'RF'")
+    s = S.surface(S.bars(spark, sf)).filter("series_id = 'RF'")
     wide = s.groupBy("refdate", "maturity_date").pivot("delta_pct", [25.0, 50.0, 75.0]).agg(F.first("iv_pct"))
     cell = F.when(F.month("refdate") == 1, F.lit("n/a")).otherwise(F.col("`25.0`").cast("string"))
     text = wide.select("refdate", F.col("maturity_date").cast("string").alias("maturity_date"), cell.alias("25"),

@@ -80,7 +80,7 @@ CTES: dict[str, str] = {
     "price_ret": f"SELECT *, ln(close) - lag(ln(close)) OVER {P} AS ret FROM prices",
     "har": f"""SELECT *, variance AS rv_d, {mean('variance', 5)} AS rv_w, {mean('variance', 22)} AS rv_m,
         {target(H)} AS target FROM varied""",
-    "official": """SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value
+    "official": """SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 99991 AS value
         FROM orders GROUP BY ALL""",
     "risk": """SELECT date, max(CASE WHEN series_id = '1-URGENT' THEN value END) AS vix_close,
         max(CASE WHEN series_id = '5-LOW' THEN value END) AS dxy_close FROM official
@@ -97,9 +97,9 @@ CTES: dict[str, str] = {
         lang AS language, source AS query, doc_id FROM documents""",
     "mood": "SELECT date, avg(signed_score) AS sentiment_mean FROM scored GROUP BY date",
     "news": f"SELECT date, {mean('sentiment_mean', 21, '', 'date', 1)} AS news FROM mood",
-    "survey": """SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 1e5 AS pi_expectation,
-        stddev_samp(o_totalprice) / 1e5 AS dispersion FROM orders GROUP BY 1""",
-    "meta": """SELECT year(o_orderdate) AS year, avg(o_totalprice) / 1e5 AS meta FROM orders GROUP BY 1
+    "survey": """SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 99991 AS pi_expectation,
+        stddev_samp(o_totalprice) / 99991 AS dispersion FROM orders GROUP BY 1""",
+    "meta": """SELECT year(o_orderdate) AS year, avg(o_totalprice) / 99991 AS meta FROM orders GROUP BY 1
         HAVING year(o_orderdate) < 2001""",
     "anchored": """SELECT s.date, pi_expectation - CASE WHEN year(date) = year(date + 365) THEN m0.meta ELSE
         (date_diff('day', date, make_date(year(date) + 1, 1, 1)) / 365.0) * m0.meta
@@ -274,8 +274,8 @@ M3 = rs("rmse", "mae", "r2_oos")
 def page_text() -> str:
     """Markup removal for the entities that the pages use; the ampersand is resolved last."""
     text = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-    for e, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = f"replace({text}, '{e}', '{c}')"
+    for e, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;?", "&")):
+        text = f"regexp_replace({text}, '{e}', '{c}', 'g')"
     space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
     return f"trim(regexp_replace({text}, '{space}', ' ', 'g'))"
 
@@ -753,8 +753,8 @@ def _sources() -> dict[str, str]:
     q["source_meetings"] = f"""SELECT CAST(page_id AS INTEGER) AS nro_reuniao, CASE WHEN page_id % 2 = 0 THEN 'ata' ELSE 'comunicado' END AS tipo,
         {day} AS data_referencia, url AS titulo, {page_text()} AS texto, CASE WHEN page_id % 2 = 0 THEN url END AS url_pdf FROM pages"""
     q["source_meeting_numbers"] = "SELECT DISTINCT CAST(page_id AS INTEGER) AS nro_reuniao FROM pages"
-    q["source_survey"] = """SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 1e5, 4) AS pi_expectation,
-        round(avg(o_totalprice) / 1e5, 2) AS pi_median, round(stddev_samp(o_totalprice) / 1e5, 4) AS dispersion,
+    q["source_survey"] = """SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 99991, 4) AS pi_expectation,
+        round(avg(o_totalprice) / 99991, 2) AS pi_median, round(stddev_samp(o_totalprice) / 99991, 4) AS dispersion,
         CAST(count(*) AS INTEGER) AS n_respondentes FROM orders GROUP BY 1"""
     q["source_targets"] = build("SELECT CAST(year AS INTEGER) AS year, CAST(CAST(meta AS DECIMAL(18, 4)) AS DOUBLE) AS meta FROM meta")
     q["source_activity"] = """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS reference_date,

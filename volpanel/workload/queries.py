@@ -49,9 +49,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# Daily variances are of the order 1e-5 and prices differ by that much, so they keep more decimals.
+# Daily variances are of the order 1e-5 and prices differ by that much, so they keep more decimals; amounts of
+# money are large and keep fewer.
 DIGITS = dict.fromkeys(("rv_d", "rv_w", "rv_m", "variance", "overnight", "rv_d_pos", "rv_d_neg"), 12) | dict.fromkeys(
     ("open", "high", "low", "close", "last", "settlement", "mean_intra", "mean_gap"), 9
+) | dict.fromkeys(
+    ("n_contracts", "cost", "round_trip", "pnl_gross", "pnl_net", "running", "total_pnl", "avg_pnl", "pnl_std", "n_straddles"), 3
 )
 
 
@@ -64,7 +67,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def bars_daily(spark, sf):
-    return rounded(S.bars(spark, sf), "open", "high", "low", "close")
+    return rounded(S.bars(spark, sf).drop("mean"), "open", "high", "low", "close")
 
 
 @query
@@ -550,7 +553,7 @@ def garch_walk_forward(spark, sf):
 
 @query
 def atm_iv_tenors(spark, sf):
-    return rounded(atm_tenors(S.surface(spark, sf), [5, 21, 42, 60, 90]), "iv_atm_pct")
+    return rounded(atm_tenors(S.surface(S.bars(spark, sf)), [5, 21, 42, 60, 90]), "iv_atm_pct")
 
 
 @query
@@ -567,9 +570,10 @@ def black76_chain(spark, sf):
 
 def _quoted(spark, sf):
     """At-the-money quotes with the latest price known at the quote date."""
-    quotes = S.surface(spark, sf).filter("delta_pct = 50")
+    daily = stage(S.bars(spark, sf), "bars")
+    quotes = S.surface(daily).filter("delta_pct = 50")
     days = quotes.select("series_id", "refdate").distinct()
-    known = asof_join(days, S.trade_prices(spark, sf).select("series_id", "date", F.col("close").alias("spot")), left_time="refdate")
+    known = asof_join(days, daily.select("series_id", "date", F.col("mean").alias("spot")), left_time="refdate")
     return quotes.join(known, ["series_id", "refdate"])
 
 
@@ -580,20 +584,24 @@ def vega_sizing(spark, sf):
     contracts = M.straddle_contracts(1000.0, spot, days, iv)
     t = days / F.lit(365.0)
     premium = F.col("call") + F.col("put")
-    return with_option_prices(q, spot, spot, t, iv / 100).select(
-        "series_id", "refdate", "maturity_date", r6(M.straddle_vega_point(spot, days, iv)).alias("vega_point"),
-        r6(contracts).alias("n_contracts"), r6(M.trade_cost(premium, contracts)).alias("cost"),
-        r6(M.round_trip_cost(premium, premium * 0.5, contracts)).alias("round_trip"),
+    out = with_option_prices(q, spot, spot, t, iv / 100).select(
+        "series_id", "refdate", "maturity_date", M.straddle_vega_point(spot, days, iv).alias("vega_point"),
+        contracts.alias("n_contracts"), M.trade_cost(premium, contracts).alias("cost"),
+        M.round_trip_cost(premium, premium * 0.5, contracts).alias("round_trip"),
     )
+    return rounded(out, "vega_point", "n_contracts", "cost", "round_trip")
 
 
 def _trading(spark, sf):
-    """(prices, persistence forecast, implied proxy) over trade prices and bar ranges."""
-    varied = stage(S.varied(spark, sf), "varied")
-    prices = stage(S.trade_prices(spark, sf), "prices")
-    forecast = S.persistence_forecast(D.base_dataset(varied, HORIZON))
-    atm = atm_tenors(S.surface(spark, sf), [21])
-    return prices, forecast, P.proxy_implied(W.range_vol(varied, [21]), atm)
+    """(prices, persistence forecast, implied proxy), all from one scan of lineitem kept as daily bars."""
+    daily = stage(S.bars(spark, sf), "bars")
+    return _trading_from(daily)
+
+
+def _trading_from(daily):
+    forecast = S.persistence_forecast(D.base_dataset(W.range_variance(daily), HORIZON))
+    atm = atm_tenors(S.surface(daily), [21])
+    return S.mean_prices(daily), forecast, P.proxy_implied(W.range_vol(daily, [21]), atm)
 
 
 @query
@@ -640,17 +648,18 @@ def running_pnl(spark, sf):
 
 @query
 def signal_today(spark, sf):
-    varied = S.bars(spark, sf)
-    atm = atm_tenors(S.surface(spark, sf), [21])
-    out = P.signal_today(W.range_vol(varied, [21]), atm, S.trade_prices(spark, sf))
+    daily = stage(S.bars(spark, sf), "bars")
+    out = P.signal_today(W.range_vol(daily, [21]), atm_tenors(S.surface(daily), [21]), S.mean_prices(daily))
     cols = ["range_vol_21", "iv_atm_pct", "close", "n_straddles"]
     return rounded(out.select("series_id", "date", "refdate", "spot_date", "signal", *cols), *cols)
 
 
 @query
 def layer_trade_summary(spark, sf):
-    prices, _, implied = _trading(spark, sf)
-    summary, _ = P.layer_trades(_news_dataset(spark, sf), D.NEWS, prices, implied, ["news"])
+    daily = stage(S.bars(spark, sf), "bars")
+    prices, _, implied = _trading_from(daily)
+    data = D.base_dataset(W.range_variance(daily), HORIZON, _news(spark, sf), "news", 21)
+    summary, _ = P.layer_trades(data, D.NEWS, prices, implied, ["news"])
     return rounded(summary.drop("ret_skew", "ret_kurtosis"), *SUMMARY)
 
 
@@ -694,8 +703,9 @@ def volatility_profile(spark, sf):
 @query
 def volatility_correlation(spark, sf):
     """Range against close-to-close volatility on common dates."""
-    a = W.range_vol(S.bars(spark, sf), [21])
-    b = W.realized_vol(S.trade_prices(spark, sf), windows=[21])
+    daily = stage(S.bars(spark, sf), "bars")
+    a = W.range_vol(daily, [21])
+    b = W.realized_vol(S.mean_prices(daily), windows=[21])
     return rounded(G.paired_correlation(a, b, "range_vol_21", "rv_21", ["series_id"]), "r")
 
 

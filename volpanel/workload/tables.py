@@ -16,6 +16,8 @@ from volpanel.sources.exchange import paired_closes
 
 FIRST_DAY = "1995-01-02"
 HEADLINE_DAYS = 2000
+# A prime, so that scaled prices are no short decimals, which two engines may round apart at a tie.
+PRICE_UNIT = 99_991
 # The query's own small lexicon, frequent words of the four languages.
 GOOD_WORDS = ("for", "with", "by", "und", "et", "los")
 BAD_WORDS = ("that", "on", "as", "die", "que", "el")
@@ -34,7 +36,7 @@ def r6(c: Column, digits: int = 6) -> Column:
 
 def unit_price() -> Column:
     """Unit price moved to the level of a currency pair, so that volatilities come out in usual sizes."""
-    return F.col("l_extendedprice") / F.col("l_quantity") / 99991 + 5
+    return F.col("l_extendedprice") / F.col("l_quantity") / PRICE_UNIT + 5
 
 
 def _row_order() -> Column:
@@ -48,7 +50,7 @@ def _row_order() -> Column:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, date, open, high, low, close, trades) from lineitem unit prices."""
+    """(series_id, date, open, high, low, close, mean, trades) from lineitem unit prices, one scan."""
     px = unit_price()
     rows = table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("series_id"), F.to_date("l_shipdate").alias("date"),
@@ -56,10 +58,15 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.groupBy("series_id", "date").agg(
         F.min_by("px", "seq").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-        F.max_by("px", "seq").alias("close"), F.count(F.lit(1)).alias("trades"),
+        F.max_by("px", "seq").alias("close"), F.avg("px").alias("mean"), F.count(F.lit(1)).alias("trades"),
     )
 
 
+def mean_prices(daily: DataFrame) -> DataFrame:
+    """(series_id, date, close): the day's mean price of bars."""
+    return daily.select("series_id", "date", F.col("mean").alias("close"))
+
+
 def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the high/low daily variance."""
     return W.range_variance(bars(spark, sf_dir))
@@ -85,10 +92,10 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def official(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, date, value): daily mean order price by priority, a second calendar."""
+    """(series_id, date, value): scaled daily mean order price by priority, a second calendar."""
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_orderpriority").alias("series_id"), F.to_date("o_orderdate").alias("date")).agg(
-        F.avg("o_totalprice").alias("value")
+        (F.avg("o_totalprice") / PRICE_UNIT).alias("value")
     )
 
 
@@ -144,19 +151,19 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, pi_expectation, dispersion): mean and spread of order prices, scaled."""
     o = table(spark, sf_dir, "orders")
     return o.groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        (F.avg("o_totalprice") / 1e5).alias("pi_expectation"), (F.stddev_samp("o_totalprice") / 1e5).alias("dispersion")
+        (F.avg("o_totalprice") / PRICE_UNIT).alias("pi_expectation"), (F.stddev_samp("o_totalprice") / PRICE_UNIT).alias("dispersion")
     )
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(year, meta): yearly mean; the last year is left out, so its target falls back."""
     o = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year"))
-    return o.agg((F.avg("o_totalprice") / 1e5).alias("meta")).filter(F.col("year") < 2001)
+    return o.agg((F.avg("o_totalprice") / PRICE_UNIT).alias("meta")).filter(F.col("year") < 2001)
 
 
-def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+def surface(daily: DataFrame) -> DataFrame:
     """(series_id, refdate, maturity_date, delta_pct, iv_pct): month-start quotes scaled to trailing volatility."""
-    vol = W.range_vol(bars(spark, sf_dir), [21]).filter(F.col("range_vol_21").isNotNull())
+    vol = W.range_vol(daily, [21]).filter(F.col("range_vol_21").isNotNull())
     month = F.add_months(F.trunc("date", "month"), 1)
     level = vol.groupBy("series_id", month.alias("refdate")).agg(F.avg("range_vol_21").alias("level"))
     quotes = F.array(

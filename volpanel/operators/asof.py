@@ -63,16 +63,18 @@ def asof_join(
 
 def asof_shared(
     left: DataFrame, right: DataFrame, left_time: str = "date", right_time: str = "date",
-    values: Sequence[str] | None = None,
+    values: Sequence[str] | None = None, staged: bool = False,
 ) -> DataFrame:
     """As-of join of a series shared by every left series (an index, a survey).
 
     The match is found once per distinct left date, at most one row per calendar day, and joined back by
-    date; the planner broadcasts that calendar when its measured size allows.
+    date; the planner broadcasts that calendar when its measured size allows. The left side feeds both steps,
+    so it is staged unless the caller says it already is.
     """
     if not (is_daily(left, left_time) and is_daily(right, right_time)):
         raise TypeError("shared as-of join needs DATE keys")
     values = list(values or [c for c in right.columns if c != right_time])
+    left = left if staged else stage(left, "asof-left")
     one = F.lit(0).alias("_all")
     days = left.select(one, F.col(left_time).alias("_day")).distinct()
     calendar = asof_join(days, right.select("*", one), ["_all"], "_day", right_time, values)

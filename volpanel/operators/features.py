@@ -98,7 +98,10 @@ def exogenous_changes(
     df: DataFrame, level: str, index: str, prefix: tuple[str, str] = ("vix", "dxy"),
     keys: Sequence[str] = (), time: str = "date",
 ) -> DataFrame:
-    """Level, first difference and log difference on the pair's own calendar (before any alignment)."""
+    """Level, first difference and log difference on the pair's own calendar (before any alignment).
+
+    Without ``keys`` the pair is one shared series: a row per calendar day.
+    """
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     fr = framed(keyed, list(keys) or ["_all"], time, back=1)
     out = fr.df.withColumns(
@@ -129,7 +132,10 @@ def surprise(
 def smooth(
     df: DataFrame, value: str, window: int, keys: Sequence[str] = SERIES, time: str = "date", to: str | None = None
 ) -> DataFrame:
-    """Trailing mean over up to ``window`` rows of the series' own calendar."""
+    """Trailing mean over up to ``window`` rows of the series' own calendar.
+
+    Without ``keys`` the input is one shared series: a row per calendar day.
+    """
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     fr = framed(keyed, list(keys) or ["_all"], time, back=window - 1)
     return fr.close(fr.df.withColumn(to or value, rolling(F.avg, F.col(value), fr.window, window, 1))).drop("_all")

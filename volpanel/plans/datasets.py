@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from volpanel.operators import features as W
 from volpanel.operators.asof import asof_join, asof_shared
 from volpanel.operators.panel import SERIES, number_rows
+from volpanel.session import stage
 
 BASE = W.HAR
 NEWS = (*BASE, "news")
@@ -34,9 +35,13 @@ def _labelled(bars: DataFrame, horizon: int, keys: Sequence[str]) -> DataFrame:
     return W.har_features(bars, horizons=[horizon], keys=keys).withColumnRenamed(f"target_{horizon}", "target")
 
 
-def _shared(left: DataFrame, right: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    per_series = all(k in right.columns for k in keys)
-    return asof_join(left, right, keys, **kw) if per_series else asof_shared(left, right, **kw)
+def _aligned(left: DataFrame, rights: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """As-of join of several right series; the left side is staged once if any of them is shared."""
+    shared = [not all(k in r.columns for k in keys) for r in rights]
+    left = stage(left, "labelled") if any(shared) else left
+    for right, alone in zip(rights, shared):
+        left = asof_shared(left, right, staged=True) if alone else asof_join(left, right, keys)
+    return left
 
 
 def _smoothed(series: DataFrame, value: str, window: int | None, keys: Sequence[str], to: str) -> DataFrame:
@@ -53,7 +58,7 @@ def base_dataset(
     out = _labelled(bars, horizon, keys)
     if news is None:
         return supervised(out, BASE, keys)
-    return supervised(_shared(out, _smoothed(news, news_value, smooth_window, keys, "news"), keys), NEWS, keys)
+    return supervised(_aligned(out, [_smoothed(news, news_value, smooth_window, keys, "news")], keys), NEWS, keys)
 
 
 def extended_dataset(bars: DataFrame, horizon: int = 21, keys: Sequence[str] = SERIES) -> DataFrame:
@@ -69,13 +74,13 @@ def global_risk_dataset(
     """Base plus level, change and log return of an exogenous pair, computed on the pair's calendar."""
     changes = W.exogenous_changes(risk.select("date", level, index), level, index)
     changes = changes.select("date", "vix_level", "vix_change", "dxy_return")
-    return supervised(_shared(_labelled(bars, horizon, keys), changes, keys), GLOBAL_RISK, keys)
+    return supervised(_aligned(_labelled(bars, horizon, keys), [changes], keys), GLOBAL_RISK, keys)
 
 
 def credibility_dataset(bars: DataFrame, anchored: DataFrame, horizon: int = 21, keys: Sequence[str] = SERIES) -> DataFrame:
     """Base plus anchoring score and survey dispersion."""
     right = anchored.select("date", "theta_baseline", "dispersion")
-    return supervised(_shared(_labelled(bars, horizon, keys), right, keys), CREDIBILITY, keys)
+    return supervised(_aligned(_labelled(bars, horizon, keys), [right], keys), CREDIBILITY, keys)
 
 
 def fiscal_dataset(
@@ -83,6 +88,6 @@ def fiscal_dataset(
     keys: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Base plus attention surprise and smoothed text sentiment, each aligned on its own."""
-    out = _shared(_labelled(bars, horizon, keys), attention.select("date", F.col("surprise").alias("fiscal_surprise")), keys)
+    surprise = attention.select("date", F.col("surprise").alias("fiscal_surprise"))
     mood = _smoothed(sentiment, "sentiment_mean", smooth_window, keys, "fiscal_sentiment")
-    return supervised(_shared(out, mood, keys), FISCAL, keys)
+    return supervised(_aligned(_labelled(bars, horizon, keys), [surprise, mood], keys), FISCAL, keys)

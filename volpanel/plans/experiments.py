@@ -40,9 +40,9 @@ def ablation(
     dataset: DataFrame, layer: Sequence[str], scheme: Scheme, log_target: bool = True,
     base: Sequence[str] = D.BASE, name: str = "layer", keys: Sequence[str] = SERIES,
 ) -> Ablation:
-    """Both feature sets on the same folds and rows; one fit serves both."""
+    """Both feature sets on the same folds and rows; one fit serves both, and its forecasts all the metrics."""
     sets: Mapping[str, Sequence[str]] = {"base": base, name: layer}
-    rows = walk_forward(dataset, sets, scheme, log_target, keys)
+    rows = stage(walk_forward(dataset, sets, scheme, log_target, keys), "predictions")
     per_fold = E.error_metrics(rows, [*keys, "config", "fold"])
     pooled = E.error_metrics(rows, [*keys, "config"])
     return Ablation(

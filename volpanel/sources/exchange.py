@@ -40,16 +40,19 @@ def futures_contracts(reports: DataFrame, ticker: str = FUTURE_TICKER) -> DataFr
     A day is delivered as several progressive snapshots; rows of its last one (by file name) count.
     """
     a = "FinInstrmAttrbts"
-    newest = reports.groupBy(F.col("TradDt.Dt").alias("date")).agg(F.max("snapshot").alias("snapshot"))
-    futures = reports.filter(F.col("SctyId.TckrSymb").rlike(ticker) & F.col(f"{a}.AdjstdQt._VALUE").isNotNull())
-    rows = futures.select(
-        F.col("TradDt.Dt").alias("date"), "snapshot", F.col("SctyId.TckrSymb").alias("ticker"),
+    is_future = F.col("SctyId.TckrSymb").rlike(ticker) & F.col(f"{a}.AdjstdQt._VALUE").isNotNull()
+    row = F.struct(
+        F.col("SctyId.TckrSymb").alias("ticker"),
         F.col(f"{a}.AdjstdQt._VALUE").alias("settlement"), F.col(f"{a}.FrstPric._VALUE").alias("open"),
         F.col(f"{a}.LastPric._VALUE").alias("last"), F.col(f"{a}.MinPric._VALUE").alias("low"),
         F.col(f"{a}.MaxPric._VALUE").alias("high"), F.col(f"{a}.OpnIntrst").alias("open_interest"),
         F.col(f"{a}.TradQty").alias("trades"),
     )
-    return nan_to_null(rows.join(newest, ["date", "snapshot"], "left_semi").drop("snapshot"))
+    # The large reports are parsed once: instruments that are no futures only help to name the last snapshot,
+    # and the ticker pattern leaves at most 2,600 futures to gather per snapshot.
+    listed = reports.groupBy(F.col("TradDt.Dt").alias("date"), "snapshot").agg(F.collect_set(F.when(is_future, row)).alias("_rows"))
+    newest = listed.groupBy("date").agg(F.max_by("_rows", "snapshot").alias("_rows"))
+    return nan_to_null(newest.select("date", F.explode("_rows").alias("_r")).select("date", "_r.*"))
 
 
 def weekdays(df: DataFrame, time: str = "date") -> DataFrame:
@@ -91,11 +94,21 @@ def surface_points(sheet: DataFrame, deltas: list[str], refdate: str = "refdate"
     return keep_one(long, [refdate, "maturity_date", "delta_pct"], [], "first")
 
 
-def read_series(spark: SparkSession, path: str, value: str, keys: dict[str, str] | None = None, time: str = "date") -> DataFrame:
-    """(date, value) of one key of a clean table. A missing table is an error; the key filter reaches the scan."""
+def read_series(
+    spark: SparkSession, path: str, value: str, keys: dict[str, str] | None = None, time: str = "date",
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
+    """(date, value) of one key of a clean table, from ``start`` to ``end``, both included.
+
+    A missing table is an error; the filters reach the scan.
+    """
     df = spark.read.parquet(path)
     for column, wanted in (keys or {}).items():
         df = df.filter(F.col(column) == wanted)
+    if start:
+        df = df.filter(F.col(time) >= F.lit(start).cast("date"))
+    if end:
+        df = df.filter(F.col(time) <= F.lit(end).cast("date"))
     return df.select(F.col(time).alias("date"), F.col(value))
 
 

@@ -33,10 +33,10 @@ def expected(left, right):
     return pd.concat(out).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("bucket", [None, 7 * 86_400])
-def test_asof_takes_the_last_label_even_if_null(spark, bucket):
+@pytest.mark.parametrize("buckets", [None, 1, 7])
+def test_asof_takes_the_last_label_even_if_null(spark, buckets):
     left, right = sides(spark)
-    got = asof_join(frame(spark, left), frame(spark, right, "series_id string, date date, v double"), bucket_seconds=bucket)
+    got = asof_join(frame(spark, left), frame(spark, right, "series_id string, date date, v double"), buckets=buckets)
     close_to(pandas_sorted(got, "series_id", "date").v, expected(left, right).v)
 
 

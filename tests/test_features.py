@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import business_days, close_to, frame, pandas_sorted, walk
 from volpanel.functions import market as M
 from volpanel.operators import features as W
-from volpanel.operators.panel import nan_to_null, number_rows, number_rows_bucketed, to_panel
+from volpanel.operators.panel import framed, nan_to_null, number_rows, number_rows_spread, range_buckets, to_panel
 
 
 def test_har_features_and_target_match_pandas(spark):
@@ -82,6 +82,22 @@ def test_row_blocks_give_the_series_window_result(spark):
     pd.testing.assert_frame_equal(plain, blocks)
 
 
+def test_a_hot_series_spreads_over_ranges_and_blocks(spark):
+    """One series holds most of the rows: no range and no block holds more than its share."""
+    t0 = pd.Timestamp("2024-01-01")
+    long = [("hot", (t0 + pd.Timedelta(minutes=i)).to_pydatetime(), float(i % 7)) for i in range(4000)]
+    short = [(f"s{j}", (t0 + pd.Timedelta(minutes=i)).to_pydatetime(), float(i)) for j in range(20) for i in range(50)]
+    df = spark.createDataFrame(long + short, "series_id string, date timestamp, x double")
+    ranges = range_buckets(df, ["series_id"], "date", 10).groupBy("_bucket").count().collect()
+    assert len(ranges) >= 9 and max(r["count"] for r in ranges) < 1000
+    fr = framed(df, back=62, block_rows=256)
+    sizes = fr.df.groupBy("series_id", "_block").count().collect()
+    assert max(r["count"] for r in sizes) <= 256 + 62 and len(sizes) >= 16 + 20
+    out = fr.close(fr.df.withColumn("m", F.avg("x").over(fr.window.rowsBetween(-62, 0))))
+    got = pandas_sorted(out.filter("series_id = 'hot'"), "date").m
+    close_to(got, pd.Series([r[2] for r in long]).rolling(63, min_periods=1).mean())
+
+
 def test_timestamp_panels_take_the_block_path(spark):
     n = 500
     ts = pd.date_range("2024-01-01", periods=n, freq="h")
@@ -93,10 +109,10 @@ def test_timestamp_panels_take_the_block_path(spark):
     close_to(out, (s - s.rolling(63, min_periods=21).mean()) / s.rolling(63, min_periods=21).std(), 1e-9)
 
 
-def test_row_numbers_agree_across_buckets(spark):
+def test_row_numbers_agree_across_ranges(spark):
     df = frame(spark, pd.concat([walk(400, 11)[["series_id", "date", "close"]], walk(5, 1, series="b")[["series_id", "date", "close"]]]))
     a = pandas_sorted(number_rows(df), "series_id", "date")
-    b = pandas_sorted(number_rows_bucketed(df, bucket_seconds=30 * 86_400), "series_id", "date")
+    b = pandas_sorted(number_rows_spread(df, buckets=7), "series_id", "date")
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 

@@ -11,18 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volpanel.operators.panel import SERIES, _bucket, is_daily
+from volpanel.operators.panel import SERIES, is_daily, range_buckets
 from volpanel.session import stage
 
 
-def _last_known(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, values: list[str]) -> DataFrame:
-    """Right frame comes as (keys…, _t, _r); the right row sorts before a left row with the same label."""
-    lefts = left.select(
-        *keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_l")
-    )
-    rights = right.select(*keys, "_t", F.lit(0).alias("_side"), "_r")
+def _last_known(both: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Left rows of the united sides with the newest right row; a right row sorts before a left row at its label."""
     w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = lefts.unionByName(rights, allowMissingColumns=True)
     hit = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
     return hit.select("_l.*", *[F.col(f"_r.{v}").alias(v) for v in values])
 
@@ -34,31 +29,30 @@ def asof_join(
     left_time: str = "date",
     right_time: str = "date",
     values: Sequence[str] | None = None,
-    bucket_seconds: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Backward as-of join; right holds one row per (keys, right_time).
 
-    DATE keys: union of both sides and one window, so one shuffle. TIMESTAMP keys (or an explicit
-    ``bucket_seconds``): the window runs inside calendar buckets, and each bucket starts from the last
-    right row of the buckets before it. Those carried rows come from a partial ``max`` per bucket.
+    DATE keys: union of both sides and one window, so one shuffle. TIMESTAMP keys (or an explicit number of
+    ``buckets``): the united sides are split into evenly filled ranges of (keys, time), the window runs inside a
+    range, and each range starts from the last right row of the ranges before it, found by a partial ``max``.
     """
     keys, values = list(keys), list(values or [c for c in right.columns if c not in {*keys, right_time}])
-    packed = right.filter(F.col(right_time).isNotNull()).select(
-        *keys, F.col(right_time).alias("_t"), F.struct(*values).alias("_r")
+    lefts = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct("*").alias("_l"))
+    rights = right.filter(F.col(right_time).isNotNull()).select(
+        *keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_r")
     )
-    if is_daily(left, left_time) and is_daily(right, right_time) and bucket_seconds is None:
-        return _last_known(left, packed, keys, left_time, values)
-
-    left, packed = stage(left, "asof-left"), stage(packed, "asof-right")
-    lb = left.withColumn("_bucket", _bucket(left, left_time, bucket_seconds))
-    rb = packed.withColumn("_bucket", _bucket(packed, "_t", bucket_seconds))
-    newest = rb.groupBy(*keys, "_bucket").agg(F.max_by(F.struct("_t", "_r"), "_t").alias("_m"))
-    marks = newest.unionByName(lb.select(*keys, "_bucket").distinct(), allowMissingColumns=True)
-    marks = marks.groupBy(*keys, "_bucket").agg(F.first("_m", ignorenulls=True).alias("_m"))
+    both = lefts.unionByName(rights, allowMissingColumns=True)
+    if is_daily(left, left_time) and is_daily(right, right_time) and buckets is None:
+        return _last_known(both, keys, values)
+
+    ranged = range_buckets(both, keys, "_t", buckets)
+    known = F.when(F.col("_r").isNotNull(), F.col("_t"))
+    newest = ranged.groupBy(*keys, "_bucket").agg(F.max_by(F.struct("_t", "_r"), known).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = marks.select(*keys, "_bucket", F.last("_m", ignorenulls=True).over(before).alias("_m"))
-    carried = carried.filter(F.col("_m").isNotNull()).select(*keys, "_bucket", "_m._t", "_m._r")
-    return _last_known(lb, rb.unionByName(carried), [*keys, "_bucket"], left_time, values).drop("_bucket")
+    carried = newest.withColumn("_m", F.last("_m", ignorenulls=True).over(before)).filter(F.col("_m").isNotNull())
+    starts = carried.select(*keys, "_bucket", "_m._t", F.lit(0).alias("_side"), "_m._r")
+    return _last_known(ranged.unionByName(starts, allowMissingColumns=True), [*keys, "_bucket"], values)
 
 
 def asof_shared(

@@ -5,8 +5,10 @@ Two physical forms give the same values:
 * DATE-keyed panels hold at most one row per calendar day and series, so a series is short whatever the
   raw volume was (a century is 36,525 rows). They use one window per series; later groupings by series
   reuse that partitioning.
-* TIMESTAMP-keyed panels have no such bound, so a series is cut into blocks of ``block_rows`` rows. Each
-  block gets copies of the few rows before and after it that its frames reach, and blocks run in parallel.
+* TIMESTAMP-keyed panels have no such bound: one series may hold most of the rows. They are range-partitioned
+  by (series, time), which splits a long series wherever it needs to, numbered, and cut into blocks of
+  ``block_rows`` rows. Each block gets copies of the few rows before and after it that its frames reach, and
+  all blocks run in parallel.
 """
 
 from __future__ import annotations
@@ -22,9 +24,6 @@ from volpanel.session import stage
 
 SERIES = ("series_id",)
 BLOCK_ROWS = 4096
-# Calendar span of the buckets that row numbers are counted in: at most 1024 daily rows each, and
-# 32 days of intraday rows.
-BUCKET_SECONDS = {"date": 1024 * 86_400, "timestamp": 32 * 86_400}
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -66,12 +65,15 @@ def forward(
     return F.when(enough & (F.count(F.lit(1)).over(frame) == n), agg(x).over(frame))
 
 
-def _bucket(df: DataFrame, time: str, seconds: int | None) -> Column:
-    if is_daily(df, time):
-        days = (seconds or BUCKET_SECONDS["date"]) // 86_400
-        return F.floor(F.unix_date(time) / days)
-    span = seconds or BUCKET_SECONDS["timestamp"]
-    return F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / span)
+def range_buckets(df: DataFrame, keys: Sequence[str], time: str, buckets: int | None = None) -> DataFrame:
+    """``df`` staged in evenly filled ranges of (keys, time), each row carrying its range number ``_bucket``.
+
+    Ranges follow the data, so a series with a third of all rows spreads over a third of the ranges, in time
+    order. The number is written with the rows and does not change when a task runs again.
+    """
+    by = [*keys, time]
+    spread = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
+    return stage(spread.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = SERIES, time: str = "date") -> DataFrame:
@@ -82,17 +84,16 @@ def number_rows(df: DataFrame, keys: Sequence[str] = SERIES, time: str = "date")
     )
 
 
-def number_rows_bucketed(
-    df: DataFrame, keys: Sequence[str] = SERIES, time: str = "date", bucket_seconds: int | None = None
+def number_rows_spread(
+    df: DataFrame, keys: Sequence[str] = SERIES, time: str = "date", buckets: int | None = None
 ) -> DataFrame:
     """``rn`` and ``n`` without putting a series into one task.
 
-    Rows are numbered inside calendar buckets; the bucket sizes are counted with partial aggregation and
-    only those counts, one row per bucket, are summed along the series. ``df`` is read twice, so pass a
-    staged table.
+    Rows are numbered inside ranges; range sizes are counted with partial aggregation, and only those counts,
+    one row per series and range, are summed along the series.
     """
     keys = list(keys)
-    d = df.withColumn("_bucket", _bucket(df, time, bucket_seconds))
+    d = range_buckets(df, keys, time, buckets)
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     offsets = sizes.select(
@@ -137,7 +138,7 @@ def framed(
     if is_daily(df, time) and block_rows is None:
         return Framed(df, series_window(keys, time), False)
     size = block_rows or BLOCK_ROWS
-    numbered = number_rows_bucketed(stage(df, "panel"), keys, time)
+    numbered = number_rows_spread(df, keys, time)
     first = F.floor(F.greatest(F.col("rn") - ahead, F.lit(0)) / size)
     last = F.floor(F.least(F.col("rn") + back, F.col("n") - 1) / size)
     copies = numbered.withColumn("_block", F.explode(F.sequence(first, last))).withColumn(

@@ -26,16 +26,20 @@ def local_session(cores: int | str = 8, app: str = "volpanel", shuffle_partition
     )
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``; a fresh local one only in local mode where that is unset."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    path = tempfile.mkdtemp(prefix="volpanel-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="volpanel-")
+    return _local_dirs[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -87,6 +87,25 @@ def mean_variance_ahead(first: np.ndarray, omega: float, alpha: float, beta: flo
     return level + (first - level) * (1 - p**horizon) / (horizon * (1 - p))
 
 
+def filtered_forecasts(
+    prices: DataFrame, omega: float, alpha: float, beta: float, horizon: int = 21, keys: Sequence[str] = SERIES,
+    price: str = "close", time: str = "date",
+) -> DataFrame:
+    """(keys, date, garch_forecast) with known parameters (of returns ×100), filtered through the whole series."""
+    keys = list(keys)
+    r = prices.select(*keys, time, log_return(F.col(price), series_window(keys, time)).alias("r"))
+    schema = T.StructType([*[prices.schema[k] for k in keys], T.StructField(time, T.DateType()), T.StructField("garch_forecast", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time)
+        x = pdf["r"].to_numpy() * RESCALE
+        ahead = conditional_variance(x, omega, alpha, beta, _back_cast(x))[1:]
+        mean = mean_variance_ahead(ahead, omega, alpha, beta, horizon) / RESCALE**2
+        return pdf[[*keys, time]].assign(garch_forecast=np.sqrt(mean * TRADING_DAYS) * 100)
+
+    return r.filter(F.col("r").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+
+
 def garch_forecasts(
     numbered: DataFrame, prices: DataFrame, scheme: Scheme, horizon: int = 21, keys: Sequence[str] = SERIES,
     price: str = "close", time: str = "date",

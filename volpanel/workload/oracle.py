@@ -14,7 +14,7 @@ from volpanel.functions.normal import HART_DENOMINATOR, HART_NUMERATOR, HART_SWI
 from volpanel.functions.small_stats import EULER_MASCHERONI
 from volpanel.operators.regression import VARIANCE_FEATURES
 from volpanel.operators.trend import MONTHLY_LAMBDA
-from volpanel.workload.queries import DIGITS
+from volpanel.workload.queries import DIGITS, GARCH_PARAMETERS
 from volpanel.workload.tables import BAD_WORDS, DELTAS, FIRST_DAY, GOOD_WORDS, HEADLINE_DAYS, TENORS
 
 H = 21
@@ -475,6 +475,16 @@ def _forecasts() -> dict[str, str]:
             FROM reg WHERE te""",
         **folds("ds_base", "purged"), **regression("reg", "ds_base", HAR, residual),
     )
+    w, a, b = GARCH_PARAMETERS
+    p = a + b
+    q["garch_known_parameters"] = build(
+        f"""SELECT series_id, date, {r(f'sqrt(({w / (1 - p)!r} + (s - {w / (1 - p)!r}) * {(1 - p**H) / (H * (1 - p))!r}) / 10000 * 252) * 100',
+            'garch_forecast')} FROM path_s""",
+        scaled="SELECT series_id, date, ret * 100 AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM price_ret WHERE ret IS NOT NULL",
+        back_cast="SELECT series_id, sum(pow(0.94, i) * x * x) / sum(pow(0.94, i)) AS s0 FROM scaled WHERE i < 75 GROUP BY 1",
+        path_s=f"""SELECT series_id, date, i, {w} + {a} * x * x + {b} * s0 AS s FROM scaled JOIN back_cast USING (series_id) WHERE i = 0 UNION ALL
+            SELECT n.series_id, n.date, n.i, {w} + {a} * n.x * n.x + {b} * k.s FROM path_s k JOIN scaled n ON n.series_id = k.series_id AND n.i = k.i + 1""",
+    )
     parts = folds("ds_extended", "purged")
     for tag, fs in (("reg_a", HAR), ("reg_b", HAR + ["overnight"]), ("reg_c", ["rv_d_pos", "rv_d_neg", "rv_w", "rv_m"])):
         parts |= regression(tag, "ds_extended", fs, y)

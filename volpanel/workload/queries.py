@@ -17,7 +17,7 @@ from volpanel.operators.anchoring import anchoring, target_gap
 from volpanel.operators.asof import asof_join, asof_shared
 from volpanel.operators.contracts import front_contract
 from volpanel.operators.folds import CountedFolds, LastShare, Scheme, StepFolds, assign_folds, expanding_folds, fold_table
-from volpanel.operators.garch import garch_forecasts
+from volpanel.operators.garch import filtered_forecasts, garch_forecasts
 from volpanel.operators.keep import keep_one, upsert
 from volpanel.operators.options import with_option_prices
 from volpanel.operators.panel import number_rows
@@ -42,6 +42,7 @@ REGISTRY: dict[str, Query] = {}
 HORIZON = 21
 PURGED = CountedFolds(5, HORIZON, 5)
 STEPS = StepFolds(252, 21, HORIZON, 5)
+GARCH_PARAMETERS = (0.02, 0.06, 0.9)
 
 
 def query(fn: Query) -> Query:
@@ -548,6 +549,12 @@ def garch_walk_forward(spark, sf):
     return rounded(E.error_metrics(rows, ["series_id", "fold"], predicted="garch_forecast"), *METRICS)
 
 
+@query
+def garch_known_parameters(spark, sf):
+    """The forecast half alone: given parameters filtered through every series."""
+    return rounded(filtered_forecasts(S.trade_prices(spark, sf), *GARCH_PARAMETERS, HORIZON), "garch_forecast")
+
+
 # Surface, pricing, trading ---------------------------------------------------------------------------------
 
 

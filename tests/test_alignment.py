@@ -3,13 +3,14 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import business_days, close_to, day, frame, pandas_sorted, walk
 from volpanel.operators import features as W
 from volpanel.operators.anchoring import anchoring, blended_target, target_gap
 from volpanel.operators.asof import asof_join, asof_point, asof_shared
 from volpanel.operators.contracts import front_contract
-from volpanel.operators.keep import keep_one, union_all, upsert, upsert_table
+from volpanel.operators.keep import keep_one, read_table, union_all, upsert, upsert_table
 from volpanel.plans import datasets as D
 from volpanel.session import scratch_path
 
@@ -125,11 +126,22 @@ def test_upsert_table_is_idempotent(spark, parts):
     first = spark.createDataFrame([("x", day("2024-01-01"), 1.0), ("y", day("2024-01-01"), 2.0)], schema)
     second = spark.createDataFrame([("x", day("2024-01-01"), 5.0), ("x", day("2024-01-02"), 6.0)], schema)
     for batch in (first, second, second):
-        upsert_table(batch, path, ["q", "date"], partition_by=parts)
-    got = sorted((r.q, r.date.isoformat(), r.v) for r in spark.read.parquet(path).collect())
+        out = upsert_table(batch, path, ["q", "date"], partition_by=parts)
+    assert sorted(map(str, out.collect())) == sorted(map(str, read_table(spark, path).collect()))
+    got = sorted((r.q, r.date.isoformat(), r.v) for r in read_table(spark, path).collect())
     assert got == [("x", "2024-01-01", 5.0), ("x", "2024-01-02", 6.0), ("y", "2024-01-01", 2.0)]
 
 
+def test_an_unfinished_version_is_not_read(spark):
+    path = scratch_path(spark, "t")
+    row = spark.createDataFrame([("x", day("2024-01-01"), 1.0)], "q string, date date, v double")
+    upsert_table(row, path, ["q", "date"])
+    row.withColumn("v", F.lit(9.0)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", False).parquet(f"{path}/version=2")
+    assert [r.v for r in read_table(spark, path).collect()] == [1.0]
+    upsert_table(row.withColumn("v", F.lit(3.0)), path, ["q", "date"])
+    assert [r.v for r in read_table(spark, path).collect()] == [3.0]
+
+
 def test_union_all_needs_a_frame():
     with pytest.raises(ValueError):
         union_all([])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import close_to, day, pandas_sorted
 from volpanel.functions import text as X
 from volpanel.operators import text as T
+from volpanel.operators.keep import read_table
 from volpanel.sources import documents as docs
 from volpanel.sources import exchange
 from volpanel.streaming import landed as stream
@@ -186,8 +187,8 @@ def test_streams_merge_batches_and_late_rows(spark, tmp_path):
         stream.finish(stream.upsert_stream(source(), latest, latest + "-c", ["k"], parse=day_of))
         stream.finish(stream.daily_share_stream(source(), share, share + "-c", "ts", F.col("label") == "x"))
         stream.finish(stream.append_stream(stream.first_arrivals(source(), ["k"], "ts"), once, once + "-c"))
-    assert {r.k: r.v for r in spark.read.parquet(latest).collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
-    got = pandas_sorted(spark.read.parquet(share), "date")
+    assert {r.k: r.v for r in read_table(spark, latest).collect()} == {"a": 3.0, "b": 2.0, "c": 4.0}
+    got = pandas_sorted(read_table(spark, share), "date")
     assert got.hits.tolist() == [2, 1] and got.total.tolist() == [3, 1]
     assert sorted(r.k for r in spark.read.parquet(once).collect()) == ["a", "b", "c"]
 
@@ -198,5 +199,5 @@ def test_daily_index_stream(spark, tmp_path):
     schema = spark.createDataFrame([], "ts timestamp, label string, signed_score double").schema
     table = scratch_path(spark, "mood")
     stream.finish(stream.daily_index_stream(stream.landed_files(spark, folder, schema, "json"), table, table + "-c", "ts"))
-    r = spark.read.parquet(table).collect()[0]
+    r = read_table(spark, table).collect()[0]
     assert (r.sentiment_mean, r.share_negative, r.n_texts) == (0.25, 0.5, 2)

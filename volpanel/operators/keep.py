@@ -44,33 +44,56 @@ def upsert(
     return keep_one(both, keys, [time, BATCH], keep).drop(BATCH)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _matches(spark: SparkSession, pattern: str) -> list:
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return [f.getPath() for f in found or []]
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Completely written versions of an unpartitioned table, oldest first."""
+    done = _matches(spark, f"{path}/version=*/_SUCCESS")
+    return sorted(int(p.getParent().getName().split("=")[1]) for p in done)
+
+
+def _location(spark: SparkSession, path: str) -> str | None:
+    versions = _versions(spark, path)
+    if versions:
+        return f"{path}/version={versions[-1]}"
+    return path if _matches(spark, f"{path}/_SUCCESS") else None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``upsert_table``: its newest complete version, or the partitioned folder itself."""
+    return spark.read.parquet(_location(spark, path) or path)
 
 
 def upsert_table(
     new: DataFrame, path: str, keys: Sequence[str], time: str = "date", keep: str = "last",
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Upsert ``new`` into the parquet table at ``path``; returns the table.
+    """Upsert ``new`` into the parquet table at ``path``; returns the table. The same batch again changes nothing.
 
-    ``partition_by`` columns must be part of the key (or a function of it): then only the partitions that
-    ``new`` touches are read and rewritten. The merged rows are staged first, since a path cannot be
-    overwritten while it is read. Running the same batch again leaves the same table.
+    Without partitions every merge writes a new version next to the one it read, which readers go on using until
+    the new one is complete; a failed merge leaves the table as it was, and the version before the last is removed.
+    ``partition_by`` columns must be part of the key (or a function of it): then only the partitions that ``new``
+    touches are read and replaced, staged first because a path cannot be overwritten while it is read.
     """
-    spark, parts = new.sparkSession, list(partition_by)
-    if _exists(spark, path):
+    spark, parts, where = new.sparkSession, list(partition_by), _location(new.sparkSession, path)
+    if where is None:
+        merged = keep_one(new, keys, [time], keep)
+    else:
         new = stage(new, "batch")
-        history = spark.read.schema(new.schema).parquet(path)
+        history = spark.read.schema(new.schema).parquet(where)
         if parts:
-            touched = new.select(*parts).distinct()
-            history = history.join(touched, parts, "left_semi")
-        merged = stage(upsert(history.select(*new.columns), new, keys, time, keep), "merged")
-    else:
-        merged = keep_one(new, keys, [time], keep)
-    writer = merged.write.mode("overwrite")
+            history = history.join(new.select(*parts).distinct(), parts, "left_semi")
+        merged = upsert(history.select(*new.columns), new, keys, time, keep)
     if parts:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
-    writer.parquet(path)
-    return spark.read.schema(new.schema).parquet(path)
+        merged = stage(merged, "merged") if where else merged
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    else:
+        latest = (_versions(spark, path) or [0])[-1]
+        merged.write.mode("overwrite").parquet(f"{path}/version={latest + 1}")
+        for old in _matches(spark, f"{path}/version={latest - 1}"):
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return read_table(spark, path)

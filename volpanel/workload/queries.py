@@ -18,7 +18,7 @@ from volpanel.operators.asof import asof_join, asof_shared
 from volpanel.operators.contracts import front_contract
 from volpanel.operators.folds import CountedFolds, LastShare, Scheme, StepFolds, assign_folds, expanding_folds, fold_table
 from volpanel.operators.garch import filtered_forecasts, garch_forecasts
-from volpanel.operators.keep import keep_one, upsert
+from volpanel.operators.keep import keep_one, read_table, upsert
 from volpanel.operators.options import with_option_prices
 from volpanel.operators.panel import number_rows
 from volpanel.operators.regression import coefficient_column, fit_folds
@@ -825,14 +825,14 @@ def stream_latest(spark, sf):
     rows = _event_stream(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("date"), "value", "event_id")
     daily = lambda b: keep_one(b, ["user_id", "event_type"], ["date", "event_id"])
     stream.finish(stream.upsert_stream(rows, table, mark, ["user_id", "event_type"], parse=daily))
-    return spark.read.parquet(table)
+    return read_table(spark, table)
 
 
 @query
 def stream_daily_share(spark, sf):
     table, mark = scratch_path(spark, "share"), scratch_path(spark, "mark")
     stream.finish(stream.daily_share_stream(_event_stream(spark, sf), table, mark, "ts", F.col("event_type") == "error"))
-    return rounded(spark.read.parquet(table), "share_pct")
+    return rounded(read_table(spark, table), "share_pct")
 
 
 @query

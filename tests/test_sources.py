@@ -144,7 +144,7 @@ def test_text_scores_and_daily_index(spark):
     def make_scorer():
         return lambda texts: [dict(zip(("label", "score"), table.get(t, ("NEUTRAL", 0.5)))) for t in texts]
 
-    rows = [("2024-01-02", "bom"), ("2024-01-02", "ruim"), ("2024-01-03", "outro")]
+    rows = [("2024-01-02", "bom"), ("2024-01-02", "ruim"), ("2024-01-03", "outro"), (None, "bom")]
     df = spark.createDataFrame(rows, "date string, text string")
     out = pandas_sorted(T.daily_index(T.model_scores(df, "text", make_scorer, 2)), "date")
     close_to(out.sentiment_mean, [0.05, 0.0])

@@ -22,9 +22,13 @@ RESCALE = 100.0
 
 
 def conditional_variance(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
-    """σ² for rows 0…n: entry t uses returns before t; the last entry is the next day's variance."""
+    """σ² for rows 0…n: entry t uses returns before t; the last entry is the next day's variance.
+
+    ``start`` stands for the squared return and the variance before the first row.
+    """
     out = np.empty(len(r) + 1)
-    omega, alpha, beta, s = float(omega), float(alpha), float(beta), float(start)
+    omega, alpha, beta = float(omega), float(alpha), float(beta)
+    s = omega + (alpha + beta) * float(start)
     for t, x in enumerate((r * r).tolist()):
         out[t] = s
         s = omega + alpha * x + beta * s

@@ -60,9 +60,9 @@ def model_scores(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], ba
 
 
 def daily_index(scored: DataFrame, day: Column | str = "date", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys…, date, sentiment_mean, share_negative, n_texts) from scored rows."""
-    when = F.col(day) if isinstance(day, str) else day
-    return scored.groupBy(*keys, F.to_date(when).alias("date")).agg(
+    """(keys…, date, sentiment_mean, share_negative, n_texts) from scored rows; rows without a day are left out."""
+    when = F.to_date(F.col(day) if isinstance(day, str) else day)
+    return scored.filter(when.isNotNull()).groupBy(*keys, when.alias("date")).agg(
         F.avg("signed_score").alias("sentiment_mean"),
         F.avg((F.coalesce("label", F.lit("")) == NEGATIVE).cast("double")).alias("share_negative"),
         F.count("label").alias("n_texts"),

@@ -175,8 +175,10 @@ DATASETS = {
                 "ASOF LEFT JOIN surprised x ON b.date >= x.date ASOF LEFT JOIN mood5 y ON b.date >= y.date",
                 ", x.surprise AS fiscal_surprise, y.fiscal_sentiment"),
     ),
+    "attention_level": (HAR + ["news"], dataset(HAR + ["news"], "ASOF LEFT JOIN share21 x ON b.date >= x.date", ", x.news")),
     "attention_news": (HAR + ["news"], dataset(HAR + ["news"], "ASOF LEFT JOIN surprised x ON b.date >= x.date", ", x.surprise AS news")),
 }
+CTES["share21"] = f"SELECT date, {mean('share_pct', 21, '', 'date', 1)} AS news FROM attention"
 CTES["mood5"] = f"SELECT date, {mean('sentiment_mean', 5, '', 'date', 1)} AS fiscal_sentiment FROM mood"
 CTES |= {f"ds_{k}": v[1] for k, v in DATASETS.items()}
 
@@ -439,6 +441,7 @@ def _forecasts() -> dict[str, str]:
     y = "CASE WHEN target > 0 THEN ln(target) END"
     naive = "SELECT *, sqrt(rv_m * 252) * 100 AS pred FROM ds_base"
     q["persistence_pooled"] = build(f"SELECT series_id, {M3}, n_obs FROM (SELECT series_id, {ERRORS} FROM naive GROUP BY 1)", naive=naive)
+    q["sink_json"] = q["persistence_pooled"]
     q["persistence_per_fold"] = build(
         f"""SELECT series_id, CAST(fold AS BIGINT) AS fold, {M3}, n_obs FROM (SELECT d.series_id, fold, {ERRORS} FROM naive d JOIN folds f
             ON d.series_id = f.series_id AND d.rn >= test_start AND d.rn < test_end GROUP BY ALL)""",
@@ -482,7 +485,7 @@ def _forecasts() -> dict[str, str]:
             'garch_forecast')} FROM path_s""",
         scaled="SELECT series_id, date, ret * 100 AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM price_ret WHERE ret IS NOT NULL",
         back_cast="SELECT series_id, sum(pow(0.94, i) * x * x) / sum(pow(0.94, i)) AS s0 FROM scaled WHERE i < 75 GROUP BY 1",
-        path_s=f"""SELECT series_id, date, i, {w} + {a} * x * x + {b} * s0 AS s FROM scaled JOIN back_cast USING (series_id) WHERE i = 0 UNION ALL
+        path_s=f"""SELECT series_id, date, i, {w} + {a} * x * x + {b} * ({w} + {p} * s0) AS s FROM scaled JOIN back_cast USING (series_id) WHERE i = 0 UNION ALL
             SELECT n.series_id, n.date, n.i, {w} + {a} * n.x * n.x + {b} * k.s FROM path_s k JOIN scaled n ON n.series_id = k.series_id AND n.i = k.i + 1""",
     )
     parts = folds("ds_extended", "purged")
@@ -511,6 +514,7 @@ def _forecasts() -> dict[str, str]:
     )
     pooled = f"SELECT series_id, config, {M3}, n_obs FROM pooled"
     q["ablation_attention"] = build(pooled, **ablation_ctes("ds_attention_news", "purged", HAR + ["news"]))
+    q["ablation_attention_level"] = build(pooled, **ablation_ctes("ds_attention_level", "purged", HAR + ["news"]))
     q["ablation_fiscal"] = build(pooled, **ablation_ctes("ds_fiscal", "purged", DATASETS["fiscal"][0]))
     q["ablation_credibility"] = build(pooled, **ablation_ctes("ds_credibility", "purged", DATASETS["credibility"][0]))
     q["ablation_monthly_steps"] = build(pooled, **ablation_ctes("ds_news", "steps", HAR + ["news"]))
@@ -631,6 +635,7 @@ def _trading() -> dict[str, str]:
     q["backtest_trades"] = build(
         f"SELECT series_id, band_pct, date AS entry_date, exit_date, signal, {money} FROM pnl", **trades("naive_fc", bands)
     )
+    q["sink_csv"] = build(f"SELECT series_id, band_pct, date AS entry_date, exit_date, signal, {money} FROM pnl", **trades("naive_fc", (1.0,)))
     grid = "SELECT DISTINCT series_id, band_pct FROM prices, (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (1.5), (2.0)) b(band_pct)"
     shown = f"""coalesce(n_trades, 0) AS n_trades, {rs('win_rate', 'total_pnl', 'avg_pnl', 'pnl_std', 'sharpe')}, n_long_vol, n_short_vol"""
     q["backtest_summary"] = build(
@@ -789,6 +794,7 @@ def _sources() -> dict[str, str]:
     q["source_surface"] = build(
         f"""SELECT refdate, maturity_date, delta_pct, {r('iv_pct')} FROM surface WHERE series_id = 'RF' AND NOT (delta_pct = 25 AND month(refdate) = 1)"""
     )
+    q["sink_table"] = build(f"SELECT date, {r('value')} FROM official WHERE series_id = '1-URGENT' AND date BETWEEN '1996-01-01' AND '1999-12-31'")
     q["stream_latest"] = """SELECT user_id, event_type, CAST(ts AS DATE) AS date, value, event_id FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id DESC) = 1"""
     q["stream_daily_share"] = f"""SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE event_type = 'error') AS hits, count(*) AS total,

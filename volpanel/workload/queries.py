@@ -487,6 +487,13 @@ def ablation_attention(spark, sf):
     return rounded(P.ablation(data, D.NEWS, PURGED).pooled, *METRICS)
 
 
+@query
+def ablation_attention_level(spark, sf):
+    """The smoothed attention share itself as the layer."""
+    data = D.base_dataset(S.varied(spark, sf), HORIZON, S.attention(spark, sf), "share_pct", 21)
+    return rounded(P.ablation(data, D.NEWS, PURGED).pooled, *METRICS)
+
+
 @query
 def ablation_fiscal(spark, sf):
     return rounded(P.ablation(_fiscal_dataset(spark, sf), D.FISCAL, PURGED).pooled, *METRICS)
@@ -809,6 +816,33 @@ def source_surface(spark, sf):
     return rounded(exchange.surface_points(landed.wide_surface(spark, sf), ["25", "50", "75"]), "iv_pct")
 
 
+@query
+def sink_table(spark, sf):
+    """A clean table partitioned by rate, and one rate read back with the filter in the scan."""
+    path = scratch_path(spark, "official")
+    table = S.official(spark, sf).withColumnRenamed("series_id", "tipo")
+    exchange.write_table(table.withColumn("month", F.trunc("date", "month")), path, ("tipo",))
+    return rounded(exchange.read_series(spark, path, "value", {"tipo": "1-URGENT"}, start="1996-01-01", end="1999-12-31"), "value")
+
+
+@query
+def sink_csv(spark, sf):
+    """Trades of the default band as CSV with a header, read back."""
+    path = scratch_path(spark, "trades")
+    trades = rounded(B.run_backtest(*_trading(spark, sf)), *MONEY)
+    exchange.write_csv(trades, path)
+    return spark.read.option("header", True).schema(trades.schema).csv(path)
+
+
+@query
+def sink_json(spark, sf):
+    """Metrics as JSON lines, read back."""
+    path = scratch_path(spark, "metrics")
+    metrics = persistence_pooled(spark, sf)
+    exchange.write_json(metrics, path)
+    return spark.read.schema(metrics.schema).json(path)
+
+
 # Streams -------------------------------------------------------------------------------------------------
 
 

@@ -167,6 +167,12 @@ def test_ablation_finds_a_planted_signal(spark):
     assert v.other_r2 > v.base_r2 + 0.2 and v.layer_verdict == "helps"
 
 
+def test_no_valid_fold_is_an_error(spark):
+    pdf = supervised(spark, 30).drop(columns=["dispersion"]).assign(news=0.0)
+    with pytest.raises(ValueError):
+        P.ablation(number_rows(frame(spark, pdf)), D.NEWS, CountedFolds(5, 40, 0))
+
+
 def test_one_sided_gap_equals_filter_on_each_prefix(spark):
     rng = np.random.default_rng(4)
     y = np.cumsum(rng.normal(0, 0.01, 70)) + 4

@@ -28,6 +28,8 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str
     """
     keys, order = list(keys), [c for c in order if c not in keys]
     rest = sorted(c for c in df.columns if c not in {*keys, *order})
+    if not (order or rest):
+        return df.distinct()
     ranked = F.struct(
         *[f for c in order for f in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))], *[F.col(c) for c in rest]
     )

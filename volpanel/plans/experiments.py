@@ -43,6 +43,8 @@ def ablation(
     """Both feature sets on the same folds and rows; one fit serves both, and its forecasts all the metrics."""
     sets: Mapping[str, Sequence[str]] = {"base": base, name: layer}
     rows = stage(walk_forward(dataset, sets, scheme, log_target, keys), "predictions")
+    if rows.isEmpty():
+        raise ValueError("no valid fold: the dataset is too small for this scheme")
     per_fold = E.error_metrics(rows, [*keys, "config", "fold"])
     pooled = E.error_metrics(rows, [*keys, "config"])
     return Ablation(

@@ -40,3 +40,10 @@ def text_digest(text: Column) -> Column:
 def row_key(columns: Sequence[Column]) -> Column:
     """Uniform number in [0, 1) that depends on the given values alone."""
     return F.conv(F.substring(F.md5(F.concat_ws("\u0001", *columns)), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where this machine keeps a public vocabulary file; tasks find it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

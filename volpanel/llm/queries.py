@@ -1,22 +1,65 @@
-"""Registered queries of the corpus operators, each over its whole table, and their SQL where SQL can say it."""
+"""Registered queries of the corpus operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from volpanel.llm import quality_rules
-from volpanel.llm.common import table
+from volpanel.llm import factor_classifier, fingerprint, mixing, packing, quality_rules, url_filter, wrapper_extract
+from volpanel.llm.common import table, vocabulary
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: The rules that the URL query is asked to apply.
+URL_RULES = (
+    url_filter.Rule("allow", "com"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+#: Hosts with one of these words serve listed pages.
+LISTED_WORDS = ("pills", "casino", "bets", "ads-")
+
 
 def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     REGISTRY[query.__name__] = query
     return query
 
 
+@register
+def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, URL_RULES, url_filter.listed_by_host(pages, LISTED_WORDS))
+
+
+@register
+def op7_factor_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_wrapper_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = mixing.weigh(table(spark, sf_dir, "documents"))
+    return weighed.withColumn("probability", F.round("probability", 9))
+
+
+@register
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())

@@ -107,22 +107,21 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
 
 def best_pattern(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Knapsack with repetition: the dearest pattern that fits into ``room`` cells, and its worth."""
+    price = np.full(room, -np.inf)  # by size, so that each step reads two slices
+    price[sizes - 1] = prices
     worth, taken = np.zeros(room + 1), np.full(room + 1, -1)
     for space in range(1, room + 1):
-        usable = np.searchsorted(sizes, space, side="right")
-        worth[space], taken[space] = worth[space - 1], -1
-        if usable:
-            gain = worth[space - sizes[:usable]] + prices[:usable]
-            best = int(np.argmax(gain))
-            if gain[best] > worth[space]:
-                worth[space], taken[space] = gain[best], best
+        gain = worth[space - 1 :: -1][:space] + price[:space] if space < room else worth[room - 1 :: -1] + price
+        best = int(gain.argmax())
+        worth[space], taken[space] = (gain[best], best + 1) if gain[best] > worth[space - 1] else (worth[space - 1], -1)
+    number = {int(size): i for i, size in enumerate(sizes)}
     pattern, space = np.zeros(len(sizes)), room
     while space > 0:
         if taken[space] < 0:
             space -= 1
         else:
-            pattern[taken[space]] += 1
-            space -= sizes[taken[space]]
+            pattern[number[int(taken[space])]] += 1
+            space -= int(taken[space])
     return worth[room], pattern
 
 

@@ -32,9 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from volpanel.llm.common import text_digest
+from volpanel.llm.common import fresh_name, text_digest
 from volpanel.session import stage
 
 WIDTH = 5
@@ -72,12 +73,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def shingle_count(text: pd.Series) -> pd.Series:
     return pd.Series([len(shingles(t)) for t in text], dtype="int64")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def shingle_set(text: pd.Series) -> pd.Series:
     return pd.Series([shingles(t) for t in text], dtype=object)
 
@@ -216,7 +217,7 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     same_row = (F.col("doc_id") == F.col("node")) & (text_digest(F.col("text")) == F.col("digest"))
     held = stage(
-        docs.select("doc_id", "text").join(candidates, same_row, "left_semi").dropDuplicates(["doc_id", "text"])
+        docs.select("doc_id", "text").join(candidates, same_row, "left_semi")
         .select(F.col("doc_id").alias("node"), shingle_set("text").alias("tokens")),
         "sets",
     )
@@ -234,6 +235,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that another document of their class, with a smaller id, stands for."""
-    kept = stage(classes(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(docs.columns)
+    """One row of each class, that of its smallest id, and all rows without an id; columns unchanged.
+
+    Of several rows with the class's id the one with the smallest text hash stays.
+    """
+    kept = stage(classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
+    rank = fresh_name(docs, "rank")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    with_id = docs.join(kept, F.col("doc_id") == F.col("kept"), "left_semi").withColumn(rank, F.row_number().over(first))
+    return with_id.where(F.col(rank) == 1).drop(rank).unionByName(docs.where("doc_id IS NULL"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from volpanel.llm import factor_classifier, fingerprint, mixing, packing, quality_rules, url_filter, wrapper_extract
+from volpanel.llm import (
+    factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, url_filter, wrapper_extract,
+)
 from volpanel.llm.common import table, vocabulary
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +35,16 @@ def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -44,6 +56,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.listed_by_host(pages, LISTED_WORDS))
 
 
+@register
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_factor_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

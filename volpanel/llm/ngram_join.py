@@ -5,15 +5,18 @@ without ever listing the pairs of a group:
 
 1. Documents with one text are one set. A set of which more than a fifth occurs in no other set can't link. A fixed range of the
    hash values shows this for nearly all documents from a fraction of their shingles; the others are then counted in full.
-2. What is left enters an inverted index by its prefix, the ``n // 5 + 1`` smallest hashes, one of which any two linked sets share. A list is cut
-   into blocks by set size, so that sets whose sizes exclude a link never meet, and its entries carry the number u of shingles that no
-   other set has. Both together bound the similarity from above:
+2. What is left enters an inverted index by its prefix: in an order that puts shingles of one set alone first and then goes by hash, any
+   two linked sets share one of their first ``n // 5 + 1`` shingles. A list is cut into blocks by set size, so that sets whose sizes exclude
+   a link never meet. With u shingles of its own, a set's similarity to another is bounded from above:
    ``min(n_x - u_x, n_y - u_y) >= 0.8 * max(n_x + u_y, n_y + u_x)`` must hold for a link.
-3. Answers are derived from those of a highly similar set: each block's leader is its set with the smallest share of own
-   shingles, the others are compared with it, and what links to it has the leader's class. Only sets of one block that are still in
-   different classes, at least one of them not in the leader's, can add anything. They are looked up in the block's sub-blocks
-   by u: whole sub-blocks whose u excludes a link are skipped, the rest is compared set by set.
-4. Classes are contracted round by round; every round each class joins the neighbour with the smallest random number, so
+3. Answers are derived from those of a highly similar set. Each block has a leader, the set whose lists are longest on average,
+   and all others are compared with it; what links to it has the leader's class. In a second round the sets outside that class follow a leader
+   of their own.
+4. Only sets of one block in different classes can add anything, at least one of them outside the first leader's class. With o
+   shingles in common with that leader, they share at most ``min(o_x, o_y) + min(n_x - o_x - u_x, n_y - o_y - u_y)``. They are looked up in
+   the block's sub-blocks by u: whole sub-blocks whose u excludes a link are skipped, in the rest both bounds are checked, and what
+   passes is compared set by set.
+5. Classes are contracted round by round; every round each class joins the neighbour with the smallest random number, so
    chains shrink by a constant factor a round.
 
 All group sizes are handled by joins and partial aggregates over rows, none by one task. Two equal hashes of different shingles would need
@@ -27,13 +30,12 @@ table gives an empty table; other columns than doc_id and text don't matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from volpanel.llm.common import fresh_name, text_digest
 from volpanel.session import stage
@@ -73,37 +75,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-@F.pandas_udf(LongType())
-def shingle_count(text: pd.Series) -> pd.Series:
-    return pd.Series([len(shingles(t)) for t in text], dtype="int64")
-
-
 @F.pandas_udf(ArrayType(LongType()))
 def shingle_set(text: pd.Series) -> pd.Series:
     return pd.Series([shingles(t) for t in text], dtype=object)
 
 
-def _first_look(docs: DataFrame) -> DataFrame:
-    """Rows (h, node) of the shingles in the lowest part of the hash range."""
+@F.pandas_udf(StructType([StructField("n", LongType()), StructField("low", ArrayType(LongType()))]))
+def first_look(text: pd.Series) -> pd.DataFrame:
+    """Size of each text's set, and the part of it in the lowest share of the hash range."""
     limit = int(-(1 << 63) + FIRST_LOOK * (1 << 64))
-
-    def emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [shingles(t) for t in part["text"]]
-            found = [x[: np.searchsorted(x, limit)] for x in found]
-            yield pd.DataFrame({
-                "h": np.concatenate(found) if found else np.empty(0, np.int64), "node": np.repeat(part["doc_id"].to_numpy(np.int64), [len(x) for x in found]),
-            })
-
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(emit, "h long, node long")
+    found = [shingles(t) for t in text]
+    return pd.DataFrame({"n": [len(x) for x in found], "low": [x[: np.searchsorted(x, limit)] for x in found]})
 
 
 def own_shingles(rows: DataFrame) -> DataFrame:
-    """node, own: how many of the rows (h, node) have an h that is in one row only."""
-    return (
-        rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node"))
-        .where("times = 1").groupBy("node").agg(F.count("*").alias("own"))
-    )
+    """Rows (h, node) whose h is in one row only."""
+    return rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1").select("h", "node")
 
 
 def _may_link(x: str, y: str) -> Column:
@@ -113,8 +100,8 @@ def _may_link(x: str, y: str) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) with the number of shingles they share and whether they link."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -122,8 +109,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return (
         pairs.join(right, "b").join(left, "a")
         .select("a", "b", shared.alias("shared"), both.alias("both"))
-        .where("100 * shared >= 80 * (both - shared)")
-        .select("a", "b")
+        .select("a", "b", "shared", (F.expr("100 * shared >= 80 * (both - shared)")).alias("linked"))
     )
 
 
@@ -159,78 +145,115 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """Rows (token, block, node, n, u); a set is in the blocks of its own size class and of the next one."""
+    """Rows (token, block, node, n, u) of lists with several entries; a set is in the blocks of its own size class and of the next one.
+
+    A set's own shingles come first in the order and are in no other list, so the prefix goes on with the smallest hashes of the rest.
+    """
     size_class = F.floor(F.log("n") / F.lit(math.log(1.25))).cast("int")
-    prefix = F.expr("slice(tokens, 1, int(n div 5 + 1))")
-    return (
+    prefix = F.expr("slice(array_except(tokens, own), 1, greatest(0, int(n div 5 + 1 - u)))")
+    rows = (
         sets.select("node", "n", "u", size_class.alias("class"), F.explode(prefix).alias("token"))
         .select("token", F.explode(F.array("class", F.col("class") + 1)).alias("block"), "node", "n", "u")
     )
+    rows = stage(rows, "entries")
+    sizes = rows.groupBy("token", "block").agg(F.count("*").alias("entries")).where("entries > 1")
+    return rows.join(sizes, ["token", "block"])
+
+
+def _leaders(postings: DataFrame) -> DataFrame:
+    """token, block and l_node, l_n, l_u of the block's entry with the greatest rank."""
+    best = postings.groupBy("token", "block").agg(*(F.max_by(c, "rank").alias(f"l_{c}") for c in ("node", "n", "u")))
+    return best
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between rows (node, n, u, tokens) that connect every class; not all links of a class are listed."""
+    """Links (a, b) between rows (node, n, u, own, tokens) that connect every class; not all links of a class are listed."""
     postings = stage(_postings(sets), "postings")
-    # A set's rank is its share of own shingles; the small random part makes leaders few and unique.
-    rank = F.col("u") / F.col("n") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 40))
-    lists = (
-        postings.groupBy("token", "block").agg(F.count("*").alias("entries"), F.min_by(F.struct("node", "n", "u"), rank).alias("leader"))
-        .where("entries > 1").select("token", "block", "leader.*").toDF("token", "block", "l_node", "l_n", "l_u")
-    )
-    lists = stage(lists, "lists")
-    y = postings.toDF("token", "block", "y_node", "y_n", "y_u")
-    led = y.join(lists, ["token", "block"]).where("l_node <> y_node").where(_may_link("l", "y"))
-    first = stage(_verified(led.select(F.col("l_node").alias("a"), F.col("y_node").alias("b")).distinct(), sets), "links")
-    classes = stage(components(first), "classes")
+    # The small random part makes leaders unique, and the same ones in many lists.
+    centre = postings.groupBy("node").agg((F.avg("entries") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 24))).alias("rank"))
+    ranked = stage(postings.join(centre, "node").select("token", "block", "node", "n", "u", "rank"), "postings")
+
+    def led(entries: DataFrame, leaders: DataFrame) -> DataFrame:
+        y = entries.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "u")))
+        pairs = y.join(leaders, ["token", "block"]).where("l_node <> y_node").where(_may_link("l", "y"))
+        return pairs.select(F.col("l_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
-    # Blocks with sets of several classes: those outside the leader's class ask the sub-blocks that may hold a partner.
-    def classed(df: DataFrame, prefix: str) -> DataFrame:
+    def classed(df: DataFrame, classes: DataFrame, prefix: str) -> DataFrame:
         own = classes.select(F.col("node").alias(f"{prefix}_node"), F.col("component").alias(f"{prefix}_c"))
         return df.join(own, f"{prefix}_node", "left").withColumn(f"{prefix}_c", F.coalesce(f"{prefix}_c", f"{prefix}_node"))
 
-    outside = classed(classed(y.join(lists, ["token", "block"]), "y"), "l").where("y_c <> l_c")
-    outside = stage(outside.select("token", "block", "y_node", "y_n", "y_u", "y_c"), "outside")
-    most_u = F.floor((F.col("y_n") - 5 * F.col("y_u")) / 4)
-    asking = outside.withColumn("most_u", most_u).where("most_u >= 0").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("most_u") + 1)).cast("int")))
+    def outside(classes: DataFrame, leaders: DataFrame) -> DataFrame:
+        entries = ranked.select("token", "block", F.col("node").alias("y_node"), F.col("n").alias("y_n"), F.col("u").alias("y_u"), "rank")
+        both = classed(classed(entries.join(leaders, ["token", "block"]), classes, "y"), classes, "l")
+        return both.where("y_c <> l_c")
+
+    leaders = stage(_leaders(ranked), "leaders")
+    measured = stage(_compared(led(ranked, leaders), sets), "compared")
+    first = measured.where("linked").select("a", "b")
+    classes = stage(components(first), "classes")
+
+    left_out = stage(outside(classes, leaders).select("token", "block", F.col("y_node").alias("node"), F.col("y_n").alias("n"), F.col("y_u").alias("u"), "rank"), "outside")
+    again = led(left_out, _leaders(left_out)).join(measured.select("a", "b"), ["a", "b"], "left_anti")
+    second = stage(_compared(again, sets).where("linked").select("a", "b"), "links")
+    classes = stage(components(first.union(second)), "classes")
+
+    def with_leader(df: DataFrame, prefix: str) -> DataFrame:
+        """Adds what a set shares with its block's leader, all of it for the leader itself, NULL where they were not compared."""
+        known = measured.select(F.col("a").alias("l_node"), F.col("b").alias(f"{prefix}_node"), F.col("shared").alias(f"{prefix}_o"))
+        found = df.join(known, ["l_node", f"{prefix}_node"], "left")
+        return found.withColumn(f"{prefix}_o", F.when(F.col("l_node") == F.col(f"{prefix}_node"), F.col(f"{prefix}_n")).otherwise(F.col(f"{prefix}_o")))
+
+    asking = stage(
+        with_leader(outside(classes, leaders), "y").select("token", "block", "y_node", "y_n", "y_u", "y_c", "y_o")
+        .withColumn("most_u", F.floor((F.col("y_n") - 5 * F.col("y_u")) / 4)).where("most_u >= 0"),
+        "outside",
+    )
+    open_lists = asking.select("token", "block").distinct()
+    x = ranked.join(open_lists, ["token", "block"]).join(leaders.select("token", "block", "l_node"), ["token", "block"])
+    x = x.select("token", "block", "l_node", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "u")))
+    x = classed(with_leader(x, "x"), classes, "x").withColumn("part", F.floor(F.log2(F.col("x_u") + 1)).cast("int"))
+    parts = F.sequence(F.lit(0), F.floor(F.log2(F.col("most_u") + 1)).cast("int"))
+    through_leader = F.expr(
+        "coalesce(9 * (least(x_o, y_o) + least(x_n - x_o - x_u, y_n - y_o - y_u)) >= 4 * (x_n + y_n), true)"
     )
-    open_lists = outside.select("token", "block").distinct()
-    x = classed(postings.toDF("token", "block", "x_node", "x_n", "x_u").join(open_lists, ["token", "block"]), "x")
-    x = x.withColumn("part", F.floor(F.log2(F.col("x_u") + 1)).cast("int"))
-    second = (
-        asking.join(x, ["token", "block", "part"]).where("x_c <> y_c AND x_u <= most_u").where(_may_link("x", "y"))
+    third = (
+        asking.withColumn("part", F.explode(parts)).join(x.drop("l_node"), ["token", "block", "part"])
+        .where("x_c <> y_c AND x_u <= most_u").where(_may_link("x", "y")).where(through_leader)
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
-    return first.union(_verified(second, sets))
+    return first.union(second).union(_compared(third, sets).where("linked").select("a", "b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
-    rows = stage(docs.select("doc_id", text_digest(F.col("text")).alias("digest"), shingle_count("text").alias("n")), "shingle-counts")
+    looked = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), first_look("text").alias("s"))
+    rows = stage(looked.select("doc_id", "digest", F.col("s.n").alias("n"), F.col("s.low").alias("low")), "first-look")
     usable = rows.where("doc_id IS NOT NULL AND n > 0")
-    representative = stage(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "representatives"
-    )
-    few = own_shingles(_first_look(docs))
-    candidates = stage(
-        representative.join(few, "node", "left").where("5 * coalesce(own, 0) <= n").select("node", "digest"), "candidates"
-    )
+    representative = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "representatives")
+    alone = own_shingles(usable.select(F.col("doc_id").alias("node"), F.explode("low").alias("h"))).groupBy("node").agg(F.count("*").alias("own"))
+    candidates = stage(representative.join(alone, "node", "left").where("5 * coalesce(own, 0) <= n").select("node", "digest"), "candidates")
     same_row = (F.col("doc_id") == F.col("node")) & (text_digest(F.col("text")) == F.col("digest"))
     held = stage(
         docs.select("doc_id", "text").join(candidates, same_row, "left_semi")
         .select(F.col("doc_id").alias("node"), shingle_set("text").alias("tokens")),
         "sets",
     )
-    own = own_shingles(held.select("node", F.explode("tokens").alias("h")).select("h", "node"))
-    n = F.size("tokens")
+    # At most a fifth of a set that stays is its own, so these lists are short.
+    alone = own_shingles(held.select("node", F.explode("tokens").alias("h"))).groupBy("node").agg(F.collect_list("h").alias("own"))
+    own = F.coalesce("own", F.array().cast("array<long>"))
     sets = stage(
-        held.join(own, "node", "left").select("node", n.alias("n"), F.coalesce("own", F.lit(0)).cast("int").alias("u"), "tokens").where("5 * u <= n"), "sets"
+        held.join(alone, "node", "left").select("node", F.size("tokens").alias("n"), F.size(own).alias("u"), own.alias("own"), "tokens").where("5 * u <= n"),
+        "sets",
     )
-    found = components(links(sets))
+    # An id with several texts links them.
+    texts = usable.join(representative.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+    least = texts.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    same_id = texts.join(least, "doc_id").select("a", F.col("node").alias("b"))
+    found = components(links(sets).union(same_id))
     by_text = representative.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
         rows.join(by_text, "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
@@ -239,8 +262,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of several rows with the class's id the one with the smallest text hash stays.
     """
-    kept = stage(classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
-    rank = fresh_name(docs, "rank")
+    rank, id_kept = fresh_name(docs, "rank"), fresh_name(docs, "id_kept")
+    kept = stage(classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias(id_kept)).distinct(), "kept")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    with_id = docs.join(kept, F.col("doc_id") == F.col("kept"), "left_semi").withColumn(rank, F.row_number().over(first))
+    with_id = docs.join(kept, F.col("doc_id") == F.col(id_kept), "left_semi").withColumn(rank, F.row_number().over(first))
     return with_id.where(F.col(rank) == 1).drop(rank).unionByName(docs.where("doc_id IS NULL"))

@@ -9,9 +9,9 @@ strings are judged on the input. Most text has no such string, so the transforms
 2. A run with its bytes is a context. Of equal contexts all but the first are covered throughout, again by a partial aggregation.
 3. Anchors left with several different contexts: these are gathered in buckets of bounded size. A bucket's contexts are dealt to
    shards, each shard gets its suffix array and transform, and the transforms are merged by refining their interleave symbol by symbol: after h
-   rounds the merged suffixes are in order of their first h bytes, and the borders between different ones, which arise round by round, are
-   the common prefix lengths. After ``LENGTH`` rounds each interval without a border holds the places of one string; all but the first are
-   covered. Suffixes are sorted in shards alone.
+   rounds the merged suffixes are in order of their first h bytes, and the round in which a suffix is left alone tells its common
+   prefix length. After ``LENGTH`` rounds each interval left holds the places of one string; all but the first are covered. Suffixes are sorted in
+   shards alone.
 4. An anchor with more than ``HOT`` different contexts, such as the edge of a passage that a large part of the corpus quotes, would not fit a bucket. Its
    strings are compared as rows by a 128-bit hash of their bytes, with partial aggregation.
 
@@ -37,8 +37,8 @@ from volpanel.session import stage
 
 LENGTH = 100
 CHUNK = 1 << 20
-BUCKET_BYTES = 1 << 20
-SHARD_BYTES = 1 << 16
+BUCKET_BYTES = 1 << 18
+SHARD_BYTES = 1 << 15
 HOT = 2000
 #: A place packs the ordinal of a text among those of its id above the byte offset.
 ORDINAL = 1 << 40
@@ -187,42 +187,43 @@ def suffix_array(text: np.ndarray, strings: int) -> np.ndarray:
         span *= 2
 
 
-def merge_transforms(transforms: Sequence[np.ndarray], strings: Sequence[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first ``depth`` symbols, and the length of each one's common prefix with the one before.
+def index(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of the strings, each closed by a 0, with its transform and where each suffix's longer one stands; a byte b is the symbol b + 1."""
+    text = np.concatenate([np.r_[np.frombuffer(s, np.uint8).astype(np.int16) + 1, np.int16(0)] for s in strings])
+    order = suffix_array(text, len(strings))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return order, text[order - 1], rank[order - 1]
 
-    A round reads the transforms along the interleave and deals each shard number to the place of the symbol it has read. Lengths stop at ``depth``;
-    the ends of strings are all different.
+
+def merge_transforms(transforms: Sequence[np.ndarray], longer: Sequence[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes that share their first ``depth`` symbols with another one.
+
+    Gives the suffixes (numbered through all shards) in order of these symbols, the interval each is in, and for every suffix of the shards the
+    length of the longest prefix, up to ``depth``, that it has in common with any other. A round reads the transforms along the interleave and deals the suffixes
+    that are one symbol longer to the symbols' places. A suffix alone in its interval stays so when it grows, so it
+    leaves the interleave and only its length is kept. No suffix is compared with another one.
     """
-    every = np.concatenate(transforms)
-    which = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    ends = int(sum(strings))
-    first = np.repeat(np.arange(len(transforms), dtype=np.uint16), strings)
-    n = len(every)
-    common = np.full(n, depth, np.int64)
-    common[0] = 0
-    block = np.zeros(n, np.int64)
-    symbols = np.empty(n, every.dtype)
+    starts = np.cumsum([0] + [len(t) for t in transforms])
+    symbols = np.concatenate(transforms)
+    onward = np.concatenate([x + s for x, s in zip(longer, starts)]).astype(np.int32)
+    common = np.zeros(len(symbols), np.int32)
+    here, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for done in range(depth):
-        symbols[np.argsort(which, kind="stable")] = every
-        order = np.argsort(symbols, kind="stable")
-        read, before = symbols[order], block[order]
-        which = which[order]
-        which[:ends] = first
-        border = np.r_[True, (read[1:] != read[:-1]) | (before[1:] != before[:-1])]
-        border[: ends + 1] = True
-        common[border & (common == depth)] = done
-        block = np.cumsum(border)
-        if block[-1] == n:
+        read = symbols[here]
+        inside = read > 0
+        read, here, interval = read[inside], here[inside], interval[inside]
+        order = np.argsort(read, kind="stable")
+        read, before = read[order], interval[order]
+        border = np.ones(len(read) + 1, bool)
+        border[1:-1] = (read[1:] != read[:-1]) | (before[1:] != before[:-1])
+        several = ~(border[:-1] & border[1:])
+        here = onward[here[order[several]]]
+        interval = np.cumsum(border[:-1], dtype=np.int32)[several]
+        common[here] = done + 1
+        if not len(here):
             break
-    common[0] = 0
-    return which, common
-
-
-def _transform(shard: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and transform of the strings; a byte b is the symbol b + 1."""
-    text = np.concatenate([np.r_[np.frombuffer(s, np.uint8).astype(np.int16) + 1, np.int16(0)] for s in shard])
-    order = suffix_array(text, len(shard))
-    return order, text[order - 1]
+    return here, interval, common
 
 
 def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -235,16 +236,16 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
             size = 0
         shards[-1].append(number)
         size += len(s) + 1
-    made = [_transform([strings[i] for i in shard]) for shard in shards]
-    which, common = merge_transforms([t for _, t in made], [len(s) for s in shards], length)
-    place = np.empty((len(which), 2), np.int64)
-    for k, (shard, (order, _)) in enumerate(zip(shards, made)):
+    made = [index([strings[i] for i in shard]) for shard in shards]
+    place = []
+    for shard, (order, _, _) in zip(shards, made):
         starts = np.cumsum([0] + [len(strings[i]) + 1 for i in shard])
         of = np.searchsorted(starts, order, side="right") - 1
-        place[which == k] = np.stack([np.array(shard)[of], order - starts[of]], axis=1)
-    borders = np.flatnonzero(np.r_[common < length, True])
-    sizes = np.diff(borders)
-    return [place[b : b + s] for b, s in zip(borders[:-1][sizes > 1], sizes[sizes > 1])]
+        place.append(np.stack([np.array(shard)[of], order - starts[of]], axis=1))
+    here, interval, _ = merge_transforms([t for _, t, _ in made], [x for *_, x in made], length)
+    if not len(here):
+        return []
+    return np.split(np.concatenate(place)[here], np.flatnonzero(interval[1:] != interval[:-1]) + 1)
 
 
 def _string_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:

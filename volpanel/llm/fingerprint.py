@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from volpanel.llm.common import partitions
+from volpanel.llm.common import partitions, spread_numbers
 
 EXACT, LANES, SPAN = 8, 256, 24
 FIRST = -(1 << 63)
@@ -38,23 +38,14 @@ FINGERPRINTED = (
 )
 
 
-def _splitmix(n: int) -> np.ndarray:
-    """n fixed well-spread 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
-
-
-BYTE = _splitmix(256)
+BYTE = spread_numbers(256)
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 F2 = np.uint64(pow(int(FACTOR), 2, 1 << 64))
 F4 = np.uint64(pow(int(FACTOR), 4, 1 << 64))
 F8 = np.uint64(pow(int(FACTOR), 8, 1 << 64))
 
 
-def _window_hashes(data: np.ndarray) -> np.ndarray:
+def window_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hash of every window of SPAN = 24 bytes, from those of 1, 2, 4, 8 and 16."""
     one = BYTE[data]
     two = one[:-1] * FACTOR + one[1:]
@@ -101,7 +92,7 @@ def of_text(text: str) -> Fingerprint:
     slots = [_slots(np.frombuffer(digests, "<u8")[i * EXACT : i * EXACT + 1]) for i, p in enumerate(paragraphs) if 0 < len(p) < SPAN]
     if len(raw) >= SPAN:
         data = np.frombuffer(raw, np.uint8)
-        found = _slots(_window_hashes(data))
+        found = _slots(window_hashes(data))
         ends = np.flatnonzero(data == 10)
         if len(ends):
             inside = np.zeros(len(data) + 1, np.int32)

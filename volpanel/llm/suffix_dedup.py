@@ -31,8 +31,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from volpanel.llm.common import fresh_name, text_digest
-from volpanel.llm.fingerprint import FACTOR, FIRST, SPAN, _splitmix, _window_hashes
+from volpanel.llm.common import fresh_name, spread_numbers, text_digest
+from volpanel.llm.fingerprint import FACTOR, FIRST, SPAN, window_hashes
 from volpanel.session import stage
 
 LENGTH = 100
@@ -85,7 +85,7 @@ def runs(texts: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     """Text number, first and last string start, and anchor hash of every run of strings with one anchor, in text order."""
     out: list[tuple[np.ndarray, ...]] = []
     for data, owners, bases, ends in _chunks(texts, length):
-        hashes = _window_hashes(data)
+        hashes = window_hashes(data)
         hashes = (hashes ^ (hashes >> np.uint64(31))) * FACTOR
         hashes ^= hashes >> np.uint64(29)
         keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
@@ -250,10 +250,10 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
 
 def _string_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every string of ``length`` bytes, from the hashes of its 24-byte windows."""
-    windows = _window_hashes(np.frombuffer(data, np.uint8))
+    windows = window_hashes(np.frombuffer(data, np.uint8))
     n = len(data) - length + 1
     out = []
-    for seed in _splitmix(2):
+    for seed in spread_numbers(2):
         total = np.full(n, seed, np.uint64)
         for at in [*range(0, length - SPAN, SPAN), length - SPAN]:
             total = (total ^ windows[at : at + n]) * (FACTOR ^ seed | np.uint64(1))

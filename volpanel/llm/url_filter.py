@@ -22,13 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from volpanel.llm.common import spread_numbers
 from volpanel.session import stage
 
 WORDS_PER_BLOCK = 8
 MAX_BLOCKS = 1 << 18  # 8 MB
 BITS_PER_KEY = 16
 #: One odd multiplier for each 32-bit word of a block.
-SALTS = np.array([(0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF for i in range(WORDS_PER_BLOCK)], np.uint64)
+SALTS = (spread_numbers(WORDS_PER_BLOCK) >> np.uint64(32)) | np.uint64(1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

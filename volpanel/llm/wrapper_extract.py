@@ -82,23 +82,23 @@ class Element:
 
 @dataclass
 class Part:
-    """A part of a wrapper. ``texts`` is (least, greatest) hash of its own text over ``pages`` pages, None if it has no text."""
+    """A part of a wrapper. ``texts`` is (least, greatest) hash of its own text over the ``told`` elements that have one, None without any."""
 
     key: str
     parts: list[Part] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
     texts: tuple[int, int] | None = None
-    pages: int = 1
+    told: int = 0
     members: list[Element] = field(default_factory=list)
 
     def dump(self) -> list:
-        return [self.key, int(self.optional), int(self.repeated), list(self.texts) if self.texts else None, self.pages, [p.dump() for p in self.parts]]
+        return [self.key, int(self.optional), int(self.repeated), list(self.texts) if self.texts else None, self.told, [p.dump() for p in self.parts]]
 
     @classmethod
     def load(cls, raw: list) -> Part:
-        key, optional, repeated, texts, pages, parts = raw
-        return cls(key, [cls.load(p) for p in parts], bool(optional), bool(repeated), tuple(texts) if texts else None, pages)
+        key, optional, repeated, texts, told, parts = raw
+        return cls(key, [cls.load(p) for p in parts], bool(optional), bool(repeated), tuple(texts) if texts else None, told)
 
 
 def _key(tag: str, rest: str) -> str:
@@ -167,7 +167,7 @@ def skeleton(element: Element) -> Part:
     text = _own_text(element)
     mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
     parts = [skeleton(c) for c in element.content if isinstance(c, Element)]
-    return Part(element.key, fold(parts), texts=(mark, mark) if text else None, members=[element])
+    return Part(element.key, fold(parts), texts=(mark, mark) if text else None, told=int(bool(text)), members=[element])
 
 
 def fold(parts: list[Part]) -> list[Part]:
@@ -215,7 +215,7 @@ def _common(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
 
 def align(a: Part, b: Part) -> Part:
     """The wrapper of everything that either of two wrappers of one kind describes."""
-    out = Part(a.key, optional=a.optional or b.optional, repeated=a.repeated or b.repeated, pages=a.pages + b.pages, members=a.members + b.members)
+    out = Part(a.key, optional=a.optional or b.optional, repeated=a.repeated or b.repeated, told=a.told + b.told, members=a.members + b.members)
     if a.texts and b.texts:
         out.texts = (min(a.texts[0], b.texts[0]), max(a.texts[1], b.texts[1]))
     else:
@@ -253,7 +253,7 @@ def slots(page: Part, wrapper: Part, article: bool, inside: bool = False, link:
         return
     inside = inside or tag in ARTICLE
     link = link or tag == "a"
-    agreed = wrapper.texts is not None and wrapper.texts[0] == wrapper.texts[1] and wrapper.pages > 2 and not wrapper.repeated
+    agreed = wrapper.texts is not None and wrapper.texts[0] == wrapper.texts[1] and wrapper.told > 2 and not wrapper.repeated
     if inside or not (article or link or agreed):
         yield from page.members
     for x, y in _common(page.parts, wrapper.parts):

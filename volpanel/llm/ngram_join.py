@@ -9,13 +9,14 @@ without ever listing the pairs of a group:
    two linked sets share one of their first ``n // 5 + 1`` shingles. A list is cut into blocks by set size, so that sets whose sizes exclude
    a link never meet. With u shingles of its own, a set's similarity to another is bounded from above:
    ``min(n_x - u_x, n_y - u_y) >= 0.8 * max(n_x + u_y, n_y + u_x)`` must hold for a link.
-3. Answers are derived from those of a highly similar set. Each block has a leader, the set whose lists are longest on average,
+3. Answers are derived from those of a highly similar set. Each block has a leader, the set whose prefix is in the longest lists,
    and all others are compared with it; what links to it has the leader's class. In a second round the sets outside that class follow a leader
    of their own.
 4. Only sets of one block in different classes can add anything, at least one of them outside the first leader's class. With o
-   shingles in common with that leader, they share at most ``min(o_x, o_y) + min(n_x - o_x - u_x, n_y - o_y - u_y)``. They are looked up in
-   the block's sub-blocks by u: whole sub-blocks whose u excludes a link are skipped, in the rest both bounds are checked, and what
-   passes is compared set by set.
+   shingles in common with that leader, they share at most ``min(o_x, o_y) + min(n_x - o_x - u_x, n_y - o_y - u_y)``. And in the list of the first
+   shingle that they share, whatever stands before it is in one of them alone: there the bound of step 2 holds with u plus the position
+   in place of u. Lists are cut into sub-blocks by that sum: whole sub-blocks that it excludes are skipped, in the rest both bounds are
+   checked, and what passes is compared set by set.
 5. Classes are contracted round by round; every round each class joins the neighbour with the smallest random number, so
    chains shrink by a constant factor a round.
 
@@ -93,10 +94,10 @@ def own_shingles(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1").select("h", "node")
 
 
-def _may_link(x: str, y: str) -> Column:
-    """The bound of step 2 in whole numbers."""
+def _may_link(x: str, y: str, alone: str = "u") -> Column:
+    """The bound of step 2 in whole numbers; ``alone`` counts shingles that the other set can't have."""
     return F.expr(
-        f"5 * least({x}_n - {x}_u, {y}_n - {y}_u) >= 4 * greatest({x}_n + {y}_u, {y}_n + {x}_u)"
+        f"5 * least({x}_n - {x}_{alone}, {y}_n - {y}_{alone}) >= 4 * greatest({x}_n + {y}_{alone}, {y}_n + {x}_{alone})"
     )
 
 
@@ -145,15 +146,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """Rows (token, block, node, n, u) of lists with several entries; a set is in the blocks of its own size class and of the next one.
+    """Rows (token, block, node, n, u, p, entries) of lists with several entries; a set is in the blocks of its size class and of the next one.
 
-    A set's own shingles come first in the order and are in no other list, so the prefix goes on with the smallest hashes of the rest.
+    A set's own shingles come first in the order and are in no other list, so the prefix goes on with the smallest hashes of the rest;
+    p is how many of the set's shingles come before the token.
     """
     size_class = F.floor(F.log("n") / F.lit(math.log(1.25))).cast("int")
     prefix = F.expr("slice(array_except(tokens, own), 1, greatest(0, int(n div 5 + 1 - u)))")
     rows = (
-        sets.select("node", "n", "u", size_class.alias("class"), F.explode(prefix).alias("token"))
-        .select("token", F.explode(F.array("class", F.col("class") + 1)).alias("block"), "node", "n", "u")
+        sets.select("node", "n", "u", size_class.alias("class"), F.posexplode(prefix).alias("position", "token"))
+        .select("token", F.explode(F.array("class", F.col("class") + 1)).alias("block"), "node", "n", "u", (F.col("u") + F.col("position")).alias("p"))
     )
     rows = stage(rows, "entries")
     sizes = rows.groupBy("token", "block").agg(F.count("*").alias("entries")).where("entries > 1")
@@ -170,8 +172,10 @@ def links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between rows (node, n, u, own, tokens) that connect every class; not all links of a class are listed."""
     postings = stage(_postings(sets), "postings")
     # The small random part makes leaders unique, and the same ones in many lists.
-    centre = postings.groupBy("node").agg((F.avg("entries") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 24))).alias("rank"))
-    ranked = stage(postings.join(centre, "node").select("token", "block", "node", "n", "u", "rank"), "postings")
+    # Mean logarithm of the prefix's list lengths, 0 for own shingles.
+    mean = F.sum(F.log2("entries")) / F.first(F.expr("n div 5 + 1"))
+    centre = postings.groupBy("node").agg((mean + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 27))).alias("rank"))
+    ranked = stage(postings.join(centre, "node").select("token", "block", "node", "n", "u", "p", "rank"), "postings")
 
     def led(entries: DataFrame, leaders: DataFrame) -> DataFrame:
         y = entries.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "u")))
@@ -183,7 +187,7 @@ def links(sets: DataFrame) -> DataFrame:
         return df.join(own, f"{prefix}_node", "left").withColumn(f"{prefix}_c", F.coalesce(f"{prefix}_c", f"{prefix}_node"))
 
     def outside(classes: DataFrame, leaders: DataFrame) -> DataFrame:
-        entries = ranked.select("token", "block", F.col("node").alias("y_node"), F.col("n").alias("y_n"), F.col("u").alias("y_u"), "rank")
+        entries = ranked.select("token", "block", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "u", "p")), "rank")
         both = classed(classed(entries.join(leaders, ["token", "block"]), classes, "y"), classes, "l")
         return both.where("y_c <> l_c")
 
@@ -204,21 +208,21 @@ def links(sets: DataFrame) -> DataFrame:
         return found.withColumn(f"{prefix}_o", F.when(F.col("l_node") == F.col(f"{prefix}_node"), F.col(f"{prefix}_n")).otherwise(F.col(f"{prefix}_o")))
 
     asking = stage(
-        with_leader(outside(classes, leaders), "y").select("token", "block", "y_node", "y_n", "y_u", "y_c", "y_o")
-        .withColumn("most_u", F.floor((F.col("y_n") - 5 * F.col("y_u")) / 4)).where("most_u >= 0"),
+        with_leader(outside(classes, leaders), "y").select("token", "block", "y_node", "y_n", "y_u", "y_p", "y_c", "y_o")
+        .withColumn("most", F.floor((F.col("y_n") - 5 * F.col("y_p")) / 4)).where("most >= 0"),
         "outside",
     )
     open_lists = asking.select("token", "block").distinct()
     x = ranked.join(open_lists, ["token", "block"]).join(leaders.select("token", "block", "l_node"), ["token", "block"])
-    x = x.select("token", "block", "l_node", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "u")))
-    x = classed(with_leader(x, "x"), classes, "x").withColumn("part", F.floor(F.log2(F.col("x_u") + 1)).cast("int"))
-    parts = F.sequence(F.lit(0), F.floor(F.log2(F.col("most_u") + 1)).cast("int"))
+    x = x.select("token", "block", "l_node", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "u", "p")))
+    x = classed(with_leader(x, "x"), classes, "x").withColumn("part", F.floor(F.log2(F.col("x_p") + 1)).cast("int"))
+    parts = F.sequence(F.lit(0), F.floor(F.log2(F.col("most") + 1)).cast("int"))
     through_leader = F.expr(
         "coalesce(9 * (least(x_o, y_o) + least(x_n - x_o - x_u, y_n - y_o - y_u)) >= 4 * (x_n + y_n), true)"
     )
     third = (
         asking.withColumn("part", F.explode(parts)).join(x.drop("l_node"), ["token", "block", "part"])
-        .where("x_c <> y_c AND x_u <= most_u").where(_may_link("x", "y")).where(through_leader)
+        .where("x_c <> y_c AND x_p <= most").where(_may_link("x", "y", "p")).where(through_leader)
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
     return first.union(second).union(_compared(third, sets).where("linked").select("a", "b"))

@@ -3,11 +3,12 @@
 Each byte covered by a ``LENGTH``-byte string that also starts earlier, in a document with a smaller id or before in the same one, goes;
 strings are judged on the input. Most text has no such string, so the transforms are only made where one can be:
 
-1. Every string of ``LENGTH`` bytes has one anchor, its 24-byte window with the smallest hash. Equal strings have equal anchors at equal places,
+1. Every string of ``LENGTH`` bytes has one anchor, its 48-byte window with the smallest hash. Equal strings have equal anchors at equal places,
    so a string whose anchor's hash occurs once in the corpus is alone. Neighbouring strings share an anchor; such a run is one row (hash,
    document, start), and a partial aggregation finds the hashes that occur once.
-2. A run with its bytes is a context. Of equal contexts all but the first are covered throughout, again by a partial aggregation.
-3. Anchors left with several different contexts: these are gathered in buckets of bounded size. A bucket's contexts are dealt to
+2. A run with its bytes is a context. Of equal contexts all but the first are covered throughout; a partial aggregation finds the first ones.
+3. Anchors left with several different contexts: these are gathered in buckets of bounded size. Hashes of a bucket's strings show which stretch of a context
+   can hold a repeated one; contexts are trimmed to it, and many vanish. They are dealt to
    shards, each shard gets its suffix array and transform, and the transforms are merged by refining their interleave symbol by symbol: after h
    rounds the merged suffixes are in order of their first h bytes, and the round in which a suffix is left alone tells its common
    prefix length. After ``LENGTH`` rounds each interval left holds the places of one string; all but the first are covered. Suffixes are sorted in
@@ -15,7 +16,7 @@ strings are judged on the input. Most text has no such string, so the transforms
 4. An anchor with more than ``HOT`` different contexts, such as the edge of a passage that a large part of the corpus quotes, would not fit a bucket. Its
    strings are compared as rows by a 128-bit hash of their bytes, with partial aggregation.
 
-Anchors, contexts and strings are told apart by 64, 128 and 128 bits.
+Anchors, contexts and strings are told apart by 64, 128 (anchor and context) and 128 bits.
 
 Defined cases: NULL and empty texts and texts under ``LENGTH`` bytes lose nothing; a NULL id sorts first; different texts with one id count as one
 document after the other, in order of their digests, equal rows as one row; an empty table gives an empty table; other columns than
@@ -29,9 +30,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from volpanel.llm.common import fresh_name, spread_numbers, text_digest
+from volpanel.llm.common import fresh_name, release_shuffles, spread_numbers, text_digest
 from volpanel.llm.fingerprint import FACTOR, FIRST, SPAN, window_hashes
 from volpanel.session import stage
 
@@ -42,7 +44,9 @@ SHARD_BYTES = 1 << 15
 HOT = 2000
 #: A place packs the ordinal of a text among those of its id above the byte offset.
 ORDINAL = 1 << 40
-RUN = "struct<h: long, c1: long, c2: long, at: long, last: long>"
+#: An anchor is two windows of the fingerprint's span, one behind the other.
+ANCHOR = 2 * SPAN
+ANCHOR_FACTOR = np.uint64(pow(int(FACTOR), SPAN, 1 << 64))
 
 
 def _chunks(texts: Sequence[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -85,11 +89,12 @@ def runs(texts: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     """Text number, first and last string start, and anchor hash of every run of strings with one anchor, in text order."""
     out: list[tuple[np.ndarray, ...]] = []
     for data, owners, bases, ends in _chunks(texts, length):
-        hashes = window_hashes(data)
+        half = window_hashes(data)
+        hashes = half[:-SPAN] * ANCHOR_FACTOR + half[SPAN:]
         hashes = (hashes ^ (hashes >> np.uint64(31))) * FACTOR
         hashes ^= hashes >> np.uint64(29)
         keys = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-        anchor = (_sliding_min(keys, length - SPAN + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        anchor = (_sliding_min(keys, length - ANCHOR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(anchor)]
         begins = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
         of = piece[begins]
@@ -103,11 +108,6 @@ def runs(texts: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(column) for column in zip(*out))
 
 
-def _digest(data: bytes) -> tuple[int, int]:
-    both = hashlib.blake2b(data, digest_size=16).digest()
-    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
-
-
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -135,7 +135,7 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
-    """doc, place, text and runs of the texts that have runs whose anchor occurs more than once."""
+    """doc, place, text and, run by run, anchor hash, context hash, start and number of further strings, of texts with runs whose anchor occurs more than once."""
     once = (
         _anchors(rows, length).groupBy("h").agg(F.count("*").alias("times"), F.min("doc").alias("of"), F.min("at").alias("at")).where("times = 1")
         .groupBy("of", F.floor(F.col("at") / ORDINAL).alias("ordinal")).agg(F.collect_list(F.col("at") % ORDINAL).alias("once"))
@@ -146,25 +146,22 @@ def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
             texts = [_bytes(t) for t in part["text"]]
             owner, begin, last, h = runs(texts, length)
             borders = np.searchsorted(owner, np.arange(len(texts) + 1))
-            found = []
+            out = []
             for i, (text, alone) in enumerate(zip(texts, part["once"])):
                 own = slice(borders[i], borders[i + 1])
                 b, e, a = begin[own], last[own], h[own]
                 if alone is not None:
                     more = ~np.isin(b, alone)
                     b, e, a = b[more], e[more], a[more]
-                found.append([
-                    (x, *_digest(text[y : z + length]), y, z) for x, y, z in zip(a.tolist(), b.tolist(), e.tolist())
-                ])
-            some = np.array([len(f) > 0 for f in found], bool)
-            yield part.loc[some, ["doc", "place", "text"]].assign(
-                runs=[[dict(zip(("h", "c1", "c2", "at", "last"), r)) for r in f] for f in found if f]
-            )
+                if len(b):
+                    c = [xxhash.xxh3_64_intdigest(text[y : z + length]) for y, z in zip(b.tolist(), e.tolist())]
+                    out.append((part["doc"].iat[i], part["place"].iat[i], part["text"].iat[i], a, np.array(c, np.uint64).view(np.int64), b, e - b))
+            yield pd.DataFrame(out, columns=["doc", "place", "text", "h", "c", "at", "more"])
 
     same = (F.col("doc") == F.col("of")) & (F.col("place") == F.col("ordinal") * ORDINAL)
     long_enough = rows.where(F.octet_length("text") >= length)
     told = long_enough.join(once, same, "left").select("doc", "place", "text", "once")
-    return told.mapInPandas(keep, f"doc long, place long, text string, runs array<{RUN}>")
+    return told.mapInPandas(keep, "doc long, place long, text string, h array<long>, c array<long>, at array<long>, more array<long>")
 
 
 def suffix_array(text: np.ndarray, strings: int) -> np.ndarray:
@@ -248,28 +245,52 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     return np.split(np.concatenate(place)[here], np.flatnonzero(interval[1:] != interval[:-1]) + 1)
 
 
-def _string_hashes(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every string of ``length`` bytes, from the hashes of its 24-byte windows."""
-    windows = window_hashes(np.frombuffer(data, np.uint8))
+def _string_hashes(data: np.ndarray, length: int, seeds: int) -> list[np.ndarray]:
+    """64-bit hashes of every string of ``length`` bytes, from the hashes of its 24-byte windows."""
+    windows = window_hashes(data)
     n = len(data) - length + 1
     out = []
-    for seed in spread_numbers(2):
+    for seed in spread_numbers(seeds):
         total = np.full(n, seed, np.uint64)
         for at in [*range(0, length - SPAN, SPAN), length - SPAN]:
             total = (total ^ windows[at : at + n]) * (FACTOR ^ seed | np.uint64(1))
             total ^= total >> np.uint64(32)
         out.append(total.view(np.int64))
-    return out[0], out[1]
+    return out
+
+
+def trimmed(strings: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
+    """(number, offset, bytes) of the stretches of strings outside of which no substring of ``length`` bytes has the hash of another one."""
+    sizes = np.array([len(s) for s in strings])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    if len(data) < length:
+        return []
+    hashes = _string_hashes(data, length, 1)[0]
+    owner = np.repeat(np.arange(len(strings)), sizes)[: len(hashes)]
+    inside = np.flatnonzero(np.arange(len(hashes)) + length <= ends[owner])
+    _, place, times = np.unique(hashes[inside], return_inverse=True, return_counts=True)
+    twice = inside[times[place] > 1]
+    of = owner[twice]
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    out = []
+    for b, e in zip(first, np.r_[first[1:], len(of)]):
+        number = int(of[b])
+        start = int(ends[number] - sizes[number])
+        out.append((number, int(twice[b]) - start, strings[number][twice[b] - start : twice[e - 1] - start + length]))
+    return out
 
 
 def _covered_by_merge(contexts: DataFrame, length: int) -> DataFrame:
     """Places (doc, at) of strings that an earlier context of their bucket holds too."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc", "at"], kind="stable", ignore_index=True)
-        doc, at = rows["doc"].to_numpy(np.int64), rows["at"].to_numpy(np.int64)
+        parts = trimmed([bytes(c) for c in rows["context"]], length)
+        number = np.array([p[0] for p in parts], np.int64)
+        doc = rows["doc"].to_numpy(np.int64)[number]
+        at = rows["at"].to_numpy(np.int64)[number] + np.array([p[1] for p in parts], np.int64)
         late = []
-        for group in repeated([bytes(c) for c in rows["context"]], length):
+        for group in repeated([p[2] for p in parts], length) if parts else ():
             where = at[group[:, 0]] + group[:, 1]
             order = np.lexsort((where, doc[group[:, 0]]))
             late.append(np.stack([doc[group[order[1:], 0]], where[order[1:]]], axis=1))
@@ -285,7 +306,7 @@ def _covered_by_hash(contexts: DataFrame, length: int) -> DataFrame:
     def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for doc, at, context in zip(part["doc"], part["at"], part["context"]):
-                s1, s2 = _string_hashes(bytes(context), length)
+                s1, s2 = _string_hashes(np.frombuffer(bytes(context), np.uint8), length, 2)
                 yield pd.DataFrame({"s1": s1, "s2": s2, "doc": doc, "at": at + np.arange(len(s1))})
 
     strings = contexts.mapInPandas(explode, "s1 long, s2 long, doc long, at long")
@@ -294,23 +315,22 @@ def _covered_by_hash(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, place, text and the covered stretches (array of begin, end in bytes, in any order, perhaps overlapping) of texts that lose bytes."""
+    """doc, place and text of the texts that may lose bytes, with their repeated runs (at, more), those of them that are the first of their
+    context (firsts) and the starts of covered strings in these (strings); ``lost_bytes`` reads them."""
+    spark = docs.sparkSession
     rows = numbered(docs)
     held = stage(_repeated_runs(rows, length), "runs")
-    run = held.select("doc", "place", F.explode("runs").alias("r")).select(
-        "doc", (F.col("place") + F.col("r.at")).alias("at"), (F.col("r.last") - F.col("r.at")).alias("more"), "r.h", "r.c1", "r.c2"
-    )
-    first = run.groupBy("c1", "c2").agg(
-        F.min(F.struct("doc", "at")).alias("first"), F.max("h").alias("h"), F.max("more").alias("more"), F.count("*").alias("times")
+    release_shuffles(spark)
+    run = held.select("doc", "place", F.explode(F.arrays_zip("h", "c", "at", "more")).alias("r")).select(
+        "r.h", "r.c", "doc", (F.col("place") + F.col("r.at")).alias("at"), "r.more"
     )
-    first = stage(first, "contexts")
-    again = run.join(first.where("times > 1").select("c1", "c2", "first"), ["c1", "c2"]).where(F.struct("doc", "at") != F.col("first"))
-    whole = again.select("doc", "at", (F.col("at") + F.col("more") + length).alias("end"))
+    first = stage(run.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("more").alias("more")), "contexts")
+    release_shuffles(spark)
 
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    place_of = lambda at: (F.floor(at / ORDINAL) * ORDINAL).alias("in")
     wanted = first.join(several, "h").select(
-        F.col("first.doc").alias("of"), (F.floor(F.col("first.at") / ORDINAL) * ORDINAL).alias("in"), "h", "contexts",
-        F.struct((F.col("first.at") % ORDINAL).alias("at"), "more", "h", "contexts").alias("w"),
+        F.col("first.doc").alias("of"), place_of(F.col("first.at")), F.struct((F.col("first.at") % ORDINAL).alias("at"), "more", "h", "contexts").alias("w"),
     ).groupBy("of", "in").agg(F.collect_list("w").alias("wanted"))
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,30 +341,43 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out += [(w["h"], w["contexts"], doc, place + w["at"], raw[w["at"] : w["at"] + w["more"] + length]) for w in asked]
             yield pd.DataFrame(out, columns=["h", "contexts", "doc", "at", "context"])
 
-    cut_out = held.join(wanted, (F.col("doc") == F.col("of")) & (F.col("place") == F.col("in"))).select("doc", "place", "text", "wanted")
+    same = (F.col("doc") == F.col("of")) & (F.col("place") == F.col("in"))
+    cut_out = held.select("doc", "place", "text").join(wanted, same)
     contexts = stage(cut_out.mapInPandas(cut, "h long, contexts long, doc long, at long, context binary"), "context-bytes")
+    release_shuffles(spark)
     size = contexts.agg(F.coalesce(F.sum(F.octet_length("context")), F.lit(0)).alias("n")).first()["n"]
     buckets = 1 + size // BUCKET_BYTES
     # Whole anchors to a bucket; none has more than HOT contexts of at most 2 * LENGTH bytes.
     cold = contexts.where(F.col("contexts") <= HOT).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     single = _covered_by_merge(cold, length).unionByName(_covered_by_hash(contexts.where(F.col("contexts") > HOT), length))
-    covered = whole.unionByName(single.select("doc", "at", (F.col("at") + length).alias("end")))
-    by_text = covered.select(
-        F.col("doc").alias("of"), (F.floor(F.col("at") / ORDINAL) * ORDINAL).alias("in"), F.struct((F.col("at") % ORDINAL).alias("at"), (F.col("end") % ORDINAL).alias("end")).alias("s")
-    ).groupBy("of", "in").agg(F.collect_list("s").alias("stretches"))
-    texts = held.select("doc", "place", "text")
-    return texts.join(by_text, (F.col("doc") == F.col("of")) & (F.col("place") == F.col("in"))).select("doc", "place", "text", "stretches")
 
+    # A document's runs are covered as a whole but where they are the first of their context; there string by string.
+    marks = first.select(F.col("first.doc").alias("of"), F.col("first.at").alias("at"), F.lit(True).alias("first")).unionByName(
+        single.select(F.col("doc").alias("of"), "at", F.lit(False).alias("first"))
+    )
+    at = F.col("at") % ORDINAL
+    by_text = marks.groupBy("of", place_of(F.col("at"))).agg(
+        F.collect_list(F.when(F.col("first"), at)).alias("firsts"), F.collect_list(F.when(~F.col("first"), at)).alias("strings")
+    )
+    return held.select("doc", "place", "text", "at", "more").join(by_text, same, "left").select("doc", "place", "text", "at", "more", "firsts", "strings")
+
+
+def lost_bytes(size: int, at: np.ndarray, more: np.ndarray, firsts: np.ndarray | None, strings: np.ndarray | None, length: int) -> np.ndarray:
+    """Which bytes of a text are covered."""
+    whole = np.ones(len(at), bool) if firsts is None else ~np.isin(at, firsts)
+    starts = at[whole] if strings is None else np.r_[at[whole], strings]
+    ends = at[whole] + more[whole] + length if strings is None else np.r_[at[whole] + more[whole], strings] + length
+    edge = np.bincount(starts.astype(np.int64), minlength=size + 1) - np.bincount(ends.astype(np.int64), minlength=size + 1)
+    return np.cumsum(edge[:-1]) > 0
 
-def without(raw: bytes, stretches: Sequence[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The bytes outside the stretches, how many are gone, and in how many maximal runs."""
-    data = np.frombuffer(raw, np.uint8)
-    edge = np.zeros(len(data) + 1, np.int64)
-    for begin, end in stretches:
-        edge[begin] += 1
-        edge[end] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
-    return data[~gone].tobytes(), int(gone.sum()), int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
+
+def _losses(part: pd.DataFrame, length: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Id, bytes and covered bytes of each text that loses some."""
+    for doc, text, at, more, firsts, strings in zip(*(part[c] for c in ("doc", "text", "at", "more", "firsts", "strings"))):
+        raw = _bytes(text)
+        gone = lost_bytes(len(raw), np.asarray(at), np.asarray(more), firsts, strings, length)
+        if gone.any():
+            yield doc, raw, gone
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -353,10 +386,10 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for doc, text, stretches in zip(part["doc"], part["text"], part["stretches"]):
-                raw = _bytes(text)
-                kept, gone, times = without(raw, [(s["at"], s["end"]) for s in stretches])
-                out.append((doc, hashlib.sha256(raw).digest(), gone, times, hashlib.sha256(kept).hexdigest()))
+            for doc, raw, gone in _losses(part, length):
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                times = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
+                out.append((doc, hashlib.sha256(raw).digest(), int(gone.sum()), times, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["of", "own_digest", "n_removed", "n_spans", "kept"])
 
     lost = spans(docs, length).mapInPandas(judge, "of long, own_digest binary, n_removed long, n_spans long, kept string").distinct()
@@ -378,11 +411,10 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, text, stretches in zip(part["doc"], part["text"], part["stretches"]):
-                raw = _bytes(text)
-                kept = without(raw, [(s["at"], s["end"]) for s in stretches])[0]
-                out.append((doc, hashlib.sha256(raw).digest(), kept.decode("utf-8", "ignore")))
+            out = [
+                (doc, hashlib.sha256(raw).digest(), np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+                for doc, raw, gone in _losses(part, length)
+            ]
             yield pd.DataFrame(out, columns=["of", "own_digest", "left"])
 
     lost = spans(docs, length).mapInPandas(cut, "of long, own_digest binary, left string").dropDuplicates(["of", "own_digest"])

@@ -15,7 +15,7 @@ Smoothing is absolute discounting: p(w | u) = max(c(uw) - D, 0) / c(u) + weight(
 mass to the lower order; the lowest order is (c + 1) / (N + V + 1), as in the base score. Level 3 holds words behind kept pairs.
 
 Contexts that fill more than a share of the corpus (the commonest words, the beginning of a text) are split over shards by the following word; their
-weights are summed over the parts. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
+weights are summed over the parts. A text of over ``PIECE`` characters goes on in a new piece, whose first word has one word of context. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
 
 Defined cases: NULL and empty texts are the end token alone; a NULL id counts as a training row; repeated rows count and are scored as often as they
 occur; without training rows N = V = 0 and every token has probability 1; an empty table gives an empty table. Hashes of 64 bits tell words apart, of 48
@@ -32,11 +32,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from volpanel.llm.common import partitions, remainder
+from volpanel.llm.common import partitions, release_shuffles, remainder
 from volpanel.llm.ngram_join import word_hashes
 from volpanel.session import stage
 
-BLOCK = 1 << 20
+BLOCK = 3 << 18
 PIECE = 1 << 20
 DISCOUNT, CUTOFF = 0.75, 2
 HOT_SHARE = 1 / 4096
@@ -67,15 +67,16 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        bits = max(0, (top // max(1, n)).bit_length() - 1)
+        bits = min(56, max(0, (top // max(1, n)).bit_length() - 1))
         steps = (values >> np.uint64(bits)).astype(np.int64)
         flags = np.zeros((int(steps[-1]) if n else 0) + n + 1, np.uint8)
         flags[steps + np.arange(n)] = 1
-        plane = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        return cls(n, bits, np.packbits(plane.ravel()), np.packbits(flags))
+        plane = ((values[:, None] >> np.arange(bits, dtype=np.uint64)[::-1]) & np.uint64(1)).astype(np.uint8)
+        return cls(n, bits, np.r_[np.packbits(plane.ravel()), np.zeros(8, np.uint8)], np.packbits(flags))
 
     def __post_init__(self) -> None:
         self._starts: np.ndarray | None = None
+        self._words: np.ndarray | None = None
 
     def starts(self) -> np.ndarray:
         """How many numbers lie below each high part, found in the bit vector once."""
@@ -85,36 +86,54 @@ class EliasFano:
         return self._starts
 
     def _lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        data = np.asarray(self.low)
-        for j in range(self.low_bits):
-            bit = at * self.low_bits + j
-            out |= ((data[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(j)
-        return out
+        if not self.low_bits:
+            return np.zeros(len(at), np.uint64)
+        if self._words is None:
+            data = np.asarray(self.low)
+            # The eight bytes from each byte on, as one number, without a copy of them.
+            self._words = np.ndarray((len(data) - 7,), ">u8", buffer=data, strides=(1,))
+        bit = at.astype(np.int64) * self.low_bits
+        shift = (64 - self.low_bits - (bit & 7)).astype(np.uint64)
+        return (self._words[bit >> 3].astype(np.uint64) >> shift) & np.uint64((1 << self.low_bits) - 1)
 
     def values(self, at: np.ndarray) -> np.ndarray:
         at = at.astype(np.int64)
         high = np.searchsorted(self.starts()[1:], at, side="right").astype(np.uint64)
         return (high << np.uint64(self.low_bits)) | self._lows(at)
 
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """Position of the first number not below each wanted one."""
+    def _search(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of the first number not below each wanted one, and the end of the wanted one's high part."""
         wanted = wanted.astype(np.uint64)
         starts = self.starts()
-        steps = np.minimum(wanted >> np.uint64(self.low_bits), np.uint64(len(starts) - 1)).astype(np.int64)
-        left = np.minimum(starts[steps], self.n)
-        right = np.minimum(starts[np.minimum(steps + 1, len(starts) - 1)], self.n)
-        beyond = (wanted >> np.uint64(self.low_bits)) >= np.uint64(len(starts))
-        left, right = np.where(beyond, self.n, left), np.where(beyond, self.n, right)
+        high = wanted >> np.uint64(self.low_bits)
+        beyond = high >= np.uint64(len(starts))
+        steps = np.where(beyond, 0, high).astype(np.int64)
+        left = np.where(beyond, self.n, np.minimum(starts[steps], self.n))
+        end = np.where(beyond, self.n, np.minimum(starts[np.minimum(steps + 1, len(starts) - 1)], self.n))
         rest = wanted & np.uint64((1 << self.low_bits) - 1)
-        while True:
-            open_ = np.flatnonzero(left < right)
-            if not len(open_):
-                return left
-            middle = (left[open_] + right[open_]) // 2
-            below = self._lows(middle) < rest[open_]
-            left[open_[below]] = middle[below] + 1
-            right[open_[~below]] = middle[~below]
+        open_ = np.flatnonzero(left < end)
+        low, high_end, goal = left[open_], end[open_].copy(), rest[open_]
+        while len(open_):
+            middle = (low + high_end) // 2
+            below = self._lows(middle) < goal
+            low, high_end = np.where(below, middle + 1, low), np.where(below, high_end, middle)
+            done = low >= high_end
+            left[open_[done]] = low[done]
+            open_, low, high_end, goal = open_[~done], low[~done], high_end[~done], goal[~done]
+        return left, end
+
+    def successor(self, wanted: np.ndarray) -> np.ndarray:
+        """Position of the first number not below each wanted one."""
+        return self._search(wanted)[0]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Position of each wanted number, -1 where it is missing: its successor, if that is in the same high part and has the same low bits."""
+        at, end = self._search(wanted)
+        out = np.full(len(at), -1, np.int64)
+        inside = np.flatnonzero(at < end)
+        same = self._lows(at[inside]) == (wanted[inside].astype(np.uint64) & np.uint64((1 << self.low_bits) - 1))
+        out[inside[same]] = at[inside[same]]
+        return out
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits, len(self.low), len(self.high)], np.int64).view(np.uint8), self.low, self.high]
@@ -163,23 +182,17 @@ class Level:
         codes, weights, ranks = np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), np.int64)
         if not self.contexts.n:
             return codes, weights, ranks
-        at = self.contexts.successor(contexts)
-        known = np.flatnonzero(at < self.contexts.n)
-        known = known[self.contexts.values(at[known]) == contexts[known]]
+        # Neighbouring questions share their context, which is looked up once.
+        new = np.r_[True, contexts[1:] != contexts[:-1]] if len(contexts) else np.empty(0, bool)
+        at = self.contexts.find(contexts[new])[np.cumsum(new) - 1]
+        known = np.flatnonzero(at >= 0)
         weights[known] = np.asarray(self.weights)[at[known]]
         if not self.words.n:
             return codes, weights, ranks
-        word = self.words.successor(symbols[known])
-        inside = word < self.words.n
-        known, word = known[inside], word[inside]
-        inside = self.words.values(word) == symbols[known]
-        known, word = known[inside], word[inside]
-        wanted = at[known].astype(np.uint64) * np.uint64(self.words.n) + word.astype(np.uint64)
-        place = self.successors.successor(wanted)
-        inside = place < self.successors.n
-        known, place, wanted = known[inside], place[inside], wanted[inside]
-        inside = self.successors.values(place) == wanted
-        known, place = known[inside], place[inside]
+        word = self.words.find(symbols[known])
+        known, word = known[word >= 0], word[word >= 0]
+        place = self.successors.find(at[known].astype(np.uint64) * np.uint64(self.words.n) + word.astype(np.uint64))
+        known, place = known[place >= 0], place[place >= 0]
         codes[known] = np.asarray(self.codes)[place]
         ranks[known] = place - self.pointers.values(at[known]).astype(np.int64)
         return codes, weights, ranks
@@ -303,17 +316,30 @@ class Asked:
     place: np.ndarray
 
     @classmethod
-    def of(cls, context: np.ndarray, symbol: np.ndarray, train: np.ndarray, shards: int, hot: np.ndarray) -> Asked:
-        part = np.where(np.isin(context, hot), (symbol * MIX) >> np.uint64(64 - 6), np.uint64(0))
-        shard = (((context + part) * MIX) >> np.uint64(16)) % np.uint64(shards)
-        key = (shard << np.uint64(48)) | context
-        order = np.lexsort((symbol, key))
-        new = np.r_[True, (key[order][1:] != key[order][:-1]) | (symbol[order][1:] != symbol[order][:-1])] if len(order) else np.empty(0, bool)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        first = order[new]
-        times = np.bincount(place[train], minlength=len(first)).astype("<u4")
-        return cls(shard[first].astype(np.int32), context[first], symbol[first], times, place)
+    def of(cls, context: tuple[np.ndarray, np.ndarray], symbol: tuple[np.ndarray, np.ndarray], train: np.ndarray, shards: int, hot: np.ndarray) -> Asked:
+        """Contexts and symbols are given as distinct values and each token's position in them, so that pairs sort as whole numbers."""
+        (contexts, c), (symbols, w) = context, symbol
+        order = np.argsort(symbols)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[w]
+        # A split context counts as one context for each part.
+        often = np.flatnonzero(np.isin(contexts, hot))
+        parts = np.tile(np.arange(HOT_PARTS, dtype=np.uint64), len(often))
+        every, part = np.r_[contexts, np.repeat(contexts[often], HOT_PARTS)], np.r_[np.zeros(len(contexts), np.uint64), parts]
+        shard = (((every + part) * MIX) >> np.uint64(16)) % np.uint64(shards)
+        if len(often):
+            base = np.full(len(contexts), -1, np.int64)
+            base[often] = len(contexts) + HOT_PARTS * np.arange(len(often))
+            split = base[c] >= 0
+            c = np.where(split, base[c] + part_of(symbols)[w].astype(np.int64), c)
+        by = np.lexsort((part, every, shard))
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        keys, where = np.unique(number[c] * max(1, len(symbols)) + place, return_inverse=True)
+        of = by[keys // max(1, len(symbols))]
+        times = np.bincount(where[train], minlength=len(keys)).astype("<u4")
+        return cls(shard[of].astype(np.int32), every[of], symbols[order][keys % max(1, len(symbols))] if len(symbols) else symbols, times, where)
 
     def by_shard(self) -> Iterator[tuple[int, slice]]:
         borders = np.flatnonzero(np.r_[True, self.shard[1:] != self.shard[:-1], True]) if len(self.shard) else np.empty(0, np.int64)
@@ -325,7 +351,7 @@ class Asked:
         for shard, own in self.by_shard():
             context = self.context[own]
             new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            rows.append((shard, block, context[new].tobytes(), np.diff(np.r_[new, len(context)]).astype("<u4").tobytes(), _pack48(self.symbol[own]), self.times[own].tobytes()))
+            rows.append((shard, block, _pack48(context[new]), np.diff(np.r_[new, len(context)]).astype("<u4").tobytes(), _pack48(self.symbol[own]), self.times[own].tobytes()))
         return pd.DataFrame(rows, columns=["shard", "block", "contexts", "sizes", "symbols", "times"])
 
     def collect(self, answers: dict[int, tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,40 +380,52 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _pairs(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Context and symbol of each token on level 2."""
-    _, one = block.before()
-    return one & LOW48, block.words[block.tokens] & LOW48
+def part_of(symbols: np.ndarray) -> np.ndarray:
+    """Which part of a split context a following word belongs to."""
+    return (symbols * MIX) >> np.uint64(64 - 6)
+
+
+def _pairs(block: Block) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Context and symbol of each token on level 2, as distinct values and positions."""
+    words = block.words & LOW48
+    # Contexts are the block's words, the beginning of a text, and the words before the block's first piece.
+    extra = np.unique(block.leads[:, 1] & LOW48)
+    c = np.empty(len(block.tokens), np.int64)
+    c[1:] = block.tokens[:-1]
+    c[block.starts] = len(words) + np.searchsorted(extra, block.leads[:, 1] & LOW48)
+    contexts, again = np.unique(np.r_[words, extra], return_inverse=True)
+    return (contexts, again[c]), (words, block.tokens)
 
 
-def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple, tuple]:
     """Positions of the tokens whose two words before are a kept pair, with context and symbol on level 3; symbol 0 stands for all unkept pairs."""
     codes, _, ranks = answers
-    kept = codes[two.place] > 0
-    before_kept = np.r_[False, kept[:-1]]
+    kept = codes > 0
+    before_kept = np.r_[False, kept[two.place[:-1]]]
     before_kept[block.starts] = False
     at = np.flatnonzero(before_kept)
-    first, second = block.before()
-    context = (first * MIX ^ (second + MIX) * (MIX ^ np.uint64(0x5555))) & LOW48
+    pair, own = two.place[at - 1], two.place[at]
+    named = (two.context * MIX ^ (two.symbol + MIX) * (MIX ^ np.uint64(0x5555))) & LOW48
     # The position among the middle word's successors, told apart by the part of a split context.
-    part = (block.words[block.tokens] & LOW48) * MIX >> np.uint64(64 - 6)
-    symbol = np.where(kept, ((ranks[two.place].astype(np.uint64) + np.uint64(1)) << np.uint64(6)) | part, np.uint64(0))
-    return at, context[at], symbol[at]
-
-
-def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tuple[Level, list[tuple], dict[int, float]]:
-    """The shard's level, its requests as arrays, and the kept mass of split contexts."""
-    asked = []
-    for contexts, sizes, symbols, times in zip(rows["contexts"], rows["sizes"], rows["symbols"], rows["times"]):
-        asked.append((np.frombuffer(contexts, np.uint64), np.frombuffer(sizes, "<u4").astype(np.int64), _unpack48(symbols), np.frombuffer(times, "<u4").astype(np.int64)))
-    context = np.concatenate([np.repeat(c, n) for c, n, _, _ in asked])
-    symbol = np.concatenate([s for _, _, s, _ in asked])
-    times = np.concatenate([t for *_, t in asked])
+    symbol = np.where(kept, ((ranks.astype(np.uint64) + np.uint64(1)) << np.uint64(6)) | part_of(two.symbol), np.uint64(0))
+    contexts, c = np.unique(named[pair], return_inverse=True)
+    symbols, w = np.unique(symbol[own], return_inverse=True)
+    return at, (contexts, c), (symbols, w)
+
+
+def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray, dict[int, float]]:
+    """The shard's level, its distinct questions, which of them each block's questions are, and the kept mass of split contexts."""
+    context = np.concatenate([np.repeat(_unpack48(c), np.frombuffer(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
+    symbol = np.concatenate([_unpack48(x) for x in rows["symbols"]])
+    times = np.concatenate([np.frombuffer(x, "<u4") for x in rows["times"]]).astype(np.int64)
     order = np.lexsort((symbol, context))
-    context, symbol, times = context[order], symbol[order], times[order]
+    context, symbol = context[order], symbol[order]
     new = np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]
-    times = np.add.reduceat(times, np.flatnonzero(new))
+    asked = np.empty(len(order), np.int32)
+    asked[order] = np.cumsum(new, dtype=np.int32) - 1
+    times = np.add.reduceat(times[order], np.flatnonzero(new))
     context, symbol = context[new], symbol[new]
+    del order, new
     start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     number = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
     total = np.add.reduceat(times, start)
@@ -403,7 +441,7 @@ def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tu
         names[used], np.bincount(place[number[keep]], minlength=int(used.sum())), symbol[keep], probability, np.maximum(1e-8, 1 - mass[used])
     )
     split = {int(c): float(m) for c, m in zip(names, mass) if int(c) in hot_totals} if hot_totals else {}
-    return level, asked, split
+    return level, context, symbol, asked, split
 
 
 def _answers(requests: DataFrame, hot_totals: dict[int, int], other: bool) -> DataFrame:
@@ -411,16 +449,20 @@ def _answers(requests: DataFrame, hot_totals: dict[int, int], other: bool) -> Da
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        built, asked, split = _level_of(rows, hot_totals, other)
+        built, context, symbol, asked, split = _level_of(rows, hot_totals, other)
         raw = built.to_bytes()
-        level = Level.of_buffer(np.frombuffer(raw, np.uint8))
+        codes, weights, ranks = Level.of_buffer(np.frombuffer(raw, np.uint8)).find(context, symbol)
+        ranks = ranks.astype("<u4")
         shard = int(rows["shard"].iloc[0])
         hot = np.array([x for c, m in split.items() for x in (float(np.uint64(c)), m)], np.float64).tobytes()
         out = [("", shard, raw, b"", b"", hot)]
-        for block, (contexts, sizes, symbols, _) in zip(rows["block"], asked):
-            codes, weights, ranks = level.find(np.repeat(contexts, sizes), symbols)
-            own = np.r_[0, np.cumsum(sizes)[:-1]]
-            out.append((block, shard, codes.tobytes(), weights[own].tobytes(), ranks[codes > 0].astype("<u4").tobytes(), b""))
+        begin = 0
+        for block, sizes in zip(rows["block"], rows["sizes"]):
+            sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+            own = asked[begin : begin + int(sizes.sum())]
+            begin += len(own)
+            found = codes[own]
+            out.append((block, shard, found.tobytes(), weights[own[np.r_[0, np.cumsum(sizes)[:-1]]]].tobytes(), ranks[own[found > 0]].tobytes(), b""))
         return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "ranks", "hot"])
 
     return requests.groupBy("shard").applyInPandas(answer, ANSWER)
@@ -470,6 +512,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     shards = min(1 << 15, partitions(spark))
     kept = stage(blocks(docs, folds, held), "token-blocks")
     counted = stage(_count_words(kept, shards), "word-counts")
+    release_shuffles(spark)
     row = counted.where("block = ''").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     vocabulary, tokens = row["v"], row["n"]
 
@@ -489,6 +532,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 yield Asked.of(*_pairs(block), block.train, shards, hot).requests(row["block"])
 
     pairs = stage(_answers(kept.mapInPandas(ask_pairs, REQUEST), hot_totals, other=False), "level-2")
+    release_shuffles(spark)
     weight_of: dict[int, float] = {}
     for r in pairs.where("block = ''").select("hot").collect():
         for c, m in np.frombuffer(r["hot"], np.float64).reshape(-1, 2):
@@ -506,6 +550,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     triples = stage(
         _answers(kept.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask_triples, REQUEST), {}, other=True), "level-3"
     )
+    release_shuffles(spark)
     every = (
         counted.where("block <> ''").select("block", "shard", F.lit(1).alias("level"), F.col("counts").alias("codes"), F.lit(b"").alias("weights"), F.lit(b"").alias("ranks"))
         .unionByName(answered.withColumn("level", F.lit(2)))
@@ -519,14 +564,13 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for s, (raw, _, _) in _by_shard(right[right["level"] == 1]).items():
             times[shard == s] = np.frombuffer(raw, "<u4")
         single = (times[block.tokens] + 1) / (tokens + vocabulary + 1)
-        context, symbol = _pairs(block)
-        two = Asked.of(context, symbol, block.train, shards, hot)
+        two = Asked.of(*_pairs(block), block.train, shards, hot)
         answers = two.collect(_by_shard(right[right["level"] == 2]))
-        weight = decode(answers[1], 1.0)[two.place]
+        weight = decode(answers[1], 1.0)
         if len(hot_names):
-            of = np.minimum(np.searchsorted(hot_names, context), len(hot_names) - 1)
-            weight = np.where(hot_names[of] == context, hot_weights[of], weight)
-        pair = decode(answers[0], 0.0)[two.place] + weight * single
+            of = np.minimum(np.searchsorted(hot_names, two.context), len(hot_names) - 1)
+            weight = np.where(hot_names[of] == two.context, hot_weights[of], weight)
+        pair = decode(answers[0], 0.0)[two.place] + weight[two.place] * single
         at, context, symbol = _triples(block, two, answers)
         three = Asked.of(context, symbol, block.train[at], shards, none)
         codes, weights, _ = three.collect(_by_shard(right[right["level"] == 3]))

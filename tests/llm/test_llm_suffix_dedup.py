@@ -94,6 +94,17 @@ def test_merged_transforms_give_order_and_common_prefixes():
     assert [interval[i] == interval[i + 1] for i in range(len(merged) - 1)] == [merged[i] == merged[i + 1] for i in range(len(merged) - 1)]
 
 
+def test_two_symbols_a_round_find_the_same_intervals():
+    rng = random.Random(8)
+    strings = ["".join(rng.choice("ab\x00") for _ in range(rng.randrange(1, 40))).encode() for _ in range(30)]
+    shards = [strings[:11], strings[11:]]
+    made = [S.index(s) for s in shards]
+    one, two = (S.merge_transforms([t for _, t, _ in made], [x for *_, x in made], 8, step) for step in (1, 2))
+    assert one[0].tolist() == two[0].tolist()
+    assert (np.diff(one[1]) > 0).tolist() == (np.diff(two[1]) > 0).tolist()
+    assert ((one[2] // 2 * 2) == two[2]).all()
+
+
 def test_repeated_lists_all_places():
     strings = [b"xxabcdefyy", b"abcdefabcdef", b"zzz"]
     found = {tuple(sorted(map(tuple, g.tolist()))) for g in S.repeated(strings, 6, shard_bytes=8)}

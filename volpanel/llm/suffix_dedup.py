@@ -41,7 +41,7 @@ LENGTH = 100
 CHUNK = 1 << 20
 BUCKET_BYTES = 1 << 18
 SHARD_BYTES = 1 << 15
-HOT = 2000
+HOT = 20_000
 #: A place packs the ordinal of a text among those of its id above the byte offset.
 ORDINAL = 1 << 40
 #: An anchor is two windows of the fingerprint's span, one behind the other.
@@ -164,60 +164,53 @@ def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
     return told.mapInPandas(keep, "doc long, place long, text string, h array<long>, c array<long>, at array<long>, more array<long>")
 
 
-def suffix_array(text: np.ndarray, strings: int) -> np.ndarray:
-    """Suffix order of symbols in which 0 ends each of the strings and the end of an earlier string is the smaller one."""
-    n = len(text)
-    ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + strings
-    rank[ends] = np.arange(len(ends))
-    span = 1
-    while True:
-        following = np.zeros(n, np.int64)
-        following[: n - span] = rank[span:] + 1
-        key = rank * (n + strings + 512) + following
-        order = np.argsort(key, kind="stable")
-        step = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
-            return order
-        span *= 2
-
-
 def index(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array of the strings, each closed by a 0, with its transform and where each suffix's longer one stands; a byte b is the symbol b + 1."""
-    text = np.concatenate([np.r_[np.frombuffer(s, np.uint8).astype(np.int16) + 1, np.int16(0)] for s in strings])
-    order = suffix_array(text, len(strings))
+    """Suffix array of UTF-8 strings, each closed by a 0, with its transform and where each suffix's longer one stands; a byte b is the symbol b + 1."""
+    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8) + np.uint8(1)
+    width = max(len(s) for s in strings) + 1
+    # Symbols up to the string's end and zeros from there on, as one fixed-width text for each suffix.
+    windows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(width, np.uint8)], width)[: len(text)].copy()
+    ends = np.flatnonzero(text == 0)
+    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
+    windows[np.arange(width) >= left[:, None]] = 0
+    order = np.argsort(windows.view(f"S{width}").ravel(), kind="stable").astype(np.int32)
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     return order, text[order - 1], rank[order - 1]
 
 
-def merge_transforms(transforms: Sequence[np.ndarray], longer: Sequence[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_transforms(
+    transforms: Sequence[np.ndarray], longer: Sequence[np.ndarray], depth: int, step: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interleave of the shards' suffixes that share their first ``depth`` symbols with another one.
 
     Gives the suffixes (numbered through all shards) in order of these symbols, the interval each is in, and for every suffix of the shards the
     length of the longest prefix, up to ``depth``, that it has in common with any other. A round reads the transforms along the interleave and deals the suffixes
-    that are one symbol longer to the symbols' places. A suffix alone in its interval stays so when it grows, so it
-    leaves the interleave and only its length is kept. No suffix is compared with another one.
+    that are ``step`` symbols longer, one or two, to the symbols' places; with two, lengths are told in steps of two. A suffix alone in its
+    interval stays so when it grows, so it leaves the interleave and only its length is kept. No suffix is compared with another one.
     """
     starts = np.cumsum([0] + [len(t) for t in transforms])
     symbols = np.concatenate(transforms)
     onward = np.concatenate([x + s for x, s in zip(longer, starts)]).astype(np.int32)
+    if step == 2:
+        # Two symbols back; a 0 for either of them says that the string begins before.
+        second = symbols[onward]
+        symbols = np.where((symbols > 0) & (second > 0), (second.astype(np.uint16) << 8) | symbols, 0).astype(np.uint16)
+        onward = onward[onward]
     common = np.zeros(len(symbols), np.int32)
     here, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
-    for done in range(depth):
+    for done in range(0, depth, step):
         read = symbols[here]
-        inside = read > 0
+        inside = np.flatnonzero(read)
         read, here, interval = read[inside], here[inside], interval[inside]
         order = np.argsort(read, kind="stable")
         read, before = read[order], interval[order]
         border = np.ones(len(read) + 1, bool)
         border[1:-1] = (read[1:] != read[:-1]) | (before[1:] != before[:-1])
-        several = ~(border[:-1] & border[1:])
+        several = np.flatnonzero(~(border[:-1] & border[1:]))
         here = onward[here[order[several]]]
         interval = np.cumsum(border[:-1], dtype=np.int32)[several]
-        common[here] = done + 1
+        common[here] = done + step
         if not len(here):
             break
     return here, interval, common
@@ -239,7 +232,7 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
         starts = np.cumsum([0] + [len(strings[i]) + 1 for i in shard])
         of = np.searchsorted(starts, order, side="right") - 1
         place.append(np.stack([np.array(shard)[of], order - starts[of]], axis=1))
-    here, interval, _ = merge_transforms([t for _, t, _ in made], [x for *_, x in made], length)
+    here, interval, _ = merge_transforms([t for _, t, _ in made], [x for *_, x in made], length, 2 - length % 2)
     if not len(here):
         return []
     return np.split(np.concatenate(place)[here], np.flatnonzero(interval[1:] != interval[:-1]) + 1)
@@ -305,11 +298,18 @@ def _covered_by_hash(contexts: DataFrame, length: int) -> DataFrame:
 
     def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for doc, at, context in zip(part["doc"], part["at"], part["context"]):
-                s1, s2 = _string_hashes(np.frombuffer(bytes(context), np.uint8), length, 2)
-                yield pd.DataFrame({"s1": s1, "s2": s2, "doc": doc, "at": at + np.arange(len(s1))})
-
-    strings = contexts.mapInPandas(explode, "s1 long, s2 long, doc long, at long")
+            sizes = part["context"].map(len).to_numpy(np.int64)
+            if not sizes.sum():
+                continue
+            ends = np.cumsum(sizes)
+            s1, s2 = _string_hashes(np.frombuffer(b"".join(part["context"]), np.uint8), length, 2)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[: len(s1)]
+            inside = np.flatnonzero(np.arange(len(s1)) + length <= ends[owner])
+            of = owner[inside]
+            at = part["at"].to_numpy(np.int64)[of] + inside - (ends - sizes)[of]
+            yield pd.DataFrame({"s1": s1[inside], "s2": s2[inside], "doc": part["doc"].to_numpy(np.int64)[of], "at": at})
+
+    strings = stage(contexts.mapInPandas(explode, "s1 long, s2 long, doc long, at long"), "strings")
     first = strings.groupBy("s1", "s2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     return strings.join(first, ["s1", "s2"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
 

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -6,9 +7,11 @@ import pytest
 from pyspark.errors import PySparkException
 
 from helpers import business_days, close_to, frame, pandas_sorted, walk
+from volpanel.functions import small_stats as S
 from volpanel.operators import features as W
 from volpanel.operators import garch as Z
 from volpanel.operators import metrics as E
+from volpanel.operators import trend as Y
 from volpanel.operators.folds import CountedFolds, LastShare, StepFolds, assign_folds, expanding_folds, fold_table
 from volpanel.operators.panel import number_rows
 from volpanel.operators.regression import fit_folds, predict_folds
@@ -16,6 +19,7 @@ from volpanel.operators.trend import one_sided_gap
 from volpanel.plans import datasets as D
 from volpanel.plans import experiments as P
 from volpanel.plans import forecasts as C
+from volpanel.session import scratch_path, stage, staging
 
 
 def numbered(spark, n, series="a"):
@@ -198,8 +202,8 @@ def test_garch_recursion_and_recovery():
         s = omega + alpha * r[t] ** 2 + beta * s
     (w, a, b), start = Z.fit_parameters(r)
     assert abs(a - alpha) < 0.03 and abs(b - beta) < 0.06
-    mine = Z._negative_log_likelihood(np.array([w, a, b]), r, start)
-    assert mine <= Z._negative_log_likelihood(np.array([omega, alpha, beta]), r, start) + 1e-6
+    mine, true = Z._negative_log_likelihood(r * r, start, np.array([w, omega]), np.array([a, alpha]), np.array([b, beta]))
+    assert mine <= true + 1e-6
     first, h = 2.0, 5
     path = [first]
     for _ in range(h - 1):
@@ -256,3 +260,58 @@ def test_log_fit_leaves_out_zero_volatility(spark):
     x = np.column_stack([np.ones(159), pdf.rv_m[keep]])
     close_to(coefs.beta, np.linalg.pinv(x) @ np.log(pdf.target[keep]), 1e-6)
     assert coefs.n_train == 159
+
+
+def test_staged_tables_go_with_their_owner(spark):
+    with staging(spark) as folder:
+        rows = stage(spark.range(5), "owned")
+        assert rows.count() == 5 and os.path.isdir(folder.removeprefix("file://"))
+        with staging(spark) as inner:
+            assert scratch_path(spark, "x").startswith(inner) and inner.startswith(folder)
+    assert not os.path.exists(folder.removeprefix("file://"))
+    assert not scratch_path(spark, "x").startswith(folder)
+
+
+def test_level_feature_has_the_least_squares_slope(spark):
+    """A price level of mean 5000 and spread 1 beside variances; the same fit when a constant column joins it."""
+    rng = np.random.default_rng(21)
+    pdf = supervised(spark, 300)
+    pdf["level"] = 5000 + rng.normal(size=300)
+    pdf["fixed"] = 3.5
+    pdf["target"] = 0.30 * pdf.level + 200 * pdf.rv_m + rng.normal(0, 0.01, 300) - 1490
+    data = number_rows(frame(spark, pdf))
+    coefs = fit_folds(data, {"x": ["rv_m", "level"], "y": ["rv_m", "level", "fixed"]}, CountedFolds(3, 5, 0))
+    for r in coefs.collect():
+        names = ["rv_m", "level"] if r.config == "x" else ["rv_m", "level", "fixed"]
+        x = np.column_stack([np.ones(r.train_end), pdf[names][: r.train_end]])
+        want = np.linalg.lstsq(x - 0, pdf.target[: r.train_end], rcond=None)[0]
+        got = [r.beta[0]] + [r.beta[1 + r.features.index(n)] for n in names]
+        close_to(x @ got, x @ want, 1e-7)
+        if r.config == "x":
+            close_to(got[2], want[2], 1e-6)
+
+
+def test_no_tested_garch_row_is_lost(spark):
+    pdf = walk(150, 8)
+    pdf.loc[:70, "close"] = 100.0
+    df = frame(spark, pdf)
+    data = number_rows(D.base_dataset(W.close_variance(df).dropna(), 5).drop("rn", "n"))
+    scheme = CountedFolds(5, 1, 0)
+    out = Z.garch_forecasts(data, df, scheme, 5).toPandas()
+    tested = assign_folds(data, scheme).filter("test_fold IS NOT NULL").count()
+    assert len(out) == tested and (out.fitted == out.garch_forecast.notna()).all()
+    assert not out.fitted[out.fold == 1].any() and out.fitted[out.fold == 5].all()
+
+
+def test_incomplete_beta_of_large_counts():
+    total = np.array([2e6, 1e4])
+    k = np.array([999_000.0, 4_900.0])
+    p = 2 * S.incomplete_beta(total - k, k + 1, np.full(2, 0.5))
+    z = (k + 0.5 - total / 2) / np.sqrt(total / 4)
+    close_to(p, [math.erfc(-v / math.sqrt(2)) for v in z], 1e-3)
+
+
+def test_trend_gains_settle_or_fail():
+    assert len(Y.trend_gains(1e7)) < 20_000
+    with pytest.raises(ArithmeticError):
+        Y.trend_gains(14400.0, limit=50)

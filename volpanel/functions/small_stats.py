@@ -33,7 +33,9 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = np.ones_like(t)
         d = 1 / guard(1 - (p + q) * t / (p + 1))
         h = d.copy()
-        for m in range(1, 100_000):
+        m = 0
+        while True:
+            m += 1
             even = m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m))
             d, c = 1 / guard(1 + even * d), guard(1 + even / c)
             h = h * d * c
@@ -41,7 +43,13 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d, c = 1 / guard(1 + odd * d), guard(1 + odd / c)
             step = d * c
             h = h * step
-            if np.all(np.abs(step - 1) < 1e-15):
+            # A step repeats its last digits at the latest; far more terms than the larger parameter's root are never needed.
+            if np.all((np.abs(step - 1) < 1e-15) | np.isnan(step)):
+                break
+            if m > 1000 + 50 * math.sqrt(float(np.max(p) + np.max(q))):
+                worst = np.nanmax(np.abs(step - 1))
+                if worst > 1e-13:
+                    raise ArithmeticError(f"incomplete beta: last step {worst:g} after {m} terms")
                 break
         front = np.exp(p * np.log(t) + q * np.log1p(-t) - _log_beta(p, q)) / p
         value = np.where(t <= 0, 0.0, front * h)
@@ -90,28 +98,51 @@ def normal_quantile(p: Column) -> Column:
     return _normal_quantile(p)
 
 
+def _solve(g: np.ndarray, v: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Minimum-norm coefficients of the raw design from cross-products of shifted features; position 0 is the intercept."""
+    n, m, y0 = g[0, 0], g[0, 1:] / g[0, 0], v[0] / g[0, 0]
+    centred, cross = g[1:, 1:] - n * np.outer(m, m), v[1:] - m * v[0]
+    spread, at = np.diag(centred), m + shift
+    # What digits cannot tell from a constant: lost in its own sum of squares, or in the digits of the level itself.
+    moves = (spread > 1e-12 * np.diag(g)[1:]) & (spread > n * (1e-11 * np.abs(at)) ** 2)
+    sd = np.sqrt(np.where(moves, spread, 1.0))
+    used = np.flatnonzero(moves)
+    roots, vectors = np.linalg.eigh((centred / np.outer(sd, sd))[np.ix_(used, used)])
+    real = roots > 1e-11 * max(1, len(used))
+    slopes = np.zeros(len(m))
+    slopes[used] = vectors[:, real] @ ((vectors[:, real].T @ (cross / sd)[used]) / roots[real]) / sd[used]
+    beta = np.r_[y0 - slopes @ at, slopes]
+    free = [np.eye(len(m))[j] for j in np.flatnonzero(~moves)]
+    for z in vectors[:, ~real].T:
+        direction = np.zeros(len(m))
+        direction[used] = z / sd[used]
+        free.append(direction)
+    if free:
+        null = np.stack([np.r_[-d @ at, d] for d in free], axis=1)
+        null = null / np.linalg.norm(null, axis=0)
+        beta = beta - null @ np.linalg.lstsq(null, beta, rcond=None)[0]
+    return beta
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def solve_normal_equations(gram: pd.Series, xty: pd.Series, picked: pd.Series, scale: pd.Series) -> pd.Series:
-    """Minimum-norm least squares from sufficient statistics, one aggregated row per fit.
+def solve_normal_equations(gram: pd.Series, xty: pd.Series, picked: pd.Series, shift: pd.Series) -> pd.Series:
+    """Least squares with intercept from sufficient statistics, one aggregated row per fit.
 
-    ``gram`` is the full k×k cross-product row by row, ``picked`` the positions a feature set uses. All
-    rows of a batch with the same feature set are solved in one stacked call. Positions not picked get 0.
+    ``gram`` is the full k×k cross-product row by row of (1, features − ``shift``), ``picked`` the positions a feature set
+    uses, 0 among them. Centring and scaling come from the sums themselves, so a feature's level and unit don't
+    matter; what a constant or dependent feature leaves open gets the smallest coefficients, as a pseudo-inverse of the raw design gives.
+    Positions not picked get 0; a fit without rows is NULL.
     """
     out: list[np.ndarray | None] = [None] * len(gram)
-    by_set: dict[tuple[int, ...], list[int]] = {}
     for i, ids in enumerate(picked):
-        if gram.iloc[i] is not None and xty.iloc[i] is not None:
-            by_set.setdefault(tuple(int(j) for j in ids), []).append(i)
-    for ids, rows in by_set.items():
-        s = np.asarray(scale.iloc[rows[0]], dtype=float)
-        k = len(s)
-        g = np.stack([np.asarray(gram.iloc[i], dtype=float).reshape(k, k) for i in rows])
-        v = np.stack([np.asarray(xty.iloc[i], dtype=float) for i in rows])
-        at = np.asarray(ids)
-        g, v = g[:, at[:, None], at[None, :]], v[:, at]
-        beta = (np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ v[..., None])[..., 0]
-        full = np.zeros((len(rows), k))
-        full[:, at] = beta * s[at]
-        for i, b in zip(rows, full):
-            out[i] = b
+        if gram.iloc[i] is None or xty.iloc[i] is None or shift.iloc[i] is None:
+            continue
+        v = np.asarray(xty.iloc[i], dtype=float)
+        k, at = len(v), np.asarray(ids, dtype=int)
+        g = np.asarray(gram.iloc[i], dtype=float).reshape(k, k)
+        if not g[0, 0] > 0:
+            continue
+        full = np.zeros(k)
+        full[at] = _solve(g[np.ix_(at, at)], v[at], np.asarray(shift.iloc[i], dtype=float)[at[1:] - 1])
+        out[i] = full
     return pd.Series(out, dtype=object)

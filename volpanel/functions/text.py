@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LOCAL_ZONE = "America/Sao_Paulo"
 
@@ -15,15 +14,59 @@ LOCAL_ZONE = "America/Sao_Paulo"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: Numeric references that HTML reads as the Windows character of that number.
+_WINDOWS = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}
+#: Names that count without a semicolon, longest first, so that the first match is the longest one.
+_SHORT_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def _character(code: Column) -> Column:
+    """Character of a code point given as a decimal number, by the rules for HTML references."""
+    n = code.cast("long")
+    lost = (code > 0x10FFFF) | (code == 0) | code.between(0xD800, 0xDFFF)
+    none = (
+        code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
+    windows = F.element_at(F.from_json(F.lit(json.dumps(_WINDOWS)), "map<string,string>"), n.cast("string"))
+    safe = F.when(lost | none, 32).otherwise(n)
+    plain = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(lost, "\ufffd").when(code.between(0x80, 0x9F), windows).when(none, "").otherwise(plain)
+
+
+def _resolved(piece: Column) -> Column:
+    """What stands behind an ampersand, its reference resolved; an unknown one keeps the ampersand."""
+    number = F.regexp_extract(piece, "^#(?:([0-9]+)|[xX][0-9a-fA-F]+);?", 1)
+    digits = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+);?", 1)
+    # More digits than a code point can have leave the range, however many there are.
+    tail = F.substring(F.concat(F.lit("0" * 8), F.regexp_replace(digits, "^0+", "")), -8, 8)
+    from_hex = F.when(F.length(F.regexp_replace(digits, "^0+", "")) > 7, F.lit(0x110000)).otherwise(F.conv(tail, 16, 10).cast("decimal(20,0)"))
+    short = F.regexp_replace(number, "^0+", "")
+    from_number = F.when(F.length(short) > 8, F.lit(0x110000)).when(short == "", F.lit(0)).otherwise(short.cast("decimal(20,0)"))
+    after_number = F.regexp_replace(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
+    name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
+    known = F.element_at(F.from_json(F.lit(json.dumps(html5)), "map<string,string>"), name)
+    part = F.regexp_extract(piece, "^(?:" + "|".join(_SHORT_NAMES) + ")", 0)
+    short_known = F.element_at(F.from_json(F.lit(json.dumps({n: html5[n] for n in _SHORT_NAMES})), "map<string,string>"), part)
+    return (
+        F.when(number != "", F.concat(_character(from_number), after_number))
+        .when(digits != "", F.concat(_character(from_hex), after_number))
+        .when((name != "") & known.isNotNull(), F.concat(known, F.substr(piece, F.length(name) + 1)))
+        .when((part != "") & (F.length(part) < F.length(name) + 1), F.concat(short_known, F.substr(piece, F.length(part) + 1)))
+        .otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
+def unescaped(text: Column) -> Column:
+    """References resolved by the full HTML 5 table. Texts without an ampersand pass untouched."""
+    pieces = F.split(text, "&", -1)
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _resolved)
+    return F.when(F.instr(text, "&") > 0, F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(text)
 
 
 def plain_text(markup: Column) -> Column:
     """Tags to blanks, entities resolved (the full HTML 5 table), white space collapsed and trimmed."""
     no_tags = F.regexp_replace(markup, r"<[^>]+>", " ")
-    return F.trim(F.regexp_replace(_unescape(no_tags), _SPACE, " "))
+    return F.trim(F.regexp_replace(unescaped(no_tags), _SPACE, " "))
 
 
 def short_hash(text: Column) -> Column:

@@ -15,11 +15,15 @@ def blended_target(survey: DataFrame, targets: DataFrame, date: str = "date") ->
     is (year, meta), one row per year.
     """
     d = F.col(date)
-    # One row per calendar year after the aggregation, so never more than 9,999 rows to broadcast.
-    per_year = targets.groupBy(F.col("year").cast("int").alias("year")).agg(F.max(F.col("meta").cast("double")).alias("meta"))
-    lookup = lambda y, m: F.broadcast(per_year.select(F.col("year").alias(y), F.col("meta").alias(m)))
-    rows = survey.withColumns({"_y0": F.year(d), "_y1": F.year(F.date_add(d, 365))})
-    rows = rows.join(lookup("_y0", "_m0"), "_y0", "left").join(lookup("_y1", "_m1"), "_y1", "left")
+    # One row per calendar year after the aggregation, so never more than 9,999 rows to broadcast. A target is the current
+    # one of its year and the next one of the year before.
+    year, meta = F.col("year").cast("int"), F.col("meta").cast("double")
+    seen = targets.filter(meta.isNotNull()).select(
+        F.explode(F.array(F.struct(year.alias("_y0"), meta.alias("_m0"), F.lit(None).cast("double").alias("_m1")),
+                          F.struct((year - 1).alias("_y0"), F.lit(None).cast("double").alias("_m0"), meta.alias("_m1")))).alias("_t")
+    )
+    per_year = seen.select("_t.*").groupBy("_y0").agg(F.max("_m0").alias("_m0"), F.max("_m1").alias("_m1"))
+    rows = survey.withColumns({"_y0": F.year(d), "_y1": F.year(F.date_add(d, 365))}).join(F.broadcast(per_year), "_y0", "left")
     share = F.datediff(F.make_date(F.col("_y0") + 1, F.lit(1), F.lit(1)), d) / F.lit(365.0)
     mixed = share * F.col("_m0") + (1 - share) * F.coalesce("_m1", "_m0")
     meta = F.when(F.col("_y0") == F.col("_y1"), F.col("_m0")).otherwise(mixed)

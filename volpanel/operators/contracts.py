@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volpanel.operators.panel import SERIES, series_window
+from volpanel.operators.panel import SERIES, require_daily, series_window
 
 PRICE_COLUMNS = ("settlement", "open", "last", "low", "high")
 
@@ -26,5 +26,6 @@ def front_contract(
     )
     pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), rank) if fill_from_next else rank).alias(c)
     front = contracts.groupBy(*keys, time).agg(F.max_by("ticker", rank).alias("ticker"), *[pick(c) for c in columns])
+    require_daily(contracts, time)
     previous = F.lag("ticker").over(series_window(keys, time))
     return front.withColumn("contract_changed", F.coalesce(F.col("ticker") != previous, F.lit(False)))

@@ -1,7 +1,8 @@
-"""GARCH(1,1) walk-forward forecasts: one fit per (series, fold), all fits in parallel.
+"""GARCH(1,1) walk-forward forecasts, all series in parallel.
 
-A fit is sequential in time, so its unit is one DATE-keyed series up to the fold's test end. That is at most
-one number per calendar day, whatever the raw volume behind the daily panel was.
+A fit is sequential in time, so its unit is one DATE-keyed series: at most one number per calendar day, whatever the raw
+volume behind the daily panel was. A series is sent once and all its folds are fitted in one group. The likelihood of
+all candidate parameters of a round is one vectorised pass over the days.
 """
 
 from __future__ import annotations
@@ -16,9 +17,16 @@ from pyspark.sql import types as T
 
 from volpanel.functions.market import TRADING_DAYS, log_return
 from volpanel.operators.folds import Scheme, assign_folds, fold_table
-from volpanel.operators.panel import SERIES, series_window
+from volpanel.operators.panel import SERIES, require_daily, series_window
 
 RESCALE = 100.0
+#: The search: rounds of a 5 × 5 × 5 grid around the best point so far, each round's steps half as wide.
+ROUNDS = 14
+FIRST_POINT = (0.10, 0.80, 0.0)
+FIRST_STEPS = (0.05, 0.10, 0.40)
+GRID = (-2, -1, 0, 1, 2)
+LEAST_ROWS = 3
+MOST_PERSISTENCE = 0.9999
 
 
 def conditional_variance(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
@@ -43,45 +51,34 @@ def _back_cast(r: np.ndarray) -> float:
     return float(np.sum(w * r[:m] ** 2) / w.sum())
 
 
-def _negative_log_likelihood(theta: np.ndarray, r: np.ndarray, start: float) -> float:
-    omega, alpha, beta = theta
-    if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 0.99999:
-        return np.inf
-    s = conditional_variance(r, omega, alpha, beta, start)[:-1]
-    return float(0.5 * np.sum(np.log(s) + r * r / s))
+def _negative_log_likelihood(squares: np.ndarray, start: float, omega: np.ndarray, alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Of many parameter sets at once."""
+    s = omega + (alpha + beta) * start
+    total = np.zeros_like(s)
+    for x in squares.tolist():
+        total += np.log(s) + x / s
+        s = omega + alpha * x + beta * s
+    return 0.5 * total
+
 
+def fit_parameters(r: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(ω, α, β) of the greatest likelihood found, and the start of the recursion.
 
-def fit_parameters(r: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """(ω, α, β) by Nelder–Mead from the best of a small grid of starts with the sample variance."""
-    start, var = _back_cast(r), float(np.mean(r * r))
-    grid = [np.array([var * (1 - a - b), a, b]) for a in (0.01, 0.05, 0.1, 0.2) for b in (0.5, 0.7, 0.8, 0.9, 0.95) if a + b < 0.999]
-    cost = lambda p: _negative_log_likelihood(p, r, start)
-    best = min(grid, key=cost)
-    simplex = [best] + [best + d for d in np.diag([max(best[0] * 0.3, 1e-8), 0.04, -0.1])]
-    values = [cost(p) for p in simplex]
+    A point is (α, β, γ) with ω = (1 − α − β)·e^γ times the sample variance. Every round looks at the same number of points around
+    the best one so far, so the work and the precision, the last step width, are the same for every fold.
+    """
+    start, var, squares = _back_cast(r), float(np.mean(r * r)), r * r
+    best, steps = np.array(FIRST_POINT), np.array(FIRST_STEPS)
+    moves = np.array([(a, b, c) for a in GRID for b in GRID for c in GRID], float)
     for _ in range(rounds):
-        order = np.argsort(values)
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        if values[-1] - values[0] < 1e-9:
-            break
-        centre = np.mean(simplex[:-1], axis=0)
-        move = lambda k: centre + k * (simplex[-1] - centre)
-        p = move(-1.0)
-        v = cost(p)
-        if v < values[0]:
-            q = move(-2.0)
-            w = cost(q)
-            p, v = (q, w) if w < v else (p, v)
-        elif v >= values[-2]:
-            q = move(0.5 if v >= values[-1] else -0.5)
-            w = cost(q)
-            if w >= min(v, values[-1]):
-                simplex = [simplex[0]] + [simplex[0] + 0.5 * (s - simplex[0]) for s in simplex[1:]]
-                values = [values[0]] + [cost(s) for s in simplex[1:]]
-                continue
-            p, v = q, w
-        simplex[-1], values[-1] = p, v
-    return simplex[int(np.argmin(values))], start
+        points = best + moves * steps
+        alpha, beta = points[:, 0], points[:, 1]
+        valid = (alpha >= 0) & (beta >= 0) & (alpha + beta <= MOST_PERSISTENCE)
+        points, alpha, beta = points[valid], alpha[valid], beta[valid]
+        cost = _negative_log_likelihood(squares, start, var * (1 - alpha - beta) * np.exp(points[:, 2]), alpha, beta)
+        best, steps = points[int(np.argmin(cost))], steps / 2
+    alpha, beta, level = best
+    return np.array([var * (1 - alpha - beta) * np.exp(level), alpha, beta]), start
 
 
 def mean_variance_ahead(first: np.ndarray, omega: float, alpha: float, beta: float, horizon: int) -> np.ndarray:
@@ -91,23 +88,31 @@ def mean_variance_ahead(first: np.ndarray, omega: float, alpha: float, beta: flo
     return level + (first - level) * (1 - p**horizon) / (horizon * (1 - p))
 
 
+def _annual(ahead: np.ndarray, omega: float, alpha: float, beta: float, horizon: int) -> np.ndarray:
+    return np.sqrt(mean_variance_ahead(ahead, omega, alpha, beta, horizon) / RESCALE**2 * TRADING_DAYS) * 100
+
+
+def _returns(prices: DataFrame, keys: Sequence[str], price: str, time: str) -> DataFrame:
+    require_daily(prices, time)
+    r = prices.select(*keys, time, log_return(F.col(price), series_window(keys, time)).alias("r"))
+    return r.filter(F.col("r").isNotNull())
+
+
 def filtered_forecasts(
     prices: DataFrame, omega: float, alpha: float, beta: float, horizon: int = 21, keys: Sequence[str] = SERIES,
     price: str = "close", time: str = "date",
 ) -> DataFrame:
     """(keys, date, garch_forecast) with known parameters (of returns ×100), filtered through the whole series."""
     keys = list(keys)
-    r = prices.select(*keys, time, log_return(F.col(price), series_window(keys, time)).alias("r"))
     schema = T.StructType([*[prices.schema[k] for k in keys], T.StructField(time, T.DateType()), T.StructField("garch_forecast", T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
         x = pdf["r"].to_numpy() * RESCALE
         ahead = conditional_variance(x, omega, alpha, beta, _back_cast(x))[1:]
-        mean = mean_variance_ahead(ahead, omega, alpha, beta, horizon) / RESCALE**2
-        return pdf[[*keys, time]].assign(garch_forecast=np.sqrt(mean * TRADING_DAYS) * 100)
+        return pdf[[*keys, time]].assign(garch_forecast=_annual(ahead, omega, alpha, beta, horizon))
 
-    return r.filter(F.col("r").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+    return _returns(prices, keys, price, time).groupBy(*keys).applyInPandas(run, schema)
 
 
 def garch_forecasts(
@@ -117,7 +122,9 @@ def garch_forecasts(
     """Out-of-sample forecasts per tested row: parameters from the fold's train dates, then filtered with those
     parameters through each test date, averaged over the horizon and annualised.
 
-    ``numbered`` is the supervised dataset (rn, n, target); ``prices`` the full price panel behind it.
+    ``numbered`` is the supervised dataset (rn, n, target); ``prices`` the full price panel behind it. Every tested row
+    stays: where a fold's training stretch has fewer than three returns, or none but zeros, ``fitted`` is false and the
+    forecast NULL.
     """
     keys = list(keys)
     tested = assign_folds(numbered, scheme).filter(F.col("test_fold").isNotNull())
@@ -125,26 +132,31 @@ def garch_forecasts(
     dates = fold_table(numbered, scheme, keys).join(numbered.select(*keys, "rn", F.col(time).alias("_d")), keys)
     ends = dates.groupBy(*keys, "fold").agg(
         F.max(F.when(F.col("rn") == F.col("train_end") - 1, F.col("_d"))).alias("train_last"),
+        F.min(F.when(F.col("rn") == F.col("test_start"), F.col("_d"))).alias("test_first"),
         F.max(F.when(F.col("rn") == F.col("test_end") - 1, F.col("_d"))).alias("test_last"),
     )
-    r = prices.select(*keys, time, log_return(F.col(price), series_window(keys, time)).alias("r"))
-    rows = r.filter(F.col("r").isNotNull()).join(ends, keys).filter(F.col(time) <= F.col("test_last"))
-    rows = rows.select(*keys, "fold", time, "r", (F.col(time) <= F.col("train_last")).alias("in_train"))
+    # One row per series holds the bounds of its folds, whose number the scheme fixes.
+    bounds = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fold", "train_last", "test_first", "test_last"))).alias("_folds"))
+    rows = _returns(prices, keys, price, time).join(bounds, keys)
     schema = T.StructType(
         [*[numbered.schema[k] for k in keys], T.StructField("fold", T.LongType()), T.StructField(time, T.DateType()),
          T.StructField("garch_forecast", T.DoubleType())]
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        x, train = pdf["r"].to_numpy() * RESCALE, pdf["in_train"].to_numpy()
-        if train.sum() < 3 or not np.any(x[train]):
-            return pdf.iloc[:0][[*keys, "fold", time]].assign(garch_forecast=pd.Series(dtype=float))
-        (omega, alpha, beta), start = fit_parameters(x[train])
-        ahead = conditional_variance(x, omega, alpha, beta, start)[1:]
-        mean = mean_variance_ahead(ahead, omega, alpha, beta, horizon) / RESCALE**2
-        out = pdf[[*keys, "fold", time]].assign(garch_forecast=np.sqrt(mean * TRADING_DAYS) * 100)
-        return out[~train]
-
-    fitted = rows.groupBy(*keys, "fold").applyInPandas(fit, schema)
-    return tested.join(fitted, [*keys, "fold", time])
+        pdf = pdf.sort_values(time, ignore_index=True)
+        x, day = pdf["r"].to_numpy() * RESCALE, pdf[time].to_numpy()
+        out = [pdf.iloc[:0][[*keys, time]].assign(fold=pd.Series(dtype="int64"), garch_forecast=pd.Series(dtype=float))]
+        for fold in pdf["_folds"].iloc[0]:
+            train = x[day <= fold["train_last"]] if fold["train_last"] is not None else x[:0]
+            if len(train) < LEAST_ROWS or not np.any(train):
+                continue
+            (omega, alpha, beta), start = fit_parameters(train)
+            ahead = conditional_variance(x, omega, alpha, beta, start)[1:]
+            test = (day >= fold["test_first"]) & (day <= fold["test_last"])
+            made = pdf.loc[test, [*keys, time]].assign(fold=int(fold["fold"]))
+            out.append(made.assign(garch_forecast=_annual(ahead[test], omega, alpha, beta, horizon)))
+        return pd.concat(out, ignore_index=True)[[*keys, "fold", time, "garch_forecast"]]
+
+    made = rows.groupBy(*keys).applyInPandas(fit, schema)
+    return tested.join(made, [*keys, "fold", time], "left").withColumn("fitted", F.col("garch_forecast").isNotNull())

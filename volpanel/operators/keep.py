@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.session import stage
 
 BATCH = "_batch"
+#: A batch that touches more partitions than this is matched by a join; up to it, their values become a filter of the scan.
+LISTED_PARTITIONS = 2000
+#: Column and number of the hash partitions of tables whose key has no natural partition.
+PART, PARTS = "_part", 64
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -46,6 +50,23 @@ def upsert(
     return keep_one(both, keys, [time, BATCH], keep).drop(BATCH)
 
 
+def hash_part(keys: Sequence[str], parts: int = PARTS) -> Column:
+    """Partition number as a function of the key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def _touched(history: DataFrame, new: DataFrame, parts: list[str]) -> DataFrame:
+    """Rows of ``history`` in the partitions of ``new``; the scan lists only those folders."""
+    listed = new.select(*parts).distinct().limit(LISTED_PARTITIONS + 1).collect()
+    if len(listed) > LISTED_PARTITIONS:
+        return history.join(new.select(*parts).distinct(), parts, "left_semi")
+    for p in parts:
+        values = {r[p] for r in listed}
+        known = F.col(p).isin([v for v in values if v is not None])
+        history = history.filter(known | F.col(p).isNull() if None in values else known)
+    return history if len(parts) == 1 else history.join(new.select(*parts).distinct(), parts, "left_semi")
+
+
 def _matches(spark: SparkSession, pattern: str) -> list:
     p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -62,7 +83,8 @@ def _location(spark: SparkSession, path: str) -> str | None:
     versions = _versions(spark, path)
     if versions:
         return f"{path}/version={versions[-1]}"
-    return path if _matches(spark, f"{path}/_SUCCESS") else None
+    # Replacing single partitions leaves no success mark; their folders appear only when a write is complete.
+    return path if _matches(spark, f"{path}/_SUCCESS") or _matches(spark, f"{path}/*=*") else None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -78,8 +100,9 @@ def upsert_table(
 
     Without partitions every merge writes a new version next to the one it read, which readers go on using until
     the new one is complete; a failed merge leaves the table as it was, and the version before the last is removed.
-    ``partition_by`` columns must be part of the key (or a function of it): then only the partitions that ``new``
-    touches are read and replaced, staged first because a path cannot be overwritten while it is read.
+    ``partition_by`` columns must be part of the key (or a function of it, such as ``hash_part``): then only the partitions that
+    ``new`` touches are read and replaced, staged first because a path cannot be overwritten while it is read. A batch names its
+    partitions in a filter of the scan, at most ``LISTED_PARTITIONS`` values.
     """
     spark, parts, where = new.sparkSession, list(partition_by), _location(new.sparkSession, path)
     if where is None:
@@ -88,7 +111,7 @@ def upsert_table(
         new = stage(new, "batch")
         history = spark.read.schema(new.schema).parquet(where)
         if parts:
-            history = history.join(new.select(*parts).distinct(), parts, "left_semi")
+            history = _touched(history, new, parts)
         merged = upsert(history.select(*new.columns), new, keys, time, keep)
     if parts:
         merged = stage(merged, "merged") if where else merged

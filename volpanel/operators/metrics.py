@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.functions.small_stats import EULER_MASCHERONI, binomial_p_half, normal_quantile, pearson_p
-from volpanel.operators.panel import SERIES, series_window
+from volpanel.operators.panel import SERIES, framed
 
 
 def error_metrics(
@@ -76,8 +76,8 @@ def autocorrelation(
 ) -> DataFrame:
     """(keys…, lag, acf): all lags from one window and one aggregation, then unpivoted."""
     present = df.filter(F.col(value).isNotNull())
-    w = series_window(keys, time)
-    lagged = present.withColumns({f"_l{k}": F.lag(value, k).over(w) for k in lags})
+    panel = framed(present, keys, time, back=max(lags))
+    lagged = panel.close(panel.df.withColumns({f"_l{k}": F.lag(value, k).over(panel.window) for k in lags}))
     wide = lagged.groupBy(*keys).agg(*[pair_correlation(F.col(value), F.col(f"_l{k}")).alias(str(k)) for k in lags])
     return wide.unpivot(list(keys), [str(k) for k in lags], "lag", "acf").withColumn("lag", F.col("lag").cast("int"))
 

@@ -44,6 +44,12 @@ def is_daily(df: DataFrame, time: str) -> bool:
     return isinstance(df.schema[time].dataType, T.DateType)
 
 
+def require_daily(df: DataFrame, time: str) -> None:
+    """One window over a whole series is for DATE keys alone; anything finer would put a long series into one task."""
+    if not is_daily(df, time):
+        raise TypeError(f"{time} must be a DATE here, one row per day and series; aggregate instants to days first")
+
+
 def series_window(keys: Sequence[str] = SERIES, time: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(time)
 
@@ -77,7 +83,9 @@ def range_buckets(df: DataFrame, keys: Sequence[str], time: str, buckets: int |
 
 
 def number_rows(df: DataFrame, keys: Sequence[str] = SERIES, time: str = "date") -> DataFrame:
-    """Add ``rn`` (0-based row number) and ``n`` (rows of the series) to a DATE-keyed panel."""
+    """Add ``rn`` (0-based row number) and ``n`` (rows of the series); TIMESTAMP panels are numbered by ranges."""
+    if not is_daily(df, time):
+        return number_rows_spread(df, keys, time)
     w = series_window(keys, time)
     return df.withColumns(
         {"rn": F.row_number().over(w).cast("long") - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))}

@@ -17,11 +17,6 @@ from volpanel.functions.small_stats import solve_normal_equations
 from volpanel.operators.folds import Scheme, assign_folds, fold_table
 from volpanel.operators.panel import SERIES
 
-# Daily variances are about 1e-5; scaled to order one the cross-product matrix keeps its digits.
-VARIANCE_SCALE = 1e4
-VARIANCE_FEATURES = frozenset({"rv_d", "rv_w", "rv_m", "rv_d_pos", "rv_d_neg", "overnight"})
-
-
 def fit_folds(
     numbered: DataFrame,
     feature_sets: Mapping[str, Sequence[str]],
@@ -33,32 +28,37 @@ def fit_folds(
     """Coefficients per (keys, config, fold): ``beta`` = intercept and one entry per feature, 0 where unused."""
     keys = list(keys)
     names = sorted({f for fs in feature_sets.values() for f in fs})
-    scale = [1.0] + [VARIANCE_SCALE if f in VARIANCE_FEATURES else 1.0 for f in names]
     target = F.col(y) if isinstance(y, str) else y
     target = F.ln(target) if log_target else target
 
     # A log target that does not exist (volatility 0) leaves the row out of every sum, not just of some.
     rows = assign_folds(numbered, scheme).withColumn("_y", target)
     rows = rows.filter("first_train_fold IS NOT NULL AND _y IS NOT NULL")
-    x = ["1.0D"] + [f"(`{f}` * {s}D)" for f, s in zip(names, scale[1:])]
+    # Products of distances from one value per series keep their digits whatever a feature's level is.
+    centre = Window.partitionBy(*keys)
+    rows = rows.withColumns({f"_s{i}": F.coalesce(F.avg(f).over(centre), F.lit(0.0)) for i, f in enumerate(names, start=1)})
+    x = ["1.0D"] + [f"(`{f}` - _s{i})" for i, f in enumerate(names, start=1)]
     k = len(x)
     sums = {f"g_{i}_{j}": f"sum({x[i]} * {x[j]})" for i in range(k) for j in range(i, k)}
     sums |= {f"v_{i}": f"sum({x[i]} * _y)" for i in range(k)}
+    shifts = {f"s_{i}": f"max(_s{i})" for i in range(1, k)}
     pieces = rows.groupBy(*keys, F.col("first_train_fold").alias("fold")).agg(
-        *[F.expr(f"{c} AS {a}") for a, c in sums.items()]
+        *[F.expr(f"{c} AS {a}") for a, c in (sums | shifts).items()]
     )
 
     upto = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     nested = (
         fold_table(numbered, scheme, keys)
         .join(pieces, [*keys, "fold"], "left")
-        .select(*keys, "fold", "train_end", "test_start", "test_end", *[F.sum(a).over(upto).alias(a) for a in sums])
+        .select(*keys, "fold", "train_end", "test_start", "test_end", *[F.sum(a).over(upto).alias(a) for a in sums],
+                *[F.max(a).over(upto).alias(a) for a in shifts])
     )
     entry = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
     gram = ", ".join(entry(i, j) for i in range(k) for j in range(k))
     packed = nested.select(
         *keys, "fold", "train_end", "test_start", "test_end", F.expr(f"array({gram})").alias("_gram"),
         F.expr(f"array({', '.join(f'v_{i}' for i in range(k))})").alias("_xty"),
+        F.array(*[F.col(a) for a in shifts]).alias("_shift"),
     )
     configs = F.array(
         *[
@@ -70,9 +70,7 @@ def fit_folds(
         ]
     )
     grid = packed.withColumn("_c", F.explode(configs))
-    beta = solve_normal_equations(
-        F.col("_gram"), F.col("_xty"), F.col("_c.picked"), F.array(*[F.lit(s) for s in scale])
-    )
+    beta = solve_normal_equations(F.col("_gram"), F.col("_xty"), F.col("_c.picked"), F.col("_shift"))
     return grid.select(
         *keys, F.col("_c.config").alias("config"), "fold", "train_end", "test_start", "test_end",
         F.col("_gram")[0].cast("long").alias("n_train"), beta.alias("beta"), F.array(*[F.lit(f) for f in names]).alias("features"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,14 @@ from volpanel.operators.keep import union_all
 
 POSITIVE, NEGATIVE, NEUTRAL = "POSITIVE", "NEGATIVE", "NEUTRAL"
 Scorer = Callable[[list[str]], list[dict]]
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, make_scorer: Callable[[], Scorer]) -> Scorer:
+    """The one scorer of this kind in a Python worker; a worker runs many tasks."""
+    if name not in _scorers:
+        _scorers[name] = make_scorer()
+    return _scorers[name]
 
 
 def signed(label: Column, score: Column) -> Column:
@@ -42,15 +52,15 @@ def lexicon_scores(df: DataFrame, text: str, positive: Sequence[str], negative:
 def model_scores(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch: int = 256) -> DataFrame:
     """Add label, score and signed_score from an injected model.
 
-    ``make_scorer`` is called once per task and returns a function from a list of texts to a list of
+    ``make_scorer`` is called once per Python worker, which runs many tasks, and returns a function from a list of texts to a list of
     ``{"label", "score"}``; it receives whole texts and truncates as its own tokenizer needs.
     """
+    name = hashlib.sha256(cloudpickle.dumps(make_scorer)).hexdigest()
     schema = T.StructType([*df.schema.fields, T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = None
+        scorer = _scorer(name, make_scorer)
         for pdf in frames:
-            scorer = scorer or make_scorer()
             texts = pdf[text].tolist()
             results = [r for i in range(0, len(texts), batch) for r in scorer(texts[i : i + batch])]
             yield pdf.assign(label=[r["label"] for r in results], score=[float(r["score"]) for r in results])

@@ -11,7 +11,7 @@ from volpanel.functions import market as M
 from volpanel.functions.normal import norm_cdf
 from volpanel.operators.metrics import expected_best_sharpe, probabilistic_sharpe_score, sharpe
 from volpanel.operators.options import with_option_prices
-from volpanel.operators.panel import SERIES, series_window
+from volpanel.operators.panel import SERIES, require_daily, series_window
 from volpanel.session import stage
 
 TRADE_COLUMNS = (
@@ -30,6 +30,7 @@ def candidate_trades(
     names further key columns of the forecast (a feature set).
     """
     keys = list(keys)
+    require_daily(prices, "date")
     w = series_window(keys)
     path = prices.select(
         *keys, "date", F.col(price).alias("spot_entry"), (F.row_number().over(w).cast("long") - 1).alias("entry_rn"),
@@ -57,9 +58,7 @@ def pick_without_overlap(
     all blocks in parallel). The starts that really occur then follow from chaining one small row per block,
     and pass two repeats the rule once per block. The result is that of the sequential rule.
     """
-    by = list(by)
-    if horizon > block_rows:
-        raise ValueError("block_rows must not be smaller than horizon")
+    by, block_rows = list(by), max(block_rows, horizon)
     candidates = stage(candidates, "candidates").withColumn("_block", F.floor(F.col("entry_rn") / block_rows))
     blocks = candidates.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("entry_rn")).alias("_rns"))
 

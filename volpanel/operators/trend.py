@@ -8,6 +8,7 @@ every series is then one linear recursion in the JVM instead of one filter solve
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,10 @@ MIN_WINDOW = 24
 
 
 def trend_gains(lam: float = MONTHLY_LAMBDA, limit: int = 20_000) -> list[tuple[float, float]]:
-    """Gains of (level, previous level) for rows 2, 3, …; the last entry holds for all later rows."""
+    """Gains of (level, previous level) for rows 2, 3, …; the last entry holds for all later rows.
+
+    Their number grows like the fourth root of ``lam``. A ``lam`` whose gains have not settled after ``limit`` rows is an error.
+    """
     p11, p12, p22 = 1.0, 0.0, 1.0
     gains: list[tuple[float, float]] = []
     for _ in range(limit):
@@ -30,9 +34,9 @@ def trend_gains(lam: float = MONTHLY_LAMBDA, limit: int = 20_000) -> list[tuple[
         k1, k2 = a11 / (a11 + 1), a12 / (a11 + 1)
         p11, p12, p22 = a11 - k1 * a11, a12 - k1 * a12, a22 - k2 * a12
         if gains and abs(k1 - gains[-1][0]) < 1e-17 and abs(k2 - gains[-1][1]) < 1e-17:
-            break
+            return gains
         gains.append((k1, k2))
-    return gains
+    raise ArithmeticError(f"gains for lambda {lam:g} have not settled after {limit} rows")
 
 
 def one_sided_gap(
@@ -45,8 +49,8 @@ def one_sided_gap(
     step appends to a running output, read back by row position.
     """
     gains = trend_gains(lam)
-    k1 = F.array(*[F.lit(g[0]) for g in gains])
-    k2 = F.array(*[F.lit(g[1]) for g in gains])
+    # Two literals in the plan, whatever the number of gains.
+    k1, k2 = (F.from_json(F.lit(json.dumps([g[i] for g in gains])), "array<double>") for i in (0, 1))
     rest = [c for c in df.columns if c not in {*keys, time}]
     rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(time, *rest))).alias("_rows"))
     rows = rows.withColumns({"_k1": k1, "_k2": k2})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.operators import features as W
-from volpanel.operators.asof import asof_join, asof_shared
+from volpanel.operators.asof import asof_join, asof_shared_all
 from volpanel.operators.panel import SERIES, number_rows
 from volpanel.session import stage
 
@@ -38,10 +38,11 @@ def _labelled(bars: DataFrame, horizon: int, keys: Sequence[str]) -> DataFrame:
 def _aligned(left: DataFrame, rights: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """As-of join of several right series; the left side is staged once if any of them is shared."""
     shared = [not all(k in r.columns for k in keys) for r in rights]
-    left = stage(left, "labelled") if any(shared) else left
-    for right, alone in zip(rights, shared):
-        left = asof_shared(left, right, staged=True) if alone else asof_join(left, right, keys)
-    return left
+    left = stage(left, "labelled") if all(shared) and shared else left
+    for right in (r for r, alone in zip(rights, shared) if not alone):
+        left = asof_join(left, right, keys)
+    together = [r for r, alone in zip(rights, shared) if alone]
+    return asof_shared_all(left, together, staged=len(together) == len(rights)) if together else left
 
 
 def _smoothed(series: DataFrame, value: str, window: int | None, keys: Sequence[str], to: str) -> DataFrame:

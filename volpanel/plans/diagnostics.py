@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from volpanel.functions import market as M
 from volpanel.operators import features as W
 from volpanel.operators.metrics import pair_correlation
-from volpanel.operators.panel import SERIES, series_window
+from volpanel.operators.panel import SERIES, require_daily, series_window
 
 
 def bar_quality(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Mean move inside a bar, mean jump between bars, their ratio, and the open/close correlation."""
+    """Mean move inside a bar, mean jump between bars, their ratio, and the open/close correlation of a DATE-keyed panel."""
+    require_daily(bars, "date")
     w = series_window(keys)
     d = bars.withColumn("_gap", F.abs(F.col("open") - F.lag("close").over(w)))
     out = d.groupBy(*keys).agg(
@@ -33,19 +34,23 @@ def sample_profile(front: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 
 
 def lead_lag(
-    returns: DataFrame, official: DataFrame, shifts: Sequence[int] = (-1, 0, 1), keys: Sequence[str] = SERIES
+    returns: DataFrame, official: DataFrame, shifts: Sequence[int] = (-1, 0, 1), keys: Sequence[str] = SERIES,
+    rates: Sequence[str] = (),
 ) -> DataFrame:
     """Correlation of ``ret`` with the official rate's log return shifted by k rows of its own calendar.
 
-    ``official`` (date, value) is shared by all series: one row per calendar day.
+    ``official`` (rates…, date, value) is shared by all series: one row per calendar day and rate. Both sides need
+    DATE keys, which bound a series by its days.
     """
+    require_daily(returns, "date")
+    require_daily(official, "date")
     one = official.withColumn("_all", F.lit(0))
-    fr = one.withColumn("official_ret", M.log_return(F.col("value"), series_window(["_all"])))
-    moved = W.shifted(fr, "official_ret", shifts, ["_all"])
+    fr = one.withColumn("official_ret", M.log_return(F.col("value"), series_window(["_all", *rates])))
+    moved = W.shifted(fr, "official_ret", shifts, ["_all", *rates])
     name = lambda k: f"official_ret_s{'m' if k < 0 else ''}{abs(k)}"
-    joined = returns.select(*keys, "date", "ret").join(moved.select("date", *[name(k) for k in shifts]), "date")
-    wide = joined.groupBy(*keys).agg(*[pair_correlation(F.col("ret"), F.col(name(k))).alias(str(k)) for k in shifts])
-    return wide.unpivot(list(keys), [str(k) for k in shifts], "shift", "r").withColumn("shift", F.col("shift").cast("int"))
+    joined = returns.select(*keys, "date", "ret").join(moved.select(*rates, "date", *[name(k) for k in shifts]), "date")
+    wide = joined.groupBy(*keys, *rates).agg(*[pair_correlation(F.col("ret"), F.col(name(k))).alias(str(k)) for k in shifts])
+    return wide.unpivot([*keys, *rates], [str(k) for k in shifts], "shift", "r").withColumn("shift", F.col("shift").cast("int"))
 
 
 def volatility_profile(vol: DataFrame, value: str, keys: Sequence[str] = SERIES) -> DataFrame:

@@ -129,13 +129,17 @@ def signal_today(
     realized: DataFrame, surface_atm: DataFrame, spot: DataFrame, rv: str = "range_vol_21", price: str = "close",
     band: float = 1.0, target_vega: float = 1000.0, days: int = 21, keys: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Latest realized and implied volatility, the signal between them and the straddle count."""
+    """Latest realized and implied volatility, the signal between them and the straddle count.
+
+    ``spot`` without the keys is one rate for all series, such as an official one.
+    """
     known = realized.filter(F.col(rv).isNotNull())
-    out = (
-        E.newest_row(known, [rv], keys)
-        .join(E.newest_row(surface_atm, ["iv_atm_pct"], keys, "refdate"), list(keys))
-        .join(E.newest_row(spot, [price], keys).withColumnRenamed("date", "spot_date"), list(keys))
-    )
+    out = E.newest_row(known, [rv], keys).join(E.newest_row(surface_atm, ["iv_atm_pct"], keys, "refdate"), list(keys))
+    if all(k in spot.columns for k in keys):
+        out = out.join(E.newest_row(spot, [price], keys).withColumnRenamed("date", "spot_date"), list(keys))
+    else:
+        one = E.newest_row(spot.withColumn("_all", F.lit(0)), [price], ["_all"]).withColumnRenamed("date", "spot_date")
+        out = out.withColumn("_all", F.lit(0)).join(one, "_all").drop("_all")
     return out.withColumns(
         {
             "signal": M.dead_band_signal(F.col(rv), F.col("iv_atm_pct"), band),
@@ -146,22 +150,29 @@ def signal_today(
 
 def layer_trades(
     dataset: DataFrame, layer: Sequence[str], prices: DataFrame, implied: DataFrame, watched: Sequence[str],
-    scheme: Scheme = StepFolds(252, 21, 21, 5), horizon: int = 21, band: float = 1.0, keys: Sequence[str] = SERIES,
-) -> tuple[DataFrame, DataFrame]:
-    """(trade summary with and without the layer on the same folds, coefficient weights of the layer)."""
+    scheme: Scheme = StepFolds(252, 21, 21, 5), horizon: int = 21, band: float = 1.0, keys: Sequence[str] = SERIES, weights: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(trade summary with and without the layer on the same folds, coefficient weights of the layer).
+
+    The fit is written for its second reader only if the weights are asked for.
+    """
     sets = {"base": D.BASE, "layer": layer}
     names = sorted({f for fs in sets.values() for f in fs})
     data = stage(dataset, "dataset")
-    coefs = stage(fit_folds(data, sets, scheme, log_target=True, keys=keys), "coefs")
+    coefs = fit_folds(data, sets, scheme, log_target=True, keys=keys)
+    coefs = stage(coefs, "coefs") if weights else coefs
     rows = predict_folds(data, coefs, sets, scheme, True, keys)
     trades = B.run_backtest(prices, rows, implied, horizon, [band], keys=keys, extra=["config"])
     by = [*keys, "config", "band_pct"]
     grid = data.select(*keys).distinct().withColumns(
         {"config": F.explode(F.array(*[F.lit(c) for c in sets])), "band_pct": F.lit(float(band))}
     )
+    summary = B.summarize(trades, grid, horizon, by)
+    if not weights:
+        return summary, None
     layer_only = coefs.filter(F.col("config") == "layer")
-    weights = F.array(
+    watched_pairs = F.array(
         *[F.struct(F.lit(f).alias("feature"), coefficient_column(coefs, names, f).alias("coef")) for f in watched]
     )
-    long = layer_only.select(*keys, F.explode(weights).alias("_w")).select(*keys, "_w.*")
-    return B.summarize(trades, grid, horizon, by), E.coefficient_spread(long, [*keys, "feature"])
+    long = layer_only.select(*keys, F.explode(watched_pairs).alias("_w")).select(*keys, "_w.*")
+    return summary, E.coefficient_spread(long, [*keys, "feature"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,7 @@ def local_session(cores: int | str = 8, app: str = "volpanel", shuffle_partition
 
 
 _local_dirs: dict[str, str] = {}
+_owners: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,8 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, never reused path in the shared folder."""
-    return f"{shared_dir(spark)}/volpanel/{label}-{uuid.uuid4().hex}"
+    """A new, never reused path in the shared folder, inside the innermost ``staging`` block's own folder."""
+    folder = _owners[-1] if _owners else f"{shared_dir(spark)}/volpanel"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Owner of everything staged inside the block: its folder goes when the block ends.
+
+    Write a result inside the block, to a path taken outside of it; frames made inside can't be read afterwards.
+    """
+    folder = scratch_path(spark, "run")
+    _owners.append(folder)
+    try:
+        yield folder
+    finally:
+        _owners.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -28,9 +28,10 @@ RELEASE_LAG_DAYS = 60
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(doc, path): one row per landed file, whole content."""
+    """(doc, path, folder columns): one row per landed file, whole content; ``name=value`` folders become columns."""
     files = spark.read.option("wholetext", True).text(path)
-    return files.select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"))
+    folders = [c for c in files.columns if c != "value"]
+    return files.select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"), *folders)
 
 
 def _items(docs: DataFrame, schema: str, items: str | None, *keep: Column) -> DataFrame:

@@ -88,10 +88,10 @@ def paired_closes(raw: DataFrame, tickers: dict[str, str]) -> DataFrame:
     return nan_to_null(renamed).dropna(how="all", subset=[f"{name}_close" for name in tickers])
 
 
-def surface_points(sheet: DataFrame, deltas: list[str], refdate: str = "refdate") -> DataFrame:
-    """(refdate, maturity_date, delta_pct, iv_pct) from a wide sheet; first row per point."""
-    long = wide_to_long(sheet, [refdate], deltas)
-    return keep_one(long, [refdate, "maturity_date", "delta_pct"], [], "first")
+def surface_points(sheet: DataFrame, deltas: list[str], refdate: str = "refdate", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys…, refdate, maturity_date, delta_pct, iv_pct) from a wide sheet; first row per point."""
+    long = wide_to_long(sheet, [*keys, refdate], deltas)
+    return keep_one(long, [*keys, refdate, "maturity_date", "delta_pct"], [], "first")
 
 
 def read_series(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from volpanel.operators.keep import upsert_table
+from volpanel.operators.keep import PART, hash_part, upsert_table
 
 
 def landed_files(
@@ -31,7 +31,7 @@ def _start(stream: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFr
 
 def _into_days(table: str) -> Callable[[DataFrame, int], None]:
     def each(batch: DataFrame, _: int) -> None:
-        upsert_table(batch, table, ["date"], "date")
+        upsert_table(batch.withColumn("month", F.year("date") * 100 + F.month("date")), table, ["date"], "date", partition_by=["month"])
 
     return each
 
@@ -40,11 +40,17 @@ def upsert_stream(
     stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str], time: str = "date", keep: str = "last",
     partition_by: Sequence[str] = (), parse: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Merge every micro-batch into the parquet table; ``parse`` turns landed documents into rows first."""
+    """Merge every micro-batch into the parquet table; ``parse`` turns landed documents into rows first.
+
+    A batch reads and replaces the partitions it touches; without ``partition_by`` these are hash partitions of the key in
+    the column ``_part``.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         rows = parse(batch) if parse else batch
-        upsert_table(rows, table, keys, time, keep, partition_by)
+        if not partition_by:
+            rows = rows.withColumn(PART, hash_part(keys))
+        upsert_table(rows, table, keys, time, keep, partition_by or [PART])
 
     return _start(stream, checkpoint, "append", each)
 

@@ -37,10 +37,10 @@ def timelines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """{articles: […]} of twenty documents each; 700 addresses, so addresses repeat within a query."""
+    """{articles: […]} of twenty documents each; three documents of a query share an address, however many there are."""
     h = S.headlines(spark, sf)
     item = F.struct(
-        F.concat(F.lit("u/"), (F.col("doc_id") % 700).cast("string")).alias("url"), "title",
+        F.concat(F.lit("u/"), (F.col("doc_id") % 20 + 20 * F.floor(F.col("doc_id") / 60)).cast("string")).alias("url"), "title",
         F.date_format("date", "yyyyMMdd'T'120000'Z'").alias("seendate"), F.concat("query", F.lit(".example")).alias("domain"),
         "language", F.upper("language").alias("sourcecountry"),
     )
@@ -91,6 +91,13 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
     return _points(o, [F.year("day").alias("y")], "day", "v").drop("y")
 
 
+def land(docs: DataFrame, path: str, by: str | None = None) -> str:
+    """Write the column ``doc``, one file per row, in folders by ``by``."""
+    writer = docs.select("doc", *([by] if by else [])).write.option("maxRecordsPerFile", 1).mode("append")
+    (writer.partitionBy(by) if by else writer).text(path)
+    return path
+
+
 def _escape(c):
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(raw), F.lit(name))
@@ -119,8 +126,13 @@ def price_reports(spark: SparkSession, sf: str) -> DataFrame:
     return parse_price_reports(day.agg(report.alias("doc")))
 
 
-def rss(spark: SparkSession, sf: str) -> DataFrame:
-    """Feed items parsed from XML text: every tenth has no date, every seventh no description."""
+def feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, doc): feeds of up to fifty items each: every tenth item has no date, every seventh no description."""
+    items = _feed_items(spark, sf).groupBy("source", F.floor(F.col("page_id") / 150).alias("part")).agg(F.array_join(F.collect_list("xml"), "").alias("x"))
+    return items.select("source", "part", F.concat(F.lit("<rss><channel>"), F.regexp_replace("x", "[\\n\\r]", " "), F.lit("</channel></rss>")).alias("doc"))
+
+
+def _feed_items(spark: SparkSession, sf: str) -> DataFrame:
     p = S.table(spark, sf, "pages")
     day = F.date_add(F.lit(S.FIRST_DAY).cast("date"), (F.col("page_id") % S.HEADLINE_DAYS).cast("int"))
     stamp = F.concat(F.lit("Mon, "), F.date_format(day, "d MMM yyyy"), F.lit(" 22:30:00 -0300"))
@@ -130,18 +142,23 @@ def rss(spark: SparkSession, sf: str) -> DataFrame:
         optional("pubDate", F.col("page_id") % 10 != 0, stamp),
         optional("description", F.col("page_id") % 7 != 0, _escape(F.col("html"))), F.lit("</item>"),
     )
-    parsed = p.select(F.from_xml(xml, RSS_ITEM, {"mode": "FAILFAST"}).alias("x"), (F.col("page_id") % 3).cast("string").alias("source"))
+    return p.select("page_id", xml.alias("xml"), (F.col("page_id") % 3).cast("string").alias("source"))
+
+
+def rss(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed items parsed from XML text."""
+    parsed = _feed_items(spark, sf).select(F.from_xml("xml", RSS_ITEM, {"mode": "FAILFAST"}).alias("x"), "source")
     return parsed.select("x.*", "source")
 
 
 def wide_surface(spark: SparkSession, sf: str) -> DataFrame:
-    """Surface quotes of one series per sheet column; January cells of the lowest delta are not numbers."""
-    s = S.surface(S.bars(spark, sf)).filter("series_id = 'RF'")
-    wide = s.groupBy("refdate", "maturity_date").pivot("delta_pct", [25.0, 50.0, 75.0]).agg(F.first("iv_pct"))
+    """Surface quotes of every series, one sheet column per delta; January cells of the lowest delta are not numbers."""
+    s = S.surface(S.bars(spark, sf))
+    wide = s.groupBy("series_id", "refdate", "maturity_date").pivot("delta_pct", [25.0, 50.0, 75.0]).agg(F.first("iv_pct"))
     cell = F.when(F.month("refdate") == 1, F.lit("n/a")).otherwise(F.col("`25.0`").cast("string"))
-    text = wide.select("refdate", F.col("maturity_date").cast("string").alias("maturity_date"), cell.alias("25"),
+    text = wide.select("series_id", "refdate", F.col("maturity_date").cast("string").alias("maturity_date"), cell.alias("25"),
                        F.col("`50.0`").cast("string").alias("50"), F.col("`75.0`").cast("string").alias("75"))
-    notes = text.select("refdate", F.lit("total").alias("maturity_date"), "25", "50", "75").distinct()
+    notes = text.select("series_id", "refdate", F.lit("total").alias("maturity_date"), "25", "50", "75").distinct()
     return text.unionByName(notes)
 
 

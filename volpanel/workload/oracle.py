@@ -10,9 +10,9 @@ from __future__ import annotations
 import re
 from statistics import NormalDist
 
+from volpanel.operators.garch import FIRST_POINT, FIRST_STEPS, GRID, LEAST_ROWS, MOST_PERSISTENCE, ROUNDS
 from volpanel.functions.normal import HART_DENOMINATOR, HART_NUMERATOR, HART_SWITCH, HART_TAIL, SQRT_2PI
 from volpanel.functions.small_stats import EULER_MASCHERONI
-from volpanel.operators.regression import VARIANCE_FEATURES
 from volpanel.operators.trend import MONTHLY_LAMBDA
 from volpanel.workload.queries import DIGITS, GARCH_PARAMETERS
 from volpanel.workload.tables import BAD_WORDS, DELTAS, FIRST_DAY, GOOD_WORDS, HEADLINE_DAYS, TENORS
@@ -99,8 +99,7 @@ CTES: dict[str, str] = {
     "news": f"SELECT date, {mean('sentiment_mean', 21, '', 'date', 1)} AS news FROM mood",
     "survey": """SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 99991 AS pi_expectation,
         stddev_samp(o_totalprice) / 99991 AS dispersion FROM orders GROUP BY 1""",
-    "meta": """SELECT year(o_orderdate) AS year, avg(o_totalprice) / 99991 AS meta FROM orders GROUP BY 1
-        HAVING year(o_orderdate) < 2001""",
+    "meta": """SELECT year(o_orderdate) AS year, avg(o_totalprice) / 99991 AS meta FROM orders GROUP BY 1""",
     "anchored": """SELECT s.date, pi_expectation - CASE WHEN year(date) = year(date + 365) THEN m0.meta ELSE
         (date_diff('day', date, make_date(year(date) + 1, 1, 1)) / 365.0) * m0.meta
         + (1 - date_diff('day', date, make_date(year(date) + 1, 1, 1)) / 365.0) * coalesce(m1.meta, m0.meta) END AS gap,
@@ -208,7 +207,7 @@ def regression(
     key_list = ", ".join(f"d.{k}" for k in keys.split(", "))
     match = " AND ".join(f"d.{k} = f.{k}" for k in keys.split(", "))
     w = f"OVER (PARTITION BY {keys}, fold)"
-    scaled = ", ".join(f"{f} * {1e4 if f in VARIANCE_FEATURES else 1.0} AS z{i}" for i, f in enumerate(features))
+    scaled = ", ".join(f"{f} AS z{i}" for i, f in enumerate(features))
     usable = f"({y}) IS NOT NULL"
     out = {
         f"{tag}_r": f"""SELECT {key_list}, d.date, d.rn, d.target, d.rv_m AS rvm, {keep} f.fold, d.rn < f.train_end AND {usable} AS tr,
@@ -270,6 +269,43 @@ def ablation_ctes(ds: str, scheme: str, layer: list[str], log: bool = True) -> d
     )
 
 
+def garch() -> str:
+    """The likelihood search round by round: a list fold per candidate, the cheapest one starts the next round."""
+    moves = ", ".join(f"({i})" for i in GRID)
+    ctes = {
+        "gv": "SELECT series_id, date, ret * ret AS variance FROM price_ret WHERE ret IS NOT NULL",
+        "gh": f"SELECT *, variance AS rv_d, {mean('variance', 5)} AS rv_w, {mean('variance', 22)} AS rv_m, {target(H)} AS target FROM gv",
+        "ds_g": dataset(HAR, source="gh"),
+        **folds("ds_g", "purged"),
+        "g_fold": """SELECT f.series_id, f.fold, max(date) FILTER (WHERE rn = train_end - 1) AS train_last, max(date) FILTER (WHERE rn = test_end - 1) AS test_last
+            FROM folds f JOIN ds_g d USING (series_id) GROUP BY ALL""",
+        "g_day": "SELECT series_id, date, (ret * 100) * (ret * 100) AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM price_ret WHERE ret IS NOT NULL",
+        "g_train": f"""SELECT series_id, fold, list({{x: x, s: 0.0::DOUBLE, t: 0.0::DOUBLE}} ORDER BY date) AS days, avg(x) AS var,
+            sum(pow(0.94, i) * x) FILTER (WHERE i < 75) / sum(pow(0.94, i)) FILTER (WHERE i < 75) AS s0, test_last
+            FROM g_fold JOIN g_day USING (series_id) WHERE date <= train_last GROUP BY ALL HAVING count(*) >= {LEAST_ROWS} AND max(x) > 0""",
+        "z0": "SELECT series_id, fold, " + ", ".join(f"{v!r}::DOUBLE AS {n}" for n, v in zip("abc", FIRST_POINT)) + " FROM g_train",
+    }
+    for k in range(ROUNDS):
+        sa, sb, sc = (v / 2**k for v in FIRST_STEPS)
+        ctes[f"p{k}"] = f"""SELECT series_id, fold, a + i * {sa!r}::DOUBLE AS a, b + j * {sb!r}::DOUBLE AS b, c + l * {sc!r}::DOUBLE AS c
+            FROM z{k}, (VALUES {moves}) u(i), (VALUES {moves}) v(j), (VALUES {moves}) w(l)"""
+        ctes[f"z{k + 1}"] = f"""SELECT series_id, fold, p['a'] AS a, p['b'] AS b, p['c'] AS c FROM (SELECT series_id, fold, arg_min({{a: a, b: b, c: c}}, cost) AS p FROM (
+            SELECT series_id, fold, a, b, c, list_reduce(days, lambda k, e: {{x: 0.0::DOUBLE, s: o + a * e.x + b * k.s, t: k.t + (ln(k.s) + e.x / k.s)}},
+                {{x: 0.0::DOUBLE, s: o + (a + b) * s0, t: 0.0::DOUBLE}}).t AS cost
+            FROM (SELECT p.*, days, s0, var * (1 - a - b) * exp(c) AS o FROM p{k} p JOIN g_train USING (series_id, fold) WHERE a >= 0 AND b >= 0 AND a + b <= {MOST_PERSISTENCE}))
+            GROUP BY ALL)"""
+    ctes |= {
+        "g_fit": f"SELECT z.*, var * (1 - a - b) * exp(c) AS o, s0, test_last FROM z{ROUNDS} z JOIN g_train USING (series_id, fold)",
+        "g_path": """SELECT f.series_id, fold, date, i, o + a * x + b * (o + (a + b) * s0) AS s FROM g_fit f JOIN g_day d ON d.series_id = f.series_id AND i = 0 UNION ALL
+            SELECT k.series_id, k.fold, d.date, d.i, o + a * d.x + b * k.s FROM g_path k JOIN g_fit f ON f.series_id = k.series_id AND f.fold = k.fold
+            JOIN g_day d ON d.series_id = k.series_id AND d.i = k.i + 1 AND d.date <= f.test_last""",
+        "g_pred": f"""SELECT p.series_id, p.fold, target, sqrt((o / (1 - a - b) + (s - o / (1 - a - b)) * (1 - pow(a + b, {H})) / ({H} * (1 - (a + b)))) / 10000 * 252) * 100 AS pred
+            FROM g_path p JOIN g_fit f ON f.series_id = p.series_id AND f.fold = p.fold JOIN folds q ON q.series_id = p.series_id AND q.fold = p.fold
+            JOIN ds_g d ON d.series_id = p.series_id AND d.date = p.date AND d.rn >= q.test_start AND d.rn < q.test_end""",
+    }
+    return build(f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {M3}, n_obs FROM (SELECT series_id, fold, {ERRORS} FROM g_pred GROUP BY ALL)", **ctes)
+
+
 M3 = rs("rmse", "mae", "r2_oos")
 
 
@@ -339,14 +375,18 @@ def statements() -> dict[str, str]:
             count(*) OVER (PARTITION BY series_id) AS n FROM prices) WHERE rn % 21 = 0"""
     )
     q["asof_series"] = build(
-        f"""SELECT l.series_id, l.date, {r('x.value', 'value')} FROM official l ASOF LEFT JOIN fifth x
+        f"""SELECT l.series_id, l.date, {r('x.value', 'value')} FROM (
+            SELECT o_orderpriority AS series_id, CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) AS date FROM orders GROUP BY ALL) l ASOF LEFT JOIN monthly x
             ON l.series_id = x.series_id AND l.date >= x.date""",
-        fifth=f"""SELECT series_id, date, CASE WHEN day(date) <> 10 THEN value END AS value FROM
-            (SELECT *, row_number() OVER {P} - 1 AS rn FROM official) WHERE rn % 5 = 0""",
+        monthly="""SELECT series_id, CAST(l_date AS DATE) AS date, CASE WHEN day(l_date) <> 10 THEN value END AS value
+            FROM (SELECT series_id, date AS l_date, value FROM official)""",
     )
     q["asof_shared_pair"] = build(
         f"SELECT l.series_id, l.date, {rs('vix_level', 'vix_change', 'dxy_return')} FROM prices l ASOF LEFT JOIN risk_changes x ON l.date >= x.date"
     )
+    q["asof_shared_instant"] = f"""SELECT l.series_id, l.date, l.events, x.last_hour, {r('x.most', 'most')} FROM
+        (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, count(*) AS events FROM events GROUP BY ALL) l ASOF LEFT JOIN
+        (SELECT date_trunc('hour', ts) AS h, count(*) AS last_hour, max(value) AS most FROM events GROUP BY 1) x ON CAST(l.date AS TIMESTAMP) + INTERVAL 3 HOUR >= x.h"""
     q["asof_intraday"] = build(
         f"""SELECT e.event_id, e.user_id, {r('last_purchase')} FROM (SELECT * FROM events WHERE event_type = 'error') e
             ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS last_purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL) p
@@ -380,6 +420,7 @@ def statements() -> dict[str, str]:
         SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS value, 0 AS batch FROM events WHERE ts < '2024-01-22' GROUP BY ALL
         UNION ALL SELECT user_id, CAST(ts AS DATE), max(value + 1000), 1 FROM events WHERE ts >= '2024-01-15' GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY user_id, date ORDER BY batch DESC) = 1"""
+    q["upsert_table_partitioned"] = q["upsert_latest"]
     index = f"""{r('avg(signed_score)', 'sentiment_mean')}, {r("avg(CASE WHEN label = 'NEGATIVE' THEN 1.0 ELSE 0.0 END)", 'share_negative')},
         count(label) AS n_texts"""
     q["sentiment_daily"] = build(
@@ -387,6 +428,7 @@ def statements() -> dict[str, str]:
         lab="""SELECT date, CASE WHEN toxic = 1 THEN 'NEGATIVE' WHEN quality = 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS label,
             CASE WHEN toxic = 1 THEN -0.75 WHEN quality = 1 THEN 0.75 ELSE 0.0 END AS signed_score FROM headlines JOIN labels USING (doc_id)""",
     )
+    q["stream_text_index"] = q["sentiment_daily"]
     q["headlines_scored"] = build(f"SELECT doc_id, label, {rs('score', 'signed_score')} FROM scored")
     q["headlines_index"] = build(f"SELECT date, {index} FROM scored WHERE query = 'src1' AND language = 'en' GROUP BY date")
     q["headlines_model"] = build(
@@ -453,13 +495,18 @@ def _forecasts() -> dict[str, str]:
     one = lambda f: f"SELECT series_id, fold, any_value(b_last) AS b, count(*) FILTER (WHERE tr) AS n_train FROM reg_{f} GROUP BY ALL"
     q["ols_walk_forward"] = build(
         f"""SELECT series_id, CAST(fold AS BIGINT) AS fold, n_train, {r('ybar - c1.b * x1 - c2.b * x2 - c3.b * x3', 'intercept')},
-            {r('c1.b', 'b_rv_d')}, {r('c2.b', 'b_rv_w')}, {r('c3.b', 'b_rv_m')} FROM c1 JOIN (SELECT * EXCLUDE (n_train) FROM c2) c2 USING (series_id, fold)
+            {r('c1.b / 1e4', 'b_rv_d')}, {r('c2.b / 1e4', 'b_rv_w')}, {r('c3.b / 1e4', 'b_rv_m')} FROM c1 JOIN (SELECT * EXCLUDE (n_train) FROM c2) c2 USING (series_id, fold)
             JOIN (SELECT * EXCLUDE (n_train) FROM c3) c3 USING (series_id, fold) JOIN means USING (series_id, fold)""",
         c1=one("rv_d"), c2=one("rv_w"), c3=one("rv_m"),
-        means=f"""SELECT d.series_id, fold, avg({y}) AS ybar, avg(rv_d) * 1e4 AS x1, avg(rv_w) * 1e4 AS x2, avg(rv_m) * 1e4 AS x3
+        means=f"""SELECT d.series_id, fold, avg({y}) AS ybar, avg(rv_d) AS x1, avg(rv_w) AS x2, avg(rv_m) AS x3
             FROM ds_base d JOIN folds f ON d.series_id = f.series_id AND rn < train_end GROUP BY ALL""",
         **coefs,
     )
+    level = folds("ds_level", "purged") | regression("reg", "ds_level", [*HAR, "level"], "target")
+    q["ols_level_feature"] = build(
+        f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {r('any_value(b_last)', 'b_level')}, {r('avg(fit) FILTER (WHERE te)', 'mean_fit')} FROM reg GROUP BY ALL",
+        ds_level=dataset([*HAR, "level"], extra=", close + 4995 AS level"), **level,
+    )
     har = folds("ds_base", "purged") | regression("reg", "ds_base", HAR, y)
     q["oos_forecast"] = build(
         f"SELECT series_id, CAST(fold AS BIGINT) AS fold, date, {r('target')}, {r('exp(fit)', 'rv_forecast')} FROM reg WHERE te", **har
@@ -488,6 +535,7 @@ def _forecasts() -> dict[str, str]:
         path_s=f"""SELECT series_id, date, i, {w} + {a} * x * x + {b} * ({w} + {p} * s0) AS s FROM scaled JOIN back_cast USING (series_id) WHERE i = 0 UNION ALL
             SELECT n.series_id, n.date, n.i, {w} + {a} * n.x * n.x + {b} * k.s FROM path_s k JOIN scaled n ON n.series_id = k.series_id AND n.i = k.i + 1""",
     )
+    q["garch_walk_forward"] = garch()
     parts = folds("ds_extended", "purged")
     for tag, fs in (("reg_a", HAR), ("reg_b", HAR + ["overnight"]), ("reg_c", ["rv_d_pos", "rv_d_neg", "rv_w", "rv_m"])):
         parts |= regression(tag, "ds_extended", fs, y)
@@ -672,6 +720,13 @@ def _trading() -> dict[str, str]:
             (SELECT series_id, refdate, iv_atm_pct FROM atm21 {newest.format(t='refdate')}) USING (series_id) JOIN
             (SELECT series_id, date AS spot_date, close FROM prices {newest.format(t='date')}) USING (series_id))"""
     )
+    q["official_signal_today"] = build(
+        f"""SELECT series_id, date, refdate, spot_date, CASE WHEN range_vol_21 - iv_atm_pct > 1 THEN 1 WHEN range_vol_21 - iv_atm_pct < -1 THEN -1 ELSE 0 END
+            AS signal, {rs('range_vol_21', 'iv_atm_pct', 'close')}, {r(f'1000 / (2 * close * (exp(-{d1} * {d1} / 2) / {SQRT_2PI!r}) * sqrt(t) * 0.01)', 'n_straddles')}
+            FROM (SELECT *, 21 / 365.0 AS t, iv_atm_pct / 100 AS sigma FROM (SELECT * FROM vol21 WHERE range_vol_21 IS NOT NULL {newest.format(t='date')}) JOIN
+            (SELECT series_id, refdate, iv_atm_pct FROM atm21 {newest.format(t='refdate')}) USING (series_id) CROSS JOIN
+            (SELECT date AS spot_date, pi_expectation AS close FROM survey ORDER BY date DESC LIMIT 1))"""
+    )
     layered = ablation_ctes("ds_news", "steps", HAR + ["news"])
     q["layer_trade_summary"] = build(
         f"SELECT series_id, config, band_pct, {shown} FROM grid LEFT JOIN summary USING (series_id, config, band_pct)",
@@ -679,6 +734,13 @@ def _trading() -> dict[str, str]:
         summary=summary, layer_fc="SELECT series_id, config, date, pred AS rv_forecast FROM preds",
         **layered, **trades("layer_fc", (1.0,)),
     )
+    attentive = ablation_ctes("ds_attention_level", "steps", HAR + ["news"])
+    q["attention_trade_summary"] = build(
+        f"SELECT series_id, config, band_pct, {shown} FROM grid LEFT JOIN summary USING (series_id, config, band_pct)",
+        grid="SELECT DISTINCT series_id, config, CAST(1 AS DOUBLE) AS band_pct FROM ds_attention_level, (VALUES ('base'), ('layer')) c(config)",
+        summary=summary, layer_fc="SELECT series_id, config, date, pred AS rv_forecast FROM preds",
+        **attentive, **trades("layer_fc", (1.0,)),
+    )
     y = "CASE WHEN target > 0 THEN ln(target) END"
     weights = folds("ds_fiscal", "steps")
     for f in ("fiscal_surprise", "fiscal_sentiment"):
@@ -704,13 +766,14 @@ def _diagnostics() -> dict[str, str]:
         f"""SELECT series_id, {r('avg(abs(close - open))', 'mean_intra')}, {r('avg(gap)', 'mean_gap')}, {r('corr(open, close)', 'corr_open_close')},
             {r('avg(gap) / avg(abs(close - open))', 'gap_ratio')} FROM (SELECT *, abs(open - lag(close) OVER {P}) AS gap FROM bars) GROUP BY 1"""
     )
-    shifts = {-1: "lead(o, 1) OVER (ORDER BY date)", 0: "o", 1: "lag(o, 1) OVER (ORDER BY date)"}
+    by_rate = "OVER (PARTITION BY rate ORDER BY date)"
+    shifts = {-1: f"lead(o, 1) {by_rate}", 0: "o", 1: f"lag(o, 1) {by_rate}"}
     q["lead_lag_corr"] = build(
         " UNION ALL ".join(
-            f"SELECT series_id, CAST({k} AS INTEGER) AS shift, {r('corr(ret, x)', 'r')} FROM price_ret JOIN (SELECT date, {s} AS x FROM o_ret) USING (date) GROUP BY 1"
+            f"SELECT p.series_id, rate, CAST({k} AS INTEGER) AS shift, {r('corr(ret, x)', 'r')} FROM price_ret p JOIN (SELECT date, rate, {s} AS x FROM o_ret) USING (date) GROUP BY 1, 2"
             for k, s in shifts.items()
         ),
-        o_ret="SELECT date, ln(value) - lag(ln(value)) OVER (ORDER BY date) AS o FROM official WHERE series_id = '1-URGENT'",
+        o_ret="SELECT date, series_id AS rate, ln(value) - lag(ln(value)) OVER (PARTITION BY series_id ORDER BY date) AS o FROM official",
     )
     q["volatility_profile"] = build(
         f"""SELECT series_id, {r('avg(range_vol_21)', 'mean')}, {r('max(range_vol_21)', 'max')}, {r('min(range_vol_21)', 'min')},
@@ -760,8 +823,8 @@ def _sources() -> dict[str, str]:
     q["source_news_tone"] = f"""SELECT query, CAST(date AS TIMESTAMP) AS date, CAST(date - INTERVAL 3 HOUR AS DATE) AS local_day, CAST(n AS DOUBLE) AS tone
         FROM ({hourly})"""
     q["source_headlines"] = build(
-        """SELECT CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS date, title, 'u/' || (doc_id % 700) AS url, query || '.example' AS domain, language,
-            upper(language) AS sourcecountry, query FROM headlines QUALIFY row_number() OVER (PARTITION BY query, doc_id % 700
+        """SELECT CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR AS date, title, 'u/' || (doc_id % 20 + 20 * (doc_id // 60)) AS url, query || '.example' AS domain, language,
+            upper(language) AS sourcecountry, query FROM headlines QUALIFY row_number() OVER (PARTITION BY query, doc_id % 20 + 20 * (doc_id // 60)
             ORDER BY date DESC, language DESC, title DESC) = 1"""
     )
     day = f"CAST(DATE '{FIRST_DAY}' + CAST(page_id % {HEADLINE_DAYS} AS INTEGER) AS DATE)"
@@ -792,8 +855,12 @@ def _sources() -> dict[str, str]:
     )
     q["source_paired_closes"] = build(f"SELECT date, {rs('vix_close', 'dxy_close')} FROM risk")
     q["source_surface"] = build(
-        f"""SELECT refdate, maturity_date, delta_pct, {r('iv_pct')} FROM surface WHERE series_id = 'RF' AND NOT (delta_pct = 25 AND month(refdate) = 1)"""
+        f"""SELECT series_id, refdate, maturity_date, delta_pct, {r('iv_pct')} FROM surface WHERE NOT (delta_pct = 25 AND month(refdate) = 1)"""
     )
+    for name, same in (("official", "official_rate"), ("volume", "news_volume"), ("headlines", "headlines"), ("meetings", "meetings"), ("rss", "rss"),
+                       ("survey", "survey"), ("surface", "surface")):
+        q[f"ingest_{name}"] = q[f"source_{same}"]
+    q["ingest_tone"] = f"SELECT query, CAST(date AS TIMESTAMP) AS date, CAST(n AS DOUBLE) AS tone FROM ({hourly})"
     q["sink_table"] = build(f"SELECT date, {r('value')} FROM official WHERE series_id = '1-URGENT' AND date BETWEEN '1996-01-01' AND '1999-12-31'")
     q["stream_latest"] = """SELECT user_id, event_type, CAST(ts AS DATE) AS date, value, event_id FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE) DESC, event_id DESC) = 1"""

@@ -18,10 +18,10 @@ from volpanel.operators.asof import asof_join, asof_shared
 from volpanel.operators.contracts import front_contract
 from volpanel.operators.folds import CountedFolds, LastShare, Scheme, StepFolds, assign_folds, expanding_folds, fold_table
 from volpanel.operators.garch import filtered_forecasts, garch_forecasts
-from volpanel.operators.keep import keep_one, read_table, upsert
+from volpanel.operators.keep import PART, hash_part, keep_one, read_table, upsert, upsert_table
 from volpanel.operators.options import with_option_prices
 from volpanel.operators.panel import number_rows
-from volpanel.operators.regression import coefficient_column, fit_folds
+from volpanel.operators.regression import coefficient_column, fit_folds, predict_folds
 from volpanel.operators.spikes import spike_windows
 from volpanel.operators.surface import atm_tenors
 from volpanel.operators.trend import one_sided_gap
@@ -29,6 +29,7 @@ from volpanel.plans import datasets as D
 from volpanel.plans import diagnostics as G
 from volpanel.plans import experiments as P
 from volpanel.plans import forecasts as C
+from volpanel.plans import ingest
 from volpanel.session import scratch_path, stage
 from volpanel.sources import documents as docs
 from volpanel.sources import exchange
@@ -43,6 +44,7 @@ HORIZON = 21
 PURGED = CountedFolds(5, HORIZON, 5)
 STEPS = StepFolds(252, 21, HORIZON, 5)
 GARCH_PARAMETERS = (0.02, 0.06, 0.9)
+STREAM_FILES = 4
 
 
 def query(fn: Query) -> Query:
@@ -159,9 +161,9 @@ def thinned_rows(spark, sf):
 
 @query
 def asof_series(spark, sf):
-    """Two calendars with the same key: order prices as of every fifth priority day."""
-    left = S.official(spark, sf).select("series_id", "date")
-    right = W.every_nth(number_rows(S.official(spark, sf)), 5).select("series_id", "date", "value")
+    """Two calendars with the same key: order prices as of three days after each order day."""
+    left = S.official(spark, sf).select("series_id", F.date_add("date", 3).alias("date"))
+    right = S.official(spark, sf).select("series_id", "date", "value")
     right = right.withColumn("value", F.when(F.dayofmonth("date") != 10, F.col("value")))
     return rounded(asof_join(left, right), "value")
 
@@ -174,9 +176,18 @@ def asof_shared_pair(spark, sf):
     return rounded(asof_shared(left, risk.select("date", *cols)), *cols)
 
 
+@query
+def asof_shared_instant(spark, sf):
+    """A shared hourly series of instants, seen from the midnight of each day in the market's zone."""
+    e = S.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    left = e.groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date")).agg(F.count("*").alias("events"))
+    hourly = e.groupBy(F.date_trunc("hour", "ts").alias("date")).agg(F.count("*").alias("last_hour"), F.max("value").alias("most"))
+    return rounded(asof_shared(left, hourly), "most")
+
+
 @query
 def asof_intraday(spark, sf):
-    """Latest purchase value of the user at each error: TIMESTAMP keys, calendar buckets with a carried row."""
+    """Latest purchase value of the user at each error: TIMESTAMP keys, data ranges with a carried row."""
     e = S.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("date"), "event_type", "value", "event_id")
     bought = e.filter("event_type = 'purchase'").groupBy("user_id", "date").agg(F.max("value").alias("last_purchase"))
     failed = e.filter("event_type = 'error'").select("event_id", "user_id", "date")
@@ -250,6 +261,17 @@ def upsert_latest(spark, sf):
     return rounded(upsert(daily(history), daily(batch), ["user_id", "date"]), "value")
 
 
+@query
+def upsert_table_partitioned(spark, sf):
+    """The same history and batch merged into a table on disk, split by hash of the key."""
+    e = _events(spark, sf)
+    daily = lambda d: d.groupBy("user_id", "date").agg(F.max("value").alias("value")).withColumn(PART, hash_part(["user_id"], 8))
+    path = scratch_path(spark, "upsert")
+    upsert_table(daily(e.filter("date < '2024-01-22'")), path, ["user_id", "date"], partition_by=[PART])
+    batch = daily(e.filter("date >= '2024-01-15'").withColumn("value", F.col("value") + 1000))
+    return rounded(upsert_table(batch, path, ["user_id", "date"], partition_by=[PART]).drop(PART), "value")
+
+
 # Text ----------------------------------------------------------------------------------------------------
 
 
@@ -454,6 +476,19 @@ def ols_walk_forward(spark, sf):
     return rounded(coefs.withColumns(cols).select("series_id", "fold", "n_train", *cols), *cols)
 
 
+@query
+def ols_level_feature(spark, sf):
+    """A price level of about 5000 with a spread far below 1 among the features."""
+    wide = W.har_features(S.varied(spark, sf), horizons=[HORIZON]).withColumnRenamed(f"target_{HORIZON}", "target")
+    features = [*D.BASE, "level"]
+    data = stage(D.supervised(wide.withColumn("level", F.col("close") + 4995), features), "dataset")
+    sets = {"level": features}
+    coefs = stage(fit_folds(data, sets, PURGED), "coefs")
+    slopes = coefs.select("series_id", "fold", coefficient_column(coefs, sorted(features), "level").alias("b_level"))
+    fitted = predict_folds(data, coefs, sets, PURGED).groupBy("series_id", "fold").agg(F.avg("rv_forecast").alias("mean_fit"))
+    return rounded(slopes.join(fitted, ["series_id", "fold"]), "b_level", "mean_fit")
+
+
 @query
 def oos_forecast(spark, sf):
     rows = C.walk_forward(_base(spark, sf), {"har": D.BASE}, PURGED)
@@ -549,7 +584,7 @@ def horizon_sweep(spark, sf):
 
 @query
 def garch_walk_forward(spark, sf):
-    """Maximum likelihood fits have no SQL form; pytest checks their invariants."""
+    """Fits by the fixed likelihood search; the oracle runs the same search as list folds."""
     prices = stage(S.trade_prices(spark, sf), "prices")
     data = stage(D.base_dataset(W.close_variance(prices).dropna(), HORIZON), "dataset")
     rows = garch_forecasts(data, prices, PURGED, HORIZON)
@@ -668,12 +703,32 @@ def signal_today(spark, sf):
     return rounded(out.select("series_id", "date", "refdate", "spot_date", "signal", *cols), *cols)
 
 
+@query
+def official_signal_today(spark, sf):
+    """The signal with one official rate as the spot of every series."""
+    daily = stage(S.bars(spark, sf), "bars")
+    official = S.survey(spark, sf).select("date", F.col("pi_expectation").alias("close"))
+    out = P.signal_today(W.range_vol(daily, [21]), atm_tenors(S.surface(daily), [21]), official)
+    cols = ["range_vol_21", "iv_atm_pct", "close", "n_straddles"]
+    return rounded(out.select("series_id", "date", "refdate", "spot_date", "signal", *cols), *cols)
+
+
+@query
+def attention_trade_summary(spark, sf):
+    """Trades with and without the smoothed attention level on step folds."""
+    daily = stage(S.bars(spark, sf), "bars")
+    prices, _, implied = _trading_from(daily)
+    data = D.base_dataset(W.range_variance(daily), HORIZON, S.attention(spark, sf), "share_pct", 21)
+    summary, _ = P.layer_trades(data, D.NEWS, prices, implied, ["news"], weights=False)
+    return rounded(summary.drop("ret_skew", "ret_kurtosis"), *SUMMARY)
+
+
 @query
 def layer_trade_summary(spark, sf):
     daily = stage(S.bars(spark, sf), "bars")
     prices, _, implied = _trading_from(daily)
     data = D.base_dataset(W.range_variance(daily), HORIZON, _news(spark, sf), "news", 21)
-    summary, _ = P.layer_trades(data, D.NEWS, prices, implied, ["news"])
+    summary, _ = P.layer_trades(data, D.NEWS, prices, implied, ["news"], weights=False)
     return rounded(summary.drop("ret_skew", "ret_kurtosis"), *SUMMARY)
 
 
@@ -704,8 +759,8 @@ def bar_quality(spark, sf):
 @query
 def lead_lag_corr(spark, sf):
     returns = W.roll_free_returns(S.trade_prices(spark, sf).withColumn("contract_changed", F.lit(False)), "close")
-    official = S.official(spark, sf).filter("series_id = '1-URGENT'").select("date", "value")
-    return rounded(G.lead_lag(returns, official), "r")
+    official = S.official(spark, sf).withColumnRenamed("series_id", "rate")
+    return rounded(G.lead_lag(returns, official, rates=["rate"]), "r")
 
 
 @query
@@ -813,7 +868,7 @@ def source_paired_closes(spark, sf):
 
 @query
 def source_surface(spark, sf):
-    return rounded(exchange.surface_points(landed.wide_surface(spark, sf), ["25", "50", "75"]), "iv_pct")
+    return rounded(exchange.surface_points(landed.wide_surface(spark, sf), ["25", "50", "75"], keys=("series_id",)), "iv_pct")
 
 
 @query
@@ -843,12 +898,77 @@ def sink_json(spark, sf):
     return spark.read.schema(metrics.schema).json(path)
 
 
+# Ingest ----------------------------------------------------------------------------------------------------
+
+
+def _ingested(spark, name, documents, split, by=None):
+    """Two deliveries into one table, the second one with all files of the first again."""
+    first, both, table = scratch_path(spark, f"{name}-a"), scratch_path(spark, f"{name}-b"), scratch_path(spark, name)
+    ingest.ingest(spark, name, landed.land(documents.filter(split), first, by), table)
+    return ingest.ingest(spark, name, landed.land(documents, both, by), table)
+
+
+@query
+def ingest_official(spark, sf):
+    return _ingested(spark, "official", landed.official_rate(spark, sf), "month(month) < 7", "tipo")
+
+
+@query
+def ingest_tone(spark, sf):
+    out = _ingested(spark, "tone", landed.timelines(spark, sf), "dayofmonth(day) < 20", "query")
+    return out.select("query", F.col("date").cast("timestamp_ntz").alias("date"), "tone")
+
+
+@query
+def ingest_volume(spark, sf):
+    out = _ingested(spark, "volume", landed.timelines(spark, sf), "dayofmonth(day) < 20", "query")
+    return rounded(out.withColumn("date", F.col("date").cast("timestamp_ntz")), "share_pct")
+
+
+@query
+def ingest_headlines(spark, sf):
+    out = _ingested(spark, "headlines", landed.article_lists(spark, sf).withColumn("half", F.xxhash64("doc") % 2), "half = 0", "query")
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query
+def ingest_meetings(spark, sf):
+    minutes, statements = landed.meetings(spark, sf)
+    documents = minutes.withColumn("tipo", F.lit("ata")).unionByName(statements.withColumn("tipo", F.lit("comunicado")))
+    return _ingested(spark, "meetings", documents.withColumn("half", F.xxhash64("doc") % 2), "half = 0", "tipo")
+
+
+@query
+def ingest_rss(spark, sf):
+    out = _ingested(spark, "rss", landed.feeds(spark, sf), "part % 2 = 0", "source")
+    return out.withColumn("date", F.col("date").cast("timestamp_ntz")).withColumn("source", F.col("source").cast("string"))
+
+
+@query
+def ingest_survey(spark, sf):
+    return _ingested(spark, "survey", landed.survey(spark, sf).withColumn("half", F.xxhash64("doc") % 2), "half = 0")
+
+
+@query
+def ingest_surface(spark, sf):
+    """Wide sheets as CSV, one folder per series; the first delivery has the early quotes."""
+    sheet = landed.wide_surface(spark, sf)
+    first, both, table = scratch_path(spark, "sheet-a"), scratch_path(spark, "sheet-b"), scratch_path(spark, "surface")
+    for rows, path in ((sheet.filter("year(refdate) < 1996"), first), (sheet, both)):
+        rows.write.option("header", True).partitionBy("series_id").csv(path)
+        ingest.ingest(spark, "surface", path, table)
+    return rounded(ingest.clean(spark, table), "iv_pct")
+
+
 # Streams -------------------------------------------------------------------------------------------------
 
 
 def _event_stream(spark, sf):
     schema = S.table(spark, sf, "events").schema
-    rows = stream.landed_files(spark, f"{sf}/event[s].parquet", schema)
+    # Landed as several files, one per micro-batch, in an order that brings late rows: every day is in several of them.
+    path = scratch_path(spark, "landed-events")
+    S.table(spark, sf, "events").repartition(STREAM_FILES, F.col("event_id") % STREAM_FILES).write.parquet(path)
+    rows = stream.landed_files(spark, path, schema, files_per_batch=1)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -857,16 +977,28 @@ def stream_latest(spark, sf):
     """Landed events merged into a keep-latest table per micro-batch."""
     table, mark = scratch_path(spark, "latest"), scratch_path(spark, "mark")
     rows = _event_stream(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("date"), "value", "event_id")
-    daily = lambda b: keep_one(b, ["user_id", "event_type"], ["date", "event_id"])
-    stream.finish(stream.upsert_stream(rows, table, mark, ["user_id", "event_type"], parse=daily))
-    return read_table(spark, table)
+    rows = rows.withColumn("moment", F.unix_date("date") * F.lit(10**10) + F.col("event_id"))  # batches arrive in no order
+    daily = lambda b: keep_one(b, ["user_id", "event_type"], ["moment"])
+    stream.finish(stream.upsert_stream(rows, table, mark, ["user_id", "event_type"], "moment", parse=daily))
+    return read_table(spark, table).drop(PART, "moment")
 
 
 @query
 def stream_daily_share(spark, sf):
     table, mark = scratch_path(spark, "share"), scratch_path(spark, "mark")
-    stream.finish(stream.daily_share_stream(_event_stream(spark, sf), table, mark, "ts", F.col("event_type") == "error"))
-    return rounded(read_table(spark, table), "share_pct")
+    stream.finish(stream.daily_share_stream(_event_stream(spark, sf), table, mark, "ts", F.col("event_type") == "error", late="60 days"))
+    return rounded(read_table(spark, table).drop("month"), "share_pct")
+
+
+@query
+def stream_text_index(spark, sf):
+    """Scored documents landed in several files, corrected day by day."""
+    path, table, mark = scratch_path(spark, "landed-texts"), scratch_path(spark, "index"), scratch_path(spark, "mark")
+    scored = S.labelled(spark, sf).withColumn("ts", F.col("date").cast("timestamp")).select("doc_id", "ts", "label", "signed_score")
+    scored.repartition(STREAM_FILES, F.col("doc_id") % STREAM_FILES).write.parquet(path)
+    rows = stream.landed_files(spark, path, scored.schema, files_per_batch=1)
+    stream.finish(stream.daily_index_stream(rows, table, mark, "ts", late="4000 days"))
+    return rounded(read_table(spark, table).drop("month"), "sentiment_mean", "share_negative")
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volpanel.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from volpanel.llm.common import DOCUMENT_COLUMNS, table, vocabulary
-from volpanel.session import scratch_path
+from volpanel.session import scratch_path, staging
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with staging(spark):  # what a stage wrote for itself goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

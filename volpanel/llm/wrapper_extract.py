@@ -66,7 +66,6 @@ NO_TEXT_WORDS = frozenset(
     "footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments discussion replies reply respond disqus search searchbox toolbar pagination pager copyright complementary contentinfo alert".split()
 )
-SPACE = re.compile(r"\s+")
 LONGEST_GROUP = 3
 DEEPEST = 120  # elements below this depth count as parts of the element there, as in browsers
 
@@ -159,14 +158,14 @@ def parse(page: str) -> Element:
 
 
 def _own_text(element: Element) -> str:
-    return SPACE.sub(" ", "".join(c for c in element.content if isinstance(c, str))).strip()
+    return " ".join("".join([c for c in element.content if isinstance(c, str)]).split())
 
 
-def skeleton(element: Element) -> Part:
-    """The wrapper of one page."""
-    text = _own_text(element)
+def skeleton(element: Element, texts: bool = True) -> Part:
+    """The wrapper of one page; without ``texts`` its slots don't remember theirs."""
+    text = _own_text(element) if texts else ""
     mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    parts = [skeleton(c) for c in element.content if isinstance(c, Element)]
+    parts = [skeleton(c, texts) for c in element.content if isinstance(c, Element)]
     return Part(element.key, fold(parts), texts=(mark, mark) if text else None, told=int(bool(text)), members=[element])
 
 
@@ -266,7 +265,7 @@ def blocks(root: Element, chosen: set[int]) -> list[str]:
     line: list[str] = []
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(line)).strip()
+        text = " ".join("".join(line).split())
         if text:
             out.append(text)
         line.clear()
@@ -293,7 +292,7 @@ def blocks(root: Element, chosen: set[int]) -> list[str]:
 def extract(page: str | None, wrapper: Part) -> str:
     """Main text of a page of the wrapper's host."""
     root = parse(page or "")
-    own = skeleton(root)
+    own = skeleton(root, texts=False)
     found = "\n".join(blocks(root, {id(e) for e in slots(own, wrapper, has_article(wrapper))}))
     if not found and has_article(wrapper) and not has_article(own):
         found = "\n".join(blocks(root, {id(e) for e in slots(own, wrapper, False)}))

@@ -73,8 +73,15 @@ def test_non_overlapping_choice_equals_the_sequential_rule(spark, horizon, block
     got = B.pick_without_overlap(df, horizon, ["series_id"], block).collect()
     for s, v in picks.items():
         assert sorted(r.entry_rn for r in got if r.series_id == s) == greedy(v, horizon)
-    with pytest.raises(ValueError):
-        B.pick_without_overlap(df, 9, ["series_id"], 8)
+
+
+def test_a_horizon_beyond_the_block_is_followed_too(spark):
+    """A horizon longer than a block widens the blocks; the choice stays that of the sequential rule."""
+    rns = sorted(int(i) for i in np.random.default_rng(3).choice(20_000, 500, replace=False))
+    df = spark.createDataFrame([("a", i) for i in rns], "series_id string, entry_rn long")
+    for horizon in (9, 3000):
+        got = sorted(r.entry_rn for r in B.pick_without_overlap(df, horizon, ["series_id"], 8).collect())
+        assert got == greedy(rns, horizon)
 
 
 def market(spark, n=160, seed=0):

@@ -140,6 +140,9 @@ def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
         _anchors(rows, length).groupBy("h").agg(F.count("*").alias("times"), F.min("doc").alias("of"), F.min("at").alias("at")).where("times = 1")
         .groupBy("of", F.floor(F.col("at") / ORDINAL).alias("ordinal")).agg(F.collect_list(F.col("at") % ORDINAL).alias("once"))
     )
+    # Written before the texts move, so that the shuffles behind it can go first.
+    once = stage(once, "lone-runs")
+    release_shuffles(rows.sparkSession)
 
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

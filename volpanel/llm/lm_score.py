@@ -25,6 +25,7 @@ bits n-grams' parts.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -351,7 +352,7 @@ class Asked:
         for shard, own in self.by_shard():
             context = self.context[own]
             new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            rows.append((shard, block, _pack48(context[new]), np.diff(np.r_[new, len(context)]).astype("<u4").tobytes(), _pack48(self.symbol[own]), self.times[own].tobytes()))
+            rows.append((shard, block, _pack48(context[new]), _squeeze(np.diff(np.r_[new, len(context)]).astype("<u4")), _pack48(self.symbol[own]), _squeeze(self.times[own])))
         return pd.DataFrame(rows, columns=["shard", "block", "contexts", "sizes", "symbols", "times"])
 
     def collect(self, answers: dict[int, tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,15 +360,26 @@ class Asked:
         codes, weights, ranks = np.zeros(len(self.shard), np.uint8), np.zeros(len(self.shard), np.uint8), np.zeros(len(self.shard), np.int64)
         for shard, own in self.by_shard():
             own_codes, own_weights, own_ranks = answers[shard]
-            codes[own] = np.frombuffer(own_codes, np.uint8)
+            codes[own] = _spread(own_codes, np.uint8)
             context = self.context[own]
             number = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
-            weights[own] = np.frombuffer(own_weights, np.uint8)[number]
+            weights[own] = _spread(own_weights, np.uint8)[number]
             hits = np.flatnonzero(codes[own])
-            ranks[own.start + hits] = np.frombuffer(own_ranks, "<u4")
+            ranks[own.start + hits] = _spread(own_ranks, "<u4")
         return codes, weights, ranks
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Small numbers, most of them alike, byte by byte and deflated: half of what the shuffle's own codec leaves."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _spread(data: bytes, kind: str | type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _pack48(values: np.ndarray) -> bytes:
     """Six bytes a number, byte by byte, so that equal high bytes lie together."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
@@ -415,9 +427,9 @@ def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np
 
 def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray, dict[int, float]]:
     """The shard's level, its distinct questions, which of them each block's questions are, and the kept mass of split contexts."""
-    context = np.concatenate([np.repeat(_unpack48(c), np.frombuffer(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
+    context = np.concatenate([np.repeat(_unpack48(c), _spread(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
     symbol = np.concatenate([_unpack48(x) for x in rows["symbols"]])
-    times = np.concatenate([np.frombuffer(x, "<u4") for x in rows["times"]]).astype(np.int64)
+    times = np.concatenate([_spread(x, "<u4") for x in rows["times"]]).astype(np.int64)
     order = np.lexsort((symbol, context))
     context, symbol = context[order], symbol[order]
     new = np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]
@@ -458,11 +470,12 @@ def _answers(requests: DataFrame, hot_totals: dict[int, int], other: bool) -> Da
         out = [("", shard, raw, b"", b"", hot)]
         begin = 0
         for block, sizes in zip(rows["block"], rows["sizes"]):
-            sizes = np.frombuffer(sizes, "<u4").astype(np.int64)
+            sizes = _spread(sizes, "<u4").astype(np.int64)
             own = asked[begin : begin + int(sizes.sum())]
             begin += len(own)
             found = codes[own]
-            out.append((block, shard, found.tobytes(), weights[own[np.r_[0, np.cumsum(sizes)[:-1]]]].tobytes(), ranks[own[found > 0]].tobytes(), b""))
+            first = own[np.r_[0, np.cumsum(sizes)[:-1]]]
+            out.append((block, shard, _squeeze(found), _squeeze(weights[first]), _squeeze(ranks[own[found > 0]]), b""))
         return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "ranks", "hot"])
 
     return requests.groupBy("shard").applyInPandas(answer, ANSWER)

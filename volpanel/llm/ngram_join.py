@@ -145,16 +145,20 @@ def components(links: DataFrame) -> DataFrame:
     return known.join(least, "label").select("node", "component")
 
 
+def size_class(n: Column) -> Column:
+    """Linked sets are at most one class apart."""
+    return F.floor(F.log(n) / F.lit(math.log(1.25))).cast("int")
+
+
 def _postings(sets: DataFrame) -> DataFrame:
     """Rows (token, block, node, n, u, p, entries) of lists with several entries; a set is in the blocks of its size class and of the next one.
 
     A set's own shingles come first in the order and are in no other list, so the prefix goes on with the smallest hashes of the rest;
     p is how many of the set's shingles come before the token.
     """
-    size_class = F.floor(F.log("n") / F.lit(math.log(1.25))).cast("int")
     prefix = F.expr("slice(array_except(tokens, own), 1, greatest(0, int(n div 5 + 1 - u)))")
     rows = (
-        sets.select("node", "n", "u", size_class.alias("class"), F.posexplode(prefix).alias("position", "token"))
+        sets.select("node", "n", "u", size_class(F.col("n")).alias("class"), F.posexplode(prefix).alias("position", "token"))
         .select("token", F.explode(F.array("class", F.col("class") + 1)).alias("block"), "node", "n", "u", (F.col("u") + F.col("position")).alias("p"))
     )
     rows = stage(rows, "entries")
@@ -223,6 +227,7 @@ def links(sets: DataFrame) -> DataFrame:
     third = (
         asking.withColumn("part", F.explode(parts)).join(x.drop("l_node"), ["token", "block", "part"])
         .where("x_c <> y_c AND x_p <= most").where(_may_link("x", "y", "p")).where(through_leader)
+        .where(F.col("block") == F.greatest(size_class(F.col("x_n")), size_class(F.col("y_n"))))  # of two common blocks, one is enough
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
     return first.union(second).union(_compared(third, sets).where("linked").select("a", "b"))

@@ -53,6 +53,17 @@ def test_junk_goes_and_clean_stays(spark):
     assert kept == set(range(40))
 
 
+def test_junk_heavy_and_single_document_groups_are_bounded_by_coarser_ones(spark):
+    junk = lambda i: " ".join(w + "###" for w in prose(i, 80).split())
+    rows = [document(i, prose(i, 120), "en", "good") for i in range(40)]
+    rows += [document(100 + i, junk(i), "en", "mostly junk") for i in range(3)] + [document(110 + i, prose(50 + i, 120), "en", "mostly junk") for i in range(2)]
+    rows += [document(120, junk(9), "en", "alone"), document(121, junk(10), "de", "alone"), document(122, junk(11), None, None), document(123, prose(60, 120), "de", "fine")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {*range(40), 110, 111, 123}
+    assert {r.doc_id for r in Q.keep_documents(docs).collect()} == want
+    assert {r.doc_id for r in Q.judge(docs).where("kept").collect()} == want
+
+
 def test_sketches_merge_and_bound_quantiles(spark, odd):
     measured = odd.select("lang", "source", Q.measures("text").alias("m"))
     m = F.col("m")

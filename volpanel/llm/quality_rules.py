@@ -8,7 +8,9 @@ of the true one, whatever the order of merging. A ratio's upper cut-off in a lan
     max(floor, q75 + reach * (q75 - q50))
 
 with the quantiles taken over that group's documents and ``floor`` a ratio that is never objectionable. Junk in up to a
-quarter of a group leaves q75 where clean texts put it. The cut-offs join back to the measures by language and source.
+quarter of a group leaves q75 where clean texts put it. A group that is small or mostly junk would raise its own cut-off, so the
+same formula over its language and over the whole corpus, from the merged sketches, bounds the cut-off of every group. The cut-offs
+join back to the measures by language and source.
 
 Defined cases: a NULL or empty text has no words and fails the base rule; NULL languages or sources form groups of
 their own; repeated rows are measured and judged row by row; an empty table gives an empty table; columns beside ``text``, ``lang``
@@ -125,22 +127,40 @@ def merge_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
-    """One row per language and source with a column ``cut_<ratio>``; a group holds some thousand buckets at most."""
-    group = Window.partitionBy("lang", "source", "ratio")
+    """One row per language and source with a column ``cut_<ratio>``; a group holds some thousand buckets at most.
+
+    Level 0 are the groups, level 1 their languages, level 2 is the corpus; no cut-off is above that of a coarser level.
+    """
+    no_lang, no_source = (F.lit(None).cast(sketch.schema[c].dataType) for c in ("lang", "source"))
+    levels = F.explode(F.array(
+        F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
+        F.struct(F.lit(1).alias("level"), F.col("lang"), no_source.alias("source")),
+        F.struct(F.lit(2).alias("level"), no_lang.alias("lang"), no_source.alias("source")),
+    ))
+    merged = sketch.select(levels.alias("g"), "ratio", "bucket", "n").groupBy("g.level", "g.lang", "g.source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("level", "lang", "source", "ratio")
     running = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket") + 1) / (F.lit(GROWTH) + 1))
-    ranked = sketch.select(
-        "lang", "source", "ratio", value.alias("value"), F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("total"),
+    ranked = merged.select(
+        "level", "lang", "source", "ratio", value.alias("value"), F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("total"),
     )
     # The first bucket that reaches the wanted rank is the least value among those that do.
     quantile = {q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("value"))) for q in (0.5, 0.75)}
-    cuts = [
-        F.max(F.when(F.col("ratio") == r.name, F.greatest(F.lit(r.floor), F.col("q75") + r.reach * (F.col("q75") - F.col("q50"))))).alias(f"cut_{r.name}")
-        for r in ratios
-    ]
+    cut = F.coalesce(*(
+        F.when(F.col("ratio") == r.name, F.greatest(F.lit(r.floor), F.col("q75") + r.reach * (F.col("q75") - F.col("q50")))) for r in ratios
+    ))
+    cuts = stage(
+        ranked.groupBy("level", "lang", "source", "ratio").agg(quantile[0.5].alias("q50"), quantile[0.75].alias("q75"))
+        .select("level", "lang", "source", "ratio", cut.alias("cut")),
+        "quality-levels",
+    )
+    own = cuts.where("level = 0")
+    language = cuts.where("level = 1").select(F.col("lang").alias("of"), F.col("ratio").alias("of_ratio"), F.col("cut").alias("language_cut"))
+    corpus = cuts.where("level = 2").select("ratio", F.col("cut").alias("corpus_cut"))
+    bound = F.least("cut", "language_cut", "corpus_cut")
     return (
-        ranked.groupBy("lang", "source", "ratio").agg(quantile[0.5].alias("q50"), quantile[0.75].alias("q75"))
-        .groupBy("lang", "source").agg(*cuts)
+        own.join(language, own["lang"].eqNullSafe(F.col("of")) & (own["ratio"] == F.col("of_ratio"))).drop("of", "of_ratio").join(corpus, "ratio")
+        .groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r.name, bound)).alias(f"cut_{r.name}") for r in ratios))
     )
 
 

@@ -223,3 +223,24 @@ def test_alignment_finds_optional_and_repeated_parts():
     assert parts["p"].repeated and not parts["p"].optional and parts["ul"].optional and parts["ul"].parts[0].repeated
     dl = X.skeleton(X.parse("<dl><dt>a</dt><dd>1</dd><dt>b</dt><dd>2</dd><dt>c</dt><dd>3</dd></dl>")).parts[0]
     assert [(p.key, p.repeated) for p in dl.parts] == [("dt", True), ("dd", True)]
+
+
+def wrapped(pages):
+    """The wrapper of pages of one host."""
+    wrapper = X.skeleton(X.parse(pages[0]))
+    for p in pages[1:]:
+        wrapper = X.align(wrapper, X.skeleton(X.parse(p)))
+    return wrapper
+
+
+def test_no_block_of_a_mixed_article_is_lost():
+    kinds = {"p": "<p>{}</p>", "ul": "<ul><li>{}</li></ul>", "blockquote": "<blockquote>{}</blockquote>", "h2": "<h2>{}</h2>"}
+    rng = np.random.default_rng(3)
+    orders = [["p", "ul", "p"], ["ul", "p", "ul"], *([str(k) for k in rng.choice(list(kinds), rng.integers(1, 12))] for _ in range(25))]
+    want = [[f"{kind} {i} {k}" for k, kind in enumerate(order)] for i, order in enumerate(orders)]
+    inner = ["".join(kinds[kind].format(t) for kind, t in zip(order, told)) for order, told in zip(orders, want)]
+    for page in ("<body><nav>Menu</nav><article>{}</article></body>", "<body><nav>Menu</nav><div>{}</div></body>"):
+        pages = [page.format(x) for x in inner]
+        for some in (pages[:2], pages):
+            wrapper = wrapped(some)
+            assert [X.extract(p, wrapper).split("\n") for p in some] == want[: len(some)]

@@ -10,7 +10,8 @@ all pages is spread over many tasks.
 
 A slot is main text if neither it nor an element around it is a menu, header, footer, sidebar, notice, advert, form, script, style or comment list by
 its tag or by a word of its class, id or role, and it lies in the wrapper's article. Hosts without an article element give
-the slots whose texts differ between pages and that are no links.
+the slots whose texts differ between pages and that are no links. A page's parts are paired with the wrapper's with repeated ones
+as often as needed; a part without a partner is unlike all pages, so nothing in it counts as agreed.
 
 Defined cases: NULL html is empty, NULL urls share one host of their own; repeated pages are extracted row by row; unclosed elements end with the one
 around them, an unclosed comment or script with the page; an empty table gives an empty table; other columns than page_id, url
@@ -232,6 +233,40 @@ def align(a: Part, b: Part) -> Part:
     return out
 
 
+def _partners(page: list[Part], wrapper: list[Part]) -> list[Part | None]:
+    """The wrapper's part for each part of a page, for as many as can have one in order; from a repeated part on, its run may begin again."""
+    back: list[int] = []  # the first part that may follow each one
+    for j, p in enumerate(wrapper):
+        back.append(j + 1 if not p.repeated else back[-1] if j and wrapper[j - 1].repeated else j)
+    at: list[int] = []
+    j = 0
+    for x in page:
+        k = next((k for k in range(j, len(wrapper)) if wrapper[k].key == x.key), None)
+        if k is None:
+            break
+        at.append(k)
+        j = back[k]
+    else:
+        return [wrapper[k] for k in at]
+    best = [[0] * (len(wrapper) + 1) for _ in range(len(page) + 1)]
+    for i in range(len(page) - 1, -1, -1):
+        for j in range(len(wrapper) - 1, -1, -1):
+            with_it = best[i + 1][back[j]] + 1 if page[i].key == wrapper[j].key else 0
+            best[i][j] = max(with_it, best[i + 1][j], best[i][j + 1])
+    found: list[Part | None] = []
+    i = j = 0
+    while i < len(page):
+        if j < len(wrapper) and page[i].key == wrapper[j].key and best[i][j] == best[i + 1][back[j]] + 1:
+            found.append(wrapper[j])
+            i, j = i + 1, back[j]
+        elif j < len(wrapper) and best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            found.append(None)
+            i += 1
+    return found
+
+
 def _no_text(key: str, inside_article: bool) -> bool:
     tag, *words = key.split(" ")
     if tag in NO_TEXT_TAGS or (tag == "header" and not inside_article):
@@ -245,18 +280,18 @@ def has_article(wrapper: Part) -> bool:
     return wrapper.key.split(" ")[0] in ARTICLE or any(has_article(p) for p in wrapper.parts)
 
 
-def slots(page: Part, wrapper: Part, article: bool, inside: bool = False, link: bool = False) -> Iterator[Element]:
+def slots(page: Part, wrapper: Part | None, article: bool, inside: bool = False, link: bool = False) -> Iterator[Element]:
     """Elements of the page whose own text is main text, by their places in the wrapper."""
     tag = page.key.split(" ")[0]
     if _no_text(page.key, inside):
         return
     inside = inside or tag in ARTICLE
     link = link or tag == "a"
-    agreed = wrapper.texts is not None and wrapper.texts[0] == wrapper.texts[1] and wrapper.told > 2 and not wrapper.repeated
+    agreed = wrapper is not None and wrapper.texts is not None and wrapper.texts[0] == wrapper.texts[1] and wrapper.told > 2 and not wrapper.repeated
     if inside or not (article or link or agreed):
         yield from page.members
-    for x, y in _common(page.parts, wrapper.parts):
-        yield from slots(page.parts[x], wrapper.parts[y], article, inside, link)
+    for x, y in zip(page.parts, _partners(page.parts, wrapper.parts) if wrapper else [None] * len(page.parts)):
+        yield from slots(x, y, article, inside, link)
 
 
 def blocks(root: Element, chosen: set[int]) -> list[str]:

@@ -244,3 +244,25 @@ def test_no_block_of_a_mixed_article_is_lost():
         for some in (pages[:2], pages):
             wrapper = wrapped(some)
             assert [X.extract(p, wrapper).split("\n") for p in some] == want[: len(some)]
+
+
+def test_copies_of_a_page_agree_as_one_page():
+    page = "<body><h1>Title</h1><div>Only story</div></body>"
+    assert X.extract(page, wrapped([page] * 5)) == "Title\nOnly story"
+
+
+def test_without_an_article_links_in_sentences_stay():
+    pages = [
+        f"<body><ul><li><a>Menu {i}</a><li><a>One</a> | <a>Two</a></ul><p>Story {i} by <a href=x>Editor</a>, <b>again</b> <a>{i}</a>.</p><div>Same <b>words</b></div></body>"
+        for i in range(5)
+    ]
+    wrapper = wrapped(pages)
+    assert [X.extract(p, wrapper) for p in pages] == [f"Story {i} by Editor, again {i}." for i in range(5)]
+
+
+def test_deep_elements_keep_blocks_and_marks():
+    deep = "<div>" * 5000 + "<nav>Menu</nav><p>One {0}</p><p>Two {0}</p><div class=ad>Buy</div>" + "</div>" * 5000 + "<p>Last {0}</p>"
+    for page in ("<body><article>" + deep + "</article></body>", "<body>" + deep + "</body>"):
+        pages = [page.format(i) for i in range(4)]
+        wrapper = X._loads(X._merge([X._dumps(wrapped(pages[:2])), X._dumps(wrapped(pages[2:]))]))
+        assert [X.extract(p, wrapper) for p in pages] == [f"One {i}\nTwo {i}\nLast {i}" for i in range(4)]

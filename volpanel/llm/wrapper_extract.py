@@ -10,21 +10,23 @@ all pages is spread over many tasks.
 
 A slot is main text if neither it nor an element around it is a menu, header, footer, sidebar, notice, advert, form, script, style or comment list by
 its tag or by a word of its class, id or role, and it lies in the wrapper's article. Hosts without an article element give
-the slots whose texts differ between pages and that are no links. A page's parts are paired with the wrapper's with repeated ones
-as often as needed; a part without a partner is unlike all pages, so nothing in it counts as agreed.
+the blocks that are more than links and whose texts are not all the same on at least ``AGREE`` different pages. A page's parts are paired with the
+wrapper's with repeated ones as often as needed; a part without a partner is unlike all pages, so nothing in it counts as agreed.
 
 Defined cases: NULL html is empty, NULL urls share one host of their own; repeated pages are extracted row by row; unclosed elements end with the one
-around them, an unclosed comment or script with the page; an empty table gives an empty table; other columns than page_id, url
+around them, an unclosed comment or script with the page; elements nest to any depth; copies of a page agree as one page; an empty table gives an empty table; other columns than page_id, url
 and html are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -68,37 +70,63 @@ NO_TEXT_WORDS = frozenset(
     "comment comments discussion replies reply respond disqus search searchbox toolbar pagination pager copyright complementary contentinfo alert".split()
 )
 LONGEST_GROUP = 3
-DEEPEST = 120  # elements below this depth count as parts of the element there, as in browsers
+AGREE = 3  # so many different pages with one text make it the host's
+WORD = re.compile(r"\w")
 
 
 @dataclass
 class Element:
-    """An element of a page: its kind and, in order, texts and elements."""
+    """An element of a page: its kind and, in order, texts and elements. ``page`` tells different pages apart, in their roots."""
 
     key: str
     tag: str
     content: list[str | Element] = field(default_factory=list)
+    page: int = 0
 
 
 @dataclass
 class Part:
-    """A part of a wrapper. ``texts`` is (least, greatest) hash of its own text over the ``told`` elements that have one, None without any."""
+    """A part of a wrapper. ``texts`` is (least, greatest) hash of its own text, None without any; ``told`` has the least marks of the pages
+    with such a text, ``AGREE`` at most."""
 
     key: str
     parts: list[Part] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
     texts: tuple[int, int] | None = None
-    told: int = 0
+    told: tuple[int, ...] = ()
     members: list[Element] = field(default_factory=list)
 
     def dump(self) -> list:
-        return [self.key, int(self.optional), int(self.repeated), list(self.texts) if self.texts else None, self.told, [p.dump() for p in self.parts]]
+        """The parts from the top, each before its own parts and with their number."""
+        out, todo = [], [self]
+        while todo:
+            p = todo.pop()
+            out.append([p.key, int(p.optional), int(p.repeated), list(p.texts) if p.texts else None, list(p.told), len(p.parts)])
+            todo += reversed(p.parts)
+        return out
 
     @classmethod
     def load(cls, raw: list) -> Part:
-        key, optional, repeated, texts, told, parts = raw
-        return cls(key, [cls.load(p) for p in parts], bool(optional), bool(repeated), tuple(texts) if texts else None, told)
+        done: list[Part] = []
+        for key, optional, repeated, texts, told, n in reversed(raw):
+            parts = done[len(done) - n :][::-1]
+            del done[len(done) - n :]
+            done.append(cls(key, parts, bool(optional), bool(repeated), tuple(texts) if texts else None, tuple(told)))
+        return done[0]
+
+
+def _run(call: Generator) -> Part | list[Part]:
+    """The result of a generator that yields its calls of other generators; they nest on a list, to any depth."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
 def _key(tag: str, rest: str) -> str:
@@ -110,12 +138,18 @@ def _key(tag: str, rest: str) -> str:
 
 def parse(page: str) -> Element:
     """Tree of elements; character references are decoded in texts."""
-    root = Element("", "")
+    mark = hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=6).digest()
+    root = Element("", "", page=int.from_bytes(mark, "big"))
     stack, at, n = [root], 0, len(page)
+    opened: Counter[str] = Counter()
 
     def close(tags: set[str] | frozenset[str], fence: frozenset[str] = frozenset()) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                for e in stack[i:]:
+                    opened[e.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in fence:
@@ -151,10 +185,8 @@ def parse(page: str) -> Element:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = (page.find(">", end.start()) + 1 or n) if end else n
             continue
-        if len(stack) < DEEPEST:
-            stack.append(element)
-        else:
-            stack[-1].content.pop()
+        stack.append(element)
+        opened[tag] += 1
     return root
 
 
@@ -164,14 +196,28 @@ def _own_text(element: Element) -> str:
 
 def skeleton(element: Element, texts: bool = True) -> Part:
     """The wrapper of one page; without ``texts`` its slots don't remember theirs."""
-    text = _own_text(element) if texts else ""
-    mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-    parts = [skeleton(c, texts) for c in element.content if isinstance(c, Element)]
-    return Part(element.key, fold(parts), texts=(mark, mark) if text else None, told=int(bool(text)), members=[element])
+    order, todo = [], [element]
+    while todo:
+        e = todo.pop()
+        own = [c for c in e.content if isinstance(c, Element)]
+        order.append((e, len(own)))
+        todo += own[::-1]
+    done: list[Part] = []
+    for e, n in reversed(order):
+        text = _own_text(e) if texts else ""
+        mark = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        parts = done[len(done) - n :][::-1]
+        del done[len(done) - n :]
+        done.append(Part(e.key, fold(parts), texts=(mark, mark) if text else None, told=(element.page,) if text else (), members=[e]))
+    return done[0]
 
 
 def fold(parts: list[Part]) -> list[Part]:
     """Neighbouring groups of up to LONGEST_GROUP parts of the same kinds become one repeated group."""
+    return _run(_fold(parts)) if len(parts) > 1 else parts
+
+
+def _fold(parts: list[Part]) -> Generator:
     for width in range(1, LONGEST_GROUP + 1):
         out: list[Part] = []
         for part in parts:
@@ -180,7 +226,7 @@ def fold(parts: list[Part]) -> list[Part]:
                 last = out[-width:]
                 del out[-width:]
                 for i, p in enumerate(last):
-                    merged = align(out[-width + i], p)
+                    merged = yield _align(out[-width + i], p)
                     merged.repeated = True
                     merged.texts = (0, 1) if merged.texts else None  # texts of repeated parts are data
                     out[-width + i] = merged
@@ -215,7 +261,12 @@ def _common(a: list[Part], b: list[Part]) -> list[tuple[int, int]]:
 
 def align(a: Part, b: Part) -> Part:
     """The wrapper of everything that either of two wrappers of one kind describes."""
-    out = Part(a.key, optional=a.optional or b.optional, repeated=a.repeated or b.repeated, told=a.told + b.told, members=a.members + b.members)
+    return _run(_align(a, b))
+
+
+def _align(a: Part, b: Part) -> Generator:
+    told = a.told if a.told == b.told else tuple(sorted({*a.told, *b.told})[:AGREE])
+    out = Part(a.key, optional=a.optional or b.optional, repeated=a.repeated or b.repeated, told=told, members=a.members + b.members)
     if a.texts and b.texts:
         out.texts = (min(a.texts[0], b.texts[0]), max(a.texts[1], b.texts[1]))
     else:
@@ -227,9 +278,9 @@ def align(a: Part, b: Part) -> Part:
             only.optional = True
             parts.append(only)
         if x < len(a.parts):
-            parts.append(align(a.parts[x], b.parts[y]))
+            parts.append((yield _align(a.parts[x], b.parts[y])))
         i, j = x + 1, y + 1
-    out.parts = fold(parts)
+    out.parts = (yield _fold(parts)) if len(parts) > 1 else parts
     return out
 
 
@@ -275,34 +326,47 @@ def _no_text(key: str, inside_article: bool) -> bool:
 
 
 def has_article(wrapper: Part) -> bool:
-    if _no_text(wrapper.key, False):
-        return False
-    return wrapper.key.split(" ")[0] in ARTICLE or any(has_article(p) for p in wrapper.parts)
-
-
-def slots(page: Part, wrapper: Part | None, article: bool, inside: bool = False, link: bool = False) -> Iterator[Element]:
-    """Elements of the page whose own text is main text, by their places in the wrapper."""
-    tag = page.key.split(" ")[0]
-    if _no_text(page.key, inside):
-        return
-    inside = inside or tag in ARTICLE
-    link = link or tag == "a"
-    agreed = wrapper is not None and wrapper.texts is not None and wrapper.texts[0] == wrapper.texts[1] and wrapper.told > 2 and not wrapper.repeated
-    if inside or not (article or link or agreed):
-        yield from page.members
-    for x, y in zip(page.parts, _partners(page.parts, wrapper.parts) if wrapper else [None] * len(page.parts)):
-        yield from slots(x, y, article, inside, link)
-
-
-def blocks(root: Element, chosen: set[int]) -> list[str]:
-    """Texts of the chosen elements in page order, one for each block."""
+    todo = [wrapper]
+    while todo:
+        p = todo.pop()
+        if _no_text(p.key, False):
+            continue
+        if p.key.split(" ")[0] in ARTICLE:
+            return True
+        todo += p.parts
+    return False
+
+
+def slots(page: Part, wrapper: Part | None, article: bool) -> Iterator[tuple[Element, bool, bool]]:
+    """Elements of the page whose own text may be main text, by their places in the wrapper: (element, in a link, agreed by the host's pages)."""
+    todo: list[tuple[Part, Part | None, bool, bool]] = [(page, wrapper, False, False)]
+    while todo:
+        own, known, inside, link = todo.pop()
+        tag = own.key.split(" ")[0]
+        if _no_text(own.key, inside):
+            continue
+        inside = inside or tag in ARTICLE
+        link = link or tag == "a"
+        agreed = bool(known and known.texts and known.texts[0] == known.texts[1] and len(known.told) >= AGREE and not known.repeated)
+        if inside:
+            yield from ((e, False, False) for e in own.members)
+        elif not article:
+            yield from ((e, link, agreed) for e in own.members)
+        todo += [(x, y, inside, link) for x, y in zip(own.parts, _partners(own.parts, known.parts) if known else [None] * len(own.parts))]
+
+
+def blocks(root: Element, chosen: dict[int, tuple[bool, bool]]) -> list[str]:
+    """Texts of the chosen elements in page order, one for each block; blocks of links alone and blocks agreed as a whole are left out."""
     out: list[str] = []
-    line: list[str] = []
+    line: list[tuple[str, bool, bool]] = []
 
     def flush() -> None:
-        text = " ".join("".join(line).split())
+        text = " ".join("".join([t for t, _, _ in line]).split())
         if text:
-            out.append(text)
+            told = [(t, link, agreed) for t, link, agreed in line if t.strip()]
+            only_links = any(link for _, link, _ in told) and not any(WORD.search(t) for t, link, _ in told if not link)
+            if not only_links and not all(agreed for *_, agreed in told):
+                out.append(text)
         line.clear()
 
     todo: list[tuple[Element, int] | None] = [(root, 0)]
@@ -316,7 +380,7 @@ def blocks(root: Element, chosen: set[int]) -> list[str]:
                 todo += [(element, k + 1), (c, 0)]
                 break
             if id(element) in chosen:
-                line.append(c)
+                line.append((c, *chosen[id(element)]))
         else:
             if element.tag not in INLINE:
                 flush()
@@ -328,10 +392,12 @@ def extract(page: str | None, wrapper: Part) -> str:
     """Main text of a page of the wrapper's host."""
     root = parse(page or "")
     own = skeleton(root, texts=False)
-    found = "\n".join(blocks(root, {id(e) for e in slots(own, wrapper, has_article(wrapper))}))
-    if not found and has_article(wrapper) and not has_article(own):
-        found = "\n".join(blocks(root, {id(e) for e in slots(own, wrapper, False)}))
-    return found
+
+    def found(article: bool) -> str:
+        return "\n".join(blocks(root, {id(e): marks for e, *marks in slots(own, wrapper, article)}))
+
+    article = has_article(wrapper)
+    return found(article) or (found(False) if article and not has_article(own) else "")
 
 
 def _dumps(part: Part) -> str:
@@ -378,9 +444,11 @@ def infer(pages: DataFrame) -> DataFrame:
 
 def _forget(part: Part) -> None:
     """Lets go of the pages behind a wrapper."""
-    part.members = []
-    for p in part.parts:
-        _forget(p)
+    todo = [part]
+    while todo:
+        p = todo.pop()
+        p.members = []
+        todo += p.parts
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -63,6 +63,18 @@ def test_model_beats_the_base_on_held_out_text(spark, none):
     assert L.score(none).count() == 0
 
 
+def test_a_passage_seen_once_is_known(spark):
+    ids = [i for i in range(200) if remainder(i, 7) != 2][:40]
+    quoting, mixed = [i for i in range(200) if remainder(i, 7) == 2][:2]
+    seen = [prose(700 + i, 200).split() for i in ids]
+    passage = seen[5][40:100]
+    rows = [document(i, " ".join(w)) for i, w in zip(ids, seen)]
+    rows += [document(quoting, " ".join(passage)), document(mixed, " ".join(np.random.default_rng(1).permutation(passage)))]
+    got = {r.doc_id: r for r in L.score(spark.createDataFrame(rows, SCHEMA)).where("held_out").collect()}
+    assert abs(got[quoting].base_score - got[mixed].base_score) < 1e-6
+    assert got[quoting].score > got[mixed].score + 0.5 * len(passage)
+
+
 def test_probabilities_sum_to_one():
     """Discounted probabilities and the weight of the lower order, as the level stores them."""
     contexts, sizes = np.array([3, 9], np.uint64), np.array([2, 1])

@@ -11,11 +11,11 @@ what the contexts before it use up, and a lookup is a successor search between t
 are positions in the shard's sorted words; in level 3 a word is its position among the successors that its middle
 word has in level 2, which is much smaller. A level is one flat buffer, written to a file or a table and mapped back without decoding.
 
-Smoothing is absolute discounting: p(w | u) = max(c(uw) - D, 0) / c(u) + weight(u) * p(w), n-grams seen under ``CUTOFF`` times lending all their
-mass to the lower order; the lowest order is (c + 1) / (N + V + 1), as in the base score. Level 3 holds words behind kept pairs.
+Smoothing is absolute discounting: p(w | u) = max(c(uw) - D, 0) / c(u) + weight(u) * p(w), over every n-gram of the training rows, those seen
+once too; the lowest order is (c + 1) / (N + V + 1), as in the base score. Level 3 holds words behind the pairs of level 2.
 
 Contexts that fill more than a share of the corpus (the commonest words, the beginning of a text) are split over shards by the following word; their
-weights are summed over the parts. A text of over ``PIECE`` characters goes on in a new piece, whose first word has one word of context. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
+weights are summed over the parts. A text of over ``PIECE`` characters goes on in a new piece, whose first word has the last two of the piece before as context. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
 
 Defined cases: NULL and empty texts are the end token alone; a NULL id counts as a training row; repeated rows count and are scored as often as they
 occur; without training rows N = V = 0 and every token has probability 1; an empty table gives an empty table. Hashes of 64 bits tell words apart, of 48
@@ -39,7 +39,7 @@ from volpanel.session import stage
 
 BLOCK = 3 << 18
 PIECE = 1 << 20
-DISCOUNT, CUTOFF = 0.75, 2
+DISCOUNT = 0.75
 HOT_SHARE = 1 / 4096
 HOT_PARTS = 64
 END, BEGIN = np.uint64(0x9D5C6B2A1F3E4D01), np.uint64(0x3C1A5E7F9B2D4C03)
@@ -294,6 +294,7 @@ class Block:
         self.leads = np.frombuffer(row["leads"], np.uint64).reshape(-1, 2)
         self.train = np.repeat(~self.held, self.counts)
         self.starts = np.r_[0, np.cumsum(self.counts)[:-1]]
+        self.later = np.flatnonzero(self.leads[:, 1] != BEGIN)  # pieces that go on with a text
 
     def before(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the two tokens before each one."""
@@ -398,25 +399,37 @@ def part_of(symbols: np.ndarray) -> np.ndarray:
 
 
 def _pairs(block: Block) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Context and symbol of each token on level 2, as distinct values and positions."""
-    words = block.words & LOW48
-    # Contexts are the block's words, the beginning of a text, and the words before the block's first piece.
-    extra = np.unique(block.leads[:, 1] & LOW48)
-    c = np.empty(len(block.tokens), np.int64)
-    c[1:] = block.tokens[:-1]
+    """Context and symbol of each token on level 2, then of the two words before each later piece, as distinct values and positions."""
+    words, n = block.words & LOW48, len(block.tokens)
+    before, last = block.leads[block.later].T & LOW48
+    # Contexts are the block's words, the beginning of a text, and the words before a piece.
+    extra = np.unique(np.r_[block.leads[:, 1] & LOW48, before])
+    c = np.empty(n + len(last), np.int64)
+    c[1:n] = block.tokens[:-1]
     c[block.starts] = len(words) + np.searchsorted(extra, block.leads[:, 1] & LOW48)
+    c[n:] = len(words) + np.searchsorted(extra, before)
     contexts, again = np.unique(np.r_[words, extra], return_inverse=True)
-    return (contexts, again[c]), (words, block.tokens)
+    if not len(last):
+        return (contexts, again[c]), (words, block.tokens)
+    symbols, same = np.unique(np.r_[words, last], return_inverse=True)
+    return (contexts, again[c]), (symbols, same[np.r_[block.tokens, len(words) + np.arange(len(last))]])
+
+
+def _asked_pairs(block: Block, shards: int, hot: np.ndarray) -> Asked:
+    """The pairs before later pieces are asked for, not counted once more."""
+    return Asked.of(*_pairs(block), np.r_[block.train, np.zeros(len(block.later), bool)], shards, hot)
 
 
 def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple, tuple]:
     """Positions of the tokens whose two words before are a kept pair, with context and symbol on level 3; symbol 0 stands for all unkept pairs."""
     codes, _, ranks = answers
     kept = codes > 0
-    before_kept = np.r_[False, kept[two.place[:-1]]]
-    before_kept[block.starts] = False
-    at = np.flatnonzero(before_kept)
-    pair, own = two.place[at - 1], two.place[at]
+    n = len(block.tokens)
+    before = np.r_[-1, two.place[: n - 1]]
+    before[block.starts] = -1
+    before[block.starts[block.later]] = two.place[n:]
+    at = np.flatnonzero((before >= 0) & kept[before])
+    pair, own = before[at], two.place[at]
     named = (two.context * MIX ^ (two.symbol + MIX) * (MIX ^ np.uint64(0x5555))) & LOW48
     # The position among the middle word's successors, told apart by the part of a split context.
     symbol = np.where(kept, ((ranks.astype(np.uint64) + np.uint64(1)) << np.uint64(6)) | part_of(two.symbol), np.uint64(0))
@@ -444,7 +457,7 @@ def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tu
     names = context[start]
     for i in np.flatnonzero(np.isin(names, np.array(list(hot_totals), np.uint64))) if hot_totals else ():
         total[i] = hot_totals[int(names[i])]
-    keep = (times >= CUTOFF) & ~((symbol == 0) if other else np.zeros(len(symbol), bool))
+    keep = (times > 0) & ~((symbol == 0) if other else np.zeros(len(symbol), bool))
     probability = (times[keep] - DISCOUNT) / np.maximum(1, total[number[keep]])
     mass = np.bincount(number[keep], probability, len(start))
     used = total > 0
@@ -542,7 +555,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for part in parts:
             for _, row in part.iterrows():
                 block = Block(row)
-                yield Asked.of(*_pairs(block), block.train, shards, hot).requests(row["block"])
+                yield _asked_pairs(block, shards, hot).requests(row["block"])
 
     pairs = stage(_answers(kept.mapInPandas(ask_pairs, REQUEST), hot_totals, other=False), "level-2")
     release_shuffles(spark)
@@ -555,7 +568,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     def ask_triples(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = Block(left.iloc[0])
-        two = Asked.of(*_pairs(block), block.train, shards, hot)
+        two = _asked_pairs(block, shards, hot)
         at, context, symbol = _triples(block, two, two.collect(_by_shard(right)))
         return Asked.of(context, symbol, block.train[at], shards, none).requests(left["block"].iloc[0])
 
@@ -577,13 +590,14 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for s, (raw, _, _) in _by_shard(right[right["level"] == 1]).items():
             times[shard == s] = np.frombuffer(raw, "<u4")
         single = (times[block.tokens] + 1) / (tokens + vocabulary + 1)
-        two = Asked.of(*_pairs(block), block.train, shards, hot)
+        two = _asked_pairs(block, shards, hot)
         answers = two.collect(_by_shard(right[right["level"] == 2]))
         weight = decode(answers[1], 1.0)
         if len(hot_names):
             of = np.minimum(np.searchsorted(hot_names, two.context), len(hot_names) - 1)
             weight = np.where(hot_names[of] == two.context, hot_weights[of], weight)
-        pair = decode(answers[0], 0.0)[two.place] + weight[two.place] * single
+        here = two.place[: len(block.tokens)]
+        pair = decode(answers[0], 0.0)[here] + weight[here] * single
         at, context, symbol = _triples(block, two, answers)
         three = Asked.of(context, symbol, block.train[at], shards, none)
         codes, weights, _ = three.collect(_by_shard(right[right["level"] == 3]))

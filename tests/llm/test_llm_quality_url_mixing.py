@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from volpanel.llm import mixing as M
 from volpanel.llm import quality_rules as Q
 from volpanel.llm import url_filter as U
+from volpanel.llm.queries import LISTED_WORDS
 
 RULES = (U.Rule("allow", "com"), U.Rule("block", "example.com", "/en/"), U.Rule("allow", "www.example.com", "/en/"), U.Rule("block", "net", "/es/"))
 
@@ -104,6 +105,15 @@ def test_urls(spark):
     assert {r.verdict for r in U.judge(pages, (), listed.limit(0)).collect()} == {"allow"}
 
 
+def test_listed_hosts_have_whole_words_of_every_category(spark):
+    bad = ["www.cheap-pills.example.com", "casino-win.com", "m.free-bets.org", "ads-track.net", "spam-farm.example.org", "M.Adult-X.example.net", "ads.example.org:80"]
+    good = ["alphabets.org", "roads-x.net", "m.downloads-here.org", "adulthood.net", "spamalot.org", "casinos.net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(bad + good)], "page_id long, url string")
+    listed = U.listed_by_host(pages, LISTED_WORDS)
+    got = {r.page_id: (r.listed, r.verdict) for r in U.judge(pages, (), listed).collect()}
+    assert got == {i: (True, "block") if i < len(bad) else (False, "allow") for i in range(len(bad + good))}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     probe = U.may_hold(spark, U.build_filter(keys))

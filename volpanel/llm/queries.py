@@ -21,8 +21,8 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
-#: Hosts with one of these words serve listed pages.
-LISTED_WORDS = ("pills", "casino", "bets", "ads-")
+#: Hosts with one of these words, each a whole one between borders of letters and digits, serve listed pages.
+LISTED_WORDS = tuple(f"(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)" for word in ("ads", "adult", "bets", "casino", "pills", "spam"))
 
 
 def register(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

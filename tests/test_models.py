@@ -211,6 +211,25 @@ def test_garch_recursion_and_recovery():
     close_to([Z.mean_variance_ahead(np.array([first]), w, a, b, h)[0]], [np.mean(path)])
 
 
+@pytest.mark.parametrize("alpha,beta", [(0.5, 0.2), (0.7, 0.05), (0.3, 0.3)])
+def test_garch_fit_reaches_the_whole_region(alpha, beta):
+    rng = np.random.default_rng(12)
+    omega = 0.4
+    r, s = np.empty(3000), omega / (1 - alpha - beta)
+    for t in range(3000):
+        r[t] = rng.normal(0, math.sqrt(s))
+        s = omega + alpha * r[t] ** 2 + beta * s
+    (w, a, b), start = Z.fit_parameters(r)
+    assert abs(a - alpha) < 0.1 and abs(b - beta) < 0.15
+    near = [(w * x, a + y, b + z) for x in (0.98, 1, 1.02) for y in (-0.01, 0, 0.01) for z in (-0.01, 0, 0.01)]
+    costs = Z._negative_log_likelihood(r * r, start, *(np.array(v) for v in zip((w, a, b), (omega, alpha, beta), *near)))
+    assert costs[0] <= costs.min() + 1e-3
+
+
+def test_garch_without_a_maximum_is_not_fitted():
+    assert Z.fit_parameters(np.r_[1.0, np.zeros(200)]) is None
+
+
 def test_garch_forecast_uses_no_future(spark):
     pdf = walk(260, 6)
     scheme = CountedFolds(2, 5, 0)

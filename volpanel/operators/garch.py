@@ -27,6 +27,12 @@ FIRST_STEPS = (0.05, 0.10, 0.40)
 GRID = (-2, -1, 0, 1, 2)
 LEAST_ROWS = 3
 MOST_PERSISTENCE = 0.9999
+#: Further starts (α, β) over the admissible region, from where the grid moves on before it shrinks.
+STARTS = ((0.05, 0.90), (0.05, 0.50), (0.05, 0.10), (0.25, 0.65), (0.30, 0.30), (0.50, 0.20), (0.60, 0.35), (0.85, 0.05))
+#: A likelihood higher by so much takes the place of the first search's, which its last step width leaves that much below.
+BETTER = 1e-3
+#: e^±WIDEST times the sample variance; a likelihood that still rises there has no maximum.
+WIDEST = 30.0
 
 
 def conditional_variance(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
@@ -61,11 +67,37 @@ def _negative_log_likelihood(squares: np.ndarray, start: float, omega: np.ndarra
     return 0.5 * total
 
 
-def fit_parameters(r: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(ω, α, β) of the greatest likelihood found, and the start of the recursion.
+def _moving_search(squares: np.ndarray, start: float, var: float, firsts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and costs reached from each of ``firsts``, all starts in one pass over the days.
 
-    A point is (α, β, γ) with ω = (1 − α − β)·e^γ times the sample variance. Every round looks at the same number of points around
-    the best one so far, so the work and the precision, the last step width, are the same for every fold.
+    A start's grid moves to its best point and shrinks only when that point is not on the grid's edge. Each move without shrinking lowers the
+    cost on a bounded lattice, so the search ends.
+    """
+    moves = np.array([(a, b, c) for a in GRID for b in GRID for c in GRID], float)
+    moves = moves[np.argsort(np.abs(moves).sum(axis=1), kind="stable")]  # of equal points, the nearest
+    edge = (np.abs(moves) == max(GRID)).any(axis=1)
+    best, cost, shrunk = firsts.astype(float), np.full(len(firsts), np.inf), np.zeros(len(firsts), np.int64)
+    while (shrunk < rounds).any():
+        live = np.flatnonzero(shrunk < rounds)
+        points = best[live, None] + moves * (np.array(FIRST_STEPS) / 2.0 ** shrunk[live, None, None])
+        alpha, beta, level = np.moveaxis(points, 2, 0)
+        valid = (alpha >= 0) & (beta >= 0) & (alpha + beta <= MOST_PERSISTENCE) & (np.abs(level) <= WIDEST)
+        found = np.full(valid.shape, np.inf)
+        a, b = alpha[valid], beta[valid]
+        found[valid] = _negative_log_likelihood(squares, start, var * (1 - a - b) * np.exp(level[valid]), a, b)
+        at = np.argmin(found, axis=1)
+        least = found[np.arange(len(live)), at]
+        shrunk[live] += ~(edge[at] & (least < cost[live]))
+        best[live], cost[live] = points[np.arange(len(live)), at], least
+    return best, cost
+
+
+def fit_parameters(r: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float] | None:
+    """(ω, α, β) of the greatest likelihood found, and the start of the recursion; None where the likelihood has no maximum.
+
+    A point is (α, β, γ) with ω = (1 − α − β)·e^γ times the sample variance. The first search looks at the same number of points
+    around the best one so far in every round, so its precision, the last step width, is the same for every fold, but it reaches only a part of the
+    region. Searches with moving grids, from its result and from ``STARTS``, replace it where they find a higher likelihood.
     """
     start, var, squares = _back_cast(r), float(np.mean(r * r)), r * r
     best, steps = np.array(FIRST_POINT), np.array(FIRST_STEPS)
@@ -77,7 +109,12 @@ def fit_parameters(r: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, flo
         points, alpha, beta = points[valid], alpha[valid], beta[valid]
         cost = _negative_log_likelihood(squares, start, var * (1 - alpha - beta) * np.exp(points[:, 2]), alpha, beta)
         best, steps = points[int(np.argmin(cost))], steps / 2
+    others, costs = _moving_search(squares, start, var, np.array([best, *((a, b, 0.0) for a, b in STARTS)]), rounds)
+    if costs.min() < cost.min() - BETTER:
+        best = others[int(np.argmin(costs))]
     alpha, beta, level = best
+    if abs(level) > WIDEST - FIRST_STEPS[2]:
+        return None
     return np.array([var * (1 - alpha - beta) * np.exp(level), alpha, beta]), start
 
 
@@ -123,8 +160,8 @@ def garch_forecasts(
     parameters through each test date, averaged over the horizon and annualised.
 
     ``numbered`` is the supervised dataset (rn, n, target); ``prices`` the full price panel behind it. Every tested row
-    stays: where a fold's training stretch has fewer than three returns, or none but zeros, ``fitted`` is false and the
-    forecast NULL.
+    stays: where a fold's training stretch has fewer than three returns, none but zeros, or a likelihood without a
+    maximum, ``fitted`` is false and the forecast NULL.
     """
     keys = list(keys)
     tested = assign_folds(numbered, scheme).filter(F.col("test_fold").isNotNull())
@@ -151,7 +188,10 @@ def garch_forecasts(
             train = x[day <= fold["train_last"]] if fold["train_last"] is not None else x[:0]
             if len(train) < LEAST_ROWS or not np.any(train):
                 continue
-            (omega, alpha, beta), start = fit_parameters(train)
+            found = fit_parameters(train)
+            if found is None:
+                continue
+            (omega, alpha, beta), start = found
             ahead = conditional_variance(x, omega, alpha, beta, start)[1:]
             test = (day >= fold["test_first"]) & (day <= fold["test_last"])
             made = pdf.loc[test, [*keys, time]].assign(fold=int(fold["fold"]))

@@ -50,6 +50,14 @@ def test_periodic_overlapping_and_shifted_passages(spark):
     assert got(df) == brute(rows, S.LENGTH)
 
 
+def test_repeated_rows_keep_the_first_occurrence(spark):
+    passage = prose(21, 60)
+    rows = [document(i, prose(300 + i, 20) + passage[i % 3 : 250 - 20 * i] + prose(400 + i, 20)) for i in range(5)]
+    for first in (document(0, rows[0][1]), document(None, rows[0][1])):
+        some = [first, first, *rows[1:], rows[3]]
+        assert got(spark.createDataFrame(some, SCHEMA).repartition(3)) == brute(some, S.LENGTH)
+
+
 def test_hot_anchors_by_hash_equal_the_merge(spark, monkeypatch):
     passage = prose(11, 60)
     rows = [document(i, prose(100 + i, 12) + passage[i % 7 :] + prose(200 + i, 12)) for i in range(30)]

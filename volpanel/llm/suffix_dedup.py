@@ -281,6 +281,7 @@ def _covered_by_merge(contexts: DataFrame, length: int) -> DataFrame:
     """Places (doc, at) of strings that an earlier context of their bucket holds too."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["doc", "at"], ignore_index=True)  # equal rows have one context
         parts = trimmed([bytes(c) for c in rows["context"]], length)
         number = np.array([p[0] for p in parts], np.int64)
         doc = rows["doc"].to_numpy(np.int64)[number]

@@ -93,3 +93,10 @@ def test_contraction_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     found = {r.node: r.component for r in N.components(links).collect()}
     assert all(found[i] == 0 for i in range(n + 1)) and found[1001] == 1000
+
+
+def test_several_texts_of_an_id_have_their_own_shingles(spark):
+    two, three = prose(801, 300, 5000), prose(802, 300, 5000)
+    rows = [document(1, two + " " + prose(803, 55, 5000)), document(1, three + " " + prose(804, 55, 5000)), document(2, two), document(3, three)]
+    got = {(r.doc_id, r.component_id) for r in N.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}

@@ -239,19 +239,20 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = stage(looked.select("doc_id", "digest", F.col("s.n").alias("n"), F.col("s.low").alias("low")), "first-look")
     usable = rows.where("doc_id IS NOT NULL AND n > 0")
     representative = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "representatives")
-    alone = own_shingles(usable.select(F.col("doc_id").alias("node"), F.explode("low").alias("h"))).groupBy("node").agg(F.count("*").alias("own"))
-    candidates = stage(representative.join(alone, "node", "left").where("5 * coalesce(own, 0) <= n").select("node", "digest"), "candidates")
+    # By text, as an id may have several.
+    alone = own_shingles(usable.select(F.xxhash64("digest").alias("node"), F.explode("low").alias("h"))).groupBy(F.col("node").alias("told")).agg(F.count("*").alias("own"))
+    candidates = stage(representative.join(alone, F.xxhash64("digest") == F.col("told"), "left").where("5 * coalesce(own, 0) <= n").select("node", "digest"), "candidates")
     same_row = (F.col("doc_id") == F.col("node")) & (text_digest(F.col("text")) == F.col("digest"))
     held = stage(
         docs.select("doc_id", "text").join(candidates, same_row, "left_semi")
-        .select(F.col("doc_id").alias("node"), shingle_set("text").alias("tokens")),
+        .select(F.col("doc_id").alias("node"), F.xxhash64(text_digest(F.col("text"))).alias("told"), shingle_set("text").alias("tokens")),
         "sets",
     )
     # At most a fifth of a set that stays is its own, so these lists are short.
-    alone = own_shingles(held.select("node", F.explode("tokens").alias("h"))).groupBy("node").agg(F.collect_list("h").alias("own"))
+    alone = own_shingles(held.select(F.col("told").alias("node"), F.explode("tokens").alias("h"))).groupBy(F.col("node").alias("told")).agg(F.collect_list("h").alias("own"))
     own = F.coalesce("own", F.array().cast("array<long>"))
     sets = stage(
-        held.join(alone, "node", "left").select("node", F.size("tokens").alias("n"), F.size(own).alias("u"), own.alias("own"), "tokens").where("5 * u <= n"),
+        held.join(alone, "told", "left").select("node", F.size("tokens").alias("n"), F.size(own).alias("u"), own.alias("own"), "tokens").where("5 * u <= n"),
         "sets",
     )
     # An id with several texts links them.

@@ -92,5 +92,67 @@ def _mixing() -> str:
     """
 
 
+def _repair() -> str:
+    """crc32 from its polynomial; one recursion over the rows that keeps, per last role initial, the cheapest edits and the rows they give."""
+    told = "coalesce({0}::VARCHAR, ' ')"
+    visible = r"[^\x20\x09-\x0D]"
+    return rf"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) t),
+    told AS (
+        SELECT conv_id, turn, {told.format("role")} role, {told.format("text")} body,
+            xor(list_reduce(list_concat([4294967295], list_transform(string_split({told.format("conv_id")} || ':' || {told.format("turn")}, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 kind
+        FROM conversations, crc_table),
+    damaged AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(body, '[.!?]', '', 'g') ELSE body END AS body
+        FROM told, range(2) twice(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+    numbered AS (
+        SELECT *, substr(role, 1, 1) initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(body)) i,
+            regexp_extract(body, '({visible})[\x20\x09-\x0D]*$', 1) tail
+        FROM damaged),
+    judged AS (
+        SELECT *, CASE WHEN NOT regexp_matches(body, '{visible}') THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, body ORDER BY i) > 1 THEN 'duplicate'
+            WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END fault,
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial pair
+        FROM numbered),
+    counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'blank') blank,
+            count(*) FILTER (fault = 'duplicate') duplicate, count(*) FILTER (fault = 'truncated') truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal, count(*) n
+        FROM judged GROUP BY conv_id),
+    legal(p, q) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+    named(q, name) AS (VALUES ('u', 'user'), ('a', 'assistant')),
+    ins AS (
+        SELECT DISTINCT p, p q, '' letters, []::VARCHAR[] made FROM (SELECT p FROM legal UNION ALL SELECT q FROM legal)
+        UNION ALL SELECT p, q, 'I', [name || ':'] FROM legal JOIN named USING (q)
+        UNION ALL SELECT l.p, m.q, 'II', [x.name || ':', y.name || ':'] FROM legal l JOIN named x ON x.q = l.q JOIN legal m ON m.p = l.q JOIN named y ON y.q = m.q),
+    path AS (
+        SELECT conv_id, 0::BIGINT i, '' p, 0::BIGINT cost, '' audit, []::VARCHAR[] made FROM counted
+        UNION ALL
+        SELECT conv_id, i, p, cost, audit, made FROM (
+            SELECT path.conv_id, path.i + 1 i, e.q p, path.cost + 2 * length(ins.letters) + e.cost cost, path.audit || ins.letters || e.letter audit,
+                list_concat(path.made, ins.made, e.made) made
+            FROM path JOIN ins USING (p) JOIN (
+                SELECT conv_id, j.i, l.p, l.p q, 3 cost, 'D' letter, []::VARCHAR[] made FROM judged j, (SELECT DISTINCT p FROM ins) l
+                UNION ALL SELECT conv_id, j.i, l.p, l.q, CASE WHEN fault IS NULL THEN 0 ELSE 1 END, 'K', [role || ':' || body]
+                    FROM judged j JOIN legal l ON l.q = j.initial WHERE fault IS NULL OR fault = 'truncated'
+                UNION ALL SELECT conv_id, j.i, l.p, l.q, CASE WHEN fault IS NULL THEN 2 ELSE 3 END, 'R', [name || ':' || body]
+                    FROM judged j, legal l JOIN named USING (q) WHERE fault IS NULL OR fault = 'truncated') e
+                ON e.conv_id IS NOT DISTINCT FROM path.conv_id AND e.i = path.i + 1 AND e.p = ins.q)
+        QUALIFY row_number() OVER (PARTITION BY conv_id, p ORDER BY cost, audit) = 1),
+    ended AS (
+        SELECT path.conv_id, path.cost + 2 * length(letters) cost, path.audit || letters audit, list_concat(path.made, ins.made) made
+        FROM path JOIN counted c ON c.conv_id IS NOT DISTINCT FROM path.conv_id AND path.i = c.n JOIN ins USING (p) WHERE ins.q IN ('', 'a')
+        QUALIFY row_number() OVER (PARTITION BY path.conv_id ORDER BY path.cost + 2 * length(letters), path.audit || letters) = 1)
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate, coalesce(truncated, 0)::BIGINT truncated,
+        coalesce(illegal, 0)::BIGINT illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(audit, '') audit, sha256(coalesce(array_to_string(made, chr(10)), '')) repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
 def statements() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op5_url_filter": _urls(), "op9_mixing": _mixing()}
+    return {"op4_quality_rules": _quality(), "op5_url_filter": _urls(), "op9_mixing": _mixing(), "op11_conversation_repair": _repair()}

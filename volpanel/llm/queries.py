@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from volpanel.llm import (
-    conversation_repair, factor_classifier, fingerprint, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_store, url_filter,
-    wrapper_extract,
+    conversation_repair, factor_classifier, fingerprint, hard_negatives, lm_score, mixing, ngram_join, packing, quality_rules, suffix_dedup,
+    token_store, url_filter, wrapper_extract,
 )
 from volpanel.llm.common import table, vocabulary
 
@@ -92,3 +92,8 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.written_and_read(spark, table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.moved_label(), F.col("id") % 100 == 0)

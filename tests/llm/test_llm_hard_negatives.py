@@ -89,7 +89,7 @@ def test_intervals_hold_and_narrow(scale):
     rows = chunk(whole)
     assert np.allclose(np.linalg.norm(H.rotated(whole), axis=1), rows.length)
     assert (np.diff(rows.rests, axis=0) < 0).all()
-    for q in (*whole[:5], np.zeros(64, np.int64), np.full(64, 3 * scale)):
+    for i, q in enumerate((*whole[:5], np.zeros(64, np.int64), np.full(64, 3 * scale))):
         anchor = H.Anchor(q, H.rotated(q[None])[0])
         exact = whole @ q
         for wanted in np.quantile(exact, [0.5, 0.99, 0.999]):
@@ -98,8 +98,8 @@ def test_intervals_hold_and_narrow(scale):
         kept = anchor.survivors(rows, np.arange(3000), -np.inf, best=5)
         fifth = np.sort(exact)[-5]
         assert set(np.flatnonzero(exact >= fifth)) <= set(rows.row[kept])
-        if q.any():
-            assert len(kept) < 900  # of 3,000
+        if i < 5 and scale > 1:
+            assert len(kept) < 300  # of 3,000
         assert (anchor.scores(rows, kept) == exact[rows.row[kept]]).all()
 
 

@@ -90,7 +90,7 @@ def test_intervals_hold_and_narrow(scale):
     assert np.allclose(np.linalg.norm(H.rotated(whole), axis=1), rows.length)
     assert (np.diff(rows.rests, axis=0) < 0).all()
     for i, q in enumerate((*whole[:5], np.zeros(64, np.int64), np.full(64, 3 * scale))):
-        anchor = H.Anchor(q, H.rotated(q[None])[0])
+        anchor = H.Anchor(q, H.turns(q[None])[0])
         exact = whole @ q
         for wanted in np.quantile(exact, [0.5, 0.99, 0.999]):
             kept = anchor.survivors(rows, np.arange(3000), wanted)
@@ -106,10 +106,9 @@ def test_intervals_hold_and_narrow(scale):
 def test_popcount_estimate_is_the_inner_product_with_the_rounded_anchor():
     rng = np.random.default_rng(7)
     whole = np.floor(256 * rng.normal(size=(50, 128))).astype(np.int64)
-    rows, q = chunk(whole), H.rotated(whole[:1])[0]
-    anchor = H.Anchor(whole[0], q)
-    steps = np.rint((q - q.min()) / anchor.step)
-    rounded = q.min() + steps * anchor.step
-    signs = np.where(H.rotated(whole) >= 0, 1.0, -1.0) / np.sqrt(128)
-    assert np.allclose(anchor.against_code(rows.codes[0]), signs @ rounded)
-    assert abs(np.linalg.norm(q - rounded) - anchor.error) < 1e-9
+    rows, turned = chunk(whole), H.turns(whole[:1])[0]
+    for q, own in zip(turned, H.Anchor(whole[0], turned).turned):
+        rounded = q.min() + np.rint((q - q.min()) / own.step) * own.step
+        signs = np.unpackbits(rows.codes[0].T.copy().view("u1"), axis=1, bitorder="little") * 2.0 - 1
+        assert np.allclose(own.against_code(rows.codes[0]), signs @ rounded / np.sqrt(128))
+        assert abs(np.linalg.norm(q - rounded) - own.error) < 1e-9

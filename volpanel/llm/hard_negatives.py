@@ -2,12 +2,12 @@
 
 Vectors are whole numbers, floor(``SCALE`` × component). A vector is turned by a fixed rotation (signs and a Hadamard transform, twice), which keeps inner products and spreads a
 vector over its coordinates. The signs of the turned vector are its first one-bit code, a unit vector of ± 1/√D; stored beside it is the alignment,
-the inner product of code and vector. What the aligned code leaves is coded the same way, ``CODES`` times, so the vector is
+the inner product of code and vector. What the aligned code leaves is turned again and coded the same way, ``CODES`` times, so the vector is
 Σ alignment·code + rest, with the rest's length stored after each code.
 
-An anchor's turned vector is rounded to ``PLANES`` bits a coordinate and kept as bit planes, with the length of its rounding error. Inner products of
+An anchor's vector, turned as often, is rounded to ``PLANES`` bits a coordinate and kept as bit planes, with the length of its rounding error. Inner products of
 codes and planes are population counts, and give an estimate of the score. By Cauchy and Schwarz the estimate is off by no more than
-|rest|·|anchor| + Σ alignments·|rounding error|, whatever the data. A row whose interval can't reach what an anchor needs is out after one code,
+|rest|·|anchor| + Σ alignment·|rounding error|, whatever the data. A row whose interval can't reach what an anchor needs is out after one code,
 or two, and so on; the rows left after the last code are scored in whole numbers. Results are therefore those of a comparison with every row.
 
 Anchors are a stated set of queries and meet all rows in blocks: tasks hold ``CHUNK`` rows at a time and stream all anchors past them from their staged files, through ``pyarrow.fs``
@@ -37,7 +37,7 @@ from volpanel.llm.token_store import place
 from volpanel.session import stage
 
 SCALE = 256
-CODES, PLANES = 4, 6
+CODES, PLANES = 6, 8
 POSITIVES, NEGATIVES = 5, 5
 #: A negative's score times 100 lies between 80 times the positive's and 100 times it.
 LEAST_PERCENT = 80
@@ -86,6 +86,15 @@ def rotated(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def turns(vectors: np.ndarray, times: int = CODES) -> np.ndarray:
+    """Rows after 1, 2, … rotations (row, turn, coordinate)."""
+    out = []
+    for _ in range(times):
+        vectors = rotated(vectors)
+        out.append(vectors)
+    return np.stack(out, axis=1)
+
+
 def packed_signs(positive: np.ndarray) -> np.ndarray:
     """Rows of booleans as rows of 64-bit words."""
     return np.packbits(positive, axis=1, bitorder="little").view("<u8")
@@ -93,9 +102,10 @@ def packed_signs(positive: np.ndarray) -> np.ndarray:
 
 def encode(vectors: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One-bit codes (row, code, word), alignments and lengths of the rests (row, code)."""
-    rest, root = rotated(vectors), np.sqrt(vectors.shape[1])
+    rest, root = vectors, np.sqrt(vectors.shape[1])
     words, alignments, rests = [], [], []
     for _ in range(codes):
+        rest = rotated(rest)
         positive = rest >= 0
         alignment = np.abs(rest).sum(axis=1) / root
         words.append(packed_signs(positive))
@@ -146,22 +156,19 @@ class Rows:
         return int(np.searchsorted(self.label, label, "left")), int(np.searchsorted(self.label, label, "right"))
 
 
-class Anchor:
-    """A query: its whole-number parts and, turned and rounded, its bit planes."""
+class Turned:
+    """A query after one turn: rounded, as bit planes."""
 
-    def __init__(self, parts: np.ndarray, turned: np.ndarray, planes: int = PLANES):
-        self.parts = parts.astype(np.int64)
-        self.length = float(np.sqrt((turned * turned).sum()))
+    def __init__(self, turned: np.ndarray, planes: int):
         low, high = float(turned.min()), float(turned.max())
-        self.step = (high - low) / ((1 << planes) - 1) or 1.0
+        self.low, self.step, self.root = low, (high - low) / ((1 << planes) - 1) or 1.0, np.sqrt(len(turned))
         steps = np.rint((turned - low) / self.step).astype(np.int64)
-        self.low, self.sum = low, float((low + steps * self.step).sum())
-        self.error = float(np.sqrt(((turned - low - steps * self.step) ** 2).sum()))
-        self.planes = [packed_signs((steps[None, :] >> p & 1).astype(bool))[0] for p in range(planes)]
-        self.root = np.sqrt(len(turned))
+        rounded = low + steps * self.step
+        self.sum, self.error = float(rounded.sum()), float(np.sqrt(((turned - rounded) ** 2).sum()))
+        self.planes = packed_signs((steps >> np.arange(planes)[:, None] & 1).astype(bool))
 
     def against_code(self, words: np.ndarray) -> np.ndarray:
-        """Inner products of the rounded anchor with one-bit codes, given as (word, row)."""
+        """Inner products of the rounded query with one-bit codes, given as (word, row)."""
         ones = np.zeros(words.shape[1])  # sum of the rounded coordinates where the code is positive
         for w, word in enumerate(words):
             ones += self.low * np.bitwise_count(word)
@@ -169,20 +176,29 @@ class Anchor:
                 ones += (self.step * (1 << p)) * np.bitwise_count(word & plane[w])
         return (2 * ones - self.sum) / self.root
 
+
+class Anchor:
+    """A query: its whole-number parts and what it is after each turn."""
+
+    def __init__(self, parts: np.ndarray, turned: np.ndarray, planes: int = PLANES):
+        self.parts = parts.astype(np.int64)
+        self.length = float(np.sqrt((parts.astype(float) ** 2).sum()))
+        self.turned = [Turned(t, planes) for t in turned]
+
     def survivors(self, rows: Rows, at: np.ndarray, least: float, most: float = np.inf, best: int | None = None) -> np.ndarray:
         """Places in ``rows`` among ``at`` whose score may lie from ``least`` to ``most`` (and, if ``best``, be among so many greatest)."""
-        estimate, aligned = np.zeros(len(at)), np.zeros(len(at))
+        estimate, rounding = np.zeros(len(at)), np.zeros(len(at))
         for code in range(len(rows.codes)):
             if not len(at):
                 break
             alignment = rows.alignments[code][at]
-            estimate = estimate + alignment * self.against_code(rows.codes[code][:, at])
-            aligned = aligned + alignment
-            off = rows.rests[code][at] * self.length + aligned * self.error + SLACK * (1 + rows.length[at] * self.length)
+            estimate = estimate + alignment * self.turned[code].against_code(rows.codes[code][:, at])
+            rounding = rounding + alignment * self.turned[code].error
+            off = rows.rests[code][at] * self.length + rounding + SLACK * (1 + rows.length[at] * self.length)
             if best is not None and len(at) > best:
                 least = max(least, float(np.partition(estimate - off, len(at) - best)[len(at) - best]))
             left = (estimate + off >= least) & (estimate - off <= most)
-            at, estimate, aligned = at[left], estimate[left], aligned[left]
+            at, estimate, rounding = at[left], estimate[left], rounding[left]
         return at
 
     def scores(self, rows: Rows, at: np.ndarray) -> np.ndarray:
@@ -198,14 +214,14 @@ def first_best(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _anchors(addresses: list[str]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Blocks of staged anchors: their columns, whole-number parts and turned vectors."""
+    """Blocks of staged anchors: their columns, whole-number parts and vectors after each turn (anchor, turn, coordinate)."""
     for address in addresses:
         system, path = place(address)
         with system.open_input_file(path) as source:
             for batch in pq.ParquetFile(source).iter_batches(batch_size=ANCHORS_AT_ONCE):
                 table = pa.Table.from_batches([batch]).drop_columns(["parts"])
                 parts = np.frombuffer(b"".join(batch.column("parts").to_pylist()), "<i4").reshape(batch.num_rows, -1)
-                yield table.to_pydict(), parts, rotated(parts)
+                yield table.to_pydict(), parts, turns(parts)
 
 
 Search = Callable[[Rows, Anchor, dict, int], list[tuple]]

@@ -16,65 +16,23 @@ often as they occur; rows with a NULL id are packed with that id; an empty table
 
 from __future__ import annotations
 
-import os
-import re
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from volpanel.llm.common import partitions
+from volpanel.llm.encoding import encoder
 from volpanel.session import stage
 
 CAPACITY, CELL, END_ID = 2048, 8, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-KEPT_WORDS = 300_000  # words whose ids a Python worker keeps; beyond that it starts anew
 ROWS_AT_ONCE = 50_000
 
-#: Texts of these characters alone mean the same to the word pattern below and to the tokenizer.
-PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įı-ž]*")
-#: The word pattern of the vocabulary file, for the characters above.
-WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ž]+|[0-9]|[^\\sA-Za-z0-9À-ÖØ-öø-ž]+")
-
-
-class Encoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit numbers, by a vocabulary file; ids of words are kept."""
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.words: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        # A marker of special ids, or a character whose class may differ, leaves the text to the tokenizer as a whole.
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        found = WORD.findall(text.lower())
-        kept = self.words
-        new = [w for w in set(found) if w not in kept]
-        if new:
-            if len(kept) + len(new) > KEPT_WORDS:
-                kept = self.words = {}
-                new = list(set(found))
-            for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                kept[word] = np.array(coded.ids, "<u4").tobytes()
-        return b"".join(map(kept.__getitem__, found))
-
-
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str) -> Encoder:
-    """One for each vocabulary and Python worker."""
-    return Encoder(vocabulary)
-
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Rows ``PIECE``: full pieces and rests of every document."""
@@ -129,7 +87,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[t
     """Patterns and their amounts in an optimal solution of the linear program.
 
     The first basis has one pattern for each bin. Amounts and prices follow from the basis inverse, which each pivot updates. Every pivot is a feasible
-    basis, so stopping at the round limit, far above what the sizes here need, would cost padding and never a document.
+    basis, so stopping at the round limit, far above what the sizes here need, would cost padding and never a document; it is told as a warning.
     """
     m = len(sizes)
     columns = np.diag((room // sizes).astype(float))
@@ -151,6 +109,8 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[t
         row = inverse[out] / direction[out]
         inverse -= np.outer(direction, row)
         inverse[out] = row
+    else:
+        warnings.warn(f"the linear program of {m} bins was stopped after {40 * m} pivots", stacklevel=2)
     return [(columns[:, j], amounts[j]) for j in range(m) if amounts[j] > 1e-9]
 
 
@@ -198,7 +158,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cell: int =
     # A full piece needs no company: its own bin lies above the room of a pattern.
     size = F.when(F.col("length") == capacity, room + 1).otherwise(F.ceil(F.col("length") / cell)).cast("int")
     shares = partitions(spark)
-    binned = cut.withColumn("size", size).withColumn("share", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shares)).cast("int"))
+    binned = cut.withColumn("size", size).withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shares)).cast("int"))
     counts = stage(binned.groupBy("size", "share").count(), "piece-counts")
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}
     full = histogram.pop(room + 1, 0)

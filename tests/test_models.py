@@ -193,6 +193,15 @@ def test_one_sided_gap_equals_filter_on_each_prefix(spark):
     close_to(cut, got[:50])
 
 
+def garch_costs(squares, start, omega, alpha, beta):
+    """Negative log-likelihoods of many parameter sets, day by day."""
+    s, total = omega + (alpha + beta) * start, 0.0
+    for x in squares:
+        total = total + np.log(s) + x / s
+        s = omega + alpha * x + beta * s
+    return 0.5 * total
+
+
 def test_garch_recursion_and_recovery():
     rng = np.random.default_rng(5)
     omega, alpha, beta = 0.05, 0.08, 0.88
@@ -202,7 +211,7 @@ def test_garch_recursion_and_recovery():
         s = omega + alpha * r[t] ** 2 + beta * s
     (w, a, b), start = Z.fit_parameters(r)
     assert abs(a - alpha) < 0.03 and abs(b - beta) < 0.06
-    mine, true = Z._negative_log_likelihood(r * r, start, np.array([w, omega]), np.array([a, alpha]), np.array([b, beta]))
+    mine, true = garch_costs(r * r, start, np.array([w, omega]), np.array([a, alpha]), np.array([b, beta]))
     assert mine <= true + 1e-6
     first, h = 2.0, 5
     path = [first]
@@ -222,10 +231,52 @@ def test_garch_fit_reaches_the_whole_region(alpha, beta):
     (w, a, b), start = Z.fit_parameters(r)
     assert abs(a - alpha) < 0.1 and abs(b - beta) < 0.15
     near = [(w * x, a + y, b + z) for x in (0.98, 1, 1.02) for y in (-0.01, 0, 0.01) for z in (-0.01, 0, 0.01)]
-    costs = Z._negative_log_likelihood(r * r, start, *(np.array(v) for v in zip((w, a, b), (omega, alpha, beta), *near)))
+    costs = garch_costs(r * r, start, *(np.array(v) for v in zip((w, a, b), (omega, alpha, beta), *near)))
     assert costs[0] <= costs.min() + 1e-3
 
 
+def test_garch_derivatives_and_blocks():
+    rng = np.random.default_rng(3)
+    for n in (3, 63, 64, 65, 200):
+        x = rng.normal(0, 1.3, n) ** 2
+        like = Z.Likelihood(x, 1.1)
+        for point in (np.array([0.2, 0.1, 0.8]), np.array([0.5, 0.5, 0.0]), np.array([0.7, 0.0, 0.3])):
+            value, gradient, curve = like(point)
+            assert abs(value - garch_costs(x, 1.1, *point)) < 1e-9 * max(1, abs(value))
+            h = 1e-5
+            ends = [[like(point + sign * h * axis) for sign in (1, -1)] for axis in np.eye(3)]
+            close_to([(a[0] - b[0]) / (2 * h) for a, b in ends], gradient, 1e-4)
+            close_to(np.array([(a[1] - b[1]) / (2 * h) for a, b in ends]), curve, 1e-4)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_point_of_a_fine_grid_beats_a_garch_fit(seed):
+    rng = np.random.default_rng(seed)
+    r = rng.normal(0, 1, 400) if seed % 2 else rng.standard_t(4, 400) * np.exp(0.5 * np.sin(np.arange(400) / 40))
+    found = Z.fit(r)
+    assert found.converged
+    a, b, c = (x.ravel() for x in np.meshgrid(np.linspace(0, 0.98, 50), np.linspace(0, 0.98, 50), np.linspace(-1, 1, 21)))
+    inside = a + b <= Z.MOST_PERSISTENCE
+    a, b, c = a[inside], b[inside], c[inside]
+    assert found.cost <= garch_costs(r * r, found.start, np.mean(r * r) * (1 - a - b) * np.exp(c), a, b).min() + 1e-9
+
+
+def test_garch_folds_of_many_series_at_once(spark):
+    pdf = pd.concat([walk(260, i, series=f"s{i}") for i in range(3)])
+    scheme = CountedFolds(3, 5, 0)
+    df = frame(spark, pdf)
+    data = number_rows(D.base_dataset(W.close_variance(df).dropna(), 5).drop("rn", "n"))
+    fits = pandas_sorted(Z.garch_fits(data, df, scheme, 5), "series_id", "fold")
+    assert len(fits) == 9 and fits.converged.all()
+    for own in fits[fits.fold == 2].itertuples():
+        r = np.diff(np.log(pdf[pdf.series_id == own.series_id].close.to_numpy()))
+        day = pdf[pdf.series_id == own.series_id].date.to_numpy()[1:]
+        first = own.days[0]["day"]
+        assert len(own.days) > 10 and (pd.Timestamp(day[0]) - pd.Timestamp(0)).days < first
+        costs = garch_costs((r * 100) ** 2, 1.0, own.omega, own.alpha, own.beta)
+        assert np.isfinite(costs)
+
+
 def test_garch_without_a_maximum_is_not_fitted():
     assert Z.fit_parameters(np.r_[1.0, np.zeros(200)]) is None
 

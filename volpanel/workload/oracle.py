@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from statistics import NormalDist
 
-from volpanel.operators.garch import FIRST_POINT, FIRST_STEPS, GRID, LEAST_ROWS, MOST_PERSISTENCE, ROUNDS
+from volpanel.operators.garch import LEAST_ROWS, MOST_PERSISTENCE
 from volpanel.functions.normal import HART_DENOMINATOR, HART_NUMERATOR, HART_SWITCH, HART_TAIL, SQRT_2PI
 from volpanel.functions.small_stats import EULER_MASCHERONI
 from volpanel.operators.trend import MONTHLY_LAMBDA
@@ -269,9 +269,12 @@ def ablation_ctes(ds: str, scheme: str, layer: list[str], log: bool = True) -> d
     )
 
 
-def garch() -> str:
-    """The likelihood search round by round: a list fold per candidate, the cheapest one starts the next round."""
-    moves = ", ".join(f"({i})" for i in GRID)
+def garch(columns: str) -> str:
+    """A likelihood search of its own: a grid over the whole region, seven finer ones around the cheapest point, each a list fold per candidate, then
+    Newton steps in (ω, α, β) whose derivatives are folded along the days by hand. β stays at 0 where the grids end there."""
+    moves = ", ".join(f"({i})" for i in (-2, -1, 0, 1, 2))
+    rounds, steps = 7, (0.05, 0.05, 0.2)
+    cost = """list_reduce(days, lambda k, e: {x: 0.0::DOUBLE, s: o + a * e.x + b * k.s, t: k.t + (ln(k.s) + e.x / k.s)}, {x: 0.0::DOUBLE, s: o + (a + b) * s0, t: 0.0::DOUBLE}).t"""
     ctes = {
         "gv": "SELECT series_id, date, ret * ret AS variance FROM price_ret WHERE ret IS NOT NULL",
         "gh": f"SELECT *, variance AS rv_d, {mean('variance', 5)} AS rv_w, {mean('variance', 22)} AS rv_m, {target(H)} AS target FROM gv",
@@ -280,22 +283,42 @@ def garch() -> str:
         "g_fold": """SELECT f.series_id, f.fold, max(date) FILTER (WHERE rn = train_end - 1) AS train_last, max(date) FILTER (WHERE rn = test_end - 1) AS test_last
             FROM folds f JOIN ds_g d USING (series_id) GROUP BY ALL""",
         "g_day": "SELECT series_id, date, (ret * 100) * (ret * 100) AS x, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i FROM price_ret WHERE ret IS NOT NULL",
-        "g_train": f"""SELECT series_id, fold, list({{x: x, s: 0.0::DOUBLE, t: 0.0::DOUBLE}} ORDER BY date) AS days, avg(x) AS var,
+        "g_train": f"""SELECT series_id, fold, list({{x: x, s: 0.0::DOUBLE, t: 0.0::DOUBLE}} ORDER BY date) AS days, list(x ORDER BY date) AS xs, avg(x) AS var,
             sum(pow(0.94, i) * x) FILTER (WHERE i < 75) / sum(pow(0.94, i)) FILTER (WHERE i < 75) AS s0, test_last
             FROM g_fold JOIN g_day USING (series_id) WHERE date <= train_last GROUP BY ALL HAVING count(*) >= {LEAST_ROWS} AND max(x) > 0""",
-        "z0": "SELECT series_id, fold, " + ", ".join(f"{v!r}::DOUBLE AS {n}" for n, v in zip("abc", FIRST_POINT)) + " FROM g_train",
+        "p0": """SELECT series_id, fold, i / 10.0::DOUBLE AS a, j / 10.0::DOUBLE AS b, l * 0.4::DOUBLE AS c FROM g_train, range(10) u(i), range(10) v(j), range(-3, 4) w(l) WHERE i + j < 10""",
     }
-    for k in range(ROUNDS):
-        sa, sb, sc = (v / 2**k for v in FIRST_STEPS)
-        ctes[f"p{k}"] = f"""SELECT series_id, fold, a + i * {sa!r}::DOUBLE AS a, b + j * {sb!r}::DOUBLE AS b, c + l * {sc!r}::DOUBLE AS c
-            FROM z{k}, (VALUES {moves}) u(i), (VALUES {moves}) v(j), (VALUES {moves}) w(l)"""
-        ctes[f"z{k + 1}"] = f"""SELECT series_id, fold, p['a'] AS a, p['b'] AS b, p['c'] AS c FROM (SELECT series_id, fold, arg_min({{a: a, b: b, c: c}}, cost) AS p FROM (
-            SELECT series_id, fold, a, b, c, list_reduce(days, lambda k, e: {{x: 0.0::DOUBLE, s: o + a * e.x + b * k.s, t: k.t + (ln(k.s) + e.x / k.s)}},
-                {{x: 0.0::DOUBLE, s: o + (a + b) * s0, t: 0.0::DOUBLE}}).t AS cost
-            FROM (SELECT p.*, days, s0, var * (1 - a - b) * exp(c) AS o FROM p{k} p JOIN g_train USING (series_id, fold) WHERE a >= 0 AND b >= 0 AND a + b <= {MOST_PERSISTENCE}))
+    for k in range(rounds + 1):
+        if k:
+            sa, sb, sc = (v / 2 ** (k - 1) for v in steps)
+            ctes[f"p{k}"] = f"""SELECT series_id, fold, greatest(a + i * {sa!r}::DOUBLE, 0) AS a, greatest(b + j * {sb!r}::DOUBLE, 0) AS b, c + l * {sc!r}::DOUBLE AS c
+                FROM z{k - 1}, (VALUES {moves}) u(i), (VALUES {moves}) v(j), (VALUES {moves}) w(l)"""
+        ctes[f"z{k}"] = f"""SELECT series_id, fold, p['a'] AS a, p['b'] AS b, p['c'] AS c FROM (SELECT series_id, fold, arg_min({{a: a, b: b, c: c}}, cost) AS p FROM (
+            SELECT series_id, fold, a, b, c, {cost} AS cost
+            FROM (SELECT DISTINCT p.*, days, s0, var * (1 - a - b) * exp(c) AS o FROM p{k} p JOIN g_train USING (series_id, fold) WHERE a + b <= {MOST_PERSISTENCE}))
             GROUP BY ALL)"""
+    # s and its derivatives by ω, α, β (d…), those with β again (e…), then the sums of first (g…) and second derivatives (h…).
+    names = "s do_ da db eo ea eb go ga gb hoo hoa hob haa hab hbb".split()
+    zero = ", ".join(f"{n}: 0.0::DOUBLE" for n in names)
+    ctes["y0"] = f"SELECT series_id, fold, var * (1 - a - b) * exp(c) AS o, a, b, b = 0 AS held FROM z{rounds} JOIN g_train USING (series_id, fold)"
+    first, second = "(0.5 * (1 - e.x / k.s) / k.s)", "(0.5 * (2 * e.x / k.s - 1) / (k.s * k.s))"
+    pair = lambda n, p, q, m="": f"h{n}: k.h{n} + {second} * k.{p} * k.{q}" + (f" + {first} * k.{m}" if m else "")
+    for k in range(6):
+        ctes[f"n{k}"] = f"""SELECT series_id, fold, o, a, b, held, list_reduce(list_transform(xs, lambda x: {{x: x, {zero}}}), lambda k, e: {{x: 0.0::DOUBLE,
+                s: o + a * e.x + b * k.s, do_: 1 + b * k.do_, da: e.x + b * k.da, db: k.s + b * k.db, eo: k.do_ + b * k.eo, ea: k.da + b * k.ea, eb: 2 * k.db + b * k.eb,
+                go: k.go + {first} * k.do_, ga: k.ga + {first} * k.da, gb: k.gb + {first} * k.db,
+                {pair("oo", "do_", "do_")}, {pair("oa", "do_", "da")}, {pair("ob", "do_", "db", "eo")}, {pair("aa", "da", "da")}, {pair("ab", "da", "db", "ea")}, {pair("bb", "db", "db", "eb")}}},
+                {{x: 0.0::DOUBLE, s: o + (a + b) * s0, do_: 1.0::DOUBLE, da: s0, db: s0, {", ".join(f"{n}: 0.0::DOUBLE" for n in names[4:])}}}) AS m
+            FROM y{k} JOIN g_train USING (series_id, fold)"""
+        ctes[f"q{k}"] = f"""SELECT series_id, fold, o, a, b, held, m.go AS g1, m.ga AS g2, CASE WHEN held THEN 0 ELSE m.gb END AS g3, m.hoo AS h11, m.hoa AS h12, m.haa AS h22,
+            CASE WHEN held THEN 0 ELSE m.hob END AS h13, CASE WHEN held THEN 0 ELSE m.hab END AS h23, CASE WHEN held THEN 1 ELSE m.hbb END AS h33 FROM n{k}"""
+        det = "(h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13))"
+        ctes[f"y{k + 1}"] = f"""SELECT series_id, fold, held,
+            o - (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / {det} AS o,
+            a - (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / {det} AS a,
+            b - (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / {det} AS b FROM q{k}"""
     ctes |= {
-        "g_fit": f"SELECT z.*, var * (1 - a - b) * exp(c) AS o, s0, test_last FROM z{ROUNDS} z JOIN g_train USING (series_id, fold)",
+        "g_fit": f"SELECT y.*, s0, test_last, {cost} / 2 AS cost FROM y6 y JOIN g_train USING (series_id, fold)",
         "g_path": """SELECT f.series_id, fold, date, i, o + a * x + b * (o + (a + b) * s0) AS s FROM g_fit f JOIN g_day d ON d.series_id = f.series_id AND i = 0 UNION ALL
             SELECT k.series_id, k.fold, d.date, d.i, o + a * d.x + b * k.s FROM g_path k JOIN g_fit f ON f.series_id = k.series_id AND f.fold = k.fold
             JOIN g_day d ON d.series_id = k.series_id AND d.i = k.i + 1 AND d.date <= f.test_last""",
@@ -303,7 +326,7 @@ def garch() -> str:
             FROM g_path p JOIN g_fit f ON f.series_id = p.series_id AND f.fold = p.fold JOIN folds q ON q.series_id = p.series_id AND q.fold = p.fold
             JOIN ds_g d ON d.series_id = p.series_id AND d.date = p.date AND d.rn >= q.test_start AND d.rn < q.test_end""",
     }
-    return build(f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {M3}, n_obs FROM (SELECT series_id, fold, {ERRORS} FROM g_pred GROUP BY ALL)", **ctes)
+    return build(columns, **ctes)
 
 
 M3 = rs("rmse", "mae", "r2_oos")
@@ -535,7 +558,8 @@ def _forecasts() -> dict[str, str]:
         path_s=f"""SELECT series_id, date, i, {w} + {a} * x * x + {b} * ({w} + {p} * s0) AS s FROM scaled JOIN back_cast USING (series_id) WHERE i = 0 UNION ALL
             SELECT n.series_id, n.date, n.i, {w} + {a} * n.x * n.x + {b} * k.s FROM path_s k JOIN scaled n ON n.series_id = k.series_id AND n.i = k.i + 1""",
     )
-    q["garch_walk_forward"] = garch()
+    q["garch_walk_forward"] = garch(f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {M3}, n_obs FROM (SELECT series_id, fold, {ERRORS} FROM g_pred GROUP BY ALL)")
+    q["garch_parameters"] = garch(f"SELECT series_id, CAST(fold AS BIGINT) AS fold, {rs('omega', 'alpha', 'beta', 'cost')}, true AS converged FROM (SELECT series_id, fold, o AS omega, a AS alpha, b AS beta, cost FROM g_fit)")
     parts = folds("ds_extended", "purged")
     for tag, fs in (("reg_a", HAR), ("reg_b", HAR + ["overnight"]), ("reg_c", ["rv_d_pos", "rv_d_neg", "rv_w", "rv_m"])):
         parts |= regression(tag, "ds_extended", fs, y)

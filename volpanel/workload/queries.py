@@ -17,7 +17,7 @@ from volpanel.operators.anchoring import anchoring, target_gap
 from volpanel.operators.asof import asof_join, asof_shared
 from volpanel.operators.contracts import front_contract
 from volpanel.operators.folds import CountedFolds, LastShare, Scheme, StepFolds, assign_folds, expanding_folds, fold_table
-from volpanel.operators.garch import filtered_forecasts, garch_forecasts
+from volpanel.operators.garch import filtered_forecasts, garch_fits, garch_forecasts
 from volpanel.operators.keep import PART, hash_part, keep_one, read_table, upsert, upsert_table
 from volpanel.operators.options import with_option_prices
 from volpanel.operators.panel import number_rows
@@ -582,15 +582,25 @@ def horizon_sweep(spark, sf):
     return rounded(P.horizon_sweep(S.varied(spark, sf)), *METRICS)
 
 
+def _garch_input(spark, sf):
+    prices = stage(S.trade_prices(spark, sf), "prices")
+    return stage(D.base_dataset(W.close_variance(prices).dropna(), HORIZON), "dataset"), prices
+
+
 @query
 def garch_walk_forward(spark, sf):
-    """Fits by the fixed likelihood search; the oracle runs the same search as list folds."""
-    prices = stage(S.trade_prices(spark, sf), "prices")
-    data = stage(D.base_dataset(W.close_variance(prices).dropna(), HORIZON), "dataset")
-    rows = garch_forecasts(data, prices, PURGED, HORIZON)
+    """Fits by Newton steps; the oracle searches by grids and derivatives of its own."""
+    rows = garch_forecasts(*_garch_input(spark, sf), PURGED, HORIZON)
     return rounded(E.error_metrics(rows, ["series_id", "fold"], predicted="garch_forecast"), *METRICS)
 
 
+@query
+def garch_parameters(spark, sf):
+    """The parameters of every fold, the likelihood they reach, and whether the search came to rest."""
+    fits = garch_fits(*_garch_input(spark, sf), PURGED, HORIZON)
+    return rounded(fits.select("series_id", "fold", "omega", "alpha", "beta", "cost", "converged"), "omega", "alpha", "beta", "cost")
+
+
 @query
 def garch_known_parameters(spark, sf):
     """The forecast half alone: given parameters filtered through every series."""

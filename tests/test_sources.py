@@ -96,6 +96,32 @@ def test_price_reports(spark, tmp_path):
     assert list(map(tuple, exchange.futures_contracts(exchange.parse_price_reports(texts)).collect())) == want
 
 
+def test_only_the_last_snapshot_of_a_package_is_opened(spark, tmp_path):
+    settle = lambda v: f'<AdjstdQt Ccy="BRL">{v}</AdjstdQt>'
+    for number, date in enumerate(("2024-01-02", "2024-01-03", "2024-01-04")):
+        folder = tmp_path / date.replace("-", "")
+        folder.mkdir()
+        text = lambda v: "<D>" + REPORT.replace("2024-01-02", date).format(t="DOLU26", s=settle(v)) + "</D>"  # noqa: E731, B023
+        land(folder, PR_1__xml="<D><PricRpt><TradDt><Dt>early</Dt></TradDt></PricRpt></D>", PR_2__xml=text(1), PR_3__xml=text(5000 + number))
+    reports = exchange.read_price_reports(spark, str(tmp_path))
+    opened = sorted(f.rsplit("/", 2)[1:] for f in reports.inputFiles())
+    assert opened == [["20240102", "PR_3.xml"], ["20240103", "PR_3.xml"], ["20240104", "PR_3.xml"]]
+    out = pandas_sorted(exchange.futures_contracts(reports), "date")
+    assert out.settlement.tolist() == [5000.0, 5001.0, 5002.0]
+    counted = exchange.newest_snapshots(spark, str(tmp_path), F.lit("all")).collect()
+    assert [(r.snapshots, r.path.rsplit("/", 2)[1:]) for r in counted] == [(9, ["20240104", "PR_3.xml"])]
+    with pytest.raises(PySparkException):
+        exchange.read_price_reports(spark, str(tmp_path), every=True).collect()
+    (tmp_path / "none").mkdir()
+    assert exchange.futures_contracts(exchange.read_price_reports(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_broken_feed_is_an_error(spark, tmp_path):
+    broken = "<rss><channel><item><title>a</title><link>l</item></channel></rss>"
+    with pytest.raises(PySparkException):
+        exchange.read_rss(spark, land(tmp_path, f__xml=broken)).collect()
+
+
 def test_rss(spark, tmp_path):
     feed = """<rss version="2.0"><channel><item><title> A </title><link>l1</link><pubDate>Tue, 02 Jan 2024 22:30:00 -0300</pubDate>
     <description><![CDATA[<p>x &amp; y</p>]]></description></item><item><link>l2</link></item></channel></rss>"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volpanel.functions import text as X
 from volpanel.operators.keep import keep_one
 from volpanel.operators.panel import nan_to_null
 from volpanel.operators.surface import wide_to_long
+from volpanel.session import stage
 
 # Element names and the ticker pattern of the price report.
 FUTURE_TICKER = r"^DOL[A-Z][0-9]{2}$"
@@ -18,18 +19,41 @@ PRICE_REPORT = (
     f"FinInstrmAttrbts struct<AdjstdQt:{_AMOUNT},FrstPric:{_AMOUNT},LastPric:{_AMOUNT},MinPric:{_AMOUNT},"
     f"MaxPric:{_AMOUNT},OpnIntrst:double,TradQty:double>"
 )
+PRICE_REPORT_COLUMNS = PRICE_REPORT.replace(" struct<", ": struct<")
 RSS_ITEM = "title string, link string, pubDate string, description string"
 
 
-def read_price_reports(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per instrument of unpacked report files, one task per file; the snapshot is the file name."""
+#: The folder of a file; a day's package is unpacked into one of its own.
+FOLDER = r"^(.*)/[^/]*$"
+
+
+def newest_snapshots(spark: SparkSession, path: str | list[str], package: Column | None = None) -> DataFrame:
+    """(package, path, snapshots): the last file by name of every package, and how many it has, from the listing of files; nothing is opened.
+
+    ``package`` is an expression of the column ``path``, by default the file's folder.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    named = listing.withColumn("package", F.regexp_extract("path", FOLDER, 1) if package is None else package)
+    return named.groupBy("package").agg(F.max("path").alias("path"), F.count(F.lit(1)).alias("snapshots"))
+
+
+def read_price_reports(spark: SparkSession, path: str | list[str], package: Column | None = None, every: bool = False) -> DataFrame:
+    """One row per instrument of unpacked report files, one task per file; the snapshot is the file name.
+
+    A day comes as several progressive snapshots of some hundred megabytes each. Only the last one of each package (see ``newest_snapshots``) is
+    opened, unless ``every`` asks for all. The driver sees one path per package, as it does when it lists the files.
+    """
+    if not every:
+        path = sorted(row.path for row in newest_snapshots(spark, path, package).select("path").collect())
+        if not path:
+            return spark.createDataFrame([], f"{PRICE_REPORT_COLUMNS}, snapshot string")
     raw = spark.read.format("xml").option("rowTag", "PricRpt").option("mode", "FAILFAST").schema(PRICE_REPORT).load(path)
     return raw.withColumn("snapshot", F.col("_metadata.file_name"))
 
 
 def parse_price_reports(docs: DataFrame) -> DataFrame:
     """The same rows from report texts (doc, snapshot) held in a table."""
-    schema = f"PricRpt array<struct<{PRICE_REPORT.replace(' struct<', ': struct<')}>>"
+    schema = f"PricRpt array<struct<{PRICE_REPORT_COLUMNS}>>"
     report = F.from_xml("doc", schema, {"mode": "FAILFAST"})
     return docs.select("snapshot", F.explode(report["PricRpt"]).alias("_i")).select("_i.*", "snapshot")
 
@@ -48,11 +72,12 @@ def futures_contracts(reports: DataFrame, ticker: str = FUTURE_TICKER) -> DataFr
         F.col(f"{a}.MaxPric._VALUE").alias("high"), F.col(f"{a}.OpnIntrst").alias("open_interest"),
         F.col(f"{a}.TradQty").alias("trades"),
     )
-    # The large reports are parsed once: instruments that are no futures only help to name the last snapshot,
-    # and the ticker pattern leaves at most 2,600 futures to gather per snapshot.
-    listed = reports.groupBy(F.col("TradDt.Dt").alias("date"), "snapshot").agg(F.collect_set(F.when(is_future, row)).alias("_rows"))
-    newest = listed.groupBy("date").agg(F.max_by("_rows", "snapshot").alias("_rows"))
-    return nan_to_null(newest.select("date", F.explode("_rows").alias("_r")).select("date", "_r.*"))
+    # The large reports are parsed once. Instruments that are no futures only name the snapshot, as one row for all of them.
+    parsed = reports.select(F.col("TradDt.Dt").alias("date"), "snapshot", F.when(is_future, row).alias("_r")).distinct()
+    slim = stage(parsed, "price-rows")
+    newest = slim.groupBy("date").agg(F.max("snapshot").alias("_newest")).withColumnRenamed("date", "_date")
+    last = F.col("date").eqNullSafe(F.col("_date")) & (F.col("snapshot") == F.col("_newest"))
+    return nan_to_null(slim.filter(F.col("_r").isNotNull()).join(newest, last).select("date", "_r.*"))
 
 
 def weekdays(df: DataFrame, time: str = "date") -> DataFrame:
@@ -60,7 +85,7 @@ def weekdays(df: DataFrame, time: str = "date") -> DataFrame:
 
 
 def read_rss(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
+    return spark.read.format("xml").option("rowTag", "item").option("mode", "FAILFAST").schema(RSS_ITEM).load(path)
 
 
 def rss_items(items: DataFrame, source: str = "source") -> DataFrame:

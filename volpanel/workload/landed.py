@@ -104,8 +104,8 @@ def _escape(c):
     return c
 
 
-def price_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily reports of futures and options parsed from XML text: two snapshots a day, the first one stale."""
+def report_texts(spark: SparkSession, sf: str, by) -> DataFrame:
+    """(package, snapshot, doc): reports of futures and options as XML text, two snapshots of each package ``by``, the first one stale."""
     c = S.contracts(spark, sf).filter(F.col("ticker").isNotNull())
     k = F.regexp_extract("ticker", r"([0-9]+)$", 1).cast("int")
     code = F.concat(F.lit("DOL"), F.char(65 + k % 26), F.lpad(k.cast("string"), 2, "0"), F.when(k > 20, F.lit("C005600")).otherwise(F.lit("")))
@@ -121,9 +121,22 @@ def price_reports(spark: SparkSession, sf: str) -> DataFrame:
         tag("MinPric", F.round(F.col("low") * 1000, 3)), tag("MaxPric", F.round(F.col("high") * 1000, 3)),
         plain("OpnIntrst", F.col("open_interest")), plain("TradQty", F.col("trades")), F.lit("</FinInstrmAttrbts></PricRpt>"),
     )
-    day = rows.select("date", F.col("_s.file").alias("snapshot"), xml.alias("x")).groupBy("date", "snapshot")
+    day = rows.select(by.alias("package"), F.col("_s.file").alias("snapshot"), xml.alias("x")).groupBy("package", "snapshot")
     report = F.concat(F.lit("<Document>"), F.array_join(F.collect_list("x"), ""), F.lit("</Document>"))
-    return parse_price_reports(day.agg(report.alias("doc")))
+    return day.agg(report.alias("doc"))
+
+
+def price_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily reports parsed from text."""
+    return parse_price_reports(report_texts(spark, sf, F.col("date")))
+
+
+def price_report_files(spark: SparkSession, sf: str, path: str) -> str:
+    """Reports landed as files, one package a quarter with a folder for each of its snapshots."""
+    quarter = F.concat(F.year("date"), F.lit("Q"), F.quarter("date"))
+    docs = report_texts(spark, sf, quarter)
+    docs.write.partitionBy("package", "snapshot").option("lineSep", "\n").text(path)
+    return path
 
 
 def feeds(spark: SparkSession, sf: str) -> DataFrame:

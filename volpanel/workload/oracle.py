@@ -865,7 +865,7 @@ def _sources() -> dict[str, str]:
         round(open * 1000, 3) AS open, round(last * 1000, 3) AS last, round(low * 1000, 3) AS low, round(high * 1000, 3) AS high, open_interest,
         CAST(trades AS DOUBLE) AS trades FROM (SELECT *, CAST(regexp_extract(ticker, '([0-9]+)$', 1) AS INTEGER) AS k FROM contracts)
         WHERE k <= 20 AND k % 7 <> 0"""
-    q["source_price_report"] = build(report)
+    q["source_price_report"] = q["source_price_report_files"] = build(report)
     q["source_price_report_front"] = build(
         """SELECT date, ticker, settlement, coalesce(ticker <> lag(ticker) OVER (ORDER BY date), false) AS contract_changed FROM (
             SELECT * FROM report WHERE isodow(date) < 6 QUALIFY row_number() OVER (PARTITION BY date ORDER BY trades DESC, open_interest DESC, ticker DESC) = 1)""",

@@ -853,6 +853,14 @@ def source_price_report(spark, sf):
     return exchange.futures_contracts(landed.price_reports(spark, sf))
 
 
+@query
+def source_price_report_files(spark, sf):
+    """The same from landed files, of which only the last snapshot of each package is opened."""
+    path = landed.price_report_files(spark, sf, scratch_path(spark, "reports"))
+    package = F.regexp_extract("path", "package=([^/]+)", 1)
+    return exchange.futures_contracts(exchange.read_price_reports(spark, path, package))
+
+
 @query
 def source_price_report_front(spark, sf):
     """Weekday reports through to the front contract."""

@@ -361,6 +361,27 @@ def test_level_feature_has_the_least_squares_slope(spark):
             close_to(got[2], want[2], 1e-6)
 
 
+def test_hot_intraday_series_is_fitted_without_a_window_over_its_rows(spark):
+    """One TIMESTAMP series with nearly all rows; moments merge to the digits of one pass over them."""
+    n, rng = 20_000, np.random.default_rng(4)
+    x = 5000 + rng.normal(size=n)
+    y = 2.5 * x + rng.normal(0, 0.01, n) - 12_000
+    start = pd.Timestamp("2024-01-02")
+    pdf = pd.DataFrame({"series_id": "hot", "date": start + pd.to_timedelta(np.arange(n), "min"), "x": x, "target": y, "rn": np.arange(n), "n": n})
+    cold = pdf[:60].assign(series_id="cold", n=60)
+    data = spark.createDataFrame(pd.concat([pdf, cold])).repartition(6)
+    coefs = fit_folds(data, {"c": ["x"]}, CountedFolds(4, 5, 0))
+    plan = coefs._jdf.queryExecution().optimizedPlan().toString()
+    raw = plan[plan.index("covar_pop") :]
+    assert "Window" in plan[: plan.index("covar_pop")] and "Window" not in raw
+    got = {(r.series_id, r.fold): r for r in coefs.collect()}
+    assert len(got) == 8
+    for (name, _), r in got.items():
+        own = pdf if name == "hot" else cold
+        slope, level = np.polyfit(own.x[: r.train_end] - 5000, own.target[: r.train_end], 1)
+        close_to([r.beta[1], r.beta[0] + 5000 * r.beta[1]], [slope, level], 1e-9)
+
+
 def test_no_tested_garch_row_is_lost(spark):
     pdf = walk(150, 8)
     pdf.loc[:70, "close"] = 100.0

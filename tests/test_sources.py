@@ -110,7 +110,7 @@ def test_only_the_last_snapshot_of_a_package_is_opened(spark, tmp_path):
     assert out.settlement.tolist() == [5000.0, 5001.0, 5002.0]
     counted = exchange.newest_snapshots(spark, str(tmp_path), F.lit("all")).collect()
     assert [(r.snapshots, r.path.rsplit("/", 2)[1:]) for r in counted] == [(9, ["20240104", "PR_3.xml"])]
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="PR_1.xml"):
         exchange.read_price_reports(spark, str(tmp_path), every=True).collect()
     (tmp_path / "none").mkdir()
     assert exchange.futures_contracts(exchange.read_price_reports(spark, str(tmp_path / "none"))).count() == 0
@@ -118,7 +118,7 @@ def test_only_the_last_snapshot_of_a_package_is_opened(spark, tmp_path):
 
 def test_broken_feed_is_an_error(spark, tmp_path):
     broken = "<rss><channel><item><title>a</title><link>l</item></channel></rss>"
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="f.xml"):
         exchange.read_rss(spark, land(tmp_path, f__xml=broken)).collect()
 
 

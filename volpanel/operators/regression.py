@@ -1,9 +1,9 @@
 """Per-fold least squares from aggregated cross-products.
 
-Every dataset row is aggregated once, into the first fold that trains on it; nested train sets make the
-cross-products of fold i the running sum over folds ≤ i. Only those k×k sums, one row per fold and feature
-set, reach the solver, so the fit costs one pass with partial aggregation whatever the number of folds and
-feature sets is, and no series is gathered anywhere.
+Every dataset row is aggregated once, into the first fold that trains on it: counts, means and co-moments about the means, which partial
+aggregates merge pairwise without losing digits to a feature's level. Nested train sets make the moments of fold i the merged ones of folds ≤ i;
+about one value per series, the first fold's mean, that is a running sum over one row per fold. Only those k×k sums reach the solver, so
+the fit costs one pass whatever the number of folds and feature sets is, and no series is sorted or gathered anywhere.
 """
 
 from __future__ import annotations
@@ -34,25 +34,24 @@ def fit_folds(
     # A log target that does not exist (volatility 0) leaves the row out of every sum, not just of some.
     rows = assign_folds(numbered, scheme).withColumn("_y", target)
     rows = rows.filter("first_train_fold IS NOT NULL AND _y IS NOT NULL")
-    # Products of distances from one value per series keep their digits whatever a feature's level is.
-    centre = Window.partitionBy(*keys)
-    rows = rows.withColumns({f"_s{i}": F.coalesce(F.avg(f).over(centre), F.lit(0.0)) for i, f in enumerate(names, start=1)})
-    x = ["1.0D"] + [f"(`{f}` - _s{i})" for i, f in enumerate(names, start=1)]
-    k = len(x)
-    sums = {f"g_{i}_{j}": f"sum({x[i]} * {x[j]})" for i in range(k) for j in range(i, k)}
-    sums |= {f"v_{i}": f"sum({x[i]} * _y)" for i in range(k)}
-    shifts = {f"s_{i}": f"max(_s{i})" for i in range(1, k)}
-    pieces = rows.groupBy(*keys, F.col("first_train_fold").alias("fold")).agg(
-        *[F.expr(f"{c} AS {a}") for a, c in (sums | shifts).items()]
-    )
+    k = len(names) + 1
+    column = {i: f"`{f}`" for i, f in enumerate(names, start=1)} | {"y": "_y"}
+    moments = {"_n": "count(1)"} | {f"m_{i}": f"avg({c})" for i, c in column.items()}
+    pairs = [(i, j) for i in range(1, k) for j in [*range(i, k), "y"]]
+    moments |= {f"c_{i}_{j}": f"var_pop({column[i]})" if i == j else f"covar_pop({column[i]}, {column[j]})" for i, j in pairs}
+    pieces = rows.groupBy(*keys, F.col("first_train_fold").alias("fold")).agg(*[F.expr(f"{c} AS {a}") for a, c in moments.items()])
 
-    upto = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    nested = (
-        fold_table(numbered, scheme, keys)
-        .join(pieces, [*keys, "fold"], "left")
-        .select(*keys, "fold", "train_end", "test_start", "test_end", *[F.sum(a).over(upto).alias(a) for a in sums],
-                *[F.max(a).over(upto).alias(a) for a in shifts])
-    )
+    # One row per fold from here on. Sums of products of distances from one value per series keep their digits.
+    along = Window.partitionBy(*keys).orderBy("fold")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shifts = {f"s_{i}": F.coalesce(F.first(f"m_{i}", ignorenulls=True).over(whole), F.lit(0.0)) for i in range(1, k)}
+    shifted = fold_table(numbered, scheme, keys).join(pieces, [*keys, "fold"], "left").withColumns(shifts)
+    d = {i: f"(m_{i} - s_{i})" for i in range(1, k)} | {"y": "m_y"}
+    sums = {"g_0_0": "CAST(_n AS DOUBLE)", "v_0": "_n * m_y"}
+    sums |= {f"g_0_{i}": f"_n * {d[i]}" for i in range(1, k)}
+    sums |= {f"v_{i}" if j == "y" else f"g_{i}_{j}": f"_n * (c_{i}_{j} + {d[i]} * {d[j]})" for i, j in pairs}
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    nested = shifted.select(*keys, "fold", "train_end", "test_start", "test_end", *shifts, *[F.sum(F.expr(c)).over(upto).alias(a) for a, c in sums.items()])
     entry = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
     gram = ", ".join(entry(i, j) for i in range(k) for j in range(k))
     packed = nested.select(

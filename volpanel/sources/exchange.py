@@ -47,7 +47,8 @@ def read_price_reports(spark: SparkSession, path: str | list[str], package: Colu
         path = sorted(row.path for row in newest_snapshots(spark, path, package).select("path").collect())
         if not path:
             return spark.createDataFrame([], f"{PRICE_REPORT_COLUMNS}, snapshot string")
-    raw = spark.read.format("xml").option("rowTag", "PricRpt").option("mode", "FAILFAST").schema(PRICE_REPORT).load(path)
+    reader = spark.read.format("xml").option("rowTag", "PricRpt").option("mode", "FAILFAST").option("recursiveFileLookup", True)
+    raw = reader.schema(PRICE_REPORT).load(path)
     return raw.withColumn("snapshot", F.col("_metadata.file_name"))
 
 

@@ -5,9 +5,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from helpers import business_days, close_to, frame, pandas_sorted, walk
 from volpanel.functions import small_stats as S
+from volpanel.operators import chains
 from volpanel.operators import features as W
 from volpanel.operators import garch as Z
 from volpanel.operators import metrics as E
@@ -402,6 +404,44 @@ def test_incomplete_beta_of_large_counts():
     close_to(p, [math.erfc(-v / math.sqrt(2)) for v in z], 1e-3)
 
 
+def direct_gap(y, min_window=24):
+    gains, level, before, out = Y.trend_gains(14400.0), 0.0, 0.0, []
+    for i, v in enumerate(y):
+        if i < 2:
+            level, before = v, level
+        else:
+            k1, k2 = gains[min(i - 1, len(gains)) - 1]
+            ahead = 2 * level - before
+            level, before = ahead + k1 * (v - ahead), level + k2 * (v - ahead)
+        out.append(v - level if i >= min_window else np.nan)
+    return out
+
+
+def test_one_sided_gap_of_a_million_rows_in_one_series(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("series_id"), F.timestamp_seconds(F.col("id") * 60).alias("at"), (4 + F.sin(F.col("id") / 5000) + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1e5).alias("y"),
+    )
+    few = rows.limit(30).withColumn("series_id", F.lit("b"))
+    out = one_sided_gap(rows.repartition(4).unionByName(few), "y", time="at").toPandas().sort_values(["series_id", "at"])
+    long, short = out[out.series_id == "a"], out[out.series_id == "b"]
+    assert len(long) == n and len(short) == 30
+    close_to(long.gap, direct_gap(long.y.to_numpy()), 1e-9)
+    close_to(short.gap, direct_gap(short.y.to_numpy()), 1e-9)
+
+
+@pytest.mark.parametrize("block", [3, 50])
+def test_one_sided_gap_blocks_levels_and_nulls(spark, block, monkeypatch):
+    monkeypatch.setattr(chains.entry_states, "__defaults__", (2,))
+    pdf = walk(140, 3)[["series_id", "date", "close"]].rename(columns={"date": "reference_date"})
+    whole = pandas_sorted(one_sided_gap(frame(spark, pdf), "close", block_rows=10_000), "reference_date").gap
+    close_to(pandas_sorted(one_sided_gap(frame(spark, pdf), "close", block_rows=block), "reference_date").gap, whole, 1e-10)
+    close_to(whole, direct_gap(pdf.close.to_numpy()), 1e-10)
+    pdf.loc[60, "close"] = np.nan
+    gaps = pandas_sorted(one_sided_gap(frame(spark, pdf), "close", block_rows=block), "reference_date").gap
+    assert gaps[24:60].notna().all() and gaps[60:].isna().all()
+
+
 def test_trend_gains_settle_or_fail():
     assert len(Y.trend_gains(1e7)) < 20_000
     with pytest.raises(ArithmeticError):

@@ -11,6 +11,7 @@ from helpers import business_days, close_to, day, frame, pandas_sorted
 from volpanel.functions import market as M
 from volpanel.functions import small_stats as Q
 from volpanel.functions.normal import norm_cdf
+from volpanel.operators import chains
 from volpanel.operators import metrics as E
 from volpanel.operators import trades as B
 from volpanel.operators.options import with_option_prices
@@ -75,6 +76,33 @@ def test_non_overlapping_choice_equals_the_sequential_rule(spark, horizon, block
         assert sorted(r.entry_rn for r in got if r.series_id == s) == greedy(v, horizon)
 
 
+def test_choice_along_a_million_rows_of_one_series(spark):
+    rng = np.random.default_rng(8)
+    keep = np.flatnonzero(rng.random(1_000_000) < 0.3)
+    pdf = pd.DataFrame({"series_id": "a", "entry_rn": keep})
+    got = B.pick_without_overlap(spark.createDataFrame(pdf).repartition(4), 13, ["series_id"], 64).toPandas().entry_rn.sort_values().tolist()
+    assert got == greedy(keep.tolist(), 13)
+
+
+def test_choice_over_levels_and_missing_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chains.entry_states, "__defaults__", (3,))
+    rns = [*range(0, 90, 2), *range(400, 470), 900, 905, 1500]
+    df = spark.createDataFrame([(s, i) for s in "ab" for i in rns[: 60 if s == "b" else None]], "series_id string, entry_rn long")
+    got = B.pick_without_overlap(df, 5, ["series_id"], 8).collect()
+    for s in "ab":
+        assert sorted(r.entry_rn for r in got if r.series_id == s) == greedy(rns[: 60 if s == "b" else None], 5)
+
+
+def test_intraday_trades_equal_those_of_the_same_rows_as_days(spark):
+    prices, forecast, implied = market(spark, 400, 3)
+    as_days = pandas_sorted(B.run_backtest(*(frame(spark, p) for p in (prices, forecast, implied)), 7), "entry_date")
+    minute = {d: pd.Timestamp("2024-03-01 10:00") + pd.Timedelta(minutes=i) for i, d in enumerate(prices.date)}
+    inside = [spark.createDataFrame(p.assign(date=[minute[d] for d in p.date])).repartition(3) for p in (prices, forecast, implied)]
+    out = pandas_sorted(B.run_backtest(*inside, 7), "entry_date")
+    assert out.entry_date.tolist() == [minute[d] for d in as_days.entry_date] and out.exit_date.tolist() == [minute[d] for d in as_days.exit_date]
+    close_to(out.pnl_net, as_days.pnl_net)
+
+
 def test_a_horizon_beyond_the_block_is_followed_too(spark):
     """A horizon longer than a block widens the blocks; the choice stays that of the sequential rule."""
     rns = sorted(int(i) for i in np.random.default_rng(3).choice(20_000, 500, replace=False))

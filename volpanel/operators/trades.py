@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from volpanel.functions import market as M
 from volpanel.functions.normal import norm_cdf
+from volpanel.operators.chains import entry_states
 from volpanel.operators.metrics import expected_best_sharpe, probabilistic_sharpe_score, sharpe
 from volpanel.operators.options import with_option_prices
-from volpanel.operators.panel import SERIES, require_daily, series_window
+from volpanel.operators.panel import SERIES, framed
 from volpanel.session import stage
 
 TRADE_COLUMNS = (
@@ -27,15 +28,15 @@ def candidate_trades(
     """Every day with a signal and an exit: the exit is ``horizon`` rows ahead in the price calendar.
 
     ``forecast`` has (keys, date, rv_forecast), ``implied`` (keys, date, iv_proxy). All bands in one pass; ``extra``
-    names further key columns of the forecast (a feature set).
+    names further key columns of the forecast (a feature set). TIMESTAMP-keyed prices are split into blocks wherever a series is long.
     """
     keys = list(keys)
-    require_daily(prices, "date")
-    w = series_window(keys)
-    path = prices.select(
-        *keys, "date", F.col(price).alias("spot_entry"), (F.row_number().over(w).cast("long") - 1).alias("entry_rn"),
-        F.lead("date", horizon).over(w).alias("exit_date"), F.lead(price, horizon).over(w).alias("spot_exit"),
-    )
+    frame = framed(prices, keys, "date", ahead=horizon)
+    w = frame.window
+    number = F.col("rn") if frame.blocked else F.row_number().over(w).cast("long") - 1
+    path = frame.close(frame.df.withColumns({
+        "spot_entry": F.col(price), "entry_rn": number, "exit_date": F.lead("date", horizon).over(w), "spot_exit": F.lead(price, horizon).over(w),
+    })).select(*keys, "date", "spot_entry", "entry_rn", "exit_date", "spot_exit")
     common = path.join(forecast.select(*keys, *extra, "date", "rv_forecast"), [*keys, "date"]).join(
         implied.select(*keys, "date", "iv_proxy"), [*keys, "date"]
     )
@@ -55,7 +56,7 @@ def pick_without_overlap(
     A kept trade blocks the next ``horizon − 1`` rows, so whatever happened before a block of rows is summed
     up by how many of the block's first rows are still blocked, a number below ``horizon``. Pass one follows
     the greedy rule through every block for each of those possible starts (array of one block's row numbers,
-    all blocks in parallel). The starts that really occur then follow from chaining one small row per block,
+    all blocks in parallel). The starts that really occur then follow from composing these maps level by level (``chains``),
     and pass two repeats the rule once per block. The result is that of the sequential rule.
     """
     by, block_rows = list(by), max(block_rows, horizon)
@@ -73,20 +74,25 @@ def pick_without_overlap(
             starts, lambda s: F.greatest(follow(F.col("_rns"), base + s) - (base + block_rows), F.lit(0).cast("long"))
         ),
     )
-    chain = maps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_block", "_after"))).alias("_blocks"))
-    zero = F.struct(
-        F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("free"),
-        F.array().cast("array<struct<_block:bigint,_start:bigint>>").alias("out"),
+    # A missing block frees the ones behind it, since no trade reaches over a whole block.
+    numbered = F.struct(F.col("_block").alias("first"), F.col("_block").alias("last"), F.col("_after").alias("after"))
+    freed = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("free"))
+    start = lambda m, s: F.when(s["last"] == m["first"] - 1, s["free"]).otherwise(F.lit(0).cast("long"))
+    after = lambda m, free: F.get(m["after"], free.cast("int"))
+
+    def apply(m, s):
+        return F.struct(m["last"].alias("last"), after(m, start(m, s)).alias("free"))
+
+    def compose(m, following):
+        met = following["first"] == m["last"] + 1
+        through = F.transform(m["after"], lambda free: after(following, F.when(met, free).otherwise(F.lit(0).cast("long"))))
+        return F.struct(m["first"].alias("first"), following["last"].alias("last"), through.alias("after"))
+
+    states = entry_states(
+        maps.withColumn("_map", numbered), by, freed, apply, compose, "struct<last:bigint,free:bigint>", "struct<first:bigint,last:bigint,after:array<bigint>>"
     )
-
-    def step(state, b):
-        start = F.when(state["block"] == b["_block"] - 1, state["free"]).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            b["_block"].alias("block"), F.element_at(b["_after"], (start + 1).cast("int")).alias("free"),
-            F.concat(state["out"], F.array(F.struct(b["_block"].alias("_block"), start.alias("_start")))).alias("out"),
-        )
-
-    entered = chain.select(*by, F.explode(F.aggregate("_blocks", zero, step)["out"]).alias("_e")).select(*by, "_e.*")
+    entry = F.when(F.col("_entry.last") == F.col("_block") - 1, F.col("_entry.free")).otherwise(F.lit(0).cast("long"))
+    entered = states.select(*by, "_block", entry.alias("_start"))
     kept_type = "struct<free:bigint,kept:array<bigint>>"
     kept = F.aggregate(
         "_rns",

@@ -12,6 +12,7 @@ from volpanel.operators.asof import asof_join, asof_point, asof_shared
 from volpanel.operators.contracts import front_contract
 from volpanel.operators.keep import keep_one, read_table, union_all, upsert, upsert_table
 from volpanel.plans import datasets as D
+from volpanel.plans import diagnostics as G
 from volpanel.session import scratch_path
 
 
@@ -89,6 +90,24 @@ def contracts(spark, rows):
     )
 
 
+def test_instants_give_what_the_same_rows_give_as_days(spark):
+    """Front contract, bar quality and lead/lag on a long intraday calendar and on as many days."""
+    n, rng = 300, np.random.default_rng(2)
+    bars = walk(n, 5)
+    minute = {d: pd.Timestamp("2024-03-01 10:00") + pd.Timedelta(minutes=i) for i, d in enumerate(bars.date)}
+    inside = lambda pdf: spark.createDataFrame(pdf.assign(date=[minute[d] for d in pdf.date])).repartition(3)
+    days, instants = G.bar_quality(frame(spark, bars)).collect()[0], G.bar_quality(inside(bars)).collect()[0]
+    close_to(list(days)[1:], list(instants)[1:])
+    returns = bars[["series_id", "date"]].assign(ret=rng.normal(size=n))
+    rate = pd.DataFrame({"date": bars.date, "value": np.exp(rng.normal(0, 0.1, n).cumsum())})
+    a, b = (pandas_sorted(G.lead_lag(*(f(p) for p in (returns, rate)), (-2, 0, 1)), "shift") for f in (lambda p: frame(spark, p), inside))
+    close_to(a.r, b.r)
+    chain = pd.concat([bars[["series_id", "date"]].assign(
+        ticker=t, trades=rng.integers(0, 5, n), open_interest=1.0, settlement=1.0, open=1.0, last=1.0, low=1.0, high=1.0) for t in ("x", "y")])
+    a, b = (pandas_sorted(front_contract(f(chain)), "date") for f in (lambda p: frame(spark, p), inside))
+    assert a.ticker.tolist() == b.ticker.tolist() and a.contract_changed.tolist() == b.contract_changed.tolist() and a.contract_changed.sum() > 50
+
+
 def test_front_contract_rolls_and_fills(spark):
     d1, d2 = day("2024-01-02"), day("2024-01-03")
     df = contracts(spark, [

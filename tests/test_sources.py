@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import close_to, day, pandas_sorted
 from volpanel.functions import text as X
 from volpanel.operators import text as T
-from volpanel.operators.keep import read_table
+from volpanel.operators.keep import last_applied, read_table, upsert_table
 from volpanel.sources import documents as docs
 from volpanel.sources import exchange
 from volpanel.streaming import landed as stream
@@ -219,6 +219,24 @@ def test_streams_merge_batches_and_late_rows(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(once).collect()) == ["a", "b", "c"]
 
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The last batch again, an older one after a newer one, and the first batch of another stream."""
+    table = scratch_path(spark, "replayed")
+    rows = lambda v: spark.createDataFrame([("a", day("2024-01-01"), v)], "k string, date date, v double")
+    merge = lambda b: upsert_table(b.withColumn("_part", F.lit(0)), table, ["k"], "date", "last", ["_part"])
+    each, other = stream.merged_once(table, "mark", merge), stream.merged_once(table, "other", merge)
+    value = lambda: [r.v for r in read_table(spark, table).collect()]
+    seen = []
+    for number, v in ((0, 1.0), (1, 2.0), (0, 1.0), (1, 9.0), (2, 3.0), (1, 2.0)):
+        each(rows(v), number)
+        seen += value()
+    assert seen == [1.0, 2.0, 2.0, 2.0, 3.0, 3.0]
+    other(rows(7.0), 0)
+    assert value() == [7.0]
+    each(rows(8.0), 2)
+    assert value() == [7.0] and last_applied(spark, table, "none") == -1
+
+
 def test_daily_index_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     spark.createDataFrame([("2024-01-01T10:00:00Z", "NEGATIVE", -0.5), ("2024-01-01T11:00:00Z", "POSITIVE", 1.0)], "ts string, label string, signed_score double").write.json(folder)

@@ -92,6 +92,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(_location(spark, path) or path)
 
 
+def _marks(spark: SparkSession, path: str, source: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_applied/{source}")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def last_applied(spark: SparkSession, path: str, source: str) -> int:
+    """Number of the last batch of ``source`` that was merged into the table; -1 before the first."""
+    system, folder = _marks(spark, path, source)
+    return max((int(f.getPath().getName()) for f in system.listStatus(folder)), default=-1) if system.exists(folder) else -1
+
+
+def mark_applied(spark: SparkSession, path: str, source: str, batch: int) -> None:
+    """Notes with the table that ``batch`` of ``source`` is in it; earlier notes go."""
+    system, folder = _marks(spark, path, source)
+    system.create(spark._jvm.org.apache.hadoop.fs.Path(folder, str(batch))).close()
+    for old in system.listStatus(folder):
+        if int(old.getPath().getName()) < batch:
+            system.delete(old.getPath(), False)
+
+
 def upsert_table(
     new: DataFrame, path: str, keys: Sequence[str], time: str = "date", keep: str = "last",
     partition_by: Sequence[str] = (),

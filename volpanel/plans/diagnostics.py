@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from volpanel.functions import market as M
 from volpanel.operators import features as W
 from volpanel.operators.metrics import pair_correlation
-from volpanel.operators.panel import SERIES, require_daily, series_window
+from volpanel.operators.panel import SERIES, framed
 
 
 def bar_quality(bars: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Mean move inside a bar, mean jump between bars, their ratio, and the open/close correlation of a DATE-keyed panel."""
-    require_daily(bars, "date")
-    w = series_window(keys)
-    d = bars.withColumn("_gap", F.abs(F.col("open") - F.lag("close").over(w)))
+    """Mean move inside a bar, mean jump between bars, their ratio, and the open/close correlation."""
+    frame = framed(bars, keys, "date", back=1)
+    d = frame.close(frame.df.withColumn("_gap", F.abs(F.col("open") - F.lag("close").over(frame.window))))
     out = d.groupBy(*keys).agg(
         F.avg(F.abs(F.col("close") - F.col("open"))).alias("mean_intra"), F.avg("_gap").alias("mean_gap"),
         pair_correlation(F.col("open"), F.col("close")).alias("corr_open_close"),
@@ -39,13 +38,11 @@ def lead_lag(
 ) -> DataFrame:
     """Correlation of ``ret`` with the official rate's log return shifted by k rows of its own calendar.
 
-    ``official`` (rates…, date, value) is shared by all series: one row per calendar day and rate. Both sides need
-    DATE keys, which bound a series by its days.
+    ``official`` (rates…, date, value) is shared by all series: one row per calendar day or instant and rate. Both sides have the
+    same kind of key; a long calendar of instants is split into blocks.
     """
-    require_daily(returns, "date")
-    require_daily(official, "date")
-    one = official.withColumn("_all", F.lit(0))
-    fr = one.withColumn("official_ret", M.log_return(F.col("value"), series_window(["_all", *rates])))
+    one = framed(official.withColumn("_all", F.lit(0)), ["_all", *rates], "date", back=1)
+    fr = one.close(one.df.withColumn("official_ret", M.log_return(F.col("value"), one.window)))
     moved = W.shifted(fr, "official_ret", shifts, ["_all", *rates])
     name = lambda k: f"official_ret_s{'m' if k < 0 else ''}{abs(k)}"
     joined = returns.select(*keys, "date", "ret").join(moved.select(*rates, "date", *[name(k) for k in shifts]), "date")

@@ -12,10 +12,13 @@ without ever listing the pairs of a group:
 3. Answers are derived from those of a highly similar set. Each block has a leader, the set whose prefix is in the longest lists,
    and all others are compared with it; what links to it has the leader's class. In a second round the sets outside that class follow a leader
    of their own.
-4. Only sets of one block in different classes can add anything, at least one of them outside the first leader's class. With o
-   shingles in common with that leader, they share at most ``min(o_x, o_y) + min(n_x - o_x - u_x, n_y - o_y - u_y)``. And in the list of the first
-   shingle that they share, whatever stands before it is in one of them alone: there the bound of step 2 holds with u plus the position
-   in place of u. Lists are cut into sub-blocks by that sum: whole sub-blocks that it excludes are skipped, in the rest both bounds are
+4. Only sets of one block in different classes can add anything, at least one of them outside the first leader's class. A set near that leader l is kept
+   as what it lacks of l and what it has beside l, and two such sets' intersection follows from these short lists and l's answers alone:
+   ``o_x + o_y - n_l + |lacks_x & lacks_y| + |beside_x & beside_y|``, with o shingles in common with l. So the pairs of a group of near copies are
+   decided where they meet, and only links leave the join. Sets further from their leader (over ``NEAR`` shingles) share
+   at most ``min(o_x, o_y) + min(n_x - o_x - u_x, n_y - o_y - u_y)``. And in the list of the first shingle that two sets share,
+   whatever stands before it is in one of them alone: there the bound of step 2 holds with u plus the position
+   in place of u. Lists are cut into sub-blocks by that sum: whole sub-blocks that it excludes are skipped, in the rest the bounds are
    checked, and what passes is compared set by set.
 5. Classes are contracted round by round; every round each class joins the neighbour with the smallest random number, so
    chains shrink by a constant factor a round.
@@ -44,8 +47,10 @@ from volpanel.session import stage
 WIDTH = 5
 #: Share of the hash values that the first count looks at.
 FIRST_LOOK = 0.3
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 ROUNDS = 60
+#: A set is told by its differences from a leader if it lacks so many of the leader's shingles, and has so many others, at most.
+NEAR = 64
 _hash_of: dict[bytes, int] = {}
 
 
@@ -114,6 +119,19 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Like ``_compared`` for leaders a and their sets b; also what b lacks of a and has beside it and its own shingles, where both are short."""
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("a_tokens"))
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("b_tokens"), F.col("own").alias("b_own"))
+    counted = pairs.join(right, "b").join(left, "a").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    near = F.expr(f"size(a_tokens) - shared <= {NEAR} AND size(b_tokens) - shared - size(b_own) <= {NEAR}")
+    return counted.select(
+        "a", "b", "shared", F.expr("100 * shared >= 80 * (size(a_tokens) + size(b_tokens) - shared)").alias("linked"),
+        F.when(near, F.array_except("a_tokens", "b_tokens")).alias("lacks"),
+        F.when(near, F.array_except(F.array_except("b_tokens", "a_tokens"), "b_own")).alias("beside"),
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes in the rows (a, b).
 
@@ -196,7 +214,7 @@ def links(sets: DataFrame) -> DataFrame:
         return both.where("y_c <> l_c")
 
     leaders = stage(_leaders(ranked), "leaders")
-    measured = stage(_compared(led(ranked, leaders), sets), "compared")
+    measured = stage(_measured(led(ranked, leaders), sets), "compared")
     first = measured.where("linked").select("a", "b")
     classes = stage(components(first), "classes")
 
@@ -206,13 +224,15 @@ def links(sets: DataFrame) -> DataFrame:
     classes = stage(components(first.union(second)), "classes")
 
     def with_leader(df: DataFrame, prefix: str) -> DataFrame:
-        """Adds what a set shares with its block's leader, all of it for the leader itself, NULL where they were not compared."""
-        known = measured.select(F.col("a").alias("l_node"), F.col("b").alias(f"{prefix}_node"), F.col("shared").alias(f"{prefix}_o"))
-        found = df.join(known, ["l_node", f"{prefix}_node"], "left")
-        return found.withColumn(f"{prefix}_o", F.when(F.col("l_node") == F.col(f"{prefix}_node"), F.col(f"{prefix}_n")).otherwise(F.col(f"{prefix}_o")))
+        """Adds how much a set shares with its block's leader and its differences, none for the leader itself, NULL where they were not compared."""
+        told = [F.col(c).alias(f"{prefix}_{n}") for c, n in (("b", "node"), ("shared", "o"), ("lacks", "lacks"), ("beside", "beside"))]
+        found = df.join(measured.select(F.col("a").alias("l_node"), *told), ["l_node", f"{prefix}_node"], "left")
+        leads, none = F.col("l_node") == F.col(f"{prefix}_node"), F.array().cast("array<long>")
+        own = {f"{prefix}_o": F.col(f"{prefix}_n").cast("int"), f"{prefix}_lacks": none, f"{prefix}_beside": none}
+        return found.withColumns({c: F.when(leads, v).otherwise(F.col(c)) for c, v in own.items()})
 
     asking = stage(
-        with_leader(outside(classes, leaders), "y").select("token", "block", "y_node", "y_n", "y_u", "y_p", "y_c", "y_o")
+        with_leader(outside(classes, leaders), "y").select("token", "block", "l_n", "y_node", "y_n", "y_u", "y_p", "y_c", "y_o", "y_lacks", "y_beside")
         .withColumn("most", F.floor((F.col("y_n") - 5 * F.col("y_p")) / 4)).where("most >= 0"),
         "outside",
     )
@@ -224,9 +244,13 @@ def links(sets: DataFrame) -> DataFrame:
     through_leader = F.expr(
         "coalesce(9 * (least(x_o, y_o) + least(x_n - x_o - x_u, y_n - y_o - y_u)) >= 4 * (x_n + y_n), true)"
     )
+    by_differences = F.expr(
+        "x_lacks IS NULL OR y_lacks IS NULL OR "
+        "9 * (x_o + y_o - l_n + size(array_intersect(x_lacks, y_lacks)) + size(array_intersect(x_beside, y_beside))) >= 4 * (x_n + y_n)"
+    )
     third = (
         asking.withColumn("part", F.explode(parts)).join(x.drop("l_node"), ["token", "block", "part"])
-        .where("x_c <> y_c AND x_p <= most").where(_may_link("x", "y", "p")).where(through_leader)
+        .where("x_c <> y_c AND x_p <= most").where(_may_link("x", "y", "p")).where(through_leader).where(by_differences)
         .where(F.col("block") == F.greatest(size_class(F.col("x_n")), size_class(F.col("y_n"))))  # of two common blocks, one is enough
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )

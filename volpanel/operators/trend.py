@@ -5,7 +5,7 @@ observation noise 1 and shock variance 1/λ, started flat on the first two value
 row number only and settle to constants, so they are computed once from λ and shipped as a short literal;
 every series is then one linear recursion in the JVM instead of one filter solve per prefix.
 
-The recursion runs in blocks of rows. A block acts on the state before it as one affine map; the maps are composed level by level (``chains``), which
+A DATE-keyed series is short and is followed in one row. Of others, the recursion runs in blocks of rows. A block acts on the state before it as one affine map; the maps are composed level by level (``chains``), which
 gives the state before each block, and every block is then followed once. No row holds more than a block, whatever the series' length.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.operators.chains import entry_states
-from volpanel.operators.panel import SERIES, number_rows
+from volpanel.operators.panel import SERIES, is_daily, number_rows
 from volpanel.session import stage
 
 MONTHLY_LAMBDA = 14400.0
@@ -49,7 +49,7 @@ def trend_gains(lam: float = MONTHLY_LAMBDA, limit: int = 20_000) -> list[tuple[
 
 def one_sided_gap(
     df: DataFrame, value: str, lam: float = MONTHLY_LAMBDA, min_window: int = MIN_WINDOW,
-    keys: Sequence[str] = SERIES, time: str = "reference_date", to: str = "gap", block_rows: int = BLOCK_ROWS,
+    keys: Sequence[str] = SERIES, time: str = "reference_date", to: str = "gap", block_rows: int | None = None,
 ) -> DataFrame:
     """Add the cycle at t of the filter on all rows up to t; NULL for the first ``min_window`` rows.
 
@@ -60,10 +60,15 @@ def one_sided_gap(
     # Two literals in the plan, whatever the number of gains.
     k1, k2 = (F.from_json(F.lit(json.dumps([g[i] for g in gains])), "array<double>") for i in (0, 1))
     rest = [c for c in df.columns if c not in {*keys, time}]
-    numbered = number_rows(df, keys, time).withColumn("_block", F.floor(F.col("rn") / block_rows))
-    blocks = numbered.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("rn", time, *rest))).alias("_rows"))
-    blocks = stage(blocks, "trend-blocks")
-    with_gains = blocks.withColumns({"_k1": k1, "_k2": k2})
+    start = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("before"))
+    if is_daily(df, time) and block_rows is None:
+        series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(time, *rest))).alias("_rows"))
+        numbered = F.transform("_rows", lambda x, i: F.struct(i.cast("long").alias("rn"), *(x[c].alias(c) for c in (time, *rest))))
+        with_gains = series.withColumns({"_rows": numbered, "_k1": k1, "_k2": k2, "_entry": start})
+    else:
+        cut = number_rows(df, keys, time).withColumn("_block", F.floor(F.col("rn") / (block_rows or BLOCK_ROWS)))
+        blocks = stage(cut.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("rn", time, *rest))).alias("_rows")), "trend-blocks")
+        with_gains = blocks.withColumns({"_k1": k1, "_k2": k2})
 
     def gain(name: str, i: Column) -> Column:
         return F.get(name, (F.least(i - 1, F.lit(len(gains)).cast("long")) - 1).cast("int"))
@@ -95,9 +100,10 @@ def one_sided_gap(
         }
         return F.struct(*(v.alias(k) for k, v in parts.items()))
 
-    maps = with_gains.select(*keys, "_block", F.aggregate("_rows", one, follow).alias("_map"))
-    start = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("before"))
-    states = entry_states(maps, keys, start, apply, compose, "struct<level:double,before:double>", MAP)
+    if "_entry" not in with_gains.columns:
+        maps = with_gains.select(*keys, "_block", F.aggregate("_rows", one, follow).alias("_map"))
+        states = entry_states(maps, keys, start, apply, compose, "struct<level:double,before:double>", MAP)
+        with_gains = with_gains.join(states, [*keys, "_block"])
 
     running = "struct<level:double,before:double,out:array<double>>"
     zero = F.struct(F.col("_entry.level").alias("level"), F.col("_entry.before").alias("before"), F.array().alias("out")).cast(running)
@@ -108,6 +114,6 @@ def one_sided_gap(
         cycle = F.when(row["rn"] >= min_window, y - level)
         return F.struct(level.alias("level"), before.alias("before"), F.concat(s["out"], F.array(cycle)).alias("out")).cast(running)
 
-    folded = with_gains.join(states, [*keys, "_block"]).withColumn("_gap", F.aggregate("_rows", zero, step)["out"])
+    folded = with_gains.withColumn("_gap", F.aggregate("_rows", zero, step)["out"])
     pairs = folded.select(*keys, F.explode(F.arrays_zip("_rows", "_gap")).alias("_p"))
     return pairs.select(*keys, *(F.col("_p._rows")[c].alias(c) for c in (time, *rest)), F.col("_p._gap").alias(to))

@@ -219,6 +219,33 @@ def test_streams_merge_batches_and_late_rows(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(once).collect()) == ["a", "b", "c"]
 
 
+def test_equal_texts_are_scored_once_in_batches_of_like_length(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def make_scorer():
+        def score(texts):
+            with open(log, "a", encoding="utf-8") as out:
+                out.write(json.dumps([len(t.split()) for t in texts]) + "\n")
+            return [{"label": "POSITIVE", "score": len(t) / 100} for t in texts]
+
+        return score
+
+    texts = ["word " * n for n in (1, 2, 3, 600, 601, 5)] + [None, "same", "same"] + ["often"] * 200
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "k int, t string, digest int").coalesce(1)
+    out = T.model_scores(df, "t", make_scorer, batch=4, window=512, budget=1024)
+    assert out.columns == ["k", "t", "digest", "label", "score", "signed_score"]
+    got = {r.k: r.signed_score for r in out.collect()}
+    assert got == {i: None if t is None else len(t) / 100 for i, t in enumerate(texts)}
+    asked = [json.loads(line) for line in open(log, encoding="utf-8")]
+    assert sorted(n for b in asked for n in b) == [1, 1, 1, 2, 3, 5, 600, 601]
+    assert all(len(b) <= 4 and (len(b) == 1 or len(b) * min(max(b), 512) <= 1024) for b in asked)
+
+
+def test_batches_are_cut_by_tokens():
+    assert T.cut_batches([], 10, 4) == []
+    assert T.cut_batches([9, 1, 1, 3, 50, 1, 1], 10, 4) == [[1, 2, 5, 6], [3], [0], [4]]
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     """The last batch again, an older one after a newer one, and the first batch of another stream."""
     table = scratch_path(spark, "replayed")

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from volpanel.operators.keep import union_all
 
@@ -49,24 +48,52 @@ def lexicon_scores(df: DataFrame, text: str, positive: Sequence[str], negative:
     return scored.withColumn("signed_score", signed(F.col("label"), F.col("score")))
 
 
-def model_scores(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch: int = 256) -> DataFrame:
-    """Add label, score and signed_score from an injected model.
+def cut_batches(lengths: Sequence[int], budget: int, most: int) -> list[list[int]]:
+    """Places of texts in batches: short ones together, and each batch, padded to its longest text, within ``budget`` tokens (or one text)."""
+    batches: list[list[int]] = []
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if not batches or len(batches[-1]) >= most or (len(batches[-1]) + 1) * lengths[i] > budget:
+            batches.append([])
+        batches[-1].append(i)
+    return batches
+
+
+def score_once(
+    df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch: int = 256, window: int = 512, budget: int = 16_384,
+) -> DataFrame:
+    """(digest, label, score): one row for each different text of ``df``, which the model sees once however often it occurs.
 
     ``make_scorer`` is called once per Python worker, which runs many tasks, and returns a function from a list of texts to a list of
-    ``{"label", "score"}``; it receives whole texts and truncates as its own tokenizer needs.
+    ``{"label", "score"}``. It receives whole texts and reads the first ``window`` tokens of each, as its own tokenizer cuts them. Texts of like length
+    go together, at most ``batch`` of them and ``budget`` tokens after padding, words standing for tokens. A NULL text isn't scored.
     """
     name = hashlib.sha256(cloudpickle.dumps(make_scorer)).hexdigest()
-    schema = T.StructType([*df.schema.fields, T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(name, make_scorer)
         for pdf in frames:
-            texts = pdf[text].tolist()
-            results = [r for i in range(0, len(texts), batch) for r in scorer(texts[i : i + batch])]
-            yield pdf.assign(label=[r["label"] for r in results], score=[float(r["score"]) for r in results])
+            texts = pdf["text"].tolist()
+            results: list[dict] = [{}] * len(texts)
+            for places in cut_batches([min(len(t.split()), window) for t in texts], budget, batch):
+                for place, found in zip(places, scorer([texts[i] for i in places])):
+                    results[place] = found
+            yield pd.DataFrame({"digest": pdf["digest"], "label": [r["label"] for r in results], "score": [float(r["score"]) for r in results]})
 
-    scored = df.mapInPandas(run, schema)
-    return scored.withColumn("signed_score", signed(F.col("label"), F.col("score")))
+    known = df.select(text_key(text).alias("digest"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    return known.groupBy("digest").agg(F.first("text").alias("text")).mapInPandas(run, "digest string, label string, score double")
+
+
+def text_key(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+def model_scores(
+    df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch: int = 256, window: int = 512, budget: int = 16_384,
+) -> DataFrame:
+    """Add label, score and signed_score from an injected model to every row; see ``score_once``."""
+    scored = score_once(df, text, make_scorer, batch, window, budget).withColumnRenamed("digest", "_digest")
+    joined = df.withColumn("_key", text_key(text)).join(scored, F.col("_key") == F.col("_digest"), "left").drop("_key", "_digest")
+    return joined.withColumn("signed_score", signed(F.col("label"), F.col("score")))
 
 
 def daily_index(scored: DataFrame, day: Column | str = "date", keys: Sequence[str] = ()) -> DataFrame:

@@ -459,6 +459,13 @@ def statements() -> dict[str, str]:
         m="""SELECT date, CASE length(title) % 3 WHEN 0 THEN 'NEGATIVE' WHEN 1 THEN 'NEUTRAL' ELSE 'POSITIVE' END AS label,
             (length(title) % 3 - 1) * (length(title) % 7) / 8.0 AS signed_score FROM headlines""",
     )
+    words_of = r"list_slice(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1, 512)"
+    asked = f"""SELECT doc_id, text, len(list_filter({words_of}, lambda w: length(w) >= 8)) AS a, len(list_filter({words_of}, lambda w: length(w) <= 3)) AS b
+        FROM documents"""
+    side = "CASE WHEN text IS NULL THEN NULL WHEN a > b THEN 'POSITIVE' WHEN b > a THEN 'NEGATIVE' ELSE 'NEUTRAL' END"
+    q["documents_model"] = f"SELECT doc_id, {side} AS label, {r('(a - b) / greatest(a + b, 1)::DOUBLE', 'signed_score')} FROM ({asked})"
+    q["documents_model_texts"] = f"""SELECT count(*) AS scored_texts, count(*) FILTER (label = 'POSITIVE') AS positive
+        FROM (SELECT DISTINCT text, {side} AS label FROM ({asked}) WHERE text IS NOT NULL)"""
     q["combined_corpus"] = build(
         f"SELECT date, {index} FROM both_scored GROUP BY date",
         both_scored=lexicon("corpus", "text"),

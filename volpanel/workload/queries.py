@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -312,6 +313,35 @@ def headlines_model(spark, sf):
     return rounded(T.daily_index(scored), "sentiment_mean", "share_negative")
 
 
+def _word_length_scorer():
+    """Stand-in model: long against short words among the first 512."""
+
+    def score(texts):
+        out = []
+        for text in texts:
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)[:512]
+            long, short = sum(len(w) >= 8 for w in words), sum(len(w) <= 3 for w in words)
+            label = "POSITIVE" if long > short else "NEGATIVE" if short > long else "NEUTRAL"
+            out.append({"label": label, "score": abs(long - short) / max(long + short, 1)})
+        return out
+
+    return score
+
+
+@query
+def documents_model(spark, sf):
+    """Long and repeated texts through a model that reads 512 words; equal texts are scored once."""
+    scored = T.model_scores(S.table(spark, sf, "documents").select("doc_id", "text"), "text", _word_length_scorer)
+    return rounded(scored.select("doc_id", "label", "signed_score"), "signed_score")
+
+
+@query
+def documents_model_texts(spark, sf):
+    """How many texts that model is asked for."""
+    once = T.score_once(S.table(spark, sf, "documents"), "text", _word_length_scorer)
+    return once.agg(F.count(F.lit(1)).alias("scored_texts"), F.count_if(F.col("label") == "POSITIVE").alias("positive"))
+
+
 @query
 def combined_corpus(spark, sf):
     """Documents by day together with page texts, both scored by the lexicon."""

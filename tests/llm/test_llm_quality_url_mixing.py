@@ -73,12 +73,70 @@ def test_sketches_merge_and_bound_quantiles(spark, odd):
     assert sorted(map(str, Q.merge_sketches(*halves).collect())) == sorted(map(str, whole.collect()))
     values = sorted(0.5 + i for i in range(1, 200))
     rows = spark.createDataFrame([("en", "a", (int(v * 10), 10, 0, 0, 0, 0, 1)) for v in values], "lang string, source string, m struct<n_symbols: long, n_words: long, word_chars: long, n_dup_lines: long, n_repeat_words: long, n_capitals: long, n_lines: long>")
-    ratio = (Q.Ratio("symbols", "n_symbols", "n_words", floor=0.0, reach=1.0),)
+    ratio = (Q.Ratio("symbols", "n_symbols", "n_words", reach=1.0),)
     cut = Q.thresholds(Q.sketches(rows, F.col("m"), ratio), ratio).first()["cut_symbols"]
     q50, q75 = values[int(0.5 * 199)], values[int(0.75 * 199)]
     assert abs(cut - (2 * q75 - q50)) < 0.05 * cut
 
 
+def test_sources_have_cut_offs_of_their_own(spark):
+    """Texts half symbols are clean in one source, texts a quarter symbols are junk in another: no fixed cut-off is right for both."""
+    marked = lambda i, n, k: " ".join(w + "#" * (j % k == 0) for j, w in enumerate(prose(i, n).split()))
+    rows = [document(i, prose(i, 100 + i % 40), "en", ("news", "blog")[i % 2]) for i in range(400)]
+    rows += [document(1000 + i, marked(i, 80 + i % 40, 2), "en", "code") for i in range(200)]
+    junk = [document(2000 + i, marked(i, 100, 4), "en", "news") for i in range(8)]
+    docs = spark.createDataFrame(rows + junk, SCHEMA)
+    assert {r.doc_id for r in Q.keep_documents(docs).collect()} == {r[0] for r in rows}
+    told = Q.judge(docs)
+    assert {r.doc_id for r in told.where("kept").collect()} == {r[0] for r in rows}
+    assert told.where("doc_id >= 2000").agg(F.max(F.col("n_symbols") / F.col("n_words"))).first()[0] < 0.3
+    measured = docs.select("lang", "source", Q.measures("text").alias("m"))
+    cuts = {r.source: r.cut_symbols for r in Q.thresholds(Q.sketches(measured, F.col("m"))).collect()}
+    assert cuts["news"] == 0 and cuts["code"] > 0.4
+
+
+def brute_cuts(rows, ratio):
+    """Cut-offs from sorted lists in fractions, without buckets."""
+    from fractions import Fraction as Fr
+
+    own, tongue = {}, {}
+    for lang, source, x in rows:
+        own.setdefault((lang, source), []).append(x)
+        tongue.setdefault(lang, []).append(x)
+    weight = lambda n: min(Fr(1, 2), Fr(n, n + Q.PRIOR))
+    every, out = [x for *_, x in rows], {}
+    for (lang, source), mine in own.items():
+        a, b = weight(len(mine)), weight(len(tongue[lang]))
+        parts = ((a, mine), ((1 - a) * b, tongue[lang]), ((1 - a) * (1 - b), every))
+        mix = sorted((x, w / len(xs)) for w, xs in parts for x in xs)
+
+        def quantile(q):
+            upto = Fr(0)
+            for x, w in mix:
+                upto += w
+                if upto >= q:
+                    return x
+
+        out[lang, source] = quantile(Fr(3, 4)) + ratio.reach * (quantile(Fr(3, 4)) - quantile(Fr(1, 2)))
+    return out
+
+
+def test_cut_offs_against_sorted_lists(spark):
+    import random
+
+    dice = random.Random(5)
+    places = [("en", "a", 307, 1.0), ("en", "b", 41, 2.0), ("de", "a", 7, 0.5), (None, None, 90, 3.0), (None, "a", 151, 0.7), ("de", None, 1, 9.0)]
+    rows = [(lang, source, round(dice.lognormvariate(0, 0.4) * at, 3)) for lang, source, n, at in places for _ in range(n)]
+    kinds = "lang string, source string, m struct<n_symbols: long, n_words: long, word_chars: long, n_dup_lines: long, n_repeat_words: long, n_capitals: long, n_lines: long>"
+    frame = spark.createDataFrame([(lang, source, (round(x * 1000), 1000, 0, 0, 0, 0, 0)) for lang, source, x in rows], kinds)
+    ratio = Q.Ratio("symbols", "n_symbols", "n_words", reach=2.0)
+    want = brute_cuts(rows, ratio)
+    got = {(r.lang, r.source): r.cut_symbols for r in Q.thresholds(Q.sketches(frame, F.col("m"), (ratio,)), (ratio,)).collect()}
+    assert got.keys() == want.keys()
+    for k, cut in want.items():
+        assert abs(got[k] - cut) < 0.06 * cut
+
+
 def brute_url(url, listed):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match("[^/?#]*", rest)[0]

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from volpanel.llm.mixing import MARGINS, Mix
-from volpanel.llm.quality_rules import GROWTH, MIN_WORDS, RATIOS, REPEAT_PERCENT
+from volpanel.llm.quality_rules import GROWTH, MASS, MIN_WORDS, MOST, PRIOR, RATIOS, REPEAT_PERCENT, SPREAD, WHOLE
 from volpanel.llm.queries import LISTED_WORDS, URL_RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _quality() -> str:
-    """Words and lines as rows; windows of five words that occur twice; quantiles from counted buckets."""
+    """Words and lines as rows; windows of five words that occur twice; quantiles of mixtures of counted buckets."""
     ratio_rows = " UNION ALL ".join(
-        f"SELECT lang, source, '{r.name}' ratio, {r.part} / {r.whole}::DOUBLE x FROM measured WHERE {r.whole} > 0" for r in RATIOS
+        f"SELECT lang, source, '{r.name}' ratio, {r.part} / {r.whole}::DOUBLE x FROM based WHERE NOT base_failed AND {r.whole} > 0" for r in RATIOS
     )
-    cuts = ", ".join(f"max(CASE WHEN ratio = '{r.name}' THEN greatest({r.floor}, q75 + {r.reach} * (q75 - q50)) END) cut_{r.name}" for r in RATIOS)
-    passes = " AND ".join(f"NOT coalesce(m.{r.part} / nullif(m.{r.whole}, 0)::DOUBLE > c.cut_{r.name}, false)" for r in RATIOS)
+    cuts = ", ".join(f"max(CASE WHEN ratio = '{r.name}' THEN q75 + {r.reach} * (q75 - q50) END) cut_{r.name}" for r in RATIOS)
+    passes = " AND ".join(
+        f"NOT coalesce(m.{r.part} > c.cut_{r.name} * m.{r.whole} + {SPREAD} * sqrt(c.cut_{r.name} * m.{r.whole} + 1), false)" for r in RATIOS
+    )
+    mass = f"(n * {MASS} // sum(n) OVER g)::BIGINT mass, least({MOST}, {WHOLE} * sum(n) OVER g // (sum(n) OVER g + {PRIOR}))::BIGINT share"
     return rf"""
     WITH told AS (SELECT row_number() OVER () rid, doc_id, lang, source, coalesce(text, '') t, {WORDS} w, string_split(coalesce(text, ''), chr(10)) l FROM documents),
     word AS (SELECT rid, unnest(w) x, generate_subscripts(w, 1) i FROM told),
@@ -29,17 +32,31 @@ def _quality() -> str:
             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, coalesce(lines.n - lines.d, 0)::BIGINT n_dup_lines,
             coalesce(hit.n, 0)::BIGINT n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT n_capitals, coalesce(lines.n, 0)::BIGINT n_lines
         FROM told LEFT JOIN hit USING (rid) LEFT JOIN lines USING (rid)),
+    based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words base_failed FROM measured),
     entry AS ({ratio_rows}),
     sketch AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN floor(ln(x) / ln({GROWTH}))::INT END bucket, count(*) n FROM entry GROUP BY ALL),
+    whole AS (SELECT ratio, bucket, {mass} FROM (SELECT ratio, bucket, sum(n) n FROM sketch GROUP BY ALL) WINDOW g AS (PARTITION BY ratio)),
+    tongue AS (SELECT lang, ratio, bucket, {mass} FROM (SELECT lang, ratio, bucket, sum(n) n FROM sketch GROUP BY ALL) WINDOW g AS (PARTITION BY lang, ratio)),
+    own AS (SELECT lang, source, ratio, bucket, {mass} FROM sketch WINDOW g AS (PARTITION BY lang, source, ratio)),
+    spoken AS (
+        SELECT lang, ratio, bucket, sum(m) m FROM (
+            SELECT lang, ratio, bucket, mass * share m FROM tongue
+            UNION ALL SELECT lang, ratio, whole.bucket, whole.mass * ({WHOLE} - l.share) FROM (SELECT DISTINCT lang, ratio, share FROM tongue) l JOIN whole USING (ratio))
+        GROUP BY ALL),
+    mixture AS (
+        SELECT lang, source, ratio, bucket, sum(m) m FROM (
+            SELECT lang, source, ratio, bucket, mass * share * {WHOLE} m FROM own
+            UNION ALL SELECT o.lang, o.source, o.ratio, s.bucket, s.m * ({WHOLE} - o.share)
+            FROM (SELECT DISTINCT lang, source, ratio, share FROM own) o JOIN spoken s ON o.ratio = s.ratio AND o.lang IS NOT DISTINCT FROM s.lang)
+        GROUP BY ALL),
     ranked AS (
         SELECT lang, source, ratio, CASE WHEN bucket IS NULL THEN 0.0 ELSE 2 * pow({GROWTH}, bucket + 1) / ({GROWTH} + 1) END v,
-            sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket NULLS FIRST) upto, sum(n) OVER (PARTITION BY lang, source, ratio) total
-        FROM sketch),
+            sum(m) OVER (PARTITION BY lang, source, ratio ORDER BY bucket NULLS FIRST) upto, sum(m) OVER (PARTITION BY lang, source, ratio) total
+        FROM mixture),
     quartile AS (
-        SELECT lang, source, ratio, min(CASE WHEN upto >= ceil(total * 0.5) THEN v END) q50, min(CASE WHEN upto >= ceil(total * 0.75) THEN v END) q75
+        SELECT lang, source, ratio, min(CASE WHEN upto * 4 >= total * 2 THEN v END) q50, min(CASE WHEN upto * 4 >= total * 3 THEN v END) q75
         FROM ranked GROUP BY ALL),
-    cuts AS (SELECT lang, source, {cuts} FROM quartile GROUP BY ALL),
-    based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words base_failed FROM measured)
+    cuts AS (SELECT lang, source, {cuts} FROM quartile GROUP BY ALL)
     SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, m.base_failed, NOT m.base_failed AND {passes} kept
     FROM based m LEFT JOIN cuts c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
     """

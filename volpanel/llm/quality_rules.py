@@ -1,16 +1,19 @@
 """Quality rules whose cut-offs come from the corpus itself.
 
-Every text is measured once. Ratios of the measures go into one logarithmic histogram per language, source and ratio:
-bucket ``floor(ln(x) / ln(GROWTH))`` with a count, and one bucket for zero. Such a sketch merges by adding counts, so Spark builds it
-with a plain partial aggregation, and every quantile read from it lies within a relative error of ``(GROWTH - 1) / 2``
-of the true one, whatever the order of merging. A ratio's upper cut-off in a language and source is
+Every text is measured once. Ratios of the measures of texts that pass the base rule go into one logarithmic histogram per language,
+source and ratio: bucket ``floor(ln(x) / ln(GROWTH))`` with a count, and one bucket for zero. Such a sketch merges by adding counts, so Spark
+builds it with a plain partial aggregation, and every quantile read from it lies within a relative error of ``(GROWTH - 1) / 2``
+of the true one, whatever the order of merging.
 
-    max(floor, q75 + reach * (q75 - q50))
+A source is not judged by itself alone: its sketch is mixed with that of its language, and the language's with that of the corpus. A group of n
+documents has the weight n / (n + PRIOR) in its mixture, at most a half, so small groups follow the coarser ones, and junk in up to half of a large one
+leaves the upper quartile of its mixture where the others put it. A ratio's cut-off in a language and source is
 
-with the quantiles taken over that group's documents and ``floor`` a ratio that is never objectionable. Junk in up to a
-quarter of a group leaves q75 where clean texts put it. A group that is small or mostly junk would raise its own cut-off, so the
-same formula over its language and over the whole corpus, from the merged sketches, bounds the cut-off of every group. The cut-offs
-join back to the measures by language and source.
+    q75 + reach * (q75 - q50)
+
+of that mixture; no fixed ratio takes part. A text of ``whole`` words, letters or lines may then hold ``e = cut * whole`` of the counted things, and
+by chance ``SPREAD * sqrt(e + 1)`` more, which is what lets a short text have one or two of what most texts have none of. Mixing is done in whole
+numbers (millionths of a group, thousandths of a weight), so the cut-offs are the same on every run. They join back to the measures by language and source.
 
 Defined cases: a NULL or empty text has no words and fails the base rule; NULL languages or sources form groups of
 their own; repeated rows are measured and judged row by row; an empty table gives an empty table; columns beside ``text``, ``lang``
@@ -36,23 +39,25 @@ MEASURED = StructType([StructField(name, LongType()) for name in MEASURES])
 SYMBOLS = "#*$%&|<>"
 CAPITAL = re.compile("[A-Z]")
 MIN_WORDS, REPEAT_PERCENT = 10, 20
+PRIOR, MOST, WHOLE = 200, 500, 1000  # documents that outweigh a group's own; the most weight of its own, of WHOLE
+MASS = 1_000_000
+SPREAD = 4.0
 
 
 @dataclass(frozen=True)
 class Ratio:
-    """A ratio of two measures and how far above its group's upper quartile a clean text may lie."""
+    """A ratio of two measures and how far above the upper quartile a clean text may lie, in distances from the median to that quartile."""
 
     name: str
     part: str
     whole: str
-    floor: float
-    reach: float = 4.0
+    reach: float = 8.0
 
 
 RATIOS = (
-    Ratio("symbols", "n_symbols", "n_words", floor=0.30),
-    Ratio("capitals", "n_capitals", "word_chars", floor=0.30),
-    Ratio("dup_lines", "n_dup_lines", "n_lines", floor=0.40),
+    Ratio("symbols", "n_symbols", "n_words"),
+    Ratio("capitals", "n_capitals", "word_chars"),
+    Ratio("dup_lines", "n_dup_lines", "n_lines"),
 )
 
 
@@ -110,11 +115,11 @@ def _ratio(ratio: Ratio, m: Column) -> Column:
 
 
 def sketches(measured: DataFrame, m: Column, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
-    """Histogram rows (lang, source, ratio, bucket, n); documents without the ratio's whole are left out."""
+    """Histogram rows (lang, source, ratio, bucket, n) of the documents that pass the base rule; those without the ratio's whole are left out."""
     entries = F.explode(F.array(*(F.struct(F.lit(r.name).alias("ratio"), _ratio(r, m).alias("x")) for r in ratios)))
     bucket = F.when(F.col("e.x") > 0, F.floor(F.log(F.col("e.x")) / F.log(F.lit(GROWTH))).cast("int"))
     return (
-        measured.select("lang", "source", entries.alias("e"))
+        measured.where(~base_failed(m["n_words"], m["n_repeat_words"])).select("lang", "source", entries.alias("e"))
         .where(F.col("e.x").isNotNull())
         .groupBy("lang", "source", F.col("e.ratio").alias("ratio"), bucket.alias("bucket"))
         .agg(F.count("*").alias("n"))
@@ -126,48 +131,55 @@ def merge_sketches(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
-    """One row per language and source with a column ``cut_<ratio>``; a group holds some thousand buckets at most.
+def _masses(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ratio, bucket, mass, share): a group's buckets in millionths, and the weight of its own in its mixture."""
+    total = F.sum("n").over(Window.partitionBy(*keys, "ratio"))
+    counted = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n")).withColumn("total", total)
+    return counted.select(
+        *keys, "ratio", "bucket", F.expr(f"n * {MASS} div total").alias("mass"),
+        F.expr(f"least({MOST}, {WHOLE} * total div (total + {PRIOR}))").alias("share"),
+    )
 
-    Level 0 are the groups, level 1 their languages, level 2 is the corpus; no cut-off is above that of a coarser level.
-    """
-    no_lang, no_source = (F.lit(None).cast(sketch.schema[c].dataType) for c in ("lang", "source"))
-    levels = F.explode(F.array(
-        F.struct(F.lit(0).alias("level"), F.col("lang"), F.col("source")),
-        F.struct(F.lit(1).alias("level"), F.col("lang"), no_source.alias("source")),
-        F.struct(F.lit(2).alias("level"), no_lang.alias("lang"), no_source.alias("source")),
-    ))
-    merged = sketch.select(levels.alias("g"), "ratio", "bucket", "n").groupBy("g.level", "g.lang", "g.source", "ratio", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("level", "lang", "source", "ratio")
+
+def _mixed(own: DataFrame, coarser: DataFrame, by: list[str], scale: int) -> DataFrame:
+    """Each group of ``own`` mixed with the group of ``coarser`` that agrees in ``by``."""
+    keys = [c for c in own.columns if c not in ("bucket", "mass", "share")]
+    groups, prior = own.select(*keys, "share").distinct().alias("g"), coarser.alias("p")
+    same = F.col("g.ratio") == F.col("p.ratio")
+    for c in by:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"p.{c}"))
+    from_prior = groups.join(prior, same).select(*(F.col(f"g.{c}") for c in keys), "bucket", (F.col("p.mass") * (WHOLE - F.col("share"))).alias("mass"))
+    from_own = own.select(*keys, "bucket", (F.col("mass") * F.col("share") * scale).alias("mass"))
+    return from_own.unionByName(from_prior).groupBy(*keys, "bucket").agg(F.sum("mass").alias("mass"))
+
+
+def thresholds(sketch: DataFrame, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
+    """One row per language and source with a column ``cut_<ratio>``; a group holds some thousand buckets at most."""
+    sketch = stage(sketch, "quality-sketch")
+    # The corpus has at most as many rows as a double has buckets, times the ratios.
+    corpus = F.broadcast(_masses(sketch).drop("share"))
+    language = _mixed(_masses(sketch, "lang"), corpus, [], 1)
+    mixture = _mixed(_masses(sketch, "lang", "source"), language, ["lang"], WHOLE)
+    group = Window.partitionBy("lang", "source", "ratio")
     running = group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GROWTH), F.col("bucket") + 1) / (F.lit(GROWTH) + 1))
-    ranked = merged.select(
-        "level", "lang", "source", "ratio", value.alias("value"), F.sum("n").over(running).alias("upto"), F.sum("n").over(group).alias("total"),
+    ranked = mixture.select(
+        "lang", "source", "ratio", value.alias("value"), F.sum("mass").over(running).alias("upto"), F.sum("mass").over(group).alias("total"),
     )
     # The first bucket that reaches the wanted rank is the least value among those that do.
-    quantile = {q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("value"))) for q in (0.5, 0.75)}
-    cut = F.coalesce(*(
-        F.when(F.col("ratio") == r.name, F.greatest(F.lit(r.floor), F.col("q75") + r.reach * (F.col("q75") - F.col("q50")))) for r in ratios
-    ))
-    cuts = stage(
-        ranked.groupBy("level", "lang", "source", "ratio").agg(quantile[0.5].alias("q50"), quantile[0.75].alias("q75"))
-        .select("level", "lang", "source", "ratio", cut.alias("cut")),
-        "quality-levels",
-    )
-    own = cuts.where("level = 0")
-    language = cuts.where("level = 1").select(F.col("lang").alias("of"), F.col("ratio").alias("of_ratio"), F.col("cut").alias("language_cut"))
-    corpus = cuts.where("level = 2").select("ratio", F.col("cut").alias("corpus_cut"))
-    bound = F.least("cut", "language_cut", "corpus_cut")
+    quantile = {k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("value"))) for k in (2, 3)}
+    cut = F.coalesce(*(F.when(F.col("ratio") == r.name, F.col("q75") + r.reach * (F.col("q75") - F.col("q50"))) for r in ratios))
     return (
-        own.join(language, own["lang"].eqNullSafe(F.col("of")) & (own["ratio"] == F.col("of_ratio"))).drop("of", "of_ratio").join(corpus, "ratio")
-        .groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r.name, bound)).alias(f"cut_{r.name}") for r in ratios))
+        ranked.groupBy("lang", "source", "ratio").agg(quantile[2].alias("q50"), quantile[3].alias("q75")).withColumn("cut", cut)
+        .groupBy("lang", "source").agg(*(F.max(F.when(F.col("ratio") == r.name, F.col("cut"))).alias(f"cut_{r.name}") for r in ratios))
     )
 
 
 def _passes(m: Column, cuts: DataFrame, ratios: tuple[Ratio, ...]) -> Column:
     keep = ~base_failed(m["n_words"], m["n_repeat_words"])
     for r in ratios:
-        keep = keep & ~F.coalesce(_ratio(r, m) > cuts[f"cut_{r.name}"], F.lit(False))
+        expected = cuts[f"cut_{r.name}"] * m[r.whole].cast("double")
+        keep = keep & ~F.coalesce(m[r.part].cast("double") > expected + SPREAD * F.sqrt(expected + 1), F.lit(False))
     return keep
 
 

@@ -75,6 +75,69 @@ def test_a_passage_seen_once_is_known(spark):
     assert got[quoting].score > got[mixed].score + 0.5 * len(passage)
 
 
+def plain_scores(rows):
+    """The smoothed model from dictionaries of words, without codes."""
+    train = [[*words(r[1]), None] for r in rows if remainder(r[0], 7) != 2]
+    one, two, three = Counter(), Counter(), Counter()
+    for tokens in train:
+        told = ["start", *tokens]
+        one.update(tokens)
+        two.update(zip(told, told[1:]))
+        three.update(zip(told, told[1:], told[2:]))
+    total = sum(one.values())
+
+    def sums(grams):
+        tokens, kinds = Counter(), Counter()
+        for gram, n in grams.items():
+            tokens[gram[:-1]] += n
+            kinds[gram[:-1]] += 1
+        return tokens, kinds
+
+    of = {2: sums(two), 3: sums(three)}
+
+    def p(context, word):
+        if not context:
+            return (one[word] + 1) / (total + len(one) + 1)
+        grams, (tokens, kinds) = (two, three)[len(context) - 1], of[len(context) + 1]
+        lower = p(context[1:], word)
+        n = tokens[context]
+        return max(grams[(*context, word)] - L.DISCOUNT, 0) / n + L.DISCOUNT * kinds[context] / n * lower if n else lower
+
+    out = {}
+    for r in rows:
+        told = ["start", *words(r[1]), None]
+        out[r[0]] = sum(math.log10(p(tuple(told[max(0, i - 2) : i]), told[i])) for i in range(1, len(told))), len(told) - 1
+    contexts = {c[:-1] for c in three}
+    for c in list(contexts)[:50]:
+        assert abs(sum(p(c, w) for w in one) + L.DISCOUNT * of[3][1][c] / of[3][0][c] * (1 - sum(p(c[1:], w) for w in one)) - 1) < 1e-9
+    return out, total
+
+
+@pytest.mark.parametrize("share", [1 / 4096, 1.0])
+def test_scores_against_dictionaries(spark, monkeypatch, share):
+    """With and without split contexts, in blocks that share words; every token's figures are within the code's steps."""
+    monkeypatch.setattr(L, "HOT_SHARE", share)
+    monkeypatch.setattr(L, "BLOCK", 900)
+    rows = [document(i, prose(i % 40, 30 + i % 50) + " the same end of it") for i in range(120)] + [document(500, ""), document(501, "of it"), document(502, "Zzz unseen words")]
+    want, tokens = plain_scores(rows)
+    step = L.step_of(tokens)
+    for r in L.score(spark.createDataFrame(rows, SCHEMA)).collect():
+        score, n = want[r.doc_id]
+        assert r.n_tokens == n and abs(r.score - score) <= n * 1.5 / step + 1e-6
+
+
+@pytest.mark.parametrize("tokens", [1, 1000, 10**9, 10**14])
+def test_codes_cover_the_least_probability(tokens):
+    step = L.step_of(tokens)
+    p = np.r_[(1 - L.DISCOUNT) / tokens, L.DISCOUNT / tokens, np.logspace(np.log10((1 - L.DISCOUNT) / tokens), 0, 50)]
+    assert (np.abs(np.log10(L.decode(L.code(p, step), 0.0, step) / p)) <= 0.5 / step + 1e-9).all()
+
+
+def test_word_totals_have_64_bits():
+    totals = np.array([5_000_000_000, 1, 0, (1 << 62) + 3], "<i8")
+    assert np.array_equal(L._spread(L._squeeze(totals), "<i8"), totals)
+
+
 def test_probabilities_sum_to_one():
     """Discounted probabilities and the weight of the lower order, as the level stores them."""
     contexts, sizes = np.array([3, 9], np.uint64), np.array([2, 1])

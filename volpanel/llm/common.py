@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,6 +61,18 @@ def spread_numbers(n: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside delete their shuffle files as soon as they end; for tables that are staged once and never computed again."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now and not when the driver next collects its garbage."""
     gc.collect()

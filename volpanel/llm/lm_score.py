@@ -9,17 +9,19 @@ to their successors and the successors themselves, three monotone sequences in E
 each discounted probability and of each context's weight for the lower order. The successors of all contexts become one monotone sequence by adding to each
 what the contexts before it use up, and a lookup is a successor search between the two pointers of its context. Words in level 2
 are positions in the shard's sorted words; in level 3 a word is its position among the successors that its middle
-word has in level 2, which is much smaller. A level is one flat buffer, written to a file or a table and mapped back without decoding.
+word has in level 2, which is much smaller, and the context is the place of its pair in level 2, so that questions go as small distances. A level is one flat
+buffer in the task of its shard, asked there and not written anywhere; the same bytes in a file are mapped by ``Level.open``.
 
 Smoothing is absolute discounting: p(w | u) = max(c(uw) - D, 0) / c(u) + weight(u) * p(w), over every n-gram of the training rows, those seen
-once too; the lowest order is (c + 1) / (N + V + 1), as in the base score. Level 3 holds words behind the pairs of level 2.
+once too; the lowest order is (c + 1) / (N + V + 1), as in the base score. Level 3 holds words behind the pairs of level 2. The 255 codes of a figure
+are spread evenly over its logarithm down to the least that N tokens can give, (1 - D) / N, so none is cut off; totals have 64 bits.
 
 Contexts that fill more than a share of the corpus (the commonest words, the beginning of a text) are split over shards by the following word; their
-weights are summed over the parts. A text of over ``PIECE`` characters goes on in a new piece, whose first word has the last two of the piece before as context. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
+tokens and successors are summed over the parts, and the weight gets the same one-byte code as any other. A text of over ``PIECE`` characters goes on in a new piece, whose first word has the last two of the piece before as context. At most ``1 / HOT_SHARE`` contexts can be that common, which bounds the tables of them.
 
 Defined cases: NULL and empty texts are the end token alone; a NULL id counts as a training row; repeated rows count and are scored as often as they
 occur; without training rows N = V = 0 and every token has probability 1; an empty table gives an empty table. Hashes of 64 bits tell words apart, of 48
-bits n-grams' parts.
+bits words in pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from volpanel.llm.common import partitions, release_shuffles, remainder
+from volpanel.llm.common import partitions, remainder, shuffles_dropped
 from volpanel.llm.ngram_join import word_hashes
 from volpanel.session import stage
 
@@ -45,10 +47,10 @@ HOT_PARTS = 64
 END, BEGIN = np.uint64(0x9D5C6B2A1F3E4D01), np.uint64(0x3C1A5E7F9B2D4C03)
 LOW48 = np.uint64((1 << 48) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-STEP = 31.75  # bytes of probability for a factor of ten; 255 of them reach down to 1e-8
+STEP = 31.75  # codes for a factor of ten, where a level is built without a step of its own
 BLOCKS = "block string, run long, rows binary, ids binary, no_id binary, held binary, counts binary, leads binary, words binary, tokens binary"
 REQUEST = "shard int, block string, contexts binary, sizes binary, symbols binary, times binary"
-ANSWER = "block string, shard int, codes binary, weights binary, ranks binary, hot binary"
+ANSWER = "block string, shard int, codes binary, weights binary, ranks binary, starts binary, hot binary"
 
 
 # --- Elias-Fano -------------------------------------------------------------------------------------------------------
@@ -146,13 +148,18 @@ class EliasFano:
         return cls(n, bits, data[at : at + low], data[at + low : at + low + high]), at + low + high
 
 
-def code(p: np.ndarray) -> np.ndarray:
+def step_of(tokens: int) -> float:
+    """Codes for a factor of ten, so that the least figure of a model of so many tokens, (1 - DISCOUNT) / tokens, has one of the 255."""
+    return 254 / np.log10((tokens + 10) / (1 - DISCOUNT))
+
+
+def code(p: np.ndarray, step: float = STEP) -> np.ndarray:
     """One byte for a probability; 0 stands for none."""
-    return np.clip(1 + np.rint(-np.log10(np.maximum(p, 1e-300)) * STEP), 1, 255).astype(np.uint8)
+    return np.clip(1 + np.rint(-np.log10(np.maximum(p, 1e-300)) * step), 1, 255).astype(np.uint8)
 
 
-def decode(codes: np.ndarray, none: float) -> np.ndarray:
-    return np.where(codes == 0, none, 10 ** (-(codes.astype(float) - 1) / STEP))
+def decode(codes: np.ndarray, none: float, step: float = STEP) -> np.ndarray:
+    return np.where(codes == 0, none, 10 ** (-(codes.astype(float) - 1) / step))
 
 
 @dataclass
@@ -167,7 +174,7 @@ class Level:
     weights: np.ndarray
 
     @classmethod
-    def build(cls, contexts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, probabilities: np.ndarray, weights: np.ndarray) -> Level:
+    def build(cls, contexts: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, probabilities: np.ndarray, weights: np.ndarray, step: float = STEP) -> Level:
         """Sorted contexts, how many successors each has, those in order within their context, and the figures of both."""
         words = np.unique(symbols)
         place = np.searchsorted(words, symbols).astype(np.uint64)
@@ -175,7 +182,7 @@ class Level:
         monotone = np.repeat(base, sizes) + place
         return cls(
             EliasFano.build(contexts), EliasFano.build(np.r_[0, np.cumsum(sizes)]), EliasFano.build(words), EliasFano.build(monotone),
-            code(probabilities), code(weights),
+            code(probabilities, step), code(weights, step),
         )
 
     def find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,6 +205,12 @@ class Level:
         ranks[known] = place - self.pointers.values(at[known]).astype(np.int64)
         return codes, weights, ranks
 
+    def starts(self, contexts: np.ndarray) -> np.ndarray:
+        """Where each context's successors begin among all of the level's; a missing one has the beginning of the next."""
+        if not self.contexts.n:
+            return np.zeros(len(contexts), np.uint64)
+        return self.pointers.values(self.contexts.successor(contexts))
+
     def to_bytes(self) -> bytes:
         parts = [p for ef in (self.contexts, self.pointers, self.words, self.successors) for p in ef.parts()]
         tail = np.array([len(self.codes), len(self.weights)], np.int64).view(np.uint8)
@@ -245,12 +258,11 @@ def blocks(docs: DataFrame, folds: int, held: int) -> DataFrame:
         order = np.argsort(-times, kind="stable")  # common words get small numbers, which the table stores in few bytes
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        planes = rank[place].astype("<u4").view(np.uint8).reshape(-1, 4)
         return pd.DataFrame([{
             "block": uuid.uuid4().hex, "run": run, "rows": np.array(rows, "<i8").tobytes(),
             "ids": np.array([x or 0 for x in ids], "<i8").tobytes(), "no_id": np.array([x is None for x in ids], np.uint8).tobytes(), "held": np.array(held_out, np.uint8).tobytes(),
             "counts": np.array([len(t) for t in tokens], "<i8").tobytes(), "leads": np.concatenate(leads).tobytes(), "words": words[order].tobytes(),
-            "tokens": np.ascontiguousarray(planes.T).tobytes(),
+            "tokens": _squeeze(rank[place].astype("<u4")),
         }])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,8 +296,7 @@ class Block:
 
     def __init__(self, row):
         self.words = np.frombuffer(row["words"], np.uint64)
-        planes = np.frombuffer(row["tokens"], np.uint8).reshape(4, -1)
-        self.tokens = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+        self.tokens = _spread(row["tokens"], "<u4").astype(np.int64)
         self.counts = np.frombuffer(row["counts"], "<i8")
         self.rows = np.frombuffer(row["rows"], "<i8")
         self.ids = pd.array(np.frombuffer(row["ids"], "<i8"), "Int64")
@@ -316,10 +327,17 @@ class Asked:
     symbol: np.ndarray
     times: np.ndarray
     place: np.ndarray
+    shards: int
+    placed: bool
 
     @classmethod
-    def of(cls, context: tuple[np.ndarray, np.ndarray], symbol: tuple[np.ndarray, np.ndarray], train: np.ndarray, shards: int, hot: np.ndarray) -> Asked:
-        """Contexts and symbols are given as distinct values and each token's position in them, so that pairs sort as whole numbers."""
+    def of(
+        cls, context: tuple[np.ndarray, np.ndarray], symbol: tuple[np.ndarray, np.ndarray], train: np.ndarray, shards: int, hot: np.ndarray, placed: bool = False
+    ) -> Asked:
+        """Contexts and symbols are given as distinct values and each token's position in them, so that pairs sort as whole numbers.
+
+        With ``placed`` a context is a place in a shard of the level before, place * shards + shard, and goes to that shard again.
+        """
         (contexts, c), (symbols, w) = context, symbol
         order = np.argsort(symbols)
         rank = np.empty(len(order), np.int64)
@@ -329,7 +347,7 @@ class Asked:
         often = np.flatnonzero(np.isin(contexts, hot))
         parts = np.tile(np.arange(HOT_PARTS, dtype=np.uint64), len(often))
         every, part = np.r_[contexts, np.repeat(contexts[often], HOT_PARTS)], np.r_[np.zeros(len(contexts), np.uint64), parts]
-        shard = (((every + part) * MIX) >> np.uint64(16)) % np.uint64(shards)
+        shard = (every if placed else ((every + part) * MIX) >> np.uint64(16)) % np.uint64(shards)
         if len(often):
             base = np.full(len(contexts), -1, np.int64)
             base[often] = len(contexts) + HOT_PARTS * np.arange(len(often))
@@ -341,7 +359,7 @@ class Asked:
         keys, where = np.unique(number[c] * max(1, len(symbols)) + place, return_inverse=True)
         of = by[keys // max(1, len(symbols))]
         times = np.bincount(where[train], minlength=len(keys)).astype("<u4")
-        return cls(shard[of].astype(np.int32), every[of], symbols[order][keys % max(1, len(symbols))] if len(symbols) else symbols, times, where)
+        return cls(shard[of].astype(np.int32), every[of], symbols[order][keys % max(1, len(symbols))] if len(symbols) else symbols, times, where, shards, placed)
 
     def by_shard(self) -> Iterator[tuple[int, slice]]:
         borders = np.flatnonzero(np.r_[True, self.shard[1:] != self.shard[:-1], True]) if len(self.shard) else np.empty(0, np.int64)
@@ -351,23 +369,29 @@ class Asked:
     def requests(self, block: str) -> pd.DataFrame:
         rows = []
         for shard, own in self.by_shard():
-            context = self.context[own]
+            context, symbol = self.context[own], self.symbol[own]
             new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            rows.append((shard, block, _pack48(context[new]), _squeeze(np.diff(np.r_[new, len(context)]).astype("<u4")), _pack48(self.symbol[own]), _squeeze(self.times[own])))
+            named = _steps(context[new] // np.uint64(self.shards)) if self.placed else _pack48(context[new])
+            symbols = _squeeze(symbol.astype("<u8")) if self.placed else _pack48(symbol)
+            rows.append((shard, block, named, _squeeze(np.diff(np.r_[new, len(context)]).astype("<u4")), symbols, _squeeze(self.times[own])))
         return pd.DataFrame(rows, columns=["shard", "block", "contexts", "sizes", "symbols", "times"])
 
-    def collect(self, answers: dict[int, tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Code, weight and rank of every distinct pair."""
-        codes, weights, ranks = np.zeros(len(self.shard), np.uint8), np.zeros(len(self.shard), np.uint8), np.zeros(len(self.shard), np.int64)
+    def collect(self, answers: dict[int, tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code, weight, rank and place * shards + shard of every distinct pair; the last two where the answers have them."""
+        codes, weights = np.zeros(len(self.shard), np.uint8), np.zeros(len(self.shard), np.uint8)
+        ranks, places = np.zeros(len(self.shard), np.int64), np.zeros(len(self.shard), np.uint64)
         for shard, own in self.by_shard():
-            own_codes, own_weights, own_ranks = answers[shard]
+            own_codes, own_weights, own_ranks, own_starts = answers[shard]
             codes[own] = _spread(own_codes, np.uint8)
             context = self.context[own]
             number = np.cumsum(np.r_[True, context[1:] != context[:-1]]) - 1
             weights[own] = _spread(own_weights, np.uint8)[number]
-            hits = np.flatnonzero(codes[own])
-            ranks[own.start + hits] = _spread(own_ranks, "<u4")
-        return codes, weights, ranks
+            if own_ranks:
+                hits = own.start + np.flatnonzero(codes[own])
+                ranks[hits] = _spread(own_ranks, "<u4")
+                start = _climb(own_starts)[number[hits - own.start]]
+                places[hits] = (start + ranks[hits].astype(np.uint64)) * np.uint64(self.shards) + np.uint64(shard)
+        return codes, weights, ranks, places
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -381,6 +405,15 @@ def _spread(data: bytes, kind: str | type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Numbers in order, by their distances."""
+    return _squeeze(np.diff(values, prepend=np.uint64(0)).astype("<u8"))
+
+
+def _climb(data: bytes) -> np.ndarray:
+    return np.cumsum(_spread(data, "<u8"), dtype=np.uint64)
+
+
 def _pack48(values: np.ndarray) -> bytes:
     """Six bytes a number, byte by byte, so that equal high bytes lie together."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
@@ -420,9 +453,12 @@ def _asked_pairs(block: Block, shards: int, hot: np.ndarray) -> Asked:
     return Asked.of(*_pairs(block), np.r_[block.train, np.zeros(len(block.later), bool)], shards, hot)
 
 
-def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, tuple, tuple]:
-    """Positions of the tokens whose two words before are a kept pair, with context and symbol on level 3; symbol 0 stands for all unkept pairs."""
-    codes, _, ranks = answers
+def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, ...]) -> tuple[np.ndarray, tuple, tuple]:
+    """Positions of the tokens whose two words before are a kept pair, with context and symbol on level 3; symbol 0 stands for all unkept pairs.
+
+    The context is the pair's place among all successors of its shard.
+    """
+    codes, _, ranks, places = answers
     kept = codes > 0
     n = len(block.tokens)
     before = np.r_[-1, two.place[: n - 1]]
@@ -430,18 +466,18 @@ def _triples(block: Block, two: Asked, answers: tuple[np.ndarray, np.ndarray, np
     before[block.starts[block.later]] = two.place[n:]
     at = np.flatnonzero((before >= 0) & kept[before])
     pair, own = before[at], two.place[at]
-    named = (two.context * MIX ^ (two.symbol + MIX) * (MIX ^ np.uint64(0x5555))) & LOW48
     # The position among the middle word's successors, told apart by the part of a split context.
     symbol = np.where(kept, ((ranks.astype(np.uint64) + np.uint64(1)) << np.uint64(6)) | part_of(two.symbol), np.uint64(0))
-    contexts, c = np.unique(named[pair], return_inverse=True)
+    contexts, c = np.unique(places[pair], return_inverse=True)
     symbols, w = np.unique(symbol[own], return_inverse=True)
     return at, (contexts, c), (symbols, w)
 
 
-def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray, dict[int, float]]:
-    """The shard's level, its distinct questions, which of them each block's questions are, and the kept mass of split contexts."""
-    context = np.concatenate([np.repeat(_unpack48(c), _spread(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
-    symbol = np.concatenate([_unpack48(x) for x in rows["symbols"]])
+def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], placed: bool, step: float) -> tuple[Level, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shard's level, its distinct questions, which of them each block's questions are, and (name, tokens, successors) of split contexts."""
+    names_of, symbols_of = (_climb, lambda x: _spread(x, "<u8")) if placed else (_unpack48, _unpack48)
+    context = np.concatenate([np.repeat(names_of(c), _spread(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
+    symbol = np.concatenate([symbols_of(x) for x in rows["symbols"]])
     times = np.concatenate([_spread(x, "<u4") for x in rows["times"]]).astype(np.int64)
     order = np.lexsort((symbol, context))
     context, symbol = context[order], symbol[order]
@@ -457,30 +493,41 @@ def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], other: bool) -> tu
     names = context[start]
     for i in np.flatnonzero(np.isin(names, np.array(list(hot_totals), np.uint64))) if hot_totals else ():
         total[i] = hot_totals[int(names[i])]
-    keep = (times > 0) & ~((symbol == 0) if other else np.zeros(len(symbol), bool))
+    keep = (times > 0) & ~((symbol == 0) if placed else np.zeros(len(symbol), bool))
     probability = (times[keep] - DISCOUNT) / np.maximum(1, total[number[keep]])
-    mass = np.bincount(number[keep], probability, len(start))
+    successors = np.bincount(number[keep], minlength=len(start))
+    followed = np.zeros(len(start), np.int64)
+    np.add.at(followed, number[keep], times[keep])
     used = total > 0
     place = np.cumsum(used) - 1
     level = Level.build(
-        names[used], np.bincount(place[number[keep]], minlength=int(used.sum())), symbol[keep], probability, np.maximum(1e-8, 1 - mass[used])
+        names[used], np.bincount(place[number[keep]], minlength=int(used.sum())), symbol[keep], probability,
+        lower_weight(total[used], followed[used], successors[used]), step,
     )
-    split = {int(c): float(m) for c, m in zip(names, mass) if int(c) in hot_totals} if hot_totals else {}
-    return level, context, symbol, asked, split
+    split = np.isin(names, np.array(list(hot_totals), np.uint64)) if hot_totals else np.zeros(len(names), bool)
+    return level, context, symbol, asked, np.column_stack([names[split].astype(np.int64), followed[split], successors[split]])
 
 
-def _answers(requests: DataFrame, hot_totals: dict[int, int], other: bool) -> DataFrame:
-    """Rows ANSWER, among them one with an empty block for each shard, whose codes are its level."""
+def lower_weight(total: np.ndarray, followed: np.ndarray, successors: np.ndarray) -> np.ndarray:
+    """What a context's discounts leave to the lower order, in whole numbers up to the one division: never 0."""
+    return (total - followed + DISCOUNT * successors) / total
+
+
+def _answers(requests: DataFrame, hot_totals: dict[int, int], placed: bool, step: float) -> DataFrame:
+    """Rows ANSWER, among them one with an empty block for each shard, which has the figures of its split contexts.
+
+    A level lives as one flat buffer in its shard's task and ends with it. ``placed`` is the last level, whose places nobody asks for.
+    """
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        built, context, symbol, asked, split = _level_of(rows, hot_totals, other)
-        raw = built.to_bytes()
-        codes, weights, ranks = Level.of_buffer(np.frombuffer(raw, np.uint8)).find(context, symbol)
+        built, context, symbol, asked, split = _level_of(rows, hot_totals, placed, step)
+        level = Level.of_buffer(np.frombuffer(built.to_bytes(), np.uint8))
+        codes, weights, ranks = level.find(context, symbol)
         ranks = ranks.astype("<u4")
+        begins = None if placed else level.starts(context)
         shard = int(rows["shard"].iloc[0])
-        hot = np.array([x for c, m in split.items() for x in (float(np.uint64(c)), m)], np.float64).tobytes()
-        out = [("", shard, raw, b"", b"", hot)]
+        out = [("", shard, b"", b"", b"", b"", np.ascontiguousarray(split, "<i8").tobytes())]
         begin = 0
         for block, sizes in zip(rows["block"], rows["sizes"]):
             sizes = _spread(sizes, "<u4").astype(np.int64)
@@ -488,14 +535,15 @@ def _answers(requests: DataFrame, hot_totals: dict[int, int], other: bool) -> Da
             begin += len(own)
             found = codes[own]
             first = own[np.r_[0, np.cumsum(sizes)[:-1]]]
-            out.append((block, shard, _squeeze(found), _squeeze(weights[first]), _squeeze(ranks[own[found > 0]]), b""))
-        return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "ranks", "hot"])
+            where = (b"", b"") if placed else (_squeeze(ranks[own[found > 0]]), _steps(begins[first]))
+            out.append((block, shard, _squeeze(found), _squeeze(weights[first]), *where, b""))
+        return pd.DataFrame(out, columns=["block", "shard", "codes", "weights", "ranks", "starts", "hot"])
 
     return requests.groupBy("shard").applyInPandas(answer, ANSWER)
 
 
-def _by_shard(rows: pd.DataFrame) -> dict[int, tuple[bytes, bytes, bytes]]:
-    return {int(s): (c, w, r) for s, c, w, r in zip(rows["shard"], rows["codes"], rows["weights"], rows["ranks"])}
+def _by_shard(rows: pd.DataFrame) -> dict[int, tuple[bytes, ...]]:
+    return {int(s): tuple(own) for s, *own in zip(rows["shard"], rows["codes"], rows["weights"], rows["ranks"], rows["starts"])}
 
 
 def _count_words(held: DataFrame, shards: int) -> DataFrame:
@@ -510,18 +558,19 @@ def _count_words(held: DataFrame, shards: int) -> DataFrame:
                 order = np.argsort(shard, kind="stable")
                 borders = np.searchsorted(shard[order], np.arange(shards + 1))
                 yield pd.DataFrame([
-                    (s, row["block"], block.words[order[b:e]].tobytes(), times[order[b:e]].tobytes())
+                    (s, row["block"], block.words[order[b:e]].tobytes(), _squeeze(times[order[b:e]]))
                     for s, (b, e) in enumerate(zip(borders[:-1], borders[1:])) if e > b
                 ], columns=["shard", "block", "words", "times"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         words = np.concatenate([np.frombuffer(w, np.uint64) for w in rows["words"]])
-        times = np.concatenate([np.frombuffer(t, "<u4") for t in rows["times"]]).astype(np.int64)
+        times = np.concatenate([_spread(t, "<u4") for t in rows["times"]]).astype(np.int64)
         names, place = np.unique(words, return_inverse=True)
-        total = np.bincount(place, times, len(names)).astype("<i8")
+        total = np.zeros(len(names), "<i8")
+        np.add.at(total, place, times)
         sizes = [len(w) // 8 for w in rows["words"]]
         own = np.split(total[place], np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "counts": [x.astype("<u4").tobytes() for x in own], "known": 0, "tokens": 0, "common": None})
+        out = pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "counts": [_squeeze(x) for x in own], "known": 0, "tokens": 0, "common": None})
         order = np.argsort(-total, kind="stable")[: int(1 / HOT_SHARE)]
         common = [(int(w.view(np.int64)), int(t)) for w, t in zip(names[order], total[order])]
         first = pd.DataFrame([{"block": "", "shard": int(rows["shard"].iloc[0]), "counts": b"", "known": int((total > 0).sum()), "tokens": int(total.sum()), "common": common}])
@@ -537,10 +586,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     spark = docs.sparkSession
     shards = min(1 << 15, partitions(spark))
     kept = stage(blocks(docs, folds, held), "token-blocks")
-    counted = stage(_count_words(kept, shards), "word-counts")
-    release_shuffles(spark)
+    with shuffles_dropped(spark):
+        counted = stage(_count_words(kept, shards), "word-counts")
     row = counted.where("block = ''").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     vocabulary, tokens = row["v"], row["n"]
+    step = step_of(tokens)
 
     # Fewer than 1 / HOT_SHARE words can have that share of all tokens; the beginning of a text is one more.
     limit = max(2.0, tokens * HOT_SHARE)
@@ -557,28 +607,29 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
                 block = Block(row)
                 yield _asked_pairs(block, shards, hot).requests(row["block"])
 
-    pairs = stage(_answers(kept.mapInPandas(ask_pairs, REQUEST), hot_totals, other=False), "level-2")
-    release_shuffles(spark)
-    weight_of: dict[int, float] = {}
+    with shuffles_dropped(spark):
+        pairs = stage(_answers(kept.mapInPandas(ask_pairs, REQUEST), hot_totals, placed=False, step=step), "level-2")
+    seen = {c: np.zeros(2, np.int64) for c, t in hot_totals.items() if t}
     for r in pairs.where("block = ''").select("hot").collect():
-        for c, m in np.frombuffer(r["hot"], np.float64).reshape(-1, 2):
-            weight_of[int(c)] = weight_of.get(int(c), 0.0) + m
-    hot_names = np.array(sorted(weight_of), np.uint64)
-    hot_weights = np.array([max(1e-8, 1 - weight_of[int(c)]) for c in hot_names])
+        for c, *figures in np.frombuffer(r["hot"], "<i8").reshape(-1, 3):
+            if int(c) in seen:
+                seen[int(c)] += figures
+    hot_names = np.array(sorted(seen), np.uint64)
+    # Weights of split contexts go through the same one-byte code as all others.
+    hot_codes = code(np.array([lower_weight(hot_totals[int(c)], *seen[int(c)]) for c in hot_names]), step)
 
     def ask_triples(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = Block(left.iloc[0])
         two = _asked_pairs(block, shards, hot)
         at, context, symbol = _triples(block, two, two.collect(_by_shard(right)))
-        return Asked.of(context, symbol, block.train[at], shards, none).requests(left["block"].iloc[0])
+        return Asked.of(context, symbol, block.train[at], shards, none, placed=True).requests(left["block"].iloc[0])
 
     answered = pairs.where("block <> ''").drop("hot")
-    triples = stage(
-        _answers(kept.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask_triples, REQUEST), {}, other=True), "level-3"
-    )
-    release_shuffles(spark)
+    asked = kept.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(ask_triples, REQUEST)
+    with shuffles_dropped(spark):
+        triples = stage(_answers(asked, {}, placed=True, step=step), "level-3")
     every = (
-        counted.where("block <> ''").select("block", "shard", F.lit(1).alias("level"), F.col("counts").alias("codes"), F.lit(b"").alias("weights"), F.lit(b"").alias("ranks"))
+        counted.where("block <> ''").select("block", "shard", F.lit(1).alias("level"), F.col("counts").alias("codes"), *(F.lit(b"").alias(c) for c in ("weights", "ranks", "starts")))
         .unionByName(answered.withColumn("level", F.lit(2)))
         .unionByName(triples.where("block <> ''").drop("hot").withColumn("level", F.lit(3)))
     )
@@ -587,22 +638,23 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         block = Block(left.iloc[0])
         times = np.zeros(len(block.words), np.int64)
         shard = (block.words % np.uint64(shards)).astype(np.int64)
-        for s, (raw, _, _) in _by_shard(right[right["level"] == 1]).items():
-            times[shard == s] = np.frombuffer(raw, "<u4")
+        for s, (raw, *_) in _by_shard(right[right["level"] == 1]).items():
+            times[shard == s] = _spread(raw, "<i8")
         single = (times[block.tokens] + 1) / (tokens + vocabulary + 1)
         two = _asked_pairs(block, shards, hot)
         answers = two.collect(_by_shard(right[right["level"] == 2]))
-        weight = decode(answers[1], 1.0)
+        weights = answers[1]
         if len(hot_names):
             of = np.minimum(np.searchsorted(hot_names, two.context), len(hot_names) - 1)
-            weight = np.where(hot_names[of] == two.context, hot_weights[of], weight)
+            weights = np.where(hot_names[of] == two.context, hot_codes[of], weights)
+        weight = decode(weights, 1.0, step)
         here = two.place[: len(block.tokens)]
-        pair = decode(answers[0], 0.0)[here] + weight[here] * single
+        pair = decode(answers[0], 0.0, step)[here] + weight[here] * single
         at, context, symbol = _triples(block, two, answers)
-        three = Asked.of(context, symbol, block.train[at], shards, none)
-        codes, weights, _ = three.collect(_by_shard(right[right["level"] == 3]))
+        three = Asked.of(context, symbol, block.train[at], shards, none, placed=True)
+        codes, weights, *_ = three.collect(_by_shard(right[right["level"] == 3]))
         triple = pair.copy()
-        triple[at] = decode(codes, 0.0)[three.place] + decode(weights, 1.0)[three.place] * pair[at]
+        triple[at] = decode(codes, 0.0, step)[three.place] + decode(weights, 1.0, step)[three.place] * pair[at]
         ends = np.add.reduceat
         return pd.DataFrame({
             "run": int(left["run"].iloc[0]), "row": block.rows, "doc_id": block.ids, "held_out": block.held,

@@ -127,3 +127,14 @@ def test_cleaned_texts(odd, crowded):
     for r in S.cleaned(odd).collect():
         if r.text is not None and r.doc_id in sizes:
             assert len(r.text.encode()) <= sizes[r.doc_id] and r.n_chars == len(r.text)
+
+
+def test_halves_of_removed_characters_do_not_meet(spark):
+    """The shared string begins in the middle of one character and ends in the middle of another; their kept bytes C5 and A1 would be an s with a caron."""
+    shared = "".join(random.Random(9).choices("abcdefghij", k=150))
+    rows = [document(1, "first é" + shared + "à last"), document(2, "begin ũ" + shared + "á end")]
+    out = {r.doc_id: (r.text, r.n_chars) for r in S.cleaned(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("begin  end", 10)}
+    raw, gone = "aéb".encode(), np.array([False, False, True, False])
+    assert S.whole_characters(raw, gone).tolist() == [False, True, True, False]
+    assert not S.whole_characters(raw, np.zeros(4, bool)).any()

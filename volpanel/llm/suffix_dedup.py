@@ -407,6 +407,12 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
+def whole_characters(raw: bytes, gone: np.ndarray) -> np.ndarray:
+    """``gone`` widened to every byte of the characters that lost one, so that no two halves meet and make a character the text never had."""
+    starts = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return np.repeat(np.logical_or.reduceat(gone, starts), np.diff(np.r_[starts, len(raw)]))
+
+
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the covered bytes taken out of ``text`` and ``n_chars`` set to the code points left.
 
@@ -416,7 +422,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = [
-                (doc, hashlib.sha256(raw).digest(), np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
+                (doc, hashlib.sha256(raw).digest(), np.frombuffer(raw, np.uint8)[~whole_characters(raw, gone)].tobytes().decode("utf-8", "ignore"))
                 for doc, raw, gone in _losses(part, length)
             ]
             yield pd.DataFrame(out, columns=["of", "own_digest", "left"])

@@ -6,8 +6,8 @@ builds it with a plain partial aggregation, and every quantile read from it lies
 of the true one, whatever the order of merging.
 
 A source is not judged by itself alone: its sketch is mixed with that of its language, and the language's with that of the corpus. A group of n
-documents has the weight n / (n + PRIOR) in its mixture, at most a half, so small groups follow the coarser ones, and junk in up to half of a large one
-leaves the upper quartile of its mixture where the others put it. A ratio's cut-off in a language and source is
+documents has the weight n / (n + PRIOR) in its mixture, at most a half, so small groups follow the coarser ones. Junk in up to a quarter of any group, or in up
+to half of one that is small beside its language, leaves the upper quartile of its mixture where the others put it. A ratio's cut-off in a language and source is
 
     q75 + reach * (q75 - q50)
 

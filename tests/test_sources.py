@@ -11,7 +11,9 @@ from volpanel.operators.keep import last_applied, read_table, upsert_table
 from volpanel.sources import documents as docs
 from volpanel.sources import exchange
 from volpanel.streaming import landed as stream
+from volpanel.plans.ingest import ingest
 from volpanel.session import scratch_path
+from volpanel.workload import landed as workload
 
 
 def land(folder, **files):
@@ -131,6 +133,26 @@ def test_rss(spark, tmp_path):
     assert str(out.date[0]) == "2024-01-03 01:30:00" and out.date.isna()[1]
 
 
+def test_bundled_documents_land_in_few_files_and_read_the_same(spark, tmp_path):
+    item = lambda i: {"url": f"u{i}", "title": f"t\n{i}", "seendate": f"202401{i % 28 + 1:02d}T000000Z", "domain": "d", "language": "pt", "sourcecountry": "BR"}
+    bodies = [json.dumps({"articles": [item(i), item(i + 1)]}, indent=1) for i in range(400)]
+    (tmp_path / "one" / "query=q").mkdir(parents=True)
+    for i, body in enumerate(bodies):
+        land(tmp_path / "one" / "query=q", **{f"d{i}__json": body})
+    both = workload.land(spark.createDataFrame([(b, "q") for b in bodies], "doc string, query string"), str(tmp_path / "both"), "query")
+    assert len(list((tmp_path / "both").rglob("part-*"))) <= 8
+    tables = [ingest(spark, "headlines", p, str(tmp_path / f"t{b}"), b) for p, b in ((str(tmp_path / "one"), False), (both, True))]
+    one, bundled = (sorted(map(tuple, t.collect())) for t in tables)
+    assert one == bundled and len(one) == 401 and one[0][1] == "t\n0"
+    feeds = ["<rss><channel><item><title>a</title><link>1</link></item><item><link>2</link></item></channel></rss>", "<rss><channel/></rss>", "<rss><channel>\n<item><link> 3</link></item></channel></rss>"]
+    path = workload.land(spark.createDataFrame([(f, "s") for f in feeds], "doc string, source string").coalesce(1), str(tmp_path / "rss"), "source")
+    got = exchange.rss_items(exchange.read_rss(spark, path, bundled=True)).collect()
+    assert sorted((r.title, r.link, r.source) for r in got) == [("", "2", "s"), ("", "3", "s"), ("a", "1", "s")]
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        exchange.read_rss(spark, land(tmp_path / "bad", f__xml="<rss><channel><item><title>a</title><link>l</item></channel></rss>"), bundled=True).collect()
+
+
 def test_bars_pairs_and_series(spark, tmp_path):
     raw = spark.createDataFrame([("2024-01-02", 1, 2.0, 0.5, 1.5), ("2024-01-02", 1, 2.0, 0.5, 1.5)], "Date string, Open int, High double, Low double, Close double")
     assert list(map(tuple, exchange.daily_bars(raw).collect())) == [(day("2024-01-02"), 1.0, 2.0, 0.5, 1.5)]

@@ -1,6 +1,6 @@
 """Landed folders to clean tables: parse, key and keep rule of each table, and a partitioned merge into what is there.
 
-A landed folder holds whole responses, one file each, in ``name=value`` folders where a file belongs to a query, a rate or a
+A landed folder holds whole responses, one file each or bundled one a line, in ``name=value`` folders where a file belongs to a query, a rate or a
 source. Ingesting the same files again, or files that overlap with earlier ones, leaves the table as it was.
 
 ========== ============================ ================ ======= ==============
@@ -35,7 +35,7 @@ from volpanel.sources import exchange
 class CleanTable:
     """How landed files become rows, what identifies a row, which of two stays, and how the table is split."""
 
-    parse: Callable[[SparkSession, str], DataFrame]
+    parse: Callable[[SparkSession, str, bool], DataFrame]  # of a folder whose documents are bundled, or not
     keys: tuple[str, ...]
     time: str
     keep: str
@@ -51,12 +51,12 @@ def _month(column: str) -> Column:
     return F.year(column) * 100 + F.month(column)
 
 
-def _meetings(spark: SparkSession, landed: str) -> DataFrame:
-    read = docs.read_documents(spark, landed)
+def _meetings(spark: SparkSession, landed: str, bundled: bool) -> DataFrame:
+    read = docs.read_documents(spark, landed, bundled)
     return docs.meeting_documents(read.filter("tipo = 'ata'"), read.filter("tipo = 'comunicado'"))
 
 
-def _surface(spark: SparkSession, landed: str) -> DataFrame:
+def _surface(spark: SparkSession, landed: str, bundled: bool) -> DataFrame:
     sheet = spark.read.option("header", True).csv(landed)
     fixed = {"series_id", "refdate", "maturity_date"}
     sheet = sheet.withColumn("refdate", F.to_date("refdate"))
@@ -64,15 +64,15 @@ def _surface(spark: SparkSession, landed: str) -> DataFrame:
 
 
 TABLES = {
-    "official": lambda: CleanTable(lambda s, p: docs.official_rate(docs.read_documents(s, p)), ("tipo", "date"), "date", "first", F.col("tipo"), "tipo"),
-    "tone": lambda: CleanTable(lambda s, p: docs.news_tone(docs.read_documents(s, p)), ("query", "date"), "date", "last", _month("date")),
-    "volume": lambda: CleanTable(lambda s, p: docs.news_volume(docs.read_documents(s, p)), ("query", "date"), "date", "last", _month("date")),
-    "headlines": lambda: CleanTable(lambda s, p: docs.headlines(docs.read_documents(s, p)), ("query", "url"), "date", "last", hash_part(["query", "url"])),
+    "official": lambda: CleanTable(lambda s, p, b: docs.official_rate(docs.read_documents(s, p, b)), ("tipo", "date"), "date", "first", F.col("tipo"), "tipo"),
+    "tone": lambda: CleanTable(lambda s, p, b: docs.news_tone(docs.read_documents(s, p, b)), ("query", "date"), "date", "last", _month("date")),
+    "volume": lambda: CleanTable(lambda s, p, b: docs.news_volume(docs.read_documents(s, p, b)), ("query", "date"), "date", "last", _month("date")),
+    "headlines": lambda: CleanTable(lambda s, p, b: docs.headlines(docs.read_documents(s, p, b)), ("query", "url"), "date", "last", hash_part(["query", "url"])),
     "meetings": lambda: CleanTable(_meetings, ("nro_reuniao", "tipo"), "data_referencia", "last", F.col("tipo"), "tipo"),
-    "rss": lambda: CleanTable(lambda s, p: exchange.rss_items(exchange.read_rss(s, p)), ("source", "link"), "date", "last", hash_part(["source", "link"])),
-    "survey": lambda: CleanTable(lambda s, p: docs.survey_expectations(docs.read_documents(s, p)), ("date",), "date", "first", _month("date")),
+    "rss": lambda: CleanTable(lambda s, p, b: exchange.rss_items(exchange.read_rss(s, p, b)), ("source", "link"), "date", "last", hash_part(["source", "link"])),
+    "survey": lambda: CleanTable(lambda s, p, b: docs.survey_expectations(docs.read_documents(s, p, b)), ("date",), "date", "first", _month("date")),
     "activity": lambda: CleanTable(
-        lambda s, p: docs.activity_index(docs.read_documents(s, p)), ("reference_date",), "reference_date", "first", F.year("reference_date")
+        lambda s, p, b: docs.activity_index(docs.read_documents(s, p, b)), ("reference_date",), "reference_date", "first", F.year("reference_date")
     ),
     "surface": lambda: CleanTable(
         _surface, ("series_id", "refdate", "maturity_date", "delta_pct"), "refdate", "first", _month("refdate")
@@ -85,10 +85,11 @@ def clean(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path).drop(PART)
 
 
-def ingest(spark: SparkSession, name: str, landed: str, path: str) -> DataFrame:
-    """Merge the files landed in a folder into the clean table at ``path``; returns the table."""
+def ingest(spark: SparkSession, name: str, landed: str, path: str, bundled: bool = False) -> DataFrame:
+    """Merge the files landed in a folder into the clean table at ``path``; returns the table. Documents and feeds may be ``bundled``,
+    one a line; sheets are read by row in any case."""
     table = TABLES[name]()
-    rows = table.parse(spark, landed)
+    rows = table.parse(spark, landed, bundled)
     if not table.own_part:
         rows = rows.withColumn(PART, table.part)
     upsert_table(rows, path, table.keys, table.time, table.keep, [table.part_column])

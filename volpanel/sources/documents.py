@@ -1,6 +1,7 @@
 """Landed JSON documents to clean tables.
 
-``read_documents`` gives one row per file (responses of a public API, small each); the parsers take any frame
+``read_documents`` gives one row per response of a public API, small each: landed as a file of its own, or bundled, one a line. Many
+responses belong in bundles, because every file costs a listing, an opening and a commit, whatever it holds. The parsers take any frame
 with a ``doc`` column, so the same code serves batch, streaming and documents held in a table. Schemas are
 explicit and malformed JSON fails the job.
 """
@@ -27,9 +28,11 @@ SURVEY = (
 RELEASE_LAG_DAYS = 60
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(doc, path, folder columns): one row per landed file, whole content; ``name=value`` folders become columns."""
-    files = spark.read.option("wholetext", True).text(path)
+def read_documents(spark: SparkSession, path: str | list[str], bundled: bool = False) -> DataFrame:
+    """(doc, path, folder columns): one row per landed file, whole content, or per line of files that are ``bundled``;
+    ``name=value`` folders become columns."""
+    # As an argument: ``text`` sets the option of that name to its own default.
+    files = spark.read.text(path, wholetext=not bundled, lineSep="\n" if bundled else None)
     folders = [c for c in files.columns if c != "value"]
     return files.select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("path"), *folders)
 

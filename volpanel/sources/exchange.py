@@ -10,6 +10,7 @@ from volpanel.operators.keep import keep_one
 from volpanel.operators.panel import nan_to_null
 from volpanel.operators.surface import wide_to_long
 from volpanel.session import stage
+from volpanel.sources.documents import read_documents
 
 # Element names and the ticker pattern of the price report.
 FUTURE_TICKER = r"^DOL[A-Z][0-9]{2}$"
@@ -21,6 +22,7 @@ PRICE_REPORT = (
 )
 PRICE_REPORT_COLUMNS = PRICE_REPORT.replace(" struct<", ": struct<")
 RSS_ITEM = "title string, link string, pubDate string, description string"
+RSS_COLUMNS = RSS_ITEM.replace(" string", ": string")
 
 
 #: The folder of a file; a day's package is unpacked into one of its own.
@@ -85,7 +87,12 @@ def weekdays(df: DataFrame, time: str = "date") -> DataFrame:
     return df.filter(F.weekday(time) < 5)
 
 
-def read_rss(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_rss(spark: SparkSession, path: str | list[str], bundled: bool = False) -> DataFrame:
+    """One row per item of landed feeds, a file each, or one a line of files that are ``bundled``."""
+    if bundled:
+        feeds = read_documents(spark, path, bundled)
+        items = F.from_xml("doc", f"channel struct<item: array<struct<{RSS_COLUMNS}>>>", {"mode": "FAILFAST"})["channel"]["item"]
+        return feeds.select(F.explode(items).alias("_i"), *[c for c in feeds.columns if c not in ("doc", "path")]).select("_i.*", "*").drop("_i")
     return spark.read.format("xml").option("rowTag", "item").option("mode", "FAILFAST").schema(RSS_ITEM).load(path)
 
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -18,6 +19,20 @@ from volpanel.llm.common import vocabulary
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
+def test_a_level_is_coded_in_slices():
+    rng = np.random.default_rng(5)
+    values = np.sort(rng.integers(0, 1 << 48, 3 * L.SLICE + 5).astype(np.uint64))
+    tracemalloc.start()
+    coded = L.EliasFano.build(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A number for each bit would take 8 * 30 bytes.
+    assert peak < 150 * len(values)
+    places = np.r_[0 : len(values) : 97, L.SLICE - 1, L.SLICE, len(values) - 1]
+    assert (coded.values(places) == values[places]).all() and (coded.find(values[places]) >= 0).all()
+    assert (L.EliasFano.build(np.arange(20, dtype=np.uint64)).values(np.arange(20)) == np.arange(20)).all() and L.EliasFano.build(values[:0]).n == 0
+
+
 def words(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
 

@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from volpanel.llm.common import partitions, remainder, shuffles_dropped
+from volpanel.llm.common import partitions, remainder, shuffles_dropped, small_batches
 from volpanel.llm.ngram_join import word_hashes
 from volpanel.session import stage
 
@@ -47,6 +47,8 @@ HOT_PARTS = 64
 END, BEGIN = np.uint64(0x9D5C6B2A1F3E4D01), np.uint64(0x3C1A5E7F9B2D4C03)
 LOW48 = np.uint64((1 << 48) - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Numbers that are coded or asked for at once, a multiple of eight.
+SLICE = 1 << 16
 STEP = 31.75  # codes for a factor of ten, where a level is built without a step of its own
 BLOCKS = "block string, run long, rows binary, ids binary, no_id binary, held binary, counts binary, leads binary, words binary, tokens binary"
 REQUEST = "shard int, block string, contexts binary, sizes binary, symbols binary, times binary"
@@ -74,8 +76,10 @@ class EliasFano:
         steps = (values >> np.uint64(bits)).astype(np.int64)
         flags = np.zeros((int(steps[-1]) if n else 0) + n + 1, np.uint8)
         flags[steps + np.arange(n)] = 1
-        plane = ((values[:, None] >> np.arange(bits, dtype=np.uint64)[::-1]) & np.uint64(1)).astype(np.uint8)
-        return cls(n, bits, np.r_[np.packbits(plane.ravel()), np.zeros(8, np.uint8)], np.packbits(flags))
+        # A slice's bits fill whole bytes, and only they are ever spread out to a number each.
+        places = np.arange(bits, dtype=np.uint64)[::-1]
+        low = [np.packbits(((values[i : i + SLICE, None] >> places) & np.uint64(1)).astype(np.uint8).ravel()) for i in range(0, n, SLICE)]
+        return cls(n, bits, np.concatenate([*low, np.zeros(8, np.uint8)]), np.packbits(flags))
 
     def __post_init__(self) -> None:
         self._starts: np.ndarray | None = None
@@ -187,9 +191,14 @@ class Level:
 
     def find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pair: code of the probability, of the context's weight, and the position among the context's successors; codes are 0 if missing."""
+        codes, weights, ranks = np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), "<u4")
+        for i in range(0, len(symbols), SLICE) if self.contexts.n else ():
+            own = slice(i, i + SLICE)
+            codes[own], weights[own], ranks[own] = self._find(contexts[own], symbols[own])
+        return codes, weights, ranks
+
+    def _find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, weights, ranks = np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), np.uint8), np.zeros(len(symbols), np.int64)
-        if not self.contexts.n:
-            return codes, weights, ranks
         # Neighbouring questions share their context, which is looked up once.
         new = np.r_[True, contexts[1:] != contexts[:-1]] if len(contexts) else np.empty(0, bool)
         at = self.contexts.find(contexts[new])[np.cumsum(new) - 1]
@@ -523,8 +532,8 @@ def _answers(requests: DataFrame, hot_totals: dict[int, int], placed: bool, step
         rows = rows.sort_values("block", ignore_index=True)
         built, context, symbol, asked, split = _level_of(rows, hot_totals, placed, step)
         level = Level.of_buffer(np.frombuffer(built.to_bytes(), np.uint8))
+        del built
         codes, weights, ranks = level.find(context, symbol)
-        ranks = ranks.astype("<u4")
         begins = None if placed else level.starts(context)
         shard = int(rows["shard"].iloc[0])
         out = [("", shard, b"", b"", b"", b"", np.ascontiguousarray(split, "<i8").tobytes())]
@@ -585,7 +594,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``."""
     spark = docs.sparkSession
     shards = min(1 << 15, partitions(spark))
-    kept = stage(blocks(docs, folds, held), "token-blocks")
+    with small_batches(spark):
+        kept = stage(blocks(docs, folds, held), "token-blocks")
     with shuffles_dropped(spark):
         counted = stage(_count_words(kept, shards), "word-counts")
     row = counted.where("block = ''").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
@@ -594,7 +604,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     # Fewer than 1 / HOT_SHARE words can have that share of all tokens; the beginning of a text is one more.
     limit = max(2.0, tokens * HOT_SHARE)
-    common = counted.where("block = ''").select(F.explode("common").alias("c")).where(F.col("c.times") > limit).select("c.*").collect()
+    common = counted.where("block = ''").select(F.explode(F.filter("common", lambda c: c["times"] > limit)).alias("c")).select("c.*").collect()
     hot_totals = {int(np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF) & LOW48): r["times"] for r in common}
     texts = docs.where(remainder("doc_id", folds) != held).count()
     hot_totals[int(BEGIN & LOW48)] = texts

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from llm_rows import SCHEMA, document, odd_rows, prose
 
@@ -100,3 +101,10 @@ def test_several_texts_of_an_id_have_their_own_shingles(spark):
     rows = [document(1, two + " " + prose(803, 55, 5000)), document(1, three + " " + prose(804, 55, 5000)), document(2, two), document(3, three)]
     got = {(r.doc_id, r.component_id) for r in N.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_a_first_look_holds_no_whole_sets():
+    texts = pd.Series([" ".join(f"w{i}" for i in range(2000)), None, "a b"])
+    found = N.first_look.func(texts)
+    assert found["n"].tolist() == [1996, 0, 1] and all(x.base is None for x in found["low"])
+    assert len(found["low"][0]) == (N.shingles(texts[0]) < int(-(1 << 63) + N.FIRST_LOOK * (1 << 64))).sum()

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from volpanel.llm.common import fresh_name, text_digest
+from volpanel.llm.common import fresh_name, small_batches, text_digest
 from volpanel.session import stage
 
 WIDTH = 5
@@ -90,8 +90,12 @@ def shingle_set(text: pd.Series) -> pd.Series:
 def first_look(text: pd.Series) -> pd.DataFrame:
     """Size of each text's set, and the part of it in the lowest share of the hash range."""
     limit = int(-(1 << 63) + FIRST_LOOK * (1 << 64))
-    found = [shingles(t) for t in text]
-    return pd.DataFrame({"n": [len(x) for x in found], "low": [x[: np.searchsorted(x, limit)] for x in found]})
+    sizes, low = [], []
+    for t in text:
+        found = shingles(t)
+        sizes.append(len(found))
+        low.append(found[: np.searchsorted(found, limit)].copy())  # a view would hold the whole set
+    return pd.DataFrame({"n": sizes, "low": low})
 
 
 def own_shingles(rows: DataFrame) -> DataFrame:
@@ -260,18 +264,21 @@ def links(sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     looked = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), first_look("text").alias("s"))
-    rows = stage(looked.select("doc_id", "digest", F.col("s.n").alias("n"), F.col("s.low").alias("low")), "first-look")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        rows = stage(looked.select("doc_id", "digest", F.col("s.n").alias("n"), F.col("s.low").alias("low")), "first-look")
     usable = rows.where("doc_id IS NOT NULL AND n > 0")
     representative = stage(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "representatives")
     # By text, as an id may have several.
     alone = own_shingles(usable.select(F.xxhash64("digest").alias("node"), F.explode("low").alias("h"))).groupBy(F.col("node").alias("told")).agg(F.count("*").alias("own"))
     candidates = stage(representative.join(alone, F.xxhash64("digest") == F.col("told"), "left").where("5 * coalesce(own, 0) <= n").select("node", "digest"), "candidates")
     same_row = (F.col("doc_id") == F.col("node")) & (text_digest(F.col("text")) == F.col("digest"))
-    held = stage(
-        docs.select("doc_id", "text").join(candidates, same_row, "left_semi")
-        .select(F.col("doc_id").alias("node"), F.xxhash64(text_digest(F.col("text"))).alias("told"), shingle_set("text").alias("tokens")),
-        "sets",
-    )
+    with small_batches(spark):
+        held = stage(
+            docs.select("doc_id", "text").join(candidates, same_row, "left_semi")
+            .select(F.col("doc_id").alias("node"), F.xxhash64(text_digest(F.col("text"))).alias("told"), shingle_set("text").alias("tokens")),
+            "sets",
+        )
     # At most a fifth of a set that stays is its own, so these lists are short.
     alone = own_shingles(held.select(F.col("told").alias("node"), F.explode("tokens").alias("h"))).groupBy(F.col("node").alias("told")).agg(F.collect_list("h").alias("own"))
     own = F.coalesce("own", F.array().cast("array<long>"))

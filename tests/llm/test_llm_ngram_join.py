@@ -96,6 +96,15 @@ def test_contraction_of_a_long_chain(spark):
     assert all(found[i] == 0 for i in range(n + 1)) and found[1001] == 1000
 
 
+def test_stars_around_leaders_take_one_round(spark, monkeypatch):
+    labels, keep = [], N.stage
+    monkeypatch.setattr(N, "stage", lambda df, label="stage": labels.append(label) or keep(df, label))
+    links = spark.createDataFrame([(5000 * k + 77, 5000 * k + i) for k in range(2) for i in range(1500)], "a long, b long")
+    found = {r.node: r.component for r in N.components(links).collect()}
+    assert found == {5000 * k + i: 5000 * k for k in range(2) for i in range(1500)}
+    assert labels.count("parents") == 1
+
+
 def test_several_texts_of_an_id_have_their_own_shingles(spark):
     two, three = prose(801, 300, 5000), prose(802, 300, 5000)
     rows = [document(1, two + " " + prose(803, 55, 5000)), document(1, three + " " + prose(804, 55, 5000)), document(2, two), document(3, three)]

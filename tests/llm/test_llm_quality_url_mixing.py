@@ -201,6 +201,14 @@ def test_mix_meets_its_margins(spark):
     assert abs(w.kept.mean() - 0.4) < 0.08
 
 
+def test_a_margin_reads_its_cells_twice(spark, monkeypatch):
+    plans, keep = [], M.stage
+    monkeypatch.setattr(M, "stage", lambda df, label="stage": plans.append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or keep(df, label))
+    rows = [document(i, prose(i, 20), ["en", "de"][i % 2], f"s{i % 3}") for i in range(60)]
+    assert M.sample(spark.createDataFrame(rows, SCHEMA)).count() > 0
+    assert max(plans) <= 3
+
+
 def test_sample_keeps_what_weigh_says(odd, crowded, none):
     for df in (odd, crowded):
         kept = M.sample(df)

@@ -5,8 +5,8 @@ share ``tokens ** exponent`` of each of its values, so an exponent under 1 lifts
 starts with the same keep probability; a sweep rakes the cells to the source, the language and the topic margin in turn, multiplying
 by target / current and never above 1, as no document is kept twice. Where a target is above what a margin has, all of it is kept.
 
-Only the table of cells takes part in the sweeps: sums by margin with partial aggregation, joined back to the cells, and written once a sweep so
-that plans stay small and a lost executor costs one sweep. A document is kept if a uniform number made from its id and text lies
+Only the table of cells takes part in the sweeps: sums by margin with partial aggregation, joined back to the cells, and written once a margin so
+that plans stay small (a margin reads its cells twice, a sweep in one plan eight times) and a lost executor costs one margin. A document is kept if a uniform number made from its id and text lies
 under its cell's probability, so the sample is the same on every run and copies of a row share their fate.
 
 Defined cases: NULL and empty texts have no tokens and the last topic; NULL sources and languages are values of their own; cells without
@@ -79,7 +79,7 @@ def rake(table: DataFrame, wanted: Sequence[tuple[str, DataFrame]], mix: Mix) ->
                 *MARGINS, "tokens", "documents",
                 F.least(F.lit(1.0), F.col("probability") * F.coalesce("factor", F.lit(1.0))).alias("probability"),
             )
-        out = stage(out, "mix-cells")
+            out = stage(out, "mix-cells")
     return out
 
 

@@ -20,8 +20,8 @@ without ever listing the pairs of a group:
    whatever stands before it is in one of them alone: there the bound of step 2 holds with u plus the position
    in place of u. Lists are cut into sub-blocks by that sum: whole sub-blocks that it excludes are skipped, in the rest the bounds are
    checked, and what passes is compared set by set.
-5. Classes are contracted round by round; every round each class joins the neighbour with the smallest random number, so
-   chains shrink by a constant factor a round.
+5. Classes are contracted round by round; every round each class joins the neighbour with the most links or, by turns, the smallest random number, so
+   stars around a leader take one round and chains shrink by a constant factor.
 
 All group sizes are handled by joins and partial aggregates over rows, none by one task. Two equal hashes of different shingles would need
 about 2**32 distinct shingles in the two documents compared.
@@ -139,8 +139,9 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes in the rows (a, b).
 
-    A round gives each node the neighbour, or itself, with the smallest random number; one jump halves the chains that this makes, and the links
-    are rewritten. Every local minimum survives and at least its neighbours vanish.
+    A round gives each node one neighbour, or itself; one jump halves the chains that this makes, and the links are rewritten. Even rounds, the first
+    one too, choose the node with the most links, which takes in a leader and all its sets at once, odd ones that with the smallest random number. Every
+    node that is first among its neighbours survives and at least they vanish.
     """
     edges = stage(links.select("a", "b").where("a <> b").distinct(), "links")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -149,9 +150,15 @@ def components(links: DataFrame) -> DataFrame:
         if edges.isEmpty():
             break
         either = edges.union(edges.select("b", "a")).toDF("node", "other")
-        order = F.xxhash64("other", F.lit(number))
-        best = either.union(either.select("node", "node").distinct()).groupBy("node").agg(F.min_by("other", order).alias("parent"))
-        best = stage(best, "parents")
+        random = F.xxhash64("other", F.lit(number))
+        if number % 2:
+            order = random
+            choices = either.union(either.select("node", "node").distinct())
+        else:
+            degrees = stage(either.groupBy("node").agg(F.count("*").alias("links")), "degrees")
+            order = F.struct(-F.col("links"), random)
+            choices = either.join(degrees.toDF("other", "links"), "other").select("node", "other", "links").union(degrees.select("node", "node", "links"))
+        best = stage(choices.groupBy("node").agg(F.min_by("other", order).alias("parent")), "parents")
         jump = best.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
         roots = stage(best.join(jump, "parent").select("node", "root"), "roots")
         known = stage(

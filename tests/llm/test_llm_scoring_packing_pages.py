@@ -153,6 +153,16 @@ def test_word_totals_have_64_bits():
     assert np.array_equal(L._spread(L._squeeze(totals), "<i8"), totals)
 
 
+def test_figures_take_less_than_deflated_and_come_back():
+    ranks = np.random.default_rng(5).geometric(0.02, 100_000).astype("<u4")
+    data = L._squeeze(ranks)
+    planes = np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 4).T)
+    assert len(data) < len(zlib.compress(planes.tobytes(), 1))
+    for kind in (np.uint8, "<u4", "<u8", "<i8"):
+        for values in (ranks.astype(kind), np.empty(0, kind)):
+            assert np.array_equal(L._spread(L._squeeze(values), kind), values)
+
+
 def test_probabilities_sum_to_one():
     """Discounted probabilities and the weight of the lower order, as the level stores them."""
     contexts, sizes = np.array([3, 9], np.uint64), np.array([2, 1])

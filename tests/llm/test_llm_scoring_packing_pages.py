@@ -163,6 +163,17 @@ def test_figures_take_less_than_deflated_and_come_back():
             assert np.array_equal(L._spread(L._squeeze(values), kind), values)
 
 
+@pytest.mark.parametrize("tops", [(50, 9), (1 << 48, 1 << 48), (1 << 64, 1 << 64), (1 << 64, 2), (3, 1 << 64), (1, 1)])
+def test_pairs_are_put_in_order(tops):
+    r = np.random.default_rng(8)
+    a, b = (r.choice(r.integers(0, top, 300, np.uint64, endpoint=False) if top < 1 << 64 else r.integers(0, top - 1, 300, np.uint64, endpoint=True), 4000) for top in tops)
+    b[:2000] ^= r.integers(0, 2, 2000).astype(np.uint64)
+    found, want = L.pair_order(a, b), np.lexsort((b, a))
+    assert sorted(found.tolist()) == list(range(4000))
+    assert np.array_equal(a[found], a[want]) and np.array_equal(b[found], b[want])
+    assert not len(L.pair_order(a[:0], b[:0]))
+
+
 def test_probabilities_sum_to_one():
     """Discounted probabilities and the weight of the lower order, as the level stores them."""
     contexts, sizes = np.array([3, 9], np.uint64), np.array([2, 1])

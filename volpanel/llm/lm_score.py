@@ -263,7 +263,7 @@ def blocks(docs: DataFrame, folds: int, held: int) -> DataFrame:
     def pack(items: list[tuple], run: int) -> pd.DataFrame:
         rows, ids, held_out, leads, tokens = zip(*items)
         every = np.concatenate(tokens)
-        words, first, place, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+        words, place, times = np.unique(every, return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")  # common words get small numbers, which the table stores in few bytes
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -362,7 +362,7 @@ class Asked:
             base[often] = len(contexts) + HOT_PARTS * np.arange(len(often))
             split = base[c] >= 0
             c = np.where(split, base[c] + part_of(symbols)[w].astype(np.int64), c)
-        by = np.lexsort((part, every, shard))
+        by = np.lexsort((part, every, shard)) if len(often) else pair_order(shard, every)
         number = np.empty(len(by), np.int64)
         number[by] = np.arange(len(by))
         keys, where = np.unique(number[c] * max(1, len(symbols)) + place, return_inverse=True)
@@ -436,6 +436,30 @@ def _unpack48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of the pairs in order of the first and then the second number, equal pairs in any order.
+
+    One number holds the first and the leading bits of the second. Pairs that agree in it but not in the bits that don't fit, a few with
+    hashes, are put in order by themselves.
+    """
+    if not len(first):
+        return np.empty(0, np.int64)
+    first, second = first.astype(np.uint64), second.astype(np.uint64)
+    bits = int(second.max()).bit_length()
+    left_out = max(0, int(first.max()).bit_length() + bits - 64)
+    key = first if bits == left_out else (first << np.uint64(bits - left_out)) | (second >> np.uint64(left_out))
+    order = np.argsort(key)
+    if left_out:
+        key, rest = key[order], second[order]
+        same = key[1:] == key[:-1]
+        run = np.cumsum(np.r_[True, ~same]) - 1
+        mixed = np.zeros(int(run[-1]) + 1, bool)
+        mixed[run[1:][same & (rest[1:] != rest[:-1])]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at[np.lexsort((rest[at], run[at]))]]
+    return order
+
+
 def part_of(symbols: np.ndarray) -> np.ndarray:
     """Which part of a split context a following word belongs to."""
     return (symbols * MIX) >> np.uint64(64 - 6)
@@ -489,7 +513,7 @@ def _level_of(rows: pd.DataFrame, hot_totals: dict[int, int], placed: bool, step
     context = np.concatenate([np.repeat(names_of(c), _spread(n, "<u4")) for c, n in zip(rows["contexts"], rows["sizes"])])
     symbol = np.concatenate([symbols_of(x) for x in rows["symbols"]])
     times = np.concatenate([_spread(x, "<u4") for x in rows["times"]]).astype(np.int64)
-    order = np.lexsort((symbol, context))
+    order = pair_order(context, symbol)
     context, symbol = context[order], symbol[order]
     new = np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])]
     asked = np.empty(len(order), np.int32)

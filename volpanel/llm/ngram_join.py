@@ -47,23 +47,14 @@ from volpanel.session import stage
 WIDTH = 5
 #: Share of the hash values that the first count looks at.
 FIRST_LOOK = 0.3
-KEPT_WORDS = 100_000
 ROUNDS = 60
 #: A set is told by its differences from a leader if it lacks so many of the leader's shingles, and has so many others, at most.
 NEAR = 64
-_hash_of: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of each word; a Python worker keeps those of some words."""
-    new = [w for w in words if w not in _hash_of]
-    if new:
-        if len(_hash_of) > KEPT_WORDS:
-            _hash_of.clear()
-            new = words
-        for w in new:
-            _hash_of[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    """64-bit hash of each word; hashing one costs less than looking it up in a table of known words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(text: str | None) -> np.ndarray:

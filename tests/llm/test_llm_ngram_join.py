@@ -105,6 +105,14 @@ def test_stars_around_leaders_take_one_round(spark, monkeypatch):
     assert labels.count("parents") == 1
 
 
+def test_no_plan_of_the_join_is_long(spark, monkeypatch):
+    plans, keep = [], N.stage
+    monkeypatch.setattr(N, "stage", lambda df, label="stage": plans.append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or keep(df, label))
+    rows = [document(i, prose(900 + i % 3, 200, 5000) + f" w{i}") for i in range(12)]
+    assert len({r.component_id for r in N.classes(spark.createDataFrame(rows, SCHEMA)).collect()}) == 3
+    assert max(plans) <= 9
+
+
 def test_several_texts_of_an_id_have_their_own_shingles(spark):
     two, three = prose(801, 300, 5000), prose(802, 300, 5000)
     rows = [document(1, two + " " + prose(803, 55, 5000)), document(1, three + " " + prose(804, 55, 5000)), document(2, two), document(3, three)]

@@ -241,7 +241,9 @@ def links(sets: DataFrame) -> DataFrame:
     open_lists = asking.select("token", "block").distinct()
     x = ranked.join(open_lists, ["token", "block"]).join(leaders.select("token", "block", "l_node"), ["token", "block"])
     x = x.select("token", "block", "l_node", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "u", "p")))
-    x = classed(with_leader(x, "x"), classes, "x").withColumn("part", F.floor(F.log2(F.col("x_p") + 1)).cast("int"))
+    # Three short plans: in one, the driver would track all their shuffles at once.
+    x = stage(classed(x, classes, "x").withColumn("part", F.floor(F.log2(F.col("x_p") + 1)).cast("int")), "listed")
+    x = with_leader(x, "x")
     parts = F.sequence(F.lit(0), F.floor(F.log2(F.col("most") + 1)).cast("int"))
     through_leader = F.expr(
         "coalesce(9 * (least(x_o, y_o) + least(x_n - x_o - x_u, y_n - y_o - y_u)) >= 4 * (x_n + y_n), true)"
@@ -256,6 +258,7 @@ def links(sets: DataFrame) -> DataFrame:
         .where(F.col("block") == F.greatest(size_class(F.col("x_n")), size_class(F.col("y_n"))))  # of two common blocks, one is enough
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     )
+    third = stage(third, "pairs")
     return first.union(second).union(_compared(third, sets).where("linked").select("a", "b"))
 
 

@@ -263,6 +263,20 @@ def test_equal_texts_are_scored_once_in_batches_of_like_length(spark, tmp_path):
     assert all(len(b) <= 4 and (len(b) == 1 or len(b) * min(max(b), 512) <= 1024) for b in asked)
 
 
+def test_a_worker_holds_a_thousand_texts_at_most(spark):
+    def make_scorer():
+        return lambda texts: [{"label": "POSITIVE", "score": float(len(texts))} for _ in texts]
+
+    df = spark.range(2500).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("t")).coalesce(1)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sizes = [r.score for r in T.score_once(df, "t", make_scorer, batch=5000, budget=10**6).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(sizes) == 2500 and max(sizes) <= 1000
+
+
 def test_batches_are_cut_by_tokens():
     assert T.cut_batches([], 10, 4) == []
     assert T.cut_batches([9, 1, 1, 3, 50, 1, 1], 10, 4) == [[1, 2, 5, 6], [3], [0], [4]]

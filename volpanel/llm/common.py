@@ -9,6 +9,8 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from volpanel.session import small_batches as small_batches
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -73,18 +75,6 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Queries run inside hand their Python functions so many rows at once; for texts, which are long."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs now and not when the driver next collects its garbage."""
     gc.collect()

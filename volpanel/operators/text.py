@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from volpanel.operators.keep import union_all
+from volpanel.session import small_batches, stage
 
 POSITIVE, NEGATIVE, NEUTRAL = "POSITIVE", "NEGATIVE", "NEUTRAL"
 Scorer = Callable[[list[str]], list[dict]]
@@ -66,6 +67,7 @@ def score_once(
     ``make_scorer`` is called once per Python worker, which runs many tasks, and returns a function from a list of texts to a list of
     ``{"label", "score"}``. It receives whole texts and reads the first ``window`` tokens of each, as its own tokenizer cuts them. Texts of like length
     go together, at most ``batch`` of them and ``budget`` tokens after padding, words standing for tokens. A NULL text isn't scored.
+    The scores are staged; a worker holds 1,000 texts at most, whatever a partition has.
     """
     name = hashlib.sha256(cloudpickle.dumps(make_scorer)).hexdigest()
 
@@ -80,7 +82,9 @@ def score_once(
             yield pd.DataFrame({"digest": pdf["digest"], "label": [r["label"] for r in results], "score": [float(r["score"]) for r in results]})
 
     known = df.select(text_key(text).alias("digest"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    return known.groupBy("digest").agg(F.first("text").alias("text")).mapInPandas(run, "digest string, label string, score double")
+    scored = known.groupBy("digest").agg(F.first("text").alias("text")).mapInPandas(run, "digest string, label string, score double")
+    with small_batches(df.sparkSession):
+        return stage(scored, "scores")
 
 
 def text_key(text: str) -> Column:

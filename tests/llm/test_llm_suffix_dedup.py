@@ -1,11 +1,14 @@
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from llm_rows import SCHEMA, document, odd_rows, prose
 
 from volpanel.llm import suffix_dedup as S
+from volpanel.llm.ngram_join import keep_one
+from volpanel.session import staging
 
 
 def brute(rows, length):
@@ -113,6 +116,14 @@ def test_two_symbols_a_round_find_the_same_intervals():
     assert ((one[2] // 2 * 2) == two[2]).all()
 
 
+def test_staged_tables_go_with_the_result(spark, odd):
+    """Only the lost bytes and the ids that stay are left in the folder, no texts, contexts, sets or links."""
+    with staging(spark) as folder:
+        for make in (S.cleaned, S.removals, keep_one):
+            make(odd).collect()
+        assert {p.name.rsplit("-", 1)[0] for p in Path(folder.removeprefix("file:")).iterdir()} == {"lost", "kept"}
+
+
 def test_repeated_lists_all_places():
     strings = [b"xxabcdefyy", b"abcdefabcdef", b"zzz"]
     found = {tuple(sorted(map(tuple, g.tolist()))) for g in S.repeated(strings, 6, shard_bytes=8)}

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from volpanel.llm.common import fresh_name, small_batches, text_digest
-from volpanel.session import stage
+from volpanel.session import stage, stage_alone
 
 WIDTH = 5
 #: Share of the hash values that the first count looks at.
@@ -305,7 +305,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of several rows with the class's id the one with the smallest text hash stays.
     """
     rank, id_kept = fresh_name(docs, "rank"), fresh_name(docs, "id_kept")
-    kept = stage(classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias(id_kept)).distinct(), "kept")
+    kept = stage_alone(docs.sparkSession, lambda: classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias(id_kept)).distinct(), "kept")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     with_id = docs.join(kept, F.col("doc_id") == F.col(id_kept), "left_semi").withColumn(rank, F.row_number().over(first))
     return with_id.where(F.col(rank) == 1).drop(rank).unionByName(docs.where("doc_id IS NULL"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from volpanel.llm.common import fresh_name, release_shuffles, spread_numbers, text_digest
 from volpanel.llm.fingerprint import FACTOR, FIRST, SPAN, window_hashes
-from volpanel.session import stage
+from volpanel.session import stage, stage_alone
 
 LENGTH = 100
 CHUNK = 1 << 20
@@ -323,7 +323,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     context (firsts) and the starts of covered strings in these (strings); ``lost_bytes`` reads them."""
     spark = docs.sparkSession
     rows = numbered(docs)
-    held = stage(_repeated_runs(rows, length), "runs")
+    held = stage_alone(spark, lambda: _repeated_runs(rows, length), "runs")
     release_shuffles(spark)
     run = held.select("doc", "place", F.explode(F.arrays_zip("h", "c", "at", "more")).alias("r")).select(
         "r.h", "r.c", "doc", (F.col("place") + F.col("r.at")).alias("at"), "r.more"
@@ -396,7 +396,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, hashlib.sha256(raw).digest(), int(gone.sum()), times, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=["of", "own_digest", "n_removed", "n_spans", "kept"])
 
-    lost = spans(docs, length).mapInPandas(judge, "of long, own_digest binary, n_removed long, n_spans long, kept string").distinct()
+    schema = "of long, own_digest binary, n_removed long, n_spans long, kept string"
+    lost = stage_alone(docs.sparkSession, lambda: spans(docs, length).mapInPandas(judge, schema).distinct(), "lost")
+    release_shuffles(docs.sparkSession)
     rows = docs.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_digest(F.col("text")).alias("digest"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"),
@@ -427,7 +429,9 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ]
             yield pd.DataFrame(out, columns=["of", "own_digest", "left"])
 
-    lost = spans(docs, length).mapInPandas(cut, "of long, own_digest binary, left string").dropDuplicates(["of", "own_digest"])
+    schema = "of long, own_digest binary, left string"
+    lost = stage_alone(docs.sparkSession, lambda: spans(docs, length).mapInPandas(cut, schema).dropDuplicates(["of", "own_digest"]), "lost")
+    release_shuffles(docs.sparkSession)
     lost = lost.toDF(*(fresh_name(docs, c) for c in lost.columns))
     of, own_digest, left = (lost[c] for c in lost.columns)
     own = (F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == of) & (text_digest(docs["text"]) == own_digest)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +80,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str = "stage") -> DataFrame:
+    """``stage`` of what ``make`` returns; all that it staged itself on the way goes as soon as that is written."""
+    path = scratch_path(spark, label)
+    with staging(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Queries run inside hand their Python functions so many rows at once; for texts, which are long."""

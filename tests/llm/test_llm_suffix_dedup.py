@@ -116,6 +116,39 @@ def test_two_symbols_a_round_find_the_same_intervals():
     assert ((one[2] // 2 * 2) == two[2]).all()
 
 
+def test_four_symbols_a_round_find_the_same_intervals():
+    rng = random.Random(8)
+    strings = ["".join(rng.choice("ab\x00") for _ in range(rng.randrange(1, 40))).encode() for _ in range(30)]
+    made = [S.index(s) for s in (strings[:11], strings[11:])]
+    one, four = (S.merge_transforms([t for _, t, _ in made], [x for *_, x in made], 8, step) for step in (1, 4))
+    assert one[0].tolist() == four[0].tolist()
+    assert (np.diff(one[1]) > 0).tolist() == (np.diff(four[1]) > 0).tolist()
+    assert ((one[2] // 4 * 4) == four[2]).all()
+
+
+def test_suffix_array_is_that_of_sorted_suffixes():
+    rng = random.Random(4)
+    strings = ["".join(rng.choice("aaab\x00") for _ in range(n)).encode() for n in (0, 1, 7, 8, 9, 16, 17, 150, 151, 151)]
+    strings.append(strings[-1])
+    order, transform, longer = S.index(strings)
+    text = b"".join(s + b"\xff" for s in strings)
+    suffixes = [text[i : text.index(b"\xff", i)] for i in range(len(text))]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: (suffixes[i], i))
+    assert transform.tolist() == [(text[i - 1] + 1) % 256 for i in order]
+    assert order[longer].tolist() == [(i - 1) % len(text) for i in order.tolist()]
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    texts = [prose(i, 200).encode() for i in range(4)]
+    whole = S.runs(texts)
+    monkeypatch.setattr(S, "CHUNK", 1 << 8)
+
+    def strings(found):
+        return {(i, at, h) for i, first, last, h in zip(*(c.tolist() for c in found)) for at in range(first, last + 1)}
+
+    assert strings(S.runs(texts)) == strings(whole)
+
+
 def test_staged_tables_go_with_the_result(spark, odd):
     """Only the lost bytes and the ids that stay are left in the folder, no texts, contexts, sets or links."""
     with staging(spark) as folder:

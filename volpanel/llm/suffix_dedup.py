@@ -38,7 +38,7 @@ from volpanel.llm.fingerprint import FACTOR, FIRST, SPAN, window_hashes
 from volpanel.session import stage, stage_alone
 
 LENGTH = 100
-CHUNK = 1 << 20
+CHUNK = 1 << 17  # the hashes of a piece stay in the processor's cache
 BUCKET_BYTES = 1 << 18
 SHARD_BYTES = 1 << 15
 HOT = 20_000
@@ -154,7 +154,8 @@ def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
                 own = slice(borders[i], borders[i + 1])
                 b, e, a = begin[own], last[own], h[own]
                 if alone is not None:
-                    more = ~np.isin(b, alone)
+                    more = np.ones(len(b), bool)
+                    more[np.searchsorted(b, alone)] = False  # b ascends and has every lone one
                     b, e, a = b[more], e[more], a[more]
                 if len(b):
                     c = [xxhash.xxh3_64_intdigest(text[y : z + length]) for y, z in zip(b.tolist(), e.tolist())]
@@ -168,18 +169,35 @@ def _repeated_runs(rows: DataFrame, length: int) -> DataFrame:
 
 
 def index(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array of UTF-8 strings, each closed by a 0, with its transform and where each suffix's longer one stands; a byte b is the symbol b + 1."""
+    """Suffix array of UTF-8 strings, each closed by a 0, with its transform and where each suffix's longer one stands; a byte b is the symbol b + 1.
+
+    Suffixes are ranked by their first 8 symbols, then by twice as many a round; equal ones stay in the order of the strings.
+    """
     text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8) + np.uint8(1)
-    width = max(len(s) for s in strings) + 1
-    # Symbols up to the string's end and zeros from there on, as one fixed-width text for each suffix.
-    windows = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(width, np.uint8)], width)[: len(text)].copy()
+    n = len(text)
     ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text))
-    windows[np.arange(width) >= left[:, None]] = 0
-    order = np.argsort(windows.view(f"S{width}").ravel(), kind="stable").astype(np.int32)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    return order, text[order - 1], rank[order - 1]
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    known, longest = 8, int(left.max()) + 1
+    padded = np.r_[text, np.zeros(known, np.uint8)]
+    key = np.zeros(n, np.uint64)
+    for i in range(known):  # zeros from the string's end on
+        key = (key << np.uint64(8)) | np.where(left >= i, padded[i : i + n], np.uint8(0))
+    while True:
+        by_key = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        rank[by_key] = np.cumsum(np.r_[False, np.diff(key[by_key]) != 0])
+        if known >= longest:
+            break
+        behind = np.zeros(n, np.int64)
+        further = np.flatnonzero(left >= known)
+        behind[further] = rank[further + known] + 1
+        key = rank * (n + 1) + behind
+        known *= 2
+    # Small numbers are sorted by their digits.
+    order = np.argsort(rank.astype(np.uint16) if n <= 1 << 16 else rank, kind="stable").astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, text[order - 1], place[order - 1]
 
 
 def merge_transforms(
@@ -189,17 +207,22 @@ def merge_transforms(
 
     Gives the suffixes (numbered through all shards) in order of these symbols, the interval each is in, and for every suffix of the shards the
     length of the longest prefix, up to ``depth``, that it has in common with any other. A round reads the transforms along the interleave and deals the suffixes
-    that are ``step`` symbols longer, one or two, to the symbols' places; with two, lengths are told in steps of two. A suffix alone in its
+    that are ``step`` symbols longer, one, two or four, to the symbols' places; lengths are told in steps of as many. A suffix alone in its
     interval stays so when it grows, so it leaves the interleave and only its length is kept. No suffix is compared with another one.
     """
     starts = np.cumsum([0] + [len(t) for t in transforms])
     symbols = np.concatenate(transforms)
     onward = np.concatenate([x + s for x, s in zip(longer, starts)]).astype(np.int32)
-    if step == 2:
-        # Two symbols back; a 0 for either of them says that the string begins before.
-        second = symbols[onward]
-        symbols = np.where((symbols > 0) & (second > 0), (second.astype(np.uint16) << 8) | symbols, 0).astype(np.uint16)
+    reach = 1
+    while reach < step:
+        # Twice as many symbols back; a 0 for either half says that the string begins before.
+        before = symbols[onward]
+        both = np.where((symbols > 0) & (before > 0), (before.astype(np.uint64) << np.uint64(8 * symbols.itemsize)) | symbols, np.uint64(0))
+        told, both = np.unique(both, return_inverse=True)
+        both += told[0] != 0
+        symbols = both.astype(np.uint16 if len(told) < 1 << 16 else np.uint32)
         onward = onward[onward]
+        reach *= 2
     common = np.zeros(len(symbols), np.int32)
     here, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for done in range(0, depth, step):
@@ -219,8 +242,8 @@ def merge_transforms(
     return here, interval, common
 
 
-def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """Groups of places, rows (string, offset), of each substring of ``length`` bytes that the strings hold more than once."""
+def repeated_places(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Places, rows (string, offset), of the substrings of ``length`` bytes that the strings hold more than once, and a number for each that equal ones share."""
     shards: list[list[int]] = [[]]
     size = 0
     for number, s in enumerate(strings):
@@ -235,10 +258,15 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
         starts = np.cumsum([0] + [len(strings[i]) + 1 for i in shard])
         of = np.searchsorted(starts, order, side="right") - 1
         place.append(np.stack([np.array(shard)[of], order - starts[of]], axis=1))
-    here, interval, _ = merge_transforms([t for _, t, _ in made], [x for *_, x in made], length, 2 - length % 2)
-    if not len(here):
-        return []
-    return np.split(np.concatenate(place)[here], np.flatnonzero(interval[1:] != interval[:-1]) + 1)
+    step = next(n for n in (4, 2, 1) if length % n == 0)
+    here, interval, _ = merge_transforms([t for _, t, _ in made], [x for *_, x in made], length, step)
+    return np.concatenate(place)[here], interval
+
+
+def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
+    """The places of ``repeated_places``, one array for each substring."""
+    places, interval = repeated_places(strings, length, shard_bytes)
+    return np.split(places, np.flatnonzero(interval[1:] != interval[:-1]) + 1) if len(places) else []
 
 
 def _string_hashes(data: np.ndarray, length: int, seeds: int) -> list[np.ndarray]:
@@ -286,13 +314,13 @@ def _covered_by_merge(contexts: DataFrame, length: int) -> DataFrame:
         number = np.array([p[0] for p in parts], np.int64)
         doc = rows["doc"].to_numpy(np.int64)[number]
         at = rows["at"].to_numpy(np.int64)[number] + np.array([p[1] for p in parts], np.int64)
-        late = []
-        for group in repeated([p[2] for p in parts], length) if parts else ():
-            where = at[group[:, 0]] + group[:, 1]
-            order = np.lexsort((where, doc[group[:, 0]]))
-            late.append(np.stack([doc[group[order[1:], 0]], where[order[1:]]], axis=1))
-        found = np.concatenate(late) if late else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"doc": found[:, 0], "at": found[:, 1]})
+        if not parts:
+            return pd.DataFrame({"doc": np.empty(0, np.int64), "at": np.empty(0, np.int64)})
+        places, group = repeated_places([p[2] for p in parts], length)
+        doc, at = doc[places[:, 0]], at[places[:, 0]] + places[:, 1]
+        order = np.lexsort((at, doc, group))
+        late = order[1:][group[order[1:]] == group[order[:-1]]]  # all but the first of each string
+        return pd.DataFrame({"doc": doc[late], "at": at[late]})
 
     return contexts.groupBy("bucket").applyInPandas(merge, "doc long, at long")
 

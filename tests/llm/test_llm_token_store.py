@@ -115,6 +115,30 @@ def test_encoder_equals_the_tokenizer(text):
     assert own(text) == own.whole(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="aB'stremdvl.,!? \t\n\rÉàſœž12 ", max_size=40)), max_size=6))
+def test_texts_together_get_the_ids_of_each(texts):
+    own = encoding.encoder(vocabulary())
+    assert list(own.each(texts)) == [own.whole(text) for text in texts]
+
+
+def test_texts_together_look_each_word_up_once(monkeypatch):
+    class Counted(encoding.Store):
+        asked = 0
+
+        def __getitem__(self, name):
+            self.asked += 1
+            return super().__getitem__(name)
+
+    own = encoding.Encoder(vocabulary())
+    own.words = Counted(own.alone)
+    texts = ["one two, three " * 50, "", "two\n three"] * 20
+    assert list(own.each(texts)) == [own.whole(text) for text in texts]
+    assert own.words.asked == 4
+    monkeypatch.setattr(encoding, "TOGETHER", 100)  # several lots
+    assert list(own.each(texts)) == [own.whole(text) for text in texts]
+
+
 def test_encoder_with_small_store(monkeypatch):
     monkeypatch.setattr(encoding, "GENERATION", 5)
     own = encoding.Encoder(vocabulary())

@@ -43,8 +43,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         ids_of = encoder(vocabulary)
         rows: list[tuple] = []
         for part in parts:
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                ids = ids_of(text or "") + end
+            for doc_id, ids in zip(part["doc_id"], ids_of.each(text or "" for text in part["text"])):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, len(ids), step):
                     own = ids[at : at + step]

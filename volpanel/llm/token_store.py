@@ -183,7 +183,7 @@ def sampled_dictionary(docs: DataFrame, vocabulary: str, width: int, end_id: int
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = encoder(vocabulary)
         for part in parts:
-            yield pd.DataFrame({"ids": [coded(ids_of(text or ""), width, end_id) for text in part["text"]]})
+            yield pd.DataFrame({"ids": [coded(ids, width, end_id) for ids in ids_of.each(text or "" for text in part["text"])]})
 
     samples, size = [], 0
     for row in rows.mapInPandas(encode, "ids binary").toLocalIterator():
@@ -215,11 +215,12 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of, files, writer = encoder(vocabulary), [], None
         for part in parts:
-            for name, text, key, salt in zip(part["id"], part["text"], part["key"], part["salt"]):
+            found = ids_of.each(text or "" for text in part["text"])
+            for name, ids, key, salt in zip(part["id"], found, part["key"], part["salt"]):
                 if writer is None:
                     writer = FileWriter(f"{folder}/{uuid.uuid4().hex}.ids", width, dictionary)
                     files.append((writer, name, key, salt))
-                writer.add(None if name is None else int(name), coded(ids_of(text or ""), width, end_id))
+                writer.add(None if name is None else int(name), coded(ids, width, end_id))
                 if writer.at >= FILE_BYTES:
                     writer.close()
                     writer = None

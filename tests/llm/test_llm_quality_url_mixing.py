@@ -54,6 +54,20 @@ def test_junk_goes_and_clean_stays(spark):
     assert kept == set(range(40))
 
 
+def test_texts_are_measured_once_a_pass(odd, monkeypatch):
+    """Filters that move down to the scan must not bring a second measuring, which takes a second Python worker for each task."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    staged, real = {}, Q.stage
+
+    def told(df, label):
+        staged[label] = plan(df).count("ArrowEvalPython"), df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        return real(df, label)
+
+    monkeypatch.setattr(Q, "stage", told)
+    assert plan(Q.keep_documents(odd)).count("ArrowEvalPython") == 1
+    assert staged["quality-sketch"] == (1, "1000")
+
+
 def test_junk_heavy_and_single_document_groups_are_bounded_by_coarser_ones(spark):
     junk = lambda i: " ".join(w + "###" for w in prose(i, 80).split())
     rows = [document(i, prose(i, 120), "en", "good") for i in range(40)]

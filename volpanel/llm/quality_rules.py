@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from volpanel.llm.common import fresh_name
+from volpanel.llm.common import fresh_name, small_batches
 from volpanel.session import stage
 
 GROWTH = 1.02
@@ -106,6 +106,10 @@ def measures(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure_text(t) for t in text], columns=list(MEASURES), dtype="int64")
 
 
+#: The same values; Spark leaves the number of calls as it is written.
+measures_once = F.pandas_udf(measures.func, MEASURED).asNondeterministic()
+
+
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > REPEAT_PERCENT * n_words)
 
@@ -201,10 +205,12 @@ def judge(docs: DataFrame, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
 def keep_documents(docs: DataFrame, ratios: tuple[Ratio, ...] = RATIOS) -> DataFrame:
     """The rows of ``docs`` that pass, columns unchanged.
 
-    The texts are measured a second time beside the small staged cut-offs, which costs less than a shuffle of all texts.
+    The texts are measured a second time beside the small staged cut-offs, which costs less than a shuffle of all texts. Called non-deterministic,
+    the measures are not computed again for the filters that Spark moves down to the scan, which takes a second Python worker for each task.
     """
     name = fresh_name(docs, "m")
-    measured = docs.withColumn(name, measures("text"))
-    cuts = stage(thresholds(sketches(measured.select("lang", "source", F.col(name).alias("m")), F.col("m"), ratios), ratios), "quality-cuts")
+    measured = docs.withColumn(name, measures_once("text"))
+    with small_batches(docs.sparkSession):
+        cuts = stage(thresholds(sketches(measured.select("lang", "source", F.col(name).alias("m")), F.col("m"), ratios), ratios), "quality-cuts")
     same = measured["lang"].eqNullSafe(cuts["lang"]) & measured["source"].eqNullSafe(cuts["source"])
     return measured.join(cuts, same, "left").where(_passes(measured[name], cuts, ratios)).select(*(measured[c] for c in docs.columns))
